@@ -6,8 +6,8 @@ each bin is the signature, empty bins borrow from a bin found along a fixed rand
 densification); (3) bands of the signature key buckets; each bucket links its members to its smallest
 document, a star, so n members make n - 1 candidate pairs; (4) candidates are confirmed on the full
 sets; (5) connected components. A star could miss a link between two members of which one isn't like
-the centre: buckets whose members are still in several components go on with further members as
-centres, in growing numbers, until each of their pairs across components has been confirmed or refuted.
+the centre: in buckets whose members are still in several components the pairs across components are
+taken up too, but only those that sizes and shingles found in one document alone leave possible.
 
 Cases. Null or empty text and texts without words have an empty set and are linked with nothing. A text
 of fewer than k words is one shingle. A null id stays unlinked, with a null component. Rows that repeat
@@ -124,24 +124,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     edges = cut(confirmed(first.select(F.col("centre").alias("a"), F.col("id").alias("b"))).distinct())
     labels = components(edges)
 
-    in_bucket = Window.partitionBy("key")
-    placed = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    sized = placed.join(split, "key").withColumn("size", F.count("*").over(Window.partitionBy("key", "c")))
-    ranked = sized.withColumn("most", F.max(F.struct("size", "c")).over(in_bucket)["c"]).withColumn("last", F.col("c") == F.col("most"))
-    # every pair across components has a member outside the bucket's largest component: those are the further centres
-    left = cut(ranked.withColumn("at", F.row_number().over(in_bucket.orderBy("last", "id", "n"))).select("key", "id", "n", "at", "last"))
-    last = left.where("not last").agg(F.max("at")).first()[0] or 0
-    low, high = 0, 16
-    while low < last:
-        now = left.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "at", "last", F.coalesce("component", "id").alias("c"))
-        centres = now.where((F.col("at") > low) & (F.col("at") <= high) & ~F.col("last")).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("at").alias("at_a"))
-        pairs = now.join(centres, "key").where((F.col("at") > F.col("at_a")) & (F.col("c") != F.col("ca")) & fits("n", "na"))
-        more = cut(confirmed(pairs.select("a", F.col("id").alias("b")).distinct()))
+    # Buckets that still hold several components. A shingle that only one of their documents has is in no
+    # intersection; one with too many such shingles has no partner, and pairs are bounded by what is left.
+    node = labels.withColumnRenamed("node", "id")
+    placed = buckets.join(node, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    split = lambda rows: rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
+    left = cut(placed.join(split(placed), "key"))
+    if not left.isEmpty():
+        shingles = sets.join(left.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+        alone = shingles.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").count()
+        left = left.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("count", F.lit(0))).drop("count").where(F.col("common") * below >= F.col("n") * above)
+        in_bucket = Window.partitionBy("key")
+        left = left.join(split(left), "key").withColumn("size", F.count("*").over(Window.partitionBy("key", "c")))
+        # every pair across components has a member outside the bucket's largest one
+        left = left.withColumn("last", F.col("c") == F.max(F.struct("size", "c")).over(in_bucket)["c"])
+        left = cut(left.withColumn("at", F.row_number().over(in_bucket.orderBy("last", "id"))).select("key", "id", "n", "common", "c", "at", "last"))
+        centres = left.where("not last").select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "common", "c", "at")))
+        most = F.least("common", "common_a")
+        fits = most * below >= (F.col("n") + F.col("n_a") - most) * above
+        pairs = left.join(centres, "key").where((F.col("at") > F.col("at_a")) & (F.col("c") != F.col("c_a")) & fits)
+        more = cut(confirmed(pairs.select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct()))
         if not more.isEmpty():
-            edges = cut(edges.unionByName(more).distinct())
-            labels = components(edges)
-        low, high = high, high * 4
+            labels = components(edges.unionByName(more))
     out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
