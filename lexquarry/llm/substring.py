@@ -100,30 +100,34 @@ def _windows(window: int, gram: int):
     return body
 
 
-def removed_words(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which of n words the windows starting at `starts` cover."""
-    cover = np.zeros(n + 1, np.int32)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, np.minimum(starts + window, n), -1)
-    return np.cumsum(cover[:-1]) > 0
+def intervals(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs [from, until) of words that windows starting at `starts` cover."""
+    starts = np.unique(starts)
+    fresh = np.append(True, starts[1:] > starts[:-1] + window)
+    return starts[fresh], np.append(starts[:-1][fresh[1:]], starts[-1]) + window
 
 
-def _kept(window: int, texts: bool):
+def _merged(window: int):
+    def body(batches):
+        for batch in batches:
+            both = [intervals(np.asarray(x.values), window) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists([b[0] for b in both], pa.int32()), lists([b[1] for b in both], pa.int32())], ["id", "tk", "since", "until"])
+
+    return body
+
+
+def _kept(texts: bool):
     def body(batches):
         for batch in batches:
             n, gone, kept, sums = [], [], [], []
-            for text, starts, whole in zip(batch.column(0).cast(pa.binary()), batch.column(1), batch.column(2), strict=True):
+            for text, since, until in zip(batch.column(0).cast(pa.binary()), batch.column(1), batch.column(2), strict=True):
                 words = (text.as_py() or b"").split()
                 n.append(len(words))
-                if whole.as_py():
-                    left = []
-                elif starts.is_valid:
-                    mask = removed_words(len(words), np.asarray(starts.values), window)
-                    left = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
-                else:
-                    left = words
-                gone.append(len(words) - len(left))
-                joined = b" ".join(left)
+                if until.is_valid:
+                    for a, b in zip(reversed(since.as_py()), reversed(until.as_py()), strict=True):
+                        del words[a:b]
+                gone.append(n[-1] - len(words))
+                joined = b" ".join(words)
                 sums.append(hashlib.sha256(joined).hexdigest())
                 kept.append(joined.decode() if texts else None)
             rest = [batch.column(i) for i in range(3, batch.num_columns)]
@@ -132,28 +136,40 @@ def _kept(window: int, texts: bool):
     return body
 
 
+#: The rows joined to the texts are broadcast up to so many bytes (two numbers a row, and its lists); more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, *arrays: str) -> DataFrame:
+    """df, kept, and marked for a broadcast if its size allows it."""
+    df = cut(df)
+    size = df.agg(F.sum(F.lit(48) + sum((4 * F.size(a) for a in arrays), F.lit(0)))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 10, carry: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
     """The columns `carry` of each document, and _n_words, _n_removed, _kept_sha256, _kept (the words left; null unless texts).
 
     gram: words of an anchor; shorter ones make fewer anchors but more of them meet by chance.
     """
     prepare(docs.sparkSession)
-    key = F.xxhash64(F.col(text_col))
+    key = F.hash(F.col(text_col))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("tk"), F.col(text_col).alias("text"))
-    seen = cut(keyed.where("id is not null").mapInArrow(_anchored(window, gram), "id long, tk long, n long, h1 long, h2 long, anchors array<long>, places array<int>"))
+    seen = cut(keyed.where("id is not null").mapInArrow(_anchored(window, gram), "id long, tk int, n long, h1 long, h2 long, anchors array<long>, places array<int>"))
     long = seen.where(F.col("n") >= window)
     same = long.groupBy("n", "h1", "h2").agg(F.min("id").alias("first"))
     placed = long.join(same, ["n", "h1", "h2"])
     copies = placed.where("id > first").select("id", "tk").distinct()
     grams = placed.where("id = first").select("id", "tk", F.explode(F.arrays_zip("anchors", "places")).alias("e")).select("id", "tk", F.col("e.anchors").alias("anchor"), F.col("e.places").alias("place"))
     shared = grams.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    met = grams.join(shared, "anchor").groupBy("id", "tk").agg(F.collect_set("place").alias("met"))
-    rows = keyed.join(met, ["id", "tk"]).select("id", "tk", "text", "met")
-    counted = cut(rows.mapInArrow(_windows(window, gram), "id long, tk long, hashes array<long>, places array<int>"))
+    met = small(grams.join(shared, "anchor").groupBy("id", "tk").agg(F.collect_set("place").alias("met")), "met")
+    counted = cut(keyed.join(met, ["id", "tk"]).select("id", "tk", "text", "met").mapInArrow(_windows(window, gram), "id long, tk int, hashes array<long>, places array<int>"))
     each = counted.select("id", "tk", F.explode(F.arrays_zip("hashes", "places")).alias("e")).select("id", "tk", F.col("e.hashes").alias("hash"), F.col("e.places").alias("place"))
     firsts = each.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash", "first")
     later = each.join(firsts, "hash").where("id > first").groupBy("id", "tk").agg(F.collect_set("place").alias("starts"))
-    marks = later.select("id", "tk", "starts", F.lit(False).alias("whole")).unionByName(copies.select("id", "tk", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
+    parts = later.mapInArrow(_merged(window), "id long, tk int, since array<int>, until array<int>")
+    whole = copies.select("id", "tk", F.array(F.lit(0)).alias("since"), F.array(F.lit((1 << 31) - 1)).alias("until"))
+    marks = small(parts.unionByName(whole), "since", "until")
     out = docs.select(F.col(id_col).cast("long").alias("_id"), key.alias("_tk"), F.col(text_col).alias("_text"), *carry).join(marks, (F.col("_id") == F.col("id")) & (F.col("_tk") == F.col("tk")), "left")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "_n_words long", "_n_removed long", "_kept_sha256 string", "_kept string"])
-    return out.select("_text", "starts", F.coalesce("whole", F.lit(False)), *carry).mapInArrow(_kept(window, texts), schema)
+    return out.select("_text", "since", "until", *carry).mapInArrow(_kept(texts), schema)
