@@ -1,17 +1,73 @@
-"""The corpus pipeline: each stage gets the documents that the one before it kept, and returns documents."""
+"""The corpus pipeline: each stage gets the documents that the one before it kept, and returns documents.
+
+All stages but the last return the columns of documents; columns beyond these are dropped. Stages judge
+their own input only: texts shortened by one are what the next one reads.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexquarry.llm import langid
+from lexquarry.llm.decontam import decontaminate
+from lexquarry.llm.mixing import mix_sources
+from lexquarry.llm.neardup import near_duplicates
+from lexquarry.llm.spark import small, table
+from lexquarry.llm.substring import repeated_substrings
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A language scored lower than this is not told apart from the next one, and the document is rejected.
+LEAST_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter, without text, or of no language that was learned."""
+    found = langid.identify(docs, langid.train(docs), carry=COLUMNS)
+    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least id of each group of documents with five-word shingles alike by 0.8 or more."""
+    found = near_duplicates(docs, k=5, at_least=(80, 100))
+    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
+    return docs.select(*COLUMNS).join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 50 words or more that a document of a smaller id holds too; a document that consists of such stays, empty."""
+    found = repeated_substrings(docs, window=50, carry=COLUMNS, texts=True)
+    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
+    chars = F.when(F.col("_n_removed") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
+    return found.select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which a twentieth or more of the words lie in benchmark passages."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS)
+    return found.where(~F.col("_contaminated")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often the mixture takes each document; 0 is a decision too, so all are listed."""
+    found = mix_sources(docs, carry=COLUMNS)
+    return found.select(*COLUMNS, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), F.col("_taken").alias("taken"))
+
 
-STAGES = []
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", remove_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("source_mixing", mix),
+]
 
-#: Minhashing and exact verification aside, SQL has no form of the trained and iterated stages.
+#: The first stage is a trained classifier, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

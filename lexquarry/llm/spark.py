@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts of 100 KB each would make 100 MB of it.
 BATCH_ROWS = 1000
@@ -25,5 +26,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows to be joined to texts are broadcast up to so many bytes (two numbers a row, and its lists); more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, *arrays: str) -> DataFrame:
+    """df, kept, and marked for a broadcast if its size allows it. arrays: its list columns of numbers."""
+    df = cut(df)
+    size = df.agg(F.sum(F.lit(48) + sum((4 * F.size(a) for a in arrays), F.lit(0)))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.spark import cut, prepare
+from lexquarry.llm.spark import cut, prepare, small
 from lexquarry.llm.textnum import SPACED, Words, int64, lists, sequence_hashes, slices
 
 
@@ -136,17 +136,6 @@ def _kept(texts: bool):
     return body
 
 
-#: The rows joined to the texts are broadcast up to so many bytes (two numbers a row, and its lists); more are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
-
-
-def small(df: DataFrame, *arrays: str) -> DataFrame:
-    """df, kept, and marked for a broadcast if its size allows it."""
-    df = cut(df)
-    size = df.agg(F.sum(F.lit(48) + sum((4 * F.size(a) for a in arrays), F.lit(0)))).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 10, carry: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
     """The columns `carry` of each document, and _n_words, _n_removed, _kept_sha256, _kept (the words left; null unless texts).
 
