@@ -104,10 +104,10 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sources = cells.groupBy("source").agg(F.sum("tokens").alias("source_size"))
     rated = sources.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_balanced(weights, cap), "source string, source_size long, target double, rate double")
     plan = cells.join(rated, cells.source.eqNullSafe(rated.source)).drop(cells.source).groupBy("source").applyInPandas(_slotted, "source string, source_size long, target double, class int, whole int, until int")
-    plan = cut(plan)
+    plan = cut(plan.select(*(F.col(c).alias(f"_{c}_p") for c in plan.columns)))
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    out = sized.join(plan, sized._source.eqNullSafe(plan.source) & (sized._class == plan["class"]))
-    copies = F.col("whole") + (F.col("_slot") < F.col("until")).cast("int")
+    out = sized.join(plan, sized["_source"].eqNullSafe(plan["_source_p"]) & (sized["_class"] == plan["_class_p"]))
+    copies = F.col("_whole_p") + (F.col("_slot") < F.col("_until_p")).cast("int")
     copies = F.when(F.col("_size") > 0, F.least(copies, F.lit(int(cap)))).otherwise(0).cast("long")
-    return out.select(*carry, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), copies.alias("_copies"), (copies * F.col("_size")).alias("_taken"))
+    return out.select(*carry, "_size", F.col("_source_size_p").alias("_source_size"), F.col("_target_p").alias("_target"), copies.alias("_copies"), (copies * F.col("_size")).alias("_taken"))
