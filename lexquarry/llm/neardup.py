@@ -94,6 +94,20 @@ def _sets(k: int):
     return run
 
 
+#: Parts of the hash space by which shingles are counted.
+PARTS = 128
+
+
+def _profiles(batches):
+    for batch in batches:
+        counts = []
+        for own, alone in zip(batch.column(1), batch.column(2), strict=True):
+            own, alone = (np.asarray(x.values).view(np.uint64) // U64((1 << 64) // PARTS) for x in (own, alone))
+            counts.append(np.bincount(own.astype(np.int64), minlength=PARTS) - np.bincount(alone.astype(np.int64), minlength=PARTS))
+        total = pa.array([int(c.sum()) for c in counts], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), total, lists([c.astype(np.int32) for c in counts], pa.int32())], ["id", "common", "parts"])
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, at_least: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (the least id with the same set), component_id, kept.
 
@@ -125,24 +139,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = components(edges)
 
     # Buckets that still hold several components. A shingle that only one of their documents has is in no
-    # intersection; one with too many such shingles has no partner, and pairs are bounded by what is left.
+    # intersection. The others are counted by parts of the hash space: the lesser counts of two documents, summed
+    # over the parts, bound their intersection, and only pairs that this leaves possible are confirmed.
     node = labels.withColumnRenamed("node", "id")
     placed = buckets.join(node, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     split = lambda rows: rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
     left = cut(placed.join(split(placed), "key"))
     if not left.isEmpty():
-        shingles = sets.join(left.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
-        alone = shingles.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").count()
-        left = left.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("count", F.lit(0))).drop("count").where(F.col("common") * below >= F.col("n") * above)
+        theirs = sets.join(left.select("id").distinct(), "id", "left_semi")
+        alone = theirs.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+        alone = alone.groupBy("id").agg(F.collect_list("s").alias("alone"))
+        profile = theirs.join(alone, "id", "left").select("id", "shingles", F.coalesce("alone", F.array().cast("array<long>")).alias("alone")).mapInArrow(_profiles, "id long, common long, parts array<int>")
+        left = left.join(profile, "id").where(F.col("common") * below >= F.col("n") * above)
         in_bucket = Window.partitionBy("key")
         left = left.join(split(left), "key").withColumn("size", F.count("*").over(Window.partitionBy("key", "c")))
         # every pair across components has a member outside the bucket's largest one
         left = left.withColumn("last", F.col("c") == F.max(F.struct("size", "c")).over(in_bucket)["c"])
-        left = cut(left.withColumn("at", F.row_number().over(in_bucket.orderBy("last", "id"))).select("key", "id", "n", "common", "c", "at", "last"))
-        centres = left.where("not last").select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "common", "c", "at")))
-        most = F.least("common", "common_a")
-        fits = most * below >= (F.col("n") + F.col("n_a") - most) * above
-        pairs = left.join(centres, "key").where((F.col("at") > F.col("at_a")) & (F.col("c") != F.col("c_a")) & fits)
+        left = cut(left.withColumn("at", F.row_number().over(in_bucket.orderBy("last", "id"))).select("key", "id", "n", "common", "parts", "c", "at", "last"))
+        centres = left.where("not last").select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "common", "parts", "c", "at")))
+        fits = lambda most: most * below >= (F.col("n") + F.col("n_a") - most) * above
+        shared = F.aggregate(F.zip_with("parts", "parts_a", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+        pairs = left.join(centres, "key").where((F.col("at") > F.col("at_a")) & (F.col("c") != F.col("c_a")) & fits(F.least("common", "common_a")) & fits(shared))
         more = cut(confirmed(pairs.select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct()))
         if not more.isEmpty():
             labels = components(edges.unionByName(more))
