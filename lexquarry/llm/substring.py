@@ -150,11 +150,12 @@ def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     placed = long.join(same, ["n", "h1", "h2"])
     copies = placed.where("id > first").select("id", "tk").distinct()
     grams = placed.where("id = first").select("id", "tk", F.explode(F.arrays_zip("anchors", "places")).alias("e")).select("id", "tk", F.col("e.anchors").alias("anchor"), F.col("e.places").alias("place"))
-    shared = grams.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
+    # kept before the join, so that its sides are plain exchanges and a hot anchor's partition can be split
+    shared = cut(grams.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"))
     met = small(grams.join(shared, "anchor").groupBy("id", "tk").agg(F.collect_set("place").alias("met")), "met")
     counted = cut(keyed.join(met, ["id", "tk"]).select("id", "tk", "text", "met").mapInArrow(_windows(window, gram), "id long, tk int, hashes array<long>, places array<int>"))
     each = counted.select("id", "tk", F.explode(F.arrays_zip("hashes", "places")).alias("e")).select("id", "tk", F.col("e.hashes").alias("hash"), F.col("e.places").alias("place"))
-    firsts = each.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash", "first")
+    firsts = cut(each.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash", "first"))
     later = each.join(firsts, "hash").where("id > first").groupBy("id", "tk").agg(F.collect_set("place").alias("starts"))
     parts = later.mapInArrow(_merged(window), "id long, tk int, since array<int>, until array<int>")
     whole = copies.select("id", "tk", F.array(F.lit(0)).alias("since"), F.array(F.lit((1 << 31) - 1)).alias("until"))
