@@ -36,7 +36,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, at_least=(85, 100))
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, at_least=(85, 100)).drop("class_id")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
