@@ -37,9 +37,16 @@ def lexicon(docs: DataFrame, *, text_col: str = "text", at_most: float = 0.1, at
     total = docs.count()
     counts = docs.select(F.explode(term_ids(F.col(text_col))).alias("id")).groupBy("id").count()
     band = counts.where((F.col("count") >= at_least) & (F.col("count") <= max(at_most * total, 2.0)))
+    # a bitmap for each 32768 ids, so VOCABULARY bits at most come to the driver
+    place = F.col("id") + 1
+    maps = band.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
     out = bytearray(VOCABULARY)
-    for row in band.select("id").collect():  # VOCABULARY numbers at most
-        out[row[0]] = 1
+    for row in maps:
+        base = (row["bucket"] - 1) * 32768
+        for i, byte in enumerate(row["bits"]):
+            if byte:
+                for bit in range(8):
+                    out[base + 8 * i + bit] = byte >> bit & 1
     return bytes(out)
 
 
