@@ -94,7 +94,7 @@ def likeness(a: Column, b: Column, same: Column) -> Column:
 def with_next(docs: DataFrame, columns: dict[str, str], *, id_col: str) -> DataFrame:
     """Adds columns of the next row in descending order of the id, of the first row after the last; a null id is the least.
 
-    Rows fall into blocks of neighbouring ids, and each block is ordered by itself. The row after a block's last
+    Equal ids follow each other by a hash of these columns. Rows fall into blocks of neighbouring ids, and each block is ordered by itself. The row after a block's last
     is the first of the next block that has any; it is handed to this block as a guest. So rows move once, and
     no task sees more than a block.
     """
@@ -115,7 +115,7 @@ def with_next(docs: DataFrame, columns: dict[str, str], *, id_col: str) -> DataF
     guests = F.broadcast(spark.createDataFrame(guests, "`~id` long, `~to` int"))
     dealt = own.join(guests, "~id", "left").withColumn("~at", F.explode(F.array_compact(F.array(F.struct(F.col("~block").alias("b"), F.lit(False).alias("g")), F.when(F.col("~to").isNotNull(), F.struct(F.col("~to").alias("b"), F.lit(True).alias("g")))))))
     dealt = dealt.select(*docs.columns, "~id", F.col("~at.b").alias("~b"), F.col("~at.g").alias("~g"))
-    order = Window.partitionBy("~b").orderBy("~g", F.desc("~id"))
+    order = Window.partitionBy("~b").orderBy("~g", F.desc("~id"), F.xxhash64(*columns))
     return dealt.select(*docs.columns, "~g", *(F.lead(c).over(order).alias(name) for c, name in columns.items())).where(~F.col("~g")).drop("~g")
 
 

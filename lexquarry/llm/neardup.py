@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(texts.mapInArrow(_signed(k, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>"))
     same = signed.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    members = signed.drop("bands").join(same, ["n", "h1", "h2"], "left")
+    members = signed.drop("bands").join(same, ["n", "h1", "h2"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.col("rep")))
     reps = signed.join(same, ["n", "h1", "h2"]).where("id = rep").select("id", "n", F.explode("bands").alias("key"))
     stars = reps.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre < other").drop("other")
     buckets = cut(reps.join(stars, "key").select("key", "id", "n", "centre"))
