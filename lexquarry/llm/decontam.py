@@ -118,15 +118,16 @@ def _counted(vocabulary: np.ndarray, sizes: list[int]):
     return body
 
 
-def _hit(index: Index):
-    """Adds a block's hits: hit word places and item names join those of earlier blocks."""
+def _hit(index: Index, *, first: bool, last: bool):
+    """Adds a block's hits to those of earlier blocks (hit word places and item names); the last pass gives the digests."""
 
     def body(batches):
         for batch in batches:
             names = batch.schema.names
-            before = {c: batch.column(names.index(c)) for c in ("_hits", "_items")}
+            column = lambda c: batch.column(names.index(c))
+            had = None if first else (column("_hits"), column("_items"))
             counts, hits, items, row = [], [], [], 0
-            for _, _, data, offsets in slices(batch.column(names.index("_text"))):
+            for _, _, data, offsets in slices(column("_text")):
                 words = Words(data, offsets, ALNUM_LOWER)
                 start, which = index.matches(words)
                 cover = np.zeros(len(words.hash) + 1, np.int32)
@@ -138,30 +139,25 @@ def _hit(index: Index):
                 for t, w in set(zip(owner.tolist(), which.tolist(), strict=True)):
                     by_text[t].update(index.names[i] for i in index.owners[w])
                 for t, (a, b) in enumerate(zip(words.bounds[:-1], words.bounds[1:], strict=True)):
-                    own = np.flatnonzero(cover[a:b])
-                    if len(had := before["_hits"][row].values):
-                        own = np.union1d(own, np.asarray(had))
+                    own, named = np.flatnonzero(cover[a:b]), by_text.get(t, set())
+                    if had is not None and len(before := had[0][row].values):
+                        own, named = np.union1d(own, np.asarray(before)), named | set(had[1][row].as_py())
                     counts.append(b - a)
                     hits.append(own.astype(np.int32))
-                    items.append(sorted(by_text[t] | set(before["_items"][row].as_py())) if t in by_text or len(before["_items"][row].values) else [])
+                    items.append(sorted(named))
                     row += 1
-            columns = {"_n_words": pa.array(counts, pa.int64()), "_hits": lists(hits, pa.int32()), "_items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(i)) for i, c in enumerate(names)], names)
+            found = {"_n_words": pa.array(counts, pa.int64())}
+            if last:
+                sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+                found |= {"_n_hit": pa.array([len(x) for x in hits], pa.int64()), "_n_items": pa.array([len(x) for x in items], pa.int64()), "_items_sha256": pa.array(sums, pa.string())}
+            else:
+                found |= {"_text": column("_text"), "_hits": lists(hits, pa.int32()), "_items": pa.array(items, pa.list_(pa.string()))}
+            carried = [c for c in names if c not in ("_text", "_n_words", "_hits", "_items")]
+            yield pa.RecordBatch.from_arrays([*(column(c) for c in carried), *found.values()], [*carried, *found])
 
     return body
 
 
-def _digest(batches):
-    for batch in batches:
-        names = batch.schema.names
-        hits, items = batch.column(names.index("_hits")), batch.column(names.index("_items"))
-        n_hit = [len(x.values) for x in hits]
-        listed = items.to_pylist()
-        keep = [c for c in names if c not in ("_text", "_hits", "_items")]
-        sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]
-        yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in keep), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in listed], pa.int64()), pa.array(sums, pa.string())], [*keep, "_n_hit", "_n_items", "_items_sha256"])
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, one_in: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """The columns `carry` of each document, _n_words, _n_hit, _n_items, _items_sha256 and _contaminated (hit words are at least one in `one_in`)."""
     spark = docs.sparkSession
@@ -170,8 +166,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     chars = named.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = chars // (2 * BLOCK_WORDS) + 1  # a word and its separator have two characters at least
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "_text string", "_n_words long", "_hits array<int>", "_items array<string>"])
-    out = docs.select(*carry, F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<int>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
+    carried = [f"`{c}` {kinds[c]}" for c in carry]
+    out = docs.select(*carry, F.col(text_col).alias("_text"))
     texts = docs.select(F.col(text_col).alias("_text"))
     for block in range(blocks):
         windows = Windows([tuple(r) for r in named.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).collect()], window)
@@ -181,7 +177,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
             sizes = sorted({min(SHINGLE, len(w)) for w in windows.words})
             for r in texts.mapInArrow(_counted(vocabulary, sizes), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
                 counts[r["at"]] = r["n"]
-        out = out.mapInArrow(_hit(Index(windows, vocabulary, counts)), schema)
-    final = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "_n_words long", "_n_hit long", "_n_items long", "_items_sha256 string"])
-    out = out.mapInArrow(_digest, final)
+        last = block == blocks - 1
+        fields = ["_n_words long", *(("_n_hit long", "_n_items long", "_items_sha256 string") if last else ("_text string", "_hits array<int>", "_items array<string>"))]
+        out = out.mapInArrow(_hit(Index(windows, vocabulary, counts), first=block == 0, last=last), ", ".join([*carried, *fields]))
     return out.withColumn("_contaminated", (F.col("_n_hit") > 0) & (F.col("_n_hit") * one_in >= F.col("_n_words")))
