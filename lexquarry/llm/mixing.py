@@ -1,15 +1,17 @@
-"""Mixing sources to target weights by entropy balancing.
+"""Mixing sources to target weights by entropy balancing, in DataFrame functions.
 
 Rates r of documents minimise sum(size * (r log r - r + 1)), the relative entropy of the mixture's tokens
 to the corpus's, under one token constraint a source. The convex dual has a multiplier a source, rates
-are exp(multiplier), and Newton's steps solve it; sums over documents are taken once, in Spark, since the
-dual needs of a source only its tokens. Rates are then rounded into copies: every document gets the whole
-part, and of each source some get one more, chosen by a hash of the id: documents fall into classes of
-size (powers of two) and slots of the hash, and from the largest class down slots are taken until the
-class's share, and what larger classes left over, is met. So the rest is at most a slot of small documents.
+are exp(multiplier), and damped Newton steps solve it, for all sources side by side; sums over documents are
+taken once, since the dual needs of a source only its tokens. Rates are then rounded into copies: every
+document gets the whole part, and of each source some get one more, chosen by a hash of the id: documents
+fall into classes of size (powers of two) and slots of the hash, and from the largest class down slots are
+taken until the class's share, and what larger classes left over, is met. So the rest is at most a slot of
+small documents.
 
 Targets: sources in code point order, null last, weigh `weights` repeating and share all tokens; a target
-stops at `cap` times its source's tokens and the excess is shared again by weight until none is above.
+stops at `cap` times its source's tokens and the excess is shared again by weight until none is above. The
+driver only sees the level of the sharing, not the sources.
 
 Cases. Null and empty texts have size 0 and take nothing; a source without tokens has target 0. Equal ids
 are taken together. A null id counts as one id. An empty table gives none. Other columns are kept if
@@ -18,79 +20,57 @@ carried.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexquarry.llm.spark import cut, prepare
 
-#: The plan has a row for each source and class of sizes; up to so many (of about 60 bytes) are broadcast, more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
 #: Hash slots of each source and class of sizes.
 SLOTS = 2048
-
-
-def water_fill(tokens: np.ndarray, weight: np.ndarray, cap: float) -> np.ndarray:
-    """Targets by weight that sum to all tokens, none above cap * tokens."""
-    total = float(tokens.sum())
-    target, full = np.zeros(len(tokens)), tokens <= 0
-    while not full.all():
-        left = total - float((cap * tokens[full]).sum())
-        target = np.where(full, cap * tokens, left * weight / weight[~full].sum())
-        over = ~full & (target > cap * tokens)
-        if not over.any():
+#: The plan has a row for each source and class of sizes; up to so many (of about 60 bytes) are broadcast, more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+NEWTON_STEPS = 100
+
+
+def with_targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """Adds target to (source, source_size), one row a source."""
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
+    weighed = cut(sources.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(place, F.lit(len(weights))) + 1)))
+    most = cap * F.col("source_size")
+    level = 0.0
+    while True:  # the level of the shares, raised by the excess of those at their cap
+        full = most <= level * F.col("weight")
+        row = weighed.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, most)).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if not row["open"]:
             break
-        full |= over
-    return np.where(full, np.minimum(cap * tokens, total), target)
-
-
-def dual(tokens: np.ndarray, target: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
-    """Multipliers that maximise sum(target * m - tokens * exp(m)), by damped Newton steps; -inf for a target of 0."""
-    live = (tokens > 0) & (target > 0)
-    m = np.zeros(len(tokens))
-    for _ in range(100):
-        mass = tokens * np.exp(m)
-        step = np.where(live, (target - mass) / np.where(mass > 0, mass, 1), 0)
-        m = m + np.clip(step, -1, 1)
-        if np.max(np.abs(step), initial=0) < tolerance:
+        new = (row["all"] - (row["full"] or 0.0)) / row["open"]
+        if new <= level:
             break
-    return np.where(live, m, -np.inf)
-
-
-def _balanced(weights: tuple[float, ...], cap: float):
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One row a source, all sources."""
-        keys = [(s is None, (s or "").encode("utf-8", "surrogatepass")) for s in pdf["source"]]
-        pdf = pdf.iloc[sorted(range(len(pdf)), key=keys.__getitem__)].reset_index(drop=True)
-        tokens = pdf["source_size"].to_numpy(np.float64)
-        weight = np.array([weights[i % len(weights)] for i in range(len(pdf))], np.float64)
-        pdf["target"] = water_fill(tokens, weight, cap)
-        pdf["rate"] = np.minimum(np.exp(dual(tokens, pdf["target"].to_numpy())), cap)
-        return pdf[["source", "source_size", "target", "rate"]]
-
-    return body
-
-
-def _slotted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one source: for each class of sizes, the first slot that is not taken once more. Rows: at most SLOTS a class."""
-    first = pdf.iloc[0]
-    whole = np.floor(first["rate"] + 1e-9)
-    left = float(first["target"]) - whole * float(first["source_size"])
-    share = max(left, 0) / float(first["source_size"]) if first["source_size"] else 0
-    out, carried = [], 0.0
-    for kind, rows in sorted(pdf.groupby("class"), key=lambda x: -x[0]):
-        rows = rows.sort_values("slot")
-        sums = np.concatenate([[0.0], np.cumsum(rows["tokens"].to_numpy(np.float64))])
-        wanted = share * sums[-1] + carried
-        at = int(np.argmin(np.abs(sums - wanted)))
-        carried = wanted - sums[at]
-        slots = rows["slot"].to_numpy()
-        out.append((kind, int(slots[at]) if at < len(slots) else SLOTS))
-    one = pd.DataFrame(out, columns=["class", "until"])
-    one["source"], one["whole"] = first["source"], int(whole)
-    one["source_size"], one["target"] = int(first["source_size"]), float(first["target"])
-    return one[["source", "source_size", "target", "class", "whole", "until"]]
+        level = new
+    return weighed.withColumn("target", F.least(most.cast("double"), level * F.col("weight"))).drop("weight")
+
+
+def dual_rate(tokens: Column, target: Column) -> Column:
+    """exp(m) for the m that maximises target * m - tokens * exp(m), by damped Newton steps; 0 for a target of 0."""
+    mass = lambda m: tokens * F.exp(m)
+    step = lambda m: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (target - mass(m)) / mass(m)))
+    m = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), lambda m, _: m + step(m))
+    return F.when((tokens > 0) & (target > 0), F.exp(m)).otherwise(0.0)
+
+
+def _taken_slots(classes: Column, share: Column) -> Column:
+    """Of classes (class, steps of (tokens up to a slot, slot)), largest first: (class, the first slot that isn't taken)."""
+    start = F.struct(F.lit(0.0).alias("carried"), F.array().cast("array<struct<class: int, until: int>>").alias("out"))
+
+    def add(state: Column, c: Column) -> Column:
+        wanted = share * F.array_max(c["steps"])["upto"] + state["carried"]
+        none = F.struct(F.abs(wanted).alias("off"), F.lit(0.0).alias("upto"), F.lit(0).alias("until"))
+        ends = F.transform(c["steps"], lambda s: F.struct(F.abs(s["upto"] - wanted).alias("off"), s["upto"].alias("upto"), (s["slot"] + 1).alias("until")))
+        best = F.array_min(F.concat(F.array(none), ends))
+        return F.struct((wanted - best["upto"]).alias("carried"), F.concat(state["out"], F.array(F.struct(c["class"].alias("class"), best["until"].alias("until")))).alias("out"))
+
+    return F.aggregate(classes, start, add, lambda s: s["out"])
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -99,15 +79,21 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     sized = docs.select(*carry, F.col(source_col).alias("_source"), size.alias("_size"), F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(SLOTS)).cast("int").alias("_slot"))
     sized = sized.withColumn("_class", F.when(F.col("_size") > 0, F.floor(F.log2(F.col("_size") + F.lit(0.5)))).otherwise(-1).cast("int"))
-    cells = sized.groupBy(F.col("_source").alias("source"), F.col("_class").alias("class"), F.col("_slot").alias("slot")).agg(F.sum("_size").alias("tokens"))
-    cells = cut(cells)
-    sources = cells.groupBy("source").agg(F.sum("tokens").alias("source_size"))
-    rated = sources.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_balanced(weights, cap), "source string, source_size long, target double, rate double")
-    plan = cells.join(rated, cells.source.eqNullSafe(rated.source)).drop(cells.source).groupBy("source").applyInPandas(_slotted, "source string, source_size long, target double, class int, whole int, until int")
-    plan = cut(plan.select(*(F.col(c).alias(f"_{c}_p") for c in plan.columns)))
+    cells = cut(sized.groupBy(F.col("_source").alias("source"), F.col("_class").alias("class"), F.col("_slot").alias("slot")).agg(F.sum("_size").alias("tokens")))
+    targets = with_targets(cells.groupBy("source").agg(F.sum("tokens").alias("source_size")), weights, cap)
+    # SLOTS rows at most in each window, and as many numbers for each class of a source
+    upto = F.sum("tokens").over(Window.partitionBy("source", "class").orderBy("slot")).cast("double")
+    steps = cells.withColumn("upto", upto).groupBy("source", "class").agg(F.array_sort(F.collect_list(F.struct("upto", "slot"))).alias("steps"))
+    classes = steps.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "steps")), asc=False).alias("classes"))
+    plan = classes.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+    rate = F.least(dual_rate(F.col("source_size").cast("double"), F.col("target")), F.lit(float(cap)))
+    plan = plan.withColumn("whole", F.floor(rate + 1e-9).cast("int"))
+    rest = F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))
+    plan = plan.withColumn("share", F.when(F.col("source_size") > 0, rest / F.col("source_size")).otherwise(0.0))
+    plan = plan.select("source", "source_size", "target", "whole", F.explode(_taken_slots(F.col("classes"), F.col("share"))).alias("c"))
+    plan = cut(plan.select(F.col("source").alias("_source_p"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("c.class").alias("_class_p"), F.col("c.until").alias("_until")))
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    out = sized.join(plan, sized["_source"].eqNullSafe(plan["_source_p"]) & (sized["_class"] == plan["_class_p"]))
-    copies = F.col("_whole_p") + (F.col("_slot") < F.col("_until_p")).cast("int")
-    copies = F.when(F.col("_size") > 0, F.least(copies, F.lit(int(cap)))).otherwise(0).cast("long")
-    return out.select(*carry, "_size", F.col("_source_size_p").alias("_source_size"), F.col("_target_p").alias("_target"), copies.alias("_copies"), (copies * F.col("_size")).alias("_taken"))
+    out = sized.join(plan, F.col("_source").eqNullSafe(F.col("_source_p")) & (F.col("_class") == F.col("_class_p")))
+    copies = F.when(F.col("_size") > 0, F.least(F.col("_whole") + (F.col("_slot") < F.col("_until")).cast("int"), F.lit(int(cap)))).otherwise(0).cast("long")
+    return out.select(*carry, "_size", "_source_size", "_target", copies.alias("_copies"), (copies * F.col("_size")).alias("_taken"))

@@ -262,10 +262,11 @@ def test_mixture_meets_targets(spark):
         assert abs(taken[s] - want[s]) <= max(30, 0.002 * want[s]), s
 
 
-def test_dual_is_solved():
-    tokens, target = np.array([10.0, 100.0, 0.0, 5.0]), np.array([30.0, 1.0, 0.0, 5.0])
-    rate = np.exp(mixing.dual(tokens, target))
-    assert rate * tokens == pytest.approx(target)
+def test_dual_is_solved(spark):
+    rows = [(10.0, 30.0), (100.0, 1.0), (5.0, 5.0), (1e12, 3.0), (0.0, 0.0), (7.0, 0.0)]
+    df = spark.createDataFrame(rows, "tokens double, target double")
+    for r in df.withColumn("rate", mixing.dual_rate(df.tokens, df.target)).collect():
+        assert r.rate * r.tokens == pytest.approx(r.target)
 
 
 PAGES = {
