@@ -47,16 +47,16 @@ def law_elements(lines: DataFrame, *, key: str = "doc_id", line: str = "line", t
     """Elements of law lines (contents left out): each under its chapter and section."""
     by = Window.partitionBy(key).orderBy(line)
     text = F.col("text")
-    df = without_contents(lines, key=key, line=line).withColumn("seq", F.row_number().over(by)).withColumn("t", collapse(text))
+    df = without_contents(lines, key=key, line=line).withColumn("seq", F.row_number().over(by)).withColumn("_t", collapse(text))
     chapter, section = is_unit(text, "章"), is_unit(text, "节")
-    df = df.withColumn("_ch", F.last(F.when(chapter, F.struct("seq", "t")), ignorenulls=True).over(by)).withColumn("_se", F.last(F.when(section, F.struct("seq", "t")), ignorenulls=True).over(by))
-    under = F.when(F.coalesce(F.col("_se.seq") > F.col("_ch.seq"), F.col("_se").isNotNull()), F.col("_se.t"))
+    df = df.withColumn("_ch", F.last(F.when(chapter, F.struct("seq", "_t")), ignorenulls=True).over(by)).withColumn("_se", F.last(F.when(section, F.struct("seq", "_t")), ignorenulls=True).over(by))
+    under = F.when(F.coalesce(F.col("_se.seq") > F.col("_ch.seq"), F.col("_se").isNotNull()), F.col("_se._t"))
     head = F.nullif(F.col(title), F.lit("")) if title else F.lit(None).cast("string")
-    path = F.array_compact(F.array(head, F.col("_ch.t"), under))
+    path = F.array_compact(F.array(head, F.col("_ch._t"), under))
     kind = F.when(chapter | section, "heading").when(is_unit(text, "条"), "article").otherwise("paragraph")
-    anchor = F.when(kind == "paragraph", F.substring("t", 1, 20))
+    anchor = F.when(kind == "paragraph", F.substring("_t", 1, 20))
     loc = location(heading_path=path, article_no=F.when(kind == "article", unit_mark(text, "条")), paragraph_seq=F.col("seq"), anchor_text=anchor)
-    return df.select(key, "seq", kind.alias("kind"), F.col("t").alias("text"), loc.alias("location"))
+    return df.select(key, "seq", kind.alias("kind"), F.col("_t").alias("text"), loc.alias("location"))
 
 
 def plain_elements(lines: DataFrame, *, key: str = "doc_id", line: str = "line") -> DataFrame:
@@ -95,7 +95,7 @@ def markdown_elements(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     fenced = (F.trim(F.get("_lines", F.lit(0))) == "---") & (end > 0)
     df = docs.select(key, lines.alias("_lines")).withColumn("_end", F.when(fenced, end.cast("int")).otherwise(-1))
     front = F.when(F.col("_end") > 0, F.slice("_lines", 2, F.greatest(F.col("_end") - 1, F.lit(0))))
-    entry = lambda name: strip(F.regexp_replace(F.element_at(F.filter(front, lambda x: strip(F.substring_index(x, ":", 1)) == name), -1), "^[^:]*:", ""))
+    entry = lambda name: strip(F.regexp_replace(F.try_element_at(F.filter(front, lambda x: strip(F.substring_index(x, ":", 1)) == name), F.lit(-1)), "^[^:]*:", ""))
     df = df.select(key, entry("sheet_name").alias("_sheet"), entry("column_names_confidence").alias("_conf"), F.posexplode(F.slice("_lines", F.greatest(F.col("_end") + 2, F.lit(1)), 1 << 30)).alias("line", "raw"))
     df = df.withColumn("raw", F.regexp_replace("raw", "(?U)\\s+$", "")).where(strip(F.col("raw")) != "")
     by = Window.partitionBy(key).orderBy("line")
