@@ -2,7 +2,7 @@ r"""HTML extraction: content marginals of a tree-structured graphical model over
 
 A page's block elements form a tree (inline elements belong to the text of their block; end tags that were
 left out are implied). Each node has a label, content or not. Its own potential is log-linear in its tag,
-parent's tag, words of class, id and role, length of text and share of links; a parent-child potential
+parent's tag, words of class, id and role (its own and those of what it stands in), length of text and share of links; a parent-child potential
 says how labels follow each other, by kind of the child. Sum-product messages upward and downward give exact
 marginals, and blocks of nodes likelier content than not make the text.
 
@@ -148,6 +148,9 @@ def _words(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+_REGIONS = frozenset("nav aside footer form header article main section".split())
+
+
 def node_features(page: Page) -> list[list[str]]:
     """Names of the features that hold for each node."""
     n = len(page.tags)
@@ -162,12 +165,20 @@ def node_features(page: Page) -> list[list[str]]:
         if i:
             below[page.parents[i]] += below[i]
             below_linked[page.parents[i]] += below_linked[i]
-    out = []
+    out: list[list[str]] = []
+    above: list[tuple[str, ...]] = [()] * n  # words of what a node stands in, the nearest first
     for i in range(n):
         tag = page.tags[i]
         length = 0 if not own[i] else 1 if own[i] < 25 else 2 if own[i] < 80 else 3 if own[i] < 250 else 4
         links = 0 if not below_linked[i] else 1 if below_linked[i] < 0.3 * below[i] else 2 if below_linked[i] < 0.7 * below[i] else 3
         out.append([tag, f"{page.tags[page.parents[i]] if i else ''}>{tag}", f"length {length}", f"links {links}", *(_words(page.attrs[i]) if page.attrs[i] else ())])
+        if i:
+            parent = page.parents[i]
+            above[i] = above[parent]
+            own_words = (*(_words(page.attrs[parent]) if page.attrs[parent] else ()), *((page.tags[parent],) if page.tags[parent] in _REGIONS else ()))
+            if own_words:
+                above[i] = tuple(dict.fromkeys((*("^" + w for w in own_words), *above[parent])))[:12]
+            out[-1] += above[i]
     return out
 
 
@@ -178,20 +189,26 @@ class Model:
         self.weights, self.bias, self.edges = weights, bias, edges
 
     @staticmethod
-    def fit(pages: list[tuple[Page, list[int]]], steps: int = 200, shrink: float = 1e-3) -> Model:
+    def fit(pages: list[tuple[Page, list[int]]], steps: int = 10, shrink: float = 0.1) -> Model:
         feats = [f for page, _ in pages for f in node_features(page)]
         y = np.array([v for _, labels in pages for v in labels], np.float64)
         seen = Counter(f for own in feats for f in own)
         names = sorted(f for f, k in seen.items() if k > 2)
         place = {f: i for i, f in enumerate(names)}
-        x = np.zeros((len(feats), len(names)), np.float32)
+        x = np.zeros((len(feats), len(names) + 1), np.float32)
+        x[:, -1] = 1
         for row, own in enumerate(feats):
             x[row, [place[f] for f in own if f in place]] = 1
-        w, b, v, vb = np.zeros(len(names), np.float32), 0.0, np.zeros(len(names), np.float32), 0.0
-        for _ in range(steps):
-            slope = ((1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)).astype(np.float32)
-            v, vb = np.float32(0.9) * v - (slope @ x + np.float32(shrink) * w), 0.9 * vb - float(slope.sum())
-            w, b = w + v, b + vb
+        w = np.zeros(x.shape[1])
+        for _ in range(steps):  # Newton's steps on the penalised logistic loss
+            slope, curve = shrink * w, shrink * np.eye(len(w))
+            for part in range(0, len(x), 4096):
+                own, want = x[part : part + 4096], y[part : part + 4096]
+                p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+                slope = slope + own.T @ (p - want)
+                curve = curve + own.T @ (own * np.maximum(p * (1 - p), 1e-4).astype(np.float32)[:, None])
+            w = w - np.linalg.solve(curve, slope)
+        w, b = w[:-1], w[-1]
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(4))
         for page, labels in pages:
             for i in range(1, len(labels)):
@@ -234,13 +251,13 @@ def extract(source: str | None, model: Model) -> str:
     return "\n\n".join(t for node, raw, _ in page.blocks if odds[node] > 0 and (t := _clean(raw)))
 
 
-def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[Page, list[int]]]:
-    """Composed pages: furniture is marked by a comment-like attribute data-x, which the model doesn't see; all under it isn't content."""
+def labelled_pages(n: int = 600, seed: int = 5) -> list[tuple[Page, list[int]]]:
+    """Composed pages. An attribute that the model doesn't see marks furniture (data-x="0": nothing under it is content) and wrappers (data-x="1")."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("an", "er", "to", "li", "sa", "mo", "ren", "ti", "ou", "es")) for _ in range(rng.randint(1, 4)))
     text = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize() + "."
     link = lambda: f'<a href="/{word()}">{word()} {word()}</a>'
-    off = ' data-x="0"'
+    off, wrap = ' data-x="0"', ' data-x="1"'
     names = {
         "ad": "ad ads advert advertisement sponsor sponsored promo banner",
         "menu": "menu nav navbar navigation breadcrumb breadcrumbs topbar toc pagination tabs",
@@ -253,18 +270,20 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[Page, list[int]]]:
     }
     name = lambda k: rng.choice(("class", "id", "class")) + f'="{rng.choice(names[k].split())}{rng.choice(("", "-" + word(), ""))}"'
     some = lambda f, a, b: "".join(f() for _ in range(rng.randint(a, b)))
+    remark = lambda: (lambda k, c: rng.choice((f"<{k}{c}>{text(4, 60)}</{k}>", f"<{k}{c}><p>{text(4, 60)}</p></{k}>")))(rng.choice(("div", "li", "article", "section")), rng.choice(("", " class=comment", " class=reply")))
     furniture: dict[str, Callable[[], str]] = {
         "nav": lambda: f"<nav{off}><ul>{some(lambda: f'<li>{link()}</li>', 2, 8)}</ul></nav>",
         "menu": lambda: f"<{(t := rng.choice(('div', 'ul', 'ul')))}{off} {name('menu')}>{some(lambda: f'<li>{link()}</li>' if t == 'ul' else link() + ' ', 2, 8)}</{t}>",
         "ad": lambda: f"<div{off} {name('ad')}>{rng.choice((text(3, 40), link(), f'<p>{text(3, 30)}</p>'))}</div>",
-        "header": lambda: f"<{(t := rng.choice(('header', 'div')))}{off} {name('head')}><div>{text(1, 4)}</div>{some(link, 0, 4)}</{t}>",
+        "header": lambda: f"<{(t := rng.choice(('header', 'div')))}{off} {name('head')}><{(k := rng.choice(('div', 'h1', 'p', 'h2')))}>{text(1, 4)}</{k}>{some(link, 0, 4)}</{t}>",
+        "plain header": lambda: f"<header{off}><{(k := rng.choice(('h1', 'div', 'p')))}>{rng.choice((link, lambda: text(1, 4)))()}</{k}>{rng.choice(('', furniture['nav']()))}</header>",
         "footer": lambda: f"<{(t := rng.choice(('footer', 'footer', 'div')))}{off} {name('foot')}>{rng.choice((f'&copy; {text(2, 12)}', f'<p>{text(4, 30)}</p>', f'<ul><li>{link()}</li></ul>'))}</{t}>",
         "plain footer": lambda: f"<footer{off}>{text(2, 20)}</footer>",
-        "aside": lambda: f"<{(t := rng.choice(('aside', 'div', 'section')))}{off} {name('side')}><h3>{text(1, 3)}</h3>{rng.choice((some(lambda: f'<p>{link()}</p>', 1, 5), f'<p>{text(5, 40)}</p>'))}</{t}>",
+        "aside": lambda: f"<{(t := rng.choice(('aside', 'div', 'section')))}{off} {name('side')}><h{(k := rng.randint(2, 4))}>{text(1, 3)}</h{k}>{rng.choice((some(lambda: f'<p>{link()}</p>', 1, 5), f'<p>{text(5, 40)}</p>'))}</{t}>",
         "plain aside": lambda: f"<aside{off}>{rng.choice((text(4, 40), f'<p>{text(5, 40)}</p><ul><li>{link()}</li></ul>'))}</aside>",
         "notice": lambda: f"<div{off} {name('note')}>{rng.choice((text(4, 30), f'<p>{text(4, 30)}</p>'))}<button>Ok</button></div>",
         "form": lambda: f"<form{off}><label>{text(1, 3)}</label><input name=q><p>{text(2, 12)}</p><button>Go</button></form>",
-        "talk": lambda: f"<{(t := rng.choice(('div', 'section', 'ol')))}{off} {name('talk')}><h3>{text(1, 3)}</h3>{some(lambda: f'<{rng.choice(("div", "li", "p", "article"))}>{text(4, 60)}', 1, 6)}</{t}>",
+        "talk": lambda: f"<{(t := rng.choice(('div', 'section', 'ol')))}{off} {name('talk')}><h{(k := rng.randint(2, 4))}>{text(1, 3)}</h{k}>{some(remark, 1, 6)}</{t}>",
     }
     content = (
         lambda: f"<p>{text(8, 90)}</p>", lambda: f"<p>{text(8, 90)}</p>", lambda: f"<p>{text(1, 12)}</p>", lambda: f"<p>{text(20, 60)} {link()} {text(10, 40)}", lambda: f"<p><b>{text(2, 10)}<br>",
@@ -274,22 +293,33 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[Page, list[int]]]:
     )
     pages = []
     for _ in range(n):
-        body = f"<h1>{text(2, 10)}</h1>" * (rng.random() < 0.8) + some(lambda: rng.choice(content)(), 1, 12)
-        for _ in range(rng.choice((0, 0, 1))):  # furniture within the article
-            body += furniture[rng.choice(("ad", "aside", "talk", "menu", "form"))]() + rng.choice(content)()
-        open_, close = rng.choice((("<article>", "</article>"), ("<article>", "</article>"), ("<article class=post>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div id="content">', "</div>"), ('<div class="article-body">', "</div>"), ('<div class="entry">', "</div>"), ("<div>", "</div>"), ("", "")))
-        before = "".join(furniture[k]() for k in ("header", "nav", "menu", "notice", "ad", "form", "plain aside") if rng.random() < 0.4)
-        after = "".join(furniture[k]() for k in ("aside", "plain aside", "talk", "ad", "footer", "plain footer", "notice") if rng.random() < 0.4)
-        page = Page(f"<html><body>{before}{open_}{body}{close}{after}</body></html>")
+        title = f"<h1>{text(2, 10)}</h1>"
+        head = rng.choice((title, title, title, f"<header>{title}</header>", f"<header{rng.choice(('', ' class=entry-header'))}>{title}<p>{text(2, 8)}</p></header>", ""))
+        body = head + some(lambda: rng.choice(content)(), 1, 12)
+        for _ in range(rng.choice((0, 1, 2))):  # furniture within the article
+            body += furniture[rng.choice(("ad", "ad", "ad", "aside", "talk", "menu", "form", "notice"))]() + rng.choice(content)()
+        body += furniture["plain footer"]() * (rng.random() < 0.1)
+        open_, close = rng.choice((("<article>", "</article>"), ("<article>", "</article>"), ("<article class=post>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="post-content">', "</div>"), ('<section class="story">', "</section>"), ('<div id="content">', "</div>"), ('<div class="article-body">', "</div>"), ('<div class="entry">', "</div>"), ("<div>", "</div>"), ("", "")))
+        bare = rng.random() < 0.15
+        if bare and rng.random() < 0.5:
+            open_ = close = ""
+        often = rng.choice((0, 0.3, 0.4, 0.4, 0.5))
+        before = "".join(furniture[k]() for k in ("header", "plain header", "nav", "menu", "notice", "ad", "form", "plain aside") if rng.random() < often)
+        after = "".join(furniture[k]() for k in ("aside", "plain aside", "talk", "ad", "footer", "plain footer", "notice") if rng.random() < often)
+        inside = f"{before}{open_}{body}{close}{after}"
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            name_ = rng.choice(("wrapper", "container", "page", "site", "row", "layout", "main-wrap", "inner"))
+            inside = f'<div data-x="1" {rng.choice(("class", "id"))}="{name_}">{inside}</div>'
+        page = Page(f"<html><body>{inside}</body></html>" if not bare else inside)
         labels = []
-        for i, (tag, parent) in enumerate(zip(page.tags, page.parents, strict=True)):
-            plain = tag in ("#", "html", "body")
-            labels.append(0 if plain or off in page.attrs[i] or (parent > 0 and not labels[parent] and page.tags[parent] not in ("#", "html", "body")) else 1)
+        for i, parent in enumerate(page.parents):
+            outer = lambda k: page.tags[k] in ("#", "html", "body") or wrap in page.attrs[k]
+            labels.append(0 if outer(i) or off in page.attrs[i] or not (outer(parent) or labels[parent]) else 1)
         pages.append((page, labels))
     return pages
 
 
-def train(n: int = 240) -> Model:
+def train(n: int = 600) -> Model:
     return Model.fit(labelled_pages(n))
 
 
