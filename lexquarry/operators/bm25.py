@@ -2,7 +2,8 @@
 
 Text tokens count once and title tokens `title_weight` times. Lengths come from the token arrays without a
 shuffle; only postings of the questions' terms are formed, after a join with those terms, so a batch of
-questions costs one pass over the chunks. A saved index holds the postings in order of their term.
+questions costs one pass over the chunks. Postings carry what scoring and ranking need of their chunk, so the
+chunks are joined only to the hits. A saved index holds the postings in order of their term.
 
 Ties: scores are compared rounded to six decimals, then by the first question token that matched, then by chunk_ix.
 """
@@ -19,21 +20,25 @@ from lexquarry.functions.text import tokens
 BROADCAST_TERMS = 500_000
 
 
+#: What a posting carries of its chunk.
+CARRIED = ("chunk_ix", "doc_id", "is_latest", "is_row", "dl")
+
+
 class Index:
-    """chunks: chunk_ix, doc_id, is_latest, is_row, dl and terms (an array of tokens) or postings (chunk_ix, term, tf); stats: N, avgdl; rows: doc_id, n_rows."""
+    """chunks: CARRIED and terms (an array of tokens), or postings (CARRIED, term, tf); stats: N, avgdl; rows: doc_id, n_rows."""
 
     def __init__(self, chunks: DataFrame, stats: DataFrame, rows: DataFrame, postings: DataFrame | None, title_weight: int):
         self.chunks, self.stats, self.rows, self._postings, self.title_weight = chunks, stats, rows, postings, title_weight
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """chunk_ix, term, tf of the given terms, or of all."""
+        """CARRIED, term and tf of the given terms, or of all."""
         if self._postings is not None:
             return self._postings if terms is None else self._postings.join(terms, "term")
         weight = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).cast("long").alias("w")))
-        each = self.chunks.select("chunk_ix", F.explode(F.concat(weight("terms", 1), weight("title_terms", self.title_weight))).alias("t")).select("chunk_ix", "t.term", "t.w")
+        each = self.chunks.select(*CARRIED, F.explode(F.concat(weight("terms", 1), weight("title_terms", self.title_weight))).alias("t")).select(*CARRIED, "t.term", "t.w")
         if terms is not None:
             each = each.join(terms, "term")
-        return each.groupBy("chunk_ix", "term").agg(F.sum("w").alias("tf"))
+        return each.groupBy(*CARRIED, "term").agg(F.sum("w").alias("tf"))
 
     def save(self, folder: str) -> None:
         self.chunks.drop("terms", "title_terms").write.mode("overwrite").parquet(f"{folder}/chunks")
@@ -51,8 +56,9 @@ class Index:
 def build(chunks: DataFrame, *, tokenizer=tokens, title_weight: int = 3) -> Index:
     """chunks: chunk_ix, doc_id, doc_title, text, is_latest, and row_range (or location.row_range)."""
     row = F.col("row_range") if "row_range" in chunks.columns else F.col("location.row_range") if "location" in chunks.columns else F.lit(None).cast("string")
-    carry = [c for c in chunks.columns if c not in ("terms", "title_terms", "dl", "is_row")]
-    df = chunks.select(*carry, F.coalesce(row != "", F.lit(False)).alias("is_row"), tokenizer(F.coalesce("text", F.lit(""))).alias("terms"), tokenizer(F.coalesce("doc_title", F.lit(""))).alias("title_terms"))
+    carry = [c for c in chunks.columns if c not in ("terms", "title_terms", "dl", "is_row", "is_latest")]
+    latest = F.coalesce("is_latest", F.lit(1)) if "is_latest" in chunks.columns else F.lit(1)
+    df = chunks.select(*carry, latest.cast("int").alias("is_latest"), F.coalesce(row != "", F.lit(False)).alias("is_row"), tokenizer(F.coalesce("text", F.lit(""))).alias("terms"), tokenizer(F.coalesce("doc_title", F.lit(""))).alias("title_terms"))
     df = df.withColumn("dl", (F.size("terms") + title_weight * F.size("title_terms")).cast("long"))
     stats = df.agg(F.count("*").alias("N"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
     rows = df.where("is_row").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
@@ -75,18 +81,17 @@ def weight(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, k1: flo
 
 
 def scores(index: Index, questions: DataFrame, *, tokenizer=tokens, k1: float = 1.6, b: float = 0.75) -> DataFrame:
-    """qid, chunk_ix, score and first_at of every chunk that shares a term with the question; statistics cover history too."""
+    """qid, CARRIED, score and first_at of every chunk that shares a term with the question; statistics cover history too."""
     asked = question_terms(questions, tokenizer=tokenizer)
     terms = asked.select("term").distinct()
     small = terms.count() <= BROADCAST_TERMS
     mark = F.broadcast if small else (lambda d: d)
     postings = index.postings(mark(terms))
-    postings = postings.join(index.chunks.select("chunk_ix", "dl"), "chunk_ix")
     freq = doc_freq(postings)
     n = index.stats.first()
     each = postings.join(mark(freq), "term").join(mark(asked), "term")
     one = weight(F.col("tf"), F.col("df"), F.col("dl"), F.lit(n["N"]), F.lit(n["avgdl"]), k1, b)
-    return each.groupBy("qid", "chunk_ix").agg(F.round(F.sum(F.col("qtf") * one), 6).alias("score"), F.min("first_at").alias("first_at"))
+    return each.groupBy("qid", *CARRIED).agg(F.round(F.sum(F.col("qtf") * one), 6).alias("score"), F.min("first_at").alias("first_at"))
 
 
 def retrieve(index: Index, questions: DataFrame, *, k: int = 5, drilldown: bool = True, tokenizer=tokens, k1: float = 1.6, b: float = 0.75) -> DataFrame:
@@ -97,8 +102,7 @@ def retrieve(index: Index, questions: DataFrame, *, k: int = 5, drilldown: bool
     """
     history = F.col("include_history") if "include_history" in questions.columns else F.lit(False)
     asked = questions.select("qid", F.coalesce(history, F.lit(False)).alias("include_history"))
-    about = index.chunks.select("chunk_ix", "doc_id", F.coalesce("is_latest", F.lit(1)).alias("is_latest"), "is_row")
-    found = scores(index, questions, tokenizer=tokenizer, k1=k1, b=b).join(about, "chunk_ix").join(F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked, "qid")
+    found = scores(index, questions, tokenizer=tokenizer, k1=k1, b=b).join(F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked, "qid")
     order = (F.desc("score"), "first_at", "chunk_ix")
     # top k per question: the window's rank limit is pushed below its shuffle
     picks = found.where("include_history or is_latest <> 0").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
