@@ -17,14 +17,12 @@ from lexquarry.llm.spark import small, table
 from lexquarry.llm.substring import repeated_substrings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A language scored lower than this is not told apart from the next one, and the document is rejected.
-LEAST_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, without text, or of no language that was learned."""
+    """Rejects documents whose language can't be told: without text, without a letter, or with no language to learn from."""
     found = langid.identify(docs, langid.train(docs), carry=COLUMNS)
-    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*COLUMNS)
+    return found.where(F.col("_lang") != "und").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
