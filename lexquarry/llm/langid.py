@@ -107,7 +107,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     held_in = docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.xxhash64(F.col(id_col), F.lit(3)).alias("h"))
     # the least hashes per language, in slots first so that a frequent language is not one task
     slot = Window.partitionBy("label", "slot").orderBy("h", "id")
-    some = held_in.withColumn("slot", F.pmod(F.xxhash64("h"), F.lit(64))).withColumn("r", F.row_number().over(slot)).where(F.col("r") <= per_language)
+    some = held_in.withColumn("slot", F.pmod(F.xxhash64("h"), F.lit(16))).withColumn("r", F.row_number().over(slot)).where(F.col("r") <= per_language)
     frequent = [r[0] for r in held_in.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()]
     chosen = some.where(F.col("label").isin(frequent)).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("r") <= per_language)
     ids = F.broadcast(chosen.select("id", "label"))  # at most per_language * languages rows of a number and a name
