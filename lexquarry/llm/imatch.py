@@ -2,14 +2,14 @@
 
 Terms are hashed to VOCABULARY ids. The lexicon holds the ids whose inverse document frequency lies in a
 band: not in most documents, not in one alone. It is a map of one byte an id, of a size that does not grow
-with the corpus. Each subset of the lexicon keeps its ids by a random rule; a text's terms that a subset
-keeps are sorted and hashed together, and the hashes of all subsets are the fingerprint. Subsets come in
-tiers, each keeping a quarter of what the one before kept, so that texts of any length meet subsets that keep a
-term or two of them: those tell how alike two texts are. Likeness is the share of equal hashes among the
-subsets of the finer tiers that keep something of either text.
-
-Cases. Null is the empty text. A text without a lexicon term has a fingerprint of its own hash, like only
-to itself. Equal texts have equal fingerprints. Other columns are ignored unless carried.
+with the corpus. A hash deals each lexicon id to one of the subsets or to none; a text's distinct terms in
+a subset are sorted and hashed together, and the hashes of all subsets that hold a term of the text are the
+fingerprint. Subsets come in tiers, each keeping a quarter of what the one before keeps, so that texts of
+any length meet subsets that keep a term or two of them: those tell how alike two texts are. Likeness is the
+share of equal hashes among the subsets of the finer tiers that keep something of either text.
+
+Cases. Null is the empty text. A text without a term in any subset has a fingerprint of its own hash, like
+only to itself. Equal texts have equal fingerprints. Other columns are ignored unless carried.
 """
 
 from __future__ import annotations
@@ -19,17 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 VOCABULARY = 1 << 21
-SUBSETS, TIERS = 32, 4
+#: Subsets of a tier, and for each tier how many of 4096 hash values a subset keeps.
+SUBSETS, KEPT = 32, (64, 16, 4, 1)
 #: Blocks of neighbouring ids: at most so many, so what is collected of them is bounded.
 QUANTILES, PARTS = 256, 256
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_NONE = "0000"
 
 
 def term_ids(text: Column) -> Column:
-    """Distinct term ids of a text."""
-    words = F.split(F.lower(text), _SPLIT)
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w).bitwiseAND(VOCABULARY - 1)))
+    """Distinct term ids of a text (the empty string at its ends counts as a term that all texts have)."""
+    return F.array_distinct(F.transform(F.split(F.lower(text), _SPLIT), lambda w: F.xxhash64(w).bitwiseAND(VOCABULARY - 1)))
 
 
 def lexicon(docs: DataFrame, *, text_col: str = "text", at_most: float = 0.1, at_least: int = 2) -> bytes:
@@ -50,29 +49,48 @@ def lexicon(docs: DataFrame, *, text_col: str = "text", at_most: float = 0.1, at
     return bytes(out)
 
 
+def subset_of(v: Column) -> Column:
+    """The subset (tier by tier) that keeps hash value v of 4096, -1 for none."""
+    out, base = F.lit(-1), 0
+    rules = []
+    for t, kept in enumerate(KEPT):
+        rules.append((base, base + kept * SUBSETS, t * SUBSETS, kept))
+        base += kept * SUBSETS
+    for low, high, first, kept in reversed(rules):
+        out = F.when(v < high, F.lit(first) + F.shiftright(v - low, kept.bit_length() - 1)).otherwise(out)
+    return out
+
+
 class Fingerprints:
     def __init__(self, known: bytes):
         self.known = F.lit(known)
 
     def add(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        """The column `out`: hashes of what each subset keeps of the column `text`, four hex digits each, _NONE for nothing."""
+        """The column `out`: for each subset that holds a term of the column `text`, its number and hash in hex (two and four digits)."""
         inside = lambda i: F.substring(self.known, i.cast("int") + 1, 1) == F.lit(b"\x01")
-        keep = [c for c in df.columns if not c.startswith("~")]
-        df = df.select(*keep, F.transform(F.filter(term_ids(F.col(text)), inside), lambda i: F.xxhash64(i, F.lit(77))).alias("~terms"))
-        tier = lambda h, t: F.pmod(F.shiftrightunsigned(h, 14 * t), F.lit(SUBSETS * 4**t))
-        kept = lambda t: F.filter("~terms", lambda h: tier(h, t) < SUBSETS)
-        df = df.select(*keep, *(kept(t).alias(f"~{t}") for t in range(TIERS)))
+        keep = df.columns
+
+        def packed(i: Column) -> Column:
+            h = F.xxhash64(i, F.lit(77))
+            return F.shiftleft(subset_of(h.bitwiseAND(4095).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
+
+        # by subset, then by term; -1 << 48 makes the terms of no subset negative
+        df = df.select(*keep, F.array_sort(F.filter(F.transform(F.filter(term_ids(F.col(text)), inside), packed), lambda x: x >= 0)).alias("~terms"))
+        token = lambda s: F.concat(F.lpad(F.hex(s["subset"]), 2, "0"), F.substring(F.lpad(F.hex(s["hash"]), 16, "0"), 1, 4))
+        push = lambda s: F.when(s["subset"] >= 0, F.concat(s["out"], F.array(token(s)))).otherwise(s["out"])
 
-        def code(t: int, s: int) -> Column:
-            own = F.filter(f"~{t}", lambda h: tier(h, t) == s)
-            return F.when(F.size(own) > 0, F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(F.array_sort(own)), F.lit(65535)) + 1)), 4, "0")).otherwise(_NONE)
+        def step(s: Column, x: Column) -> Column:
+            subset = F.shiftright(x, 48)
+            same = subset == s["subset"]
+            return F.struct(subset.alias("subset"), F.when(same, F.xxhash64(s["hash"], x)).otherwise(F.xxhash64(x)).alias("hash"), F.when(same, s["out"]).otherwise(push(s)).alias("out"))
 
-        return df.select(*keep, F.array(*(code(t, s) for t in range(TIERS) for s in range(SUBSETS))).alias(out))
+        start = F.struct(F.lit(-1).cast("long").alias("subset"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<string>").alias("out"))
+        return df.select(*keep, F.aggregate("~terms", start, step, push).alias(out))
 
 
 def joined(codes: Column, text: Column) -> Column:
     """The fingerprint as a string."""
-    return F.when(F.exists(codes, lambda c: c != _NONE), F.array_join(codes, "")).otherwise(F.concat(F.lit("text:"), F.sha2(text, 256)))
+    return F.when(F.size(codes) > 0, F.array_join(codes, "")).otherwise(F.concat(F.lit("text:"), F.sha2(text, 256)))
 
 
 def likeness(a: Column, b: Column, same: Column) -> Column:
@@ -81,12 +99,15 @@ def likeness(a: Column, b: Column, same: Column) -> Column:
     In coarser tiers one changed term changes nearly every hash. same: whether the fingerprints are equal.
     """
     equal, either = F.lit(0), F.lit(0)
-    for t in reversed(range(TIERS)):
-        own = lambda c, t=t: F.slice(c, t * SUBSETS + 1, SUBSETS)
-        both = F.zip_with(own(a), own(b), lambda x, y: F.when((x == _NONE) & (y == _NONE), F.lit(None)).otherwise((x == y).cast("int")))
-        n = F.size(F.array_compact(both))
+    bound = lambda t: f"{t * SUBSETS:02X}"
+    for t in reversed(range(len(KEPT))):
+        own = lambda c, t=t: F.filter(c, lambda x: (x >= bound(t)) & (x < bound(t + 1)))
+        x, y = own(a), own(b)
+        both = F.size(F.array_intersect(x, y))
+        subsets = lambda c: F.transform(c, lambda v: F.substring(v, 1, 2))
+        n = F.size(F.array_union(subsets(x), subsets(y)))
         use = (n * 4 <= 3 * SUBSETS) | (either == 0)
-        equal = equal + F.when(use, F.size(F.filter(both, lambda x: x == 1))).otherwise(0)
+        equal = equal + F.when(use, both).otherwise(0)
         either = either + F.when(use, n).otherwise(0)
     return F.when(same, F.lit(1.0)).when(either == 0, F.lit(0.0)).otherwise(equal / either)
 
