@@ -105,3 +105,8 @@ def appendix(rows: DataFrame, notes: DataFrame) -> DataFrame:
     """Every verdict with a reviewer's note, if there is one, and its final state."""
     state = F.when(F.col("ok"), "pass").when(F.col("note").isNotNull(), "reviewed").otherwise("fail")
     return rows.join(notes, "qid", "left").select("qid", "ok", "note", state.alias("state"))
+
+
+def write_detail(rows: DataFrame, path: str) -> None:
+    """Every question's outcome as JSON lines."""
+    rows.write.mode("overwrite").json(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.functions.text import REFUSAL, holds_answer, refuses
@@ -104,3 +104,16 @@ def judged(rows: DataFrame, cache: DataFrame, model: Callable[[str], str] | None
     plain = F.when(holds_answer(F.col("golden_answer"), F.col("answer_text")), "correct").otherwise("incorrect")
     source = F.when(F.col("_cv").isNotNull(), "cache").when(F.col("_v").isNotNull(), "llm").otherwise("fallback")
     return df.select(*rows.columns, "key", F.coalesce("_cv", "_v.verdict", plain).alias("verdict"), F.coalesce("_cr", "_v.reason", F.lit(NO_JUDGE)).alias("reason"), source.alias("source"))
+
+
+def remember(judged_rows: DataFrame, path: str) -> None:
+    """Appends the model's own verdicts to the cache; fallbacks are judged again next time."""
+    judged_rows.where("source = 'llm'").select("key", "verdict", "reason").write.mode("append").parquet(path)
+
+
+def remembered(spark: SparkSession, path: str) -> DataFrame:
+    """The cache, one verdict a key; an absent one is empty."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], "key string, verdict string, reason string")
+    return spark.read.parquet(path).groupBy("key").agg(F.min(F.struct("verdict", "reason")).alias("v")).select("key", "v.verdict", "v.reason")

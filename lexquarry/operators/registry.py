@@ -106,6 +106,12 @@ def summary(registry: DataFrame) -> DataFrame:
     return registry.groupBy("title_source").agg(F.count("*").alias("n"), F.count("effective_date").alias("dated"), F.count_if(original).alias("indexable"), F.count_if(original & (F.col("is_latest") == 1)).alias("latest"))
 
 
+def parse_counts(registry: DataFrame) -> DataFrame:
+    """Documents read and failed, by format."""
+    failed = F.coalesce(F.col("status").startswith("ERROR"), F.lit(False))
+    return registry.groupBy("format").agg(F.count_if(~failed).alias("parsed"), F.count_if(failed).alias("failed"))
+
+
 def version_counts(registry: DataFrame) -> DataFrame:
     """Records, duplicates, version groups, ambiguous groups and failed titles."""
     return registry.agg(

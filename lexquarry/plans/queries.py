@@ -628,3 +628,69 @@ def judge_mismatches(spark, sf_dir):
 def report_appendix(spark, sf_dir):
     j = _judged(spark, sf_dir).select("qid", F.col("human").alias("ok"))
     return evaluation.appendix(j, j.where("qid % 4 = 0").select("qid", F.lit("seen").alias("note")))
+
+
+# ---- readers ----
+
+@query(r"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN concat('首行', o_orderkey) ELSE concat('规则', o_orderkey) END AS doc_title, CASE WHEN o_orderkey % 3 = 0 THEN 'body_first_line' ELSE 'txt_header' END AS title_source,
+CASE WHEN o_orderkey % 2 = 0 THEN concat('2020-03-', lpad((o_orderkey % 28 + 1)::VARCHAR, 2, '0')) ELSE '2001-05' END AS effective_date, concat('http://x/', o_orderkey) AS source_url FROM orders""")
+def text_headers(spark, sf_dir):
+    """Title, date and link of composed text files, with the fallbacks."""
+    o = table(spark, sf_dir, "orders")
+    n, shown = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    text = F.concat(
+        F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("标题：规则"), shown, F.lit("\n"))), F.lit("发布日期：2001-05\n来源：局\n原文链接：http://x/"), shown,
+        F.when(n % 5 == 0, "\n").otherwise("\n正文：\n"), F.lit("无障碍浏览\n下载文字版\n首行"), shown,
+        F.when(n % 2 == 0, F.concat(F.lit("\n2020年3月"), (n % 28 + 1).cast("string"), F.lit("日公布"))).otherwise(""),
+    )
+    return files.text_header(o.select("o_orderkey", text.alias("text")), key="o_orderkey").select("o_orderkey", "doc_title", "title_source", "effective_date", "source_url")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '关于税收管理的若干规定' WHEN 1 THEN '税收管理办法' WHEN 2 THEN '正文。' WHEN 3 THEN '' ELSE repeat('长', 61) END AS title, CASE WHEN o_orderkey % 5 < 2 THEN 'first_para' ELSE 'FAIL' END AS title_source FROM orders""")
+def word_titles(spark, sf_dir):
+    """Titles of word files: joined where they break off, failed where they can't be titles."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 5
+    lines = lambda *x: F.array(*(F.lit(v) for v in x)).cast("array<string>")
+    texts = F.when(k == 0, lines("关于税收管理", "的若干规定")).when(k == 1, lines("税收管理办法", "第一条 总则")).when(k == 2, lines("正文。")).when(k == 3, lines()).otherwise(lines("长" * 61))
+    title, source = files.word_title(F.col("texts"))
+    return o.select("o_orderkey", texts.alias("texts")).select("o_orderkey", title.alias("title"), source.alias("title_source"))
+
+
+@query("""WITH e AS (SELECT o_orderkey, o_custkey, unnest([1, 2, 5, 6, 7]) AS seq FROM orders)
+SELECT o_orderkey, seq::INTEGER AS seq, CASE seq WHEN 5 THEN 'table_row' WHEN 6 THEN 'paragraph' WHEN 7 THEN 'article' ELSE 'heading' END AS kind,
+CASE seq WHEN 1 THEN concat('T', o_orderkey) WHEN 2 THEN 'S' WHEN 5 THEN concat('a=', o_custkey, ' | b=x') WHEN 6 THEN concat('item ', o_orderkey) ELSE '第一条 内容' END AS text,
+CASE seq WHEN 1 THEN concat('T', o_orderkey) ELSE concat('T', o_orderkey, ' > S') END AS path, CASE WHEN seq = 5 THEN 'r5' END AS row_range, CASE WHEN seq = 5 THEN '表A' END AS sheet_name FROM e""")
+def markdown_structure(spark, sf_dir):
+    """Headings, a table, an item and an article of composed Markdown with front matter."""
+    o = table(spark, sf_dir, "orders")
+    shown = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("---\nsheet_name: 表A\n---\n# T"), shown, F.lit("\n\n## S\n| a | b |\n| --- | --- |\n| "), F.col("o_custkey").cast("string"), F.lit(" | x |\n- item "), shown, F.lit("\n> 第一条 内容\n"))
+    e = structure.markdown_elements(o.select("o_orderkey", text.alias("text")), key="o_orderkey")
+    return e.select("o_orderkey", "seq", "kind", "text", F.array_join("location.heading_path", " > ").alias("path"), "location.row_range", "location.sheet_name")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('关于', p_name, '的通知') WHEN 1 THEN concat(replace(p_name, ' ', ''), '管理办法') WHEN 2 THEN NULL ELSE concat('税法(', p_partkey, ')税法') END AS t FROM part")
+def normalised_titles(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 4
+    title = (
+        F.when(k == 0, F.concat(F.lit("《关于"), F.translate("p_name", " ", "~"), F.lit("的通知》（2018年修订）")))
+        .when(k == 1, F.concat("p_name", F.lit(" 管理　办法(2019年12月第二次修正)")))
+        .when(k == 2, "短标题").otherwise(F.concat(F.lit("税法("), F.col("p_partkey").cast("string"), F.lit(")税法")))
+    )
+    return p.select("p_partkey", F.translate(T.norm_title(title), "~", " ").alias("t"))
+
+
+@query(f"WITH {_REGISTRY} SELECT format, count(*) FILTER (status NOT LIKE 'ERROR%') AS parsed, count(*) FILTER (status LIKE 'ERROR%') AS failed FROM reg GROUP BY 1")
+def parse_counts(spark, sf_dir):
+    return registry.parse_counts(_registry(spark, sf_dir))
+
+
+@query(f"WITH {_PLACES} SELECT n AS o_orderkey, concat('[1] 0.500 ', CASE WHEN title <> '' THEN '《税法》' ELSE 'f.x' END, ' | ', repeat('ab ', 40)) AS line FROM lv")
+def hit_listing(spark, sf_dir):
+    """Hits as lines: newlines shown as spaces, the text cut at 120 characters."""
+    from lexquarry.plans.corpus import listing
+
+    p = _places(spark, sf_dir).select(F.col("o_orderkey").alias("qid"), F.lit(1).alias("rank"), F.lit(0.5).alias("score"), F.when(F.col("doc_title") != "", F.lit("《税法》")).otherwise("f.x").alias("citation"), F.lit("ab\n" * 60).alias("text"))
+    return listing(p).select(F.col("qid").alias("o_orderkey"), "line")

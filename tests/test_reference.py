@@ -159,3 +159,21 @@ def test_queries_and_oracles_agree_on_names():
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_judge_cache_and_side_files(spark, tmp_path):
+    q = spark.createDataFrame([("1", "q", "2020年", "于2020年"), ("2", "q", "2020年", "不详")], "qid string, question string, golden_answer string, answer_text string")
+    path = str(tmp_path / "cache")
+    ask = lambda model: {r.qid: r for r in generation.judged(q, generation.remembered(spark, path), model, prompt=lambda a, b, c: F.concat(a, c)).collect()}
+    first = ask(None)
+    assert [(first[i].verdict, first[i].source) for i in "12"] == [("correct", "fallback"), ("incorrect", "fallback")]
+    generation.remember(generation.judged(q, generation.remembered(spark, path), lambda p: '{"verdict": "partial", "reason": "r"}', prompt=lambda a, b, c: F.concat(a, c)), path)
+
+    def fails(prompt):
+        raise OSError(prompt)
+
+    again = ask(fails)
+    assert [(again[i].verdict, again[i].source) for i in "12"] == [("partial", "cache")] * 2
+    (tmp_path / "m.json").write_text('{"a": "1", "b": "2"}')
+    assert sorted(map(tuple, files.json_map(spark, str(tmp_path / "m.json")).collect())) == [("a", "1"), ("b", "2")]
+    assert files.json_map(spark, str(tmp_path / "none.json")).count() == 0
