@@ -496,15 +496,40 @@ def prompt_render(spark, sf_dir):
     return generation.prompts(q, _evidence(spark, sf_dir)).select("qid", "prompt")
 
 
+def _retrieved(spark, sf_dir):
+    """The best five of all documents for each benchmark text as its evidence, graded by id."""
+    found = bm25.retrieve(bm25.build(_document_chunks(spark, sf_dir)), _questions(spark, sf_dir)).select("qid", "rank", "chunk_ix", "score", "text")
+    source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_ix"), "source")
+    level = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (1 + F.col("chunk_ix") % 3).cast("int"))
+    return found.join(source, "chunk_ix").select("qid", "rank", "score", level.alias("citation_level"), F.concat(F.lit("《"), "source", F.lit("》")).alias("citation"), "text", F.col("chunk_ix").cast("string").alias("chunk_id"))
+
+
+_RETRIEVED = f"{_DOC_CHUNKS.format(latest=1)}, {_QUESTIONS.format(hist='false')}, {_SCORES}, k AS (SELECT qid, rank, chunk_ix, score FROM r WHERE rank <= 5)"
+
+
+@query(f"""WITH {_RETRIEVED}, g AS (SELECT qid, count(*) AS n, count(*) FILTER (chunk_ix % 3 = 2) AS c FROM k WHERE score >= 21 GROUP BY 1)
+SELECT item_id AS qid, coalesce(n, 0) AS n_hits, coalesce(c, 0) AS n_low, CASE WHEN n IS NULL THEN 'refuse_no_hit' WHEN n = c THEN 'refuse_low_trust' WHEN c > 0 THEN 'degraded' ELSE 'ok' END AS verdict FROM benchmark LEFT JOIN g ON qid = item_id""")
+def triage_verdict_retrieved(spark, sf_dir):
+    """As triage_verdict, on evidence from all documents for all benchmark texts."""
+    return generation.triage(_questions(spark, sf_dir).select("qid"), _retrieved(spark, sf_dir), min_score=21)
+
+
+@query(f"""WITH {_RETRIEVED}, n AS (SELECT qid, rank, concat('[', rank, '] 《', source, '》', CASE WHEN chunk_ix % 3 = 2 THEN '【来源定位不完整】' ELSE '' END, chr(10), text) AS b FROM k JOIN documents ON doc_id = chunk_ix),
+g AS (SELECT qid, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS c FROM n GROUP BY 1)
+SELECT item_id AS qid, concat('【检索到的法规内容】', chr(10), coalesce(c, ''), chr(10), chr(10), '【问题】', chr(10), text) AS prompt FROM benchmark LEFT JOIN g ON qid = item_id""")
+def prompt_render_retrieved(spark, sf_dir):
+    """As prompt_render, on evidence from all documents for all benchmark texts."""
+    return generation.prompts(_questions(spark, sf_dir).select("qid", "question"), _retrieved(spark, sf_dir)).select("qid", "prompt")
+
+
 def _stub(prompt: str) -> str:
     return T.REFUSAL.replace(",", "，") if len(prompt) % 3 == 0 else f"答案 [1] {len(prompt)}"
 
 
 @query()
 def answer_generation(spark, sf_dir):
-    """Answers by a stub of a model, with refusals of its own."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return generation.answers(q, _evidence(spark, sf_dir), _stub)
+    """Answers by a stub of a model, with refusals of its own, on evidence from all documents."""
+    return generation.answers(_questions(spark, sf_dir).select("qid", "question"), _retrieved(spark, sf_dir), _stub)
 
 
 @query()

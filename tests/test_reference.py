@@ -177,3 +177,23 @@ def test_judge_cache_and_side_files(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"a": "1", "b": "2"}')
     assert sorted(map(tuple, files.json_map(spark, str(tmp_path / "m.json")).collect())) == [("a", "1"), ("b", "2")]
     assert files.json_map(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_evidence_is_taken_from_all_documents(spark, tmp_path):
+    """Documents and benchmark texts of large ids: each text finds its own document; the SQL agrees."""
+    import duckdb
+
+    docs = [(i, f"word{i}, alpha, beta{i % 7}, gamma", "en", "web", 20) for i in range(380, 1000)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"word{5 * i}, about, beta1") for i in range(80, 200)] + [(500, "nothing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    answers = {r.qid: r for r in queries["answer_generation"](spark, str(tmp_path)).collect()}
+    assert len(answers) == 121 and answers[500].verdict == "refuse_no_hit"
+    assert all(r.verdict != "refuse_no_hit" and (r.refused or str(5 * i) in r.chunks_used) for i, r in answers.items() if i != 500)
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("triage_verdict_retrieved", "prompt_render_retrieved"):
+        want = con.execute(sql[name])
+        got = queries[name](spark, str(tmp_path)).select(*(d[0] for d in want.description)).collect()
+        assert sorted(map(tuple, got)) == sorted(want.fetchall())
