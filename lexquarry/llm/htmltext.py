@@ -11,8 +11,10 @@ by smoothed counts. No table holds labelled pages, so they are composed here fro
 (labelled_pages), with content and furniture in the places where sites put them.
 
 Cases. A null or empty page and one without content give an empty text. Character references are decoded,
-white space in a block becomes one space, blocks are trimmed and joined by two \n. Comments, scripts and
-styles are never text; a tag cut off at the end is dropped. Depth and length are not limited. Rows
+white space in a block becomes one space, blocks are trimmed and joined by two \n. Comments, scripts, styles,
+titles, form fields, drawings (svg) and what browsers hold back (noscript, template, iframe) are never text, but of
+these only scripts and styles run on without an end tag; a head ends with the first element of the body. Formulas
+are text of their block; objects are nodes. A tag cut off at the end is dropped. Depth and length are not limited. Rows
 are handled one by one; other columns are kept if carried.
 """
 
@@ -33,9 +35,13 @@ from pyspark.sql import functions as F
 
 from lexquarry.llm.spark import prepare
 
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_MATH = frozenset("math annotation annotation-xml maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+_INLINE = _MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Inline elements that part words.
+_SPACE = frozenset("br mspace mtd mtr annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math object select head".split())
+#: Skipped to their end tag; without one, scripts and styles to the end of the page, of a title the text before the next tag, and of the others the start tag alone.
+_RAW = frozenset("script style noscript template textarea title iframe svg select".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of these, unless one of the second kind lies between.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -51,6 +57,7 @@ class Page:
         self.tags, self.attrs, self.parents = ["#"], [""], [-1]
         self.blocks: list[tuple[int, str, int]] = []
         self._stack, self._text, self._linked, self._in_link = [0], [], 0, 0
+        ends: dict[str, dict[int, int]] = {}
         at = 0
         while m := _TAG.search(source, at):
             if m.start() > at:
@@ -62,9 +69,21 @@ class Page:
             name = name.lower()
             if end:
                 self._close(name)
-            elif name in _RAW:
+            elif name in ("script", "style"):
                 stop = _raw_end(name).search(source, at)
                 at = stop.end() if stop else len(source)
+            elif name in _RAW:
+                if name == "svg" and attrs.endswith("/"):
+                    continue
+                if name not in ends:
+                    ends[name] = _ends_of(name, source)
+                if m.start() in ends[name]:
+                    at = ends[name][m.start()]
+                else:
+                    self._flush()
+                    if name == "title":
+                        cut = source.find("<", at)
+                        at = cut if cut >= 0 else len(source)
             else:
                 self._open(name, attrs)
         if at < len(source):
@@ -86,12 +105,12 @@ class Page:
         if name in _INLINE:
             if name == "a":
                 self._in_link = 1
-            elif name == "br":
+            elif name in _SPACE:
                 self._text.append(" ")
             return
         self._flush()
         self._in_link = 0
-        if name in _VOID:
+        if name in _VOID or name == "head":  # what may stand in a head is void or skipped; anything else ends it
             if name == "hr":
                 self._up({"p"}, set())
             return
@@ -132,6 +151,23 @@ def _raw_end(name: str) -> re.Pattern:
     return re.compile(rf"</{name}\b[^>]*>", re.I)
 
 
+@cache
+def _raw_tag(name: str) -> re.Pattern:
+    return re.compile(rf"""<(/?){name}(?=[\s/>])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.I)
+
+
+def _ends_of(name: str, source: str) -> dict[int, int]:
+    """Where each start tag that has an end tag begins, and where that end tag ends; elements nest."""
+    out, open_ = {}, []
+    for m in _raw_tag(name).finditer(source):
+        if m[1]:
+            if open_:
+                out[open_.pop()] = m.end()
+        elif not (name == "svg" and m[2].endswith("/")):
+            open_.append(m.start())
+    return out
+
+
 def _clean(raw: str) -> str:
     return " ".join((html.unescape(raw) if "&" in raw else raw).split())
 

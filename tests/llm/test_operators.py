@@ -289,6 +289,22 @@ def test_pages(spark):
         assert out[i]._text == want and out[i]._n_chars == len(want)
 
 
+def test_pages_keep_what_follows_unclosed_elements():
+    article = "<article><h1>A title here</h1><p>First text of the page, long enough to be read.</p>{}<p>Second line of it, also long enough.</p></article>"
+    parts = ["A title here", "First text of the page, long enough to be read.", "Second line of it, also long enough."]
+    model, text = htmltext.train(), article.format("")
+    page = lambda between: htmltext.extract("<body>" + article.format(between) + "<p><svg></svg></body>", model).split("\n\n")
+    head = "<html><head><meta charset=utf-8><title>Name of page</title><style>p{}</style>"
+    for start in (head, head + "<body>", head + "</head><body>", "<head><title>Name of page<body>", "<head><title>Name<meta charset=x></head><body>"):
+        assert htmltext.extract(start + text, model).split("\n\n") == parts, start
+    for between in ("<svg/>", "<svg viewBox='0 0 1 1' />", "<svg><svg><title>no</title></svg><text>no</text></svg>", "<svg>", "<iframe src=x>", "<template>", "<noscript>", "<math/>", "<select><option></select>", "<title>no</title>"):
+        assert page(between) == parts, between
+    assert page("<p>Let the number <math><mi>x</mi><mo>=</mo><mn>2</mn><mspace/><mtext>units</mtext></math> be as long as it was.</p>") == [*parts[:2], "Let the number x=2 units be as long as it was.", parts[2]]
+    assert page("<object data=x><p>What readers without the plug-in see, long enough.</p></object>") == [*parts[:2], "What readers without the plug-in see, long enough.", parts[2]]
+    assert page("<script>var a") == parts[:2] and page("<style>p{") == parts[:2]
+    assert isinstance(htmltext.extract("<svg><svg></svg><select><template>" * 5000, model), str)
+
+
 def test_pages_held_out():
     """Accuracy by block on composed pages of another seed."""
     model, right, total = htmltext.train(), 0, 0
