@@ -25,7 +25,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Container
 from functools import cache
 
 import numpy as np
@@ -187,8 +187,8 @@ def _words(attrs: str) -> tuple[str, ...]:
 _REGIONS = frozenset("nav aside footer form header article main section".split())
 
 
-def node_features(page: Page) -> list[list[str]]:
-    """Names of the features that hold for each node."""
+def node_features(page: Page, known: Container[str] | None = None) -> list[list[str]]:
+    """Names of the features that hold for each node; of the words of what it stands in, those in `known` if given (a deep page can have any number)."""
     n = len(page.tags)
     own, linked, below, below_linked = [0] * n, [0] * n, [0] * n, [0] * n
     for node, raw, links in page.blocks:
@@ -202,7 +202,7 @@ def node_features(page: Page) -> list[list[str]]:
             below[page.parents[i]] += below[i]
             below_linked[page.parents[i]] += below_linked[i]
     out: list[list[str]] = []
-    above: list[tuple[str, ...]] = [()] * n  # words of what a node stands in, the nearest first
+    above: list[tuple[str, ...]] = [()] * n  # words of what a node stands in
     for i in range(n):
         tag = page.tags[i]
         length = 0 if not own[i] else 1 if own[i] < 25 else 2 if own[i] < 80 else 3 if own[i] < 250 else 4
@@ -212,8 +212,9 @@ def node_features(page: Page) -> list[list[str]]:
             parent = page.parents[i]
             above[i] = above[parent]
             own_words = (*(_words(page.attrs[parent]) if page.attrs[parent] else ()), *((page.tags[parent],) if page.tags[parent] in _REGIONS else ()))
-            if own_words:
-                above[i] = tuple(dict.fromkeys((*("^" + w for w in own_words), *above[parent])))[:12]
+            new = [w for w in dict.fromkeys("^" + w for w in own_words) if (known is None or w in known) and w not in above[parent]]
+            if new:
+                above[i] = (*new, *above[parent])
             out[-1] += above[i]
     return out
 
@@ -264,7 +265,7 @@ class Model:
     def marginals(self, page: Page) -> list[float]:
         """Log-odds of content for each node, given the whole page."""
         n, parents, exp, log = len(page.tags), page.parents, math.exp, math.log
-        odds = [self.bias + sum(self.weights.get(f, 0.0) for f in own) for own in node_features(page)]
+        odds = [self.bias + sum(self.weights.get(f, 0.0) for f in own) for own in node_features(page, self.weights)]
         edges = [self.edges.get(t) or self.edges[""] for t in page.tags]
         up = [0.0] * n
         for i in range(n - 1, 0, -1):  # all children of a node come after it

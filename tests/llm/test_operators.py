@@ -305,6 +305,17 @@ def test_pages_keep_what_follows_unclosed_elements():
     assert isinstance(htmltext.extract("<svg><svg></svg><select><template>" * 5000, model), str)
 
 
+def test_utility_classes_do_not_hide_what_a_node_stands_in():
+    utility = " ".join("flex items center px py mt mb gap grow shrink basis order truncate rounded shadow border".split())
+    inner = f'<div class="{utility}">' * 3 + "<p>Some text of the inner part, long enough to be read.</p>" + "</div>" * 3
+    pages = [htmltext.Page(f'<body><div class="sidebar comments">{c}{inner}</div>') for c in ("", '<div class="one two three four five six seven eight nine ten eleven twelve">')]
+    for page in pages:
+        for own in (htmltext.node_features(page)[-1], htmltext.node_features(page, {"^~sidebar", "^~comments"})[-1]):
+            assert {"^~sidebar", "^~comments"} <= set(own) and len(own) == len(set(own))
+    deep = "".join(f"<div class=w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}>" for i in range(17000))
+    assert isinstance(htmltext.extract(deep + "text", htmltext.train(40)), str)
+
+
 def test_pages_held_out():
     """Accuracy by block on composed pages of another seed."""
     model, right, total = htmltext.train(), 0, 0
