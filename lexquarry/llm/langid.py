@@ -5,8 +5,9 @@ it. A text is decoded to the codeword of the least loss, each bit's loss weighte
 classifier did in training; the score is the chosen language's share of exp(-loss), and a text whose two
 nearest codewords lie closer than `margin` is flagged as ambiguous.
 
-Training takes at most `per_language` texts of each language, the first by a hash of the id; that bound
-is a parameter, and all else (features, prediction) covers whole texts of all rows.
+Training takes at most `per_language` texts of each language, and fewer of each if there are so many languages
+that these would make more than `rows` texts, the first by a hash of the id; those bounds are
+parameters, and all else (features, prediction) covers whole texts of all rows.
 
 Cases. Null texts and texts without a letter are `und` with score 0. Without any usable label every text
 is `und`; with one language all others than `und` are that one. Null ids are held in; repeated rows are
@@ -57,8 +58,8 @@ def codewords(n: int) -> np.ndarray:
         bits = [[1 if i == 0 or i in ones else -1 for i in range(n)] for k in range(n - 1) for ones in combinations(range(1, n), k)]
         return np.array(bits, np.float64).T.reshape(n, -1)
     size, rng = int(np.ceil(10 * np.log2(n))), np.random.default_rng(7)
-    draws = [rng.choice([-1.0, 1.0], (n, size)) for _ in range(50)]
-    return max(draws, key=lambda m: -np.max(m @ m.T - 2 * size * np.eye(n)))
+    nearest = lambda m: max(np.max(m[a : a + 500] @ m.T - 2 * size * np.eye(len(m[a : a + 500]), n, a)) for a in range(0, n, 500))
+    return min((rng.choice([-1.0, 1.0], (n, size)) for _ in range(50 if n <= 500 else 3)), key=nearest)
 
 
 class Model:
@@ -69,9 +70,9 @@ class Model:
     def fit(x: np.ndarray, labels: list[str], steps: int = 150) -> Model:
         languages = sorted(set(labels))
         code = codewords(len(languages))
-        y = code[[languages.index(v) for v in labels]]
-        size = np.array([labels.count(v) for v in languages], np.float64)
-        share = (1 / size)[[languages.index(v) for v in labels]][:, None] / len(languages)
+        _, place, size = np.unique(np.array(labels, object), return_inverse=True, return_counts=True)
+        y = code[place]
+        share = (1 / size)[place][:, None] / len(languages)
         w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1])
         v, vb = np.zeros_like(w), np.zeros_like(b)
         for _ in range(steps):  # accelerated gradient on the logistic loss with a little shrinkage
@@ -101,23 +102,23 @@ def _featured(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1)], ["x", "label"])
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, languages: int = 200) -> Model | None:
-    """Fits on rows that are not held out; `languages` bounds the languages learned (the most frequent ones)."""
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, rows: int = 100_000) -> Model | None:
+    """Fits on rows that are not held out. Every language is learned; with more than rows / per_language of them each has fewer texts, one at least."""
     prepare(docs.sparkSession)
     held_in = docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.xxhash64(F.col(id_col), F.lit(3)).alias("h"))
+    per_language = max(1, min(per_language, rows // max(1, held_in.select("label").distinct().count())))
     # the least hashes per language, in slots first so that a frequent language is not one task
     slot = Window.partitionBy("label", "slot").orderBy("h", "id")
     some = held_in.withColumn("slot", F.pmod(F.xxhash64("h"), F.lit(16))).withColumn("r", F.row_number().over(slot)).where(F.col("r") <= per_language)
-    frequent = [r[0] for r in held_in.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()]
-    chosen = some.where(F.col("label").isin(frequent)).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("r") <= per_language)
-    ids = F.broadcast(chosen.select("id", "label"))  # at most per_language * languages rows of a number and a name
+    chosen = some.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("r") <= per_language)
+    ids = F.broadcast(chosen.select("id", "label"))  # as many rows of a number and a name as texts are learned from
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
-    rows = texts.join(ids, ["id", "label"]).select("text", "label").mapInArrow(_featured, "x binary, label string").collect()
-    if not rows:
+    found = texts.join(ids, ["id", "label"]).select("text", "label").mapInArrow(_featured, "x binary, label string").collect()
+    if not found:
         return None
-    order = sorted(range(len(rows)), key=lambda i: (rows[i]["label"], bytes(rows[i]["x"])))
-    x = np.stack([np.frombuffer(bytes(rows[i]["x"]), np.float16) for i in order]).astype(np.float32)
-    return Model.fit(x, [rows[i]["label"] for i in order])
+    found.sort(key=lambda r: (r["label"], bytes(r["x"])))
+    x = np.stack([np.frombuffer(bytes(r["x"]), np.float16) for r in found]).astype(np.float32)
+    return Model.fit(x, [r["label"] for r in found])
 
 
 def is_held_out(id_col: str):

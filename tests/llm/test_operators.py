@@ -184,6 +184,18 @@ def test_languages_are_told_apart(spark):
         assert len({tuple(c) for c in code}) == n
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.Model, "fit", lambda x, labels: seen.append(labels))
+    data = [(i, f"text {i} of its language", f"l{i % 230}") for i in range(2300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    langid.train(df)
+    langid.train(df, rows=690)
+    assert len(set(seen[0])) == len(set(seen[1])) == 230 and len(seen[1]) <= 690 < len(seen[0])
+    code = langid.codewords(700)
+    assert len({tuple(c) for c in code}) == 700
+
+
 def test_licenses_match_brute_force(spark):
     rows = ["Licensed under the MIT License.", "x UNDER THE MIT\nLICENSE under the mit license", "Apache License, Version 2.0", "cc-by-nc CC BY NC", None, "", "under the mit", "under the mit lİcense", "under the mit licen\u017fe \u212a",
             "Permission is hereby granted, free of charge, to any person getting a copy of this software and associated docs files", "This program is free software; you may redistribute it and/or modify it under terms of the GNU General Public License"]
