@@ -97,28 +97,36 @@ class Model:
 
 
 def _featured(batches):
+    """Features of each text once a task; rows of one key have equal texts."""
+    seen = set()
     for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True))
+        fresh = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+        batch = batch.take(pa.array(fresh, pa.int64()))
         rows = [r for _, _, data, offsets in slices(batch.column(0)) for r in features(data, offsets).astype(np.float16)]
-        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1)], ["x", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), *(batch.column(i) for i in range(1, 5))], ["x", "label", "h", "t", "n"])
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, rows: int = 100_000) -> Model | None:
     """Fits on rows that are not held out. Every language is learned; with more than rows / per_language of them each has fewer texts, one at least."""
     prepare(docs.sparkSession)
-    held_in = docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.xxhash64(F.col(id_col), F.lit(3)).alias("h"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")).where(~is_held_out("id") & F.col("label").isNotNull() & F.col("text").isNotNull())
+    # rows are known by hashes of id and text, so that ids may be null or repeated; rows of a null id are ordered by their texts
+    texts = texts.withColumn("t", F.xxhash64("text")).select("text", "label", F.when(F.col("id").isNotNull(), F.xxhash64("id", F.lit(3))).otherwise(F.xxhash64("t", F.lit(3))).alias("h"), "t")
+    held_in = texts.select("label", "h", "t")
     per_language = max(1, min(per_language, rows // max(1, held_in.select("label").distinct().count())))
     # the least hashes per language, in slots first so that a frequent language is not one task
-    slot = Window.partitionBy("label", "slot").orderBy("h", "id")
+    slot = Window.partitionBy("label", "slot").orderBy("h", "t")
     some = held_in.withColumn("slot", F.pmod(F.xxhash64("h"), F.lit(16))).withColumn("r", F.row_number().over(slot)).where(F.col("r") <= per_language)
-    chosen = some.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("r") <= per_language)
-    ids = F.broadcast(chosen.select("id", "label"))  # as many rows of a number and a name as texts are learned from
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
-    found = texts.join(ids, ["id", "label"]).select("text", "label").mapInArrow(_featured, "x binary, label string").collect()
+    chosen = some.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "t"))).where(F.col("r") <= per_language)
+    keys = F.broadcast(chosen.groupBy("label", "h", "t").agg(F.count("*").alias("n")))  # no more rows of three numbers and a name than texts are learned from
+    found = texts.join(keys, ["label", "h", "t"]).select("text", "label", "h", "t", "n").mapInArrow(_featured, "x binary, label string, h long, t long, n long")
+    found = found.dropDuplicates(["label", "h", "t"]).collect()
     if not found:
         return None
-    found.sort(key=lambda r: (r["label"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(bytes(r["x"]), np.float16) for r in found]).astype(np.float32)
-    return Model.fit(x, [r["label"] for r in found])
+    found = sorted(((r["label"], bytes(r["x"])) for r in found for _ in range(r["n"])))
+    x = np.stack([np.frombuffer(own, np.float16) for _, own in found]).astype(np.float32)
+    return Model.fit(x, [label for label, _ in found])
 
 
 def is_held_out(id_col: str):

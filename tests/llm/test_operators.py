@@ -196,6 +196,18 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert len({tuple(c) for c in code}) == 700
 
 
+def test_languages_of_null_and_repeated_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid.Model, "fit", lambda x, labels: seen.append((labels, x)))
+    data = [(None, f"satz {i} hier", "de") for i in range(30)] + [(8, f"text {i} of it", "en") for i in range(40)] + [(8, "le même texte", "fr")] * 50 + [(None, "uno", "es")] * 3 + [(i, f"words {i}", "it") for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    for rows in (df.repartition(5), df.repartition(2)):
+        langid.train(rows, per_language=10)
+        langid.train(rows)
+    assert [{k: v.count(k) for k in set(v)} for v, _ in seen] == [{"de": 10, "en": 10, "fr": 10, "es": 3, "it": 10}, {"de": 30, "en": 40, "fr": 50, "es": 3, "it": sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(20))}] * 2
+    assert np.array_equal(seen[0][1], seen[2][1])
+
+
 def test_licenses_match_brute_force(spark):
     rows = ["Licensed under the MIT License.", "x UNDER THE MIT\nLICENSE under the mit license", "Apache License, Version 2.0", "cc-by-nc CC BY NC", None, "", "under the mit", "under the mit lİcense", "under the mit licen\u017fe \u212a",
             "Permission is hereby granted, free of charge, to any person getting a copy of this software and associated docs files", "This program is free software; you may redistribute it and/or modify it under terms of the GNU General Public License"]
