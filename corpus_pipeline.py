@@ -13,7 +13,7 @@ from lexquarry.llm import langid
 from lexquarry.llm.decontam import decontaminate
 from lexquarry.llm.mixing import mix_sources
 from lexquarry.llm.neardup import near_duplicates
-from lexquarry.llm.spark import small, table
+from lexquarry.llm.spark import cut, small, table
 from lexquarry.llm.substring import repeated_substrings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,10 +26,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of documents with five-word shingles alike by 0.8 or more."""
+    """Keeps the least id of each group of documents with five-word shingles alike by 0.8 or more; rows that repeat an id are documents of their own."""
     found = near_duplicates(docs, k=5, at_least=(80, 100))
-    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    ids = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")))
+    if not ids.where("n > 1").isEmpty():
+        return _drop_near_duplicate_rows(docs)
+    return docs.select(*COLUMNS).join(small(ids.where("not kept").select("doc_id")), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def _drop_near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """The same where ids repeat: rows are known by a hash of id and text, and the least of (id, hash) of each group stays."""
+    docs = docs.select(*COLUMNS)
+    linked = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(linked).withColumn("_row", F.xxhash64("doc_id", "text"))
+    again = small(rows.groupBy("_row").count().where("count > 1").select("_row"))
+    # of equal rows one stays; only their texts are shuffled
+    rest = F.struct("lang", "source", "n_chars")
+    one = rows.join(again, "_row", "left_semi").groupBy("_row", "doc_id", "text").agg(F.min(rest).alias("rest")).select("_row", "doc_id", "text", "rest.*")
+    rows = rows.join(again, "_row", "left_anti").select("_row", *COLUMNS).unionByName(one)
+    found = near_duplicates(rows, id_col="_row", k=5, at_least=(80, 100)).select(F.col("doc_id").alias("_row"), "component_id")
+    placed = cut(found.join(rows.select("_row", "doc_id"), "_row"))
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("least")).select("component_id", F.col("least._row").alias("_kept"))
+    gone = small(placed.join(kept, "component_id").where("_row <> _kept").select("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS).unionByName(docs.where(~linked))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,19 @@ def test_stages_match_brute_force(spark, folder, tmp_path):
     assert sum({r.source: r.target for r in out.values()}.values()) == pytest.approx(total)
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """One row of each group stays, whatever the ids; groups aren't joined by an id of several texts."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = a.replace("a59", "x")
+    data = [(5, a), (5, a), (5, b), (7, a), (7, c), (8, near), (8, near), (9, b), (9, "other words entirely"), (4, c), (None, a), (None, a), (6, "..."), (6, ""), (6, ""), (6, None)]
+    df = spark.createDataFrame([(i, t, "en", f"s{k}", None if t is None else len(t)) for k, (i, t) in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(5, a), (5, b), (4, c), (9, "other words entirely"), (None, a), (None, a), (6, "..."), (6, ""), (6, ""), (6, None)]
+    for rows in (df.repartition(4), df.coalesce(1)):
+        out = corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()
+        assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted(want, key=repr)
+        assert {r.source for r in out if (r.doc_id, r.text) == (5, a)} == {"s0"}
+
+
 def test_whole_pipeline_runs_at_once(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 50
 
