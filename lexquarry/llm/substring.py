@@ -5,12 +5,14 @@ hashed all; a window that can't repeat is counted without being shuffled, becaus
 each run of WINNOW consecutive short grams the least hash is an anchor, every window holds a whole run,
 so equal windows hold an equal anchor, and a window without an anchor that two documents share is
 unique. The others are counted exactly (least id by hash), joined back, and merged into maximal
-intervals. Equal documents (by two hashes of all words) are one for this: the least id stands for all,
-later ones go whole.
+intervals. Equal documents (by number of words and two hashes of them all) are one for this: the least
+id stands for all, later ones go whole.
 
 Cases. Null and empty texts have no words; texts shorter than a window lose none. Rows of a null id are
 kept whole and take nothing from others. Rows repeating an id aren't held against each other. Other
-columns are ignored; an empty table gives none. A 64-bit hash stands for a window.
+columns are ignored; an empty table gives none. A window is known by its Rabin-Karp hash (61 bits) and
+32 bits of a hash of another kind, so that no pattern of words makes two windows meet; the words
+themselves are not compared, since that would move the texts of both documents.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.spark import cut, prepare, small
-from lexquarry.llm.textnum import SPACED, Words, int64, lists, sequence_hashes, slices
+from lexquarry.llm.textnum import SPACED, Words, check_hash, int64, lists, rabin_karp, sequence_hashes, slices
 
 
 def least_of_runs(x: np.ndarray, run: int) -> np.ndarray:
@@ -80,11 +82,11 @@ def _windows(window: int, gram: int):
 
     def body(batches):
         for batch in batches:
-            hashes, places, row = [], [], 0
+            hashes, checks, places, row = [], [], [], 0
             anchors = batch.column(3)
             for _, _, data, offsets in slices(batch.column(2)):
                 words = Words(data, offsets, SPACED)
-                grams = words.grams(window)
+                grams, other = rabin_karp(words.hash, window), check_hash(words.hash, window).view(np.int32)
                 for lo, hi in zip(words.bounds[:-1], words.bounds[1:], strict=True):
                     at = np.asarray(anchors[row].values)
                     row += 1
@@ -94,8 +96,9 @@ def _windows(window: int, gram: int):
                     np.add.at(cover, np.clip(at + 1, 0, size), -1)
                     own = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
                     hashes.append(int64(grams[lo + own]))
+                    checks.append(other[lo + own])
                     places.append(own.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(hashes, pa.int64()), lists(places, pa.int32())], ["id", "tk", "hashes", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(hashes, pa.int64()), lists(checks, pa.int32()), lists(places, pa.int32())], ["id", "tk", "hashes", "checks", "places"])
 
     return body
 
@@ -153,10 +156,10 @@ def repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     # kept before the join, so that its sides are plain exchanges and a hot anchor's partition can be split
     shared = cut(grams.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"))
     met = small(grams.join(shared, "anchor").groupBy("id", "tk").agg(F.collect_set("place").alias("met")), "met")
-    counted = cut(keyed.join(met, ["id", "tk"]).select("id", "tk", "text", "met").mapInArrow(_windows(window, gram), "id long, tk int, hashes array<long>, places array<int>"))
-    each = counted.select("id", "tk", F.explode(F.arrays_zip("hashes", "places")).alias("e")).select("id", "tk", F.col("e.hashes").alias("hash"), F.col("e.places").alias("place"))
-    firsts = cut(each.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash", "first"))
-    later = each.join(firsts, "hash").where("id > first").groupBy("id", "tk").agg(F.collect_set("place").alias("starts"))
+    counted = cut(keyed.join(met, ["id", "tk"]).select("id", "tk", "text", "met").mapInArrow(_windows(window, gram), "id long, tk int, hashes array<long>, checks array<int>, places array<int>"))
+    each = counted.select("id", "tk", F.explode(F.arrays_zip("hashes", "checks", "places")).alias("e")).select("id", "tk", F.col("e.hashes").alias("hash"), F.col("e.checks").alias("check"), F.col("e.places").alias("place"))
+    firsts = cut(each.groupBy("hash", "check").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash", "check", "first"))
+    later = each.join(firsts, ["hash", "check"]).where("id > first").groupBy("id", "tk").agg(F.collect_set("place").alias("starts"))
     parts = later.mapInArrow(_merged(window), "id long, tk int, since array<int>, until array<int>")
     whole = copies.select("id", "tk", F.array(F.lit(0)).alias("since"), F.array(F.lit((1 << 31) - 1)).alias("until"))
     marks = small(parts.unionByName(whole), "since", "until")

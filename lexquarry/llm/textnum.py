@@ -1,8 +1,10 @@
 """Vectorised tokenising and hashing of Arrow string columns, shared by the operators.
 
 A batch of texts is one byte buffer with offsets. Words are runs of bytes of a class, found for all
-texts of a slice at once; each word gets a 64-bit polynomial hash of its bytes, and a sequence of k
-words gets a Rabin-Karp hash of its word hashes. Nulls count as empty texts.
+texts of a slice at once. A word's 64-bit hash weighs each byte by a number drawn for its place, so no
+pattern of bytes makes words meet (as powers of a base modulo 2**64 would for Thue-Morse words). A
+sequence of k words gets a Rabin-Karp hash of its word hashes, modulo the prime 2**61 - 1; grams that
+are compared word by word or counted in sets only get a quicker one. Nulls count as empty texts.
 """
 
 from __future__ import annotations
@@ -13,8 +15,11 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BYTE_BASE = U64(0x9E3779B97F4A7C15)
 _WORD_BASE = U64(0xD6E8FEB86659FD93)
+PRIME = U64((1 << 61) - 1)
+#: Base of the Rabin-Karp hashes, and its inverse modulo PRIME.
+_BASE = 0x0D6E8FEB86659FD9
+_BACK = pow(_BASE, -1, (1 << 61) - 1)
 
 #: Texts are worked on in slices of about so many bytes (one text may be longer).
 SLICE_BYTES = 1 << 20
@@ -77,7 +82,18 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         i = j
 
 
-_powers = {int(_BYTE_BASE): np.ones(1, np.uint64), int(_WORD_BASE): np.ones(1, np.uint64)}
+_drawn: dict[int, np.ndarray] = {}
+_powers = {int(_WORD_BASE): np.ones(1, np.uint64)}
+_residues: dict[int, np.ndarray] = {}
+
+
+def drawn(seed: int, n: int) -> np.ndarray:
+    """n numbers or more, one for each place, the same in every process."""
+    have = _drawn.get(seed)
+    if have is None or len(have) < n:
+        size = max(n, 1024, 2 * len(have) if have is not None else 0)
+        have = _drawn[seed] = mix(mix(np.arange(1, size + 1, dtype=np.uint64) + U64(seed << 40)) + U64(0x9E3779B97F4A7C15))
+    return have
 
 
 def powers(base: U64, n: int) -> np.ndarray:
@@ -89,6 +105,35 @@ def powers(base: U64, n: int) -> np.ndarray:
     return have
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & PRIME) + (x >> U64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x * y modulo PRIME, of numbers below it."""
+    low, high = U64((1 << 31) - 1), U64(31)
+    x1, x0, y1, y0 = x >> high, x & low, y >> high, y & low
+    middle = x1 * y0 + x0 * y1  # below 2**62
+    # x1 * y1 counts 2**62, which is 2; the middle counts 2**31
+    total = U64(2) * (x1 * y1) + (middle >> U64(30)) + ((middle & U64((1 << 30) - 1)) << high) + reduced(x0 * y0)
+    return reduced(total)
+
+
+def residues(base: int, n: int) -> np.ndarray:
+    """The first n powers of base modulo PRIME, or more."""
+    have = _residues.get(base)
+    if have is None or len(have) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        out, done = np.ones(size, np.uint64), 1
+        while done < size:
+            out[done : 2 * done] = times(out[:done], np.full(done, pow(base, done, int(PRIME)), np.uint64))
+            done *= 2
+        have = _residues[base] = out
+    return have
+
+
 class Words:
     """Words of a slice of texts: their hashes, byte spans, and for each text the first word (n + 1 bounds)."""
 
@@ -111,7 +156,7 @@ class Words:
             begin = np.cumsum(length) - length
             place = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(begin, length)
             value = kind.value[data[inside]]
-            self.hash = mix(np.add.reduceat(value * powers(_BYTE_BASE, int(length.max()) + 1)[place], begin))
+            self.hash = mix(np.add.reduceat(value * drawn(1, int(length.max()))[place], begin) + length.astype(np.uint64))
         else:
             self.hash = np.zeros(0, np.uint64)
 
@@ -129,7 +174,7 @@ class Words:
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """Rabin-Karp hash of h[i : i + k] for every i, by doubling."""
+    """A hash of h[i : i + k] for every i, by doubling: of short grams only, since it is modulo 2**64."""
     if len(h) < k:
         return np.zeros(0, np.uint64)
     base = powers(_WORD_BASE, k + 1)
@@ -161,12 +206,35 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), kind))
 
 
+def rabin_karp(h: np.ndarray, k: int) -> np.ndarray:
+    """Rabin-Karp hash of h[i : i + k] for every i: sums of h[j] * base**j from running totals, brought to place 0."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    term = times(reduced(h), residues(_BASE, len(h))[: len(h)])
+    window = lambda x: (lambda t: t[k:] - t[: n])(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]))
+    low, high = window(term & U64(0xFFFFFFFF)), window(term >> U64(32))  # exact: halves of k terms
+    total = reduced(times(reduced(high), np.full(n, 1 << 32, np.uint64)) + reduced(low))
+    return times(total, residues(_BACK, n)[:n])
+
+
+def check_hash(h: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of h[i : i + k], of 32 bits: by doubling, with each step's sum mixed anew, so it shares no structure with the other."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint32)
+    size, part = 1, mix(h ^ U64(0x5851F42D4C957F2D))
+    while 2 * size <= k:
+        part = mix(part[: len(part) - size] * U64(3) + part[size:])
+        size *= 2
+    return (mix(part[:n] * U64(5) + part[k - size : k - size + n]) >> U64(32)).astype(np.uint32)
+
+
 def sequence_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each text's whole sequence of words."""
+    """Two 64-bit hashes of each text's whole sequence of words, each with weights of its own for the places."""
     out = np.zeros((2, len(words.bounds) - 1), np.uint64)
+    other = mix(words.hash ^ U64(0x5851F42D4C957F2D))
     for i, (a, b) in enumerate(zip(words.bounds[:-1], words.bounds[1:], strict=True)):
-        h = words.hash[a:b]
-        p = powers(_WORD_BASE, b - a + 1)[: b - a]
-        out[0, i] = (h * p).sum(dtype=np.uint64) + U64(b - a)
-        out[1, i] = (mix(h ^ U64(0x5851F42D4C957F2D)) * p).sum(dtype=np.uint64)
+        out[0, i] = (words.hash[a:b] * drawn(2, b - a)[: b - a]).sum(dtype=np.uint64) + U64(b - a)
+        out[1, i] = (other[a:b] * drawn(3, b - a)[: b - a]).sum(dtype=np.uint64)
     return mix(out[0]), mix(out[1])

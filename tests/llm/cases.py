@@ -42,6 +42,12 @@ def documents(spark, rows=None, ids=None):
     return spark.createDataFrame(data, SCHEMA).repartition(3)
 
 
+def thue_morse(a="a", b="b", n=1024):
+    """Two words that powers of any odd base modulo 2**64 can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
 def low(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 

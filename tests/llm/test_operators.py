@@ -53,6 +53,37 @@ def test_rolling_hash_depends_on_the_window_only():
     assert len(textnum.rolling(h, 41)) == 0
 
 
+def test_window_hashes_are_rabin_karp():
+    h = np.random.default_rng(3).integers(0, 1 << 63, 200, dtype=np.uint64) * np.uint64(2)
+    prime, base = int(textnum.PRIME), textnum._BASE
+    for k in (1, 7, 50, 200, 201):
+        plain = [sum(int(x) * pow(base, j, prime) for j, x in enumerate(h[i : i + k])) % prime for i in range(201 - k)]
+        assert textnum.rabin_karp(h, k).tolist() == plain
+        assert [textnum.check_hash(h[i : i + k].copy(), k)[0] for i in range(201 - k)] == textnum.check_hash(h, k).tolist()
+
+
+def test_thue_morse_texts_are_told_apart(spark):
+    """Words, and sequences of words, that hashes modulo 2**64 of powers of one base can't tell apart."""
+    x, y = cases.thue_morse()
+    rest = [f"w{i}" for i in range(59)]
+    rows = [" ".join([x, *rest]), " ".join([y, *rest]), f"{x} b c", f"{y} b c", f"{y} z"]
+    out = by_id(repeated_substrings(cases.documents(spark, rows), carry=("doc_id",), texts=True))
+    for i, left in enumerate(cases.cut_repeats(rows, 50)):
+        assert out[i]._kept == " ".join(left)
+    sizes, least_id = cases.linked(rows, 3, 85, 100)
+    out = by_id(near_duplicates(cases.documents(spark, rows), k=3, at_least=(85, 100)))
+    assert [(out[i].n_shingles, out[i].component_id) for i in range(len(rows))] == list(zip(sizes, least_id, strict=True))
+    items = [("1", x), ("2", f"{x} b c")]
+    bench = spark.createDataFrame([(int(a), b) for a, b in items], "item_id long, text string")
+    out = by_id(decontaminate(cases.documents(spark, rows), bench, carry=("doc_id",)))
+    for i, (n, hit, names) in enumerate(cases.hits(rows, items, 13)):
+        assert (out[i]._n_words, out[i]._n_hit, out[i]._n_items) == (n, hit, len(names))
+    rows = [" ".join(r.split()) for r in cases.thue_morse("one ", "two ")]
+    out = by_id(repeated_substrings(cases.documents(spark, rows), carry=("doc_id",), texts=True))
+    for i, left in enumerate(cases.cut_repeats(rows, 50)):
+        assert out[i]._kept == " ".join(left)
+
+
 def test_anchors_are_in_every_run():
     x = np.random.default_rng(2).integers(0, 5, 300).astype(np.uint64)
     at = set(least_of_runs(x, 7).tolist())
