@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts of 100 KB each would make 100 MB of it.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: whichever comes first ends it (one text may be larger).
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sets what is unset: the checkpoint folder (only where the cluster names none, as in tests) and the batch size."""
+    """Sets what is unset: the checkpoint folder (in the warehouse, which the cluster shares, and only where it names none) and the size of Arrow batches.
+
+    The batch size holds for the session from then on: results are computed later, by the caller's action.
+    """
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{uuid.uuid4()}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        sc.setCheckpointDir(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = int(spark.conf.get(name).lower().removesuffix("b"))
+        if not 0 < have <= most:
+            spark.conf.set(name, str(most))
 
 
 def cut(df: DataFrame) -> DataFrame:
