@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        # no union of a cut frame with itself: Catalyst can't rewrite its constraints
+        both = now.select(F.explode(F.array(F.struct("hi", "lo"), F.struct(F.col("lo").alias("hi"), F.col("hi").alias("lo")))).alias("e")).select("e.*")
         least = both.groupBy(F.col("hi").alias("u")).agg(F.least(F.min("lo"), F.first("hi")).alias("m"))
         # large star: every larger neighbour of u goes to u's least neighbour
         large = now.join(least, now.lo == least.u).select(F.col("hi"), F.col("m").alias("lo")).where("hi > lo").distinct()

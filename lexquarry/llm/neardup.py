@@ -1,17 +1,21 @@
 """Near-duplicate documents: one-permutation MinHash, banded buckets, star-shaped candidate edges.
 
-Steps: (1) each text becomes its set of k-word shingles (64-bit hashes); equal sets form one class and
-only a representative goes on; (2) one permutation splits the hash space into bins, the least hash of
-each bin is the signature, empty bins borrow from a bin found along a fixed random order (optimal
+Steps: (1) each text becomes its set of k-word shingles (64-bit hashes); equal sets form one class, and
+classes, not ids, are what is linked; (2) one permutation splits the hash space into bins, the least hash
+of each bin is the signature, empty bins borrow from a bin found along a fixed random order (optimal
 densification); (3) bands of the signature key buckets; each bucket links its members to its smallest
-document, a star, so n members make n - 1 candidate pairs; (4) candidates are confirmed on the full
+class, a star, so n members make n - 1 candidate pairs; (4) candidates are confirmed on the full
 sets; (5) connected components. A star could miss a link between two members of which one isn't like
-the centre: in buckets whose members are still in several components the pairs across components are
-taken up too, but only those that sizes and shingles found in one document alone leave possible.
+the centre. Members of buckets that still hold several components are therefore joined exactly, by
+prefixes: shingles are put in one order, rare ones first, and two sets that are alike enough share one of
+the first n - least intersection + 1 shingles. So members of a bucket that share boilerplate only are not
+compared with each other, however many they are.
 
 Cases. Null or empty text and texts without words have an empty set and are linked with nothing. A text
 of fewer than k words is one shingle. A null id stays unlinked, with a null component. Rows that repeat
-an id are judged each by its own text. Other columns of the input are ignored; an empty table gives none.
+an id are judged each by its own text; the least id reachable is taken over rows. Other columns of the
+input are ignored; an empty table gives none. A class is known by the size of its set and 128 bits of
+sums over it, and by 64 bits of these where classes are linked.
 """
 
 from __future__ import annotations
@@ -20,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexquarry.llm.graph import components
-from lexquarry.llm.spark import cut, prepare
+from lexquarry.llm.spark import cut, prepare, small
 from lexquarry.llm.textnum import SPACED_LOWER, U64, Words, int64, lists, mix, slices
 
 
@@ -70,6 +73,11 @@ def banding(similarity: float) -> tuple[int, int]:
     return rows, int(np.ceil(np.log(1e-6) / np.log(1 - similarity**rows)))
 
 
+def _sums(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """What tells a set from others, with its size."""
+    return s.sum(dtype=np.uint64), mix(s ^ U64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)
+
+
 def _signed(k: int, bands: int, rows: int):
     def run(batches):
         signer = Signer(bands, rows)
@@ -77,7 +85,7 @@ def _signed(k: int, bands: int, rows: int):
             n, sums, keys = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
-                sums.append((s.sum(dtype=np.uint64), mix(s ^ U64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)))
+                sums.append(_sums(s))
                 keys.append(int64(signer.keys(s)) if len(s) else np.zeros(0, np.int64))
             sums = np.array(sums, np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(int64(sums[:, 0].copy())), pa.array(int64(sums[:, 1].copy())), lists(keys, pa.int64())], ["id", "n", "h1", "h2", "bands"])
@@ -86,26 +94,55 @@ def _signed(k: int, bands: int, rows: int):
 
 
 def _sets(k: int):
+    """The set of each text, once a task where texts repeat."""
+
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            parts = [int64(s) for s in shingle_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(parts, pa.int64())], ["id", "shingles"])
+            sums, parts = [], []
+            for s in shingle_sets(batch.column(0), k):
+                own = tuple(x.item() for x in _sums(s))
+                if own not in seen:
+                    seen.add(own)
+                    sums.append(own)
+                    parts.append(int64(s))
+            sums = np.array(sums, np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in parts], pa.int64()), pa.array(int64(sums[:, 0].copy())), pa.array(int64(sums[:, 1].copy())), lists(parts, pa.int64())], ["n", "h1", "h2", "shingles"])
 
     return run
 
 
-#: Parts of the hash space by which shingles are counted.
-PARTS = 128
+#: Shingles are ordered by how often their slot of so many is filled; any order gives the same result.
+SLOTS = 1 << 16
 
 
-def _profiles(batches):
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s >> U64(48)).astype(np.int64)
+
+
+def _slot_counts(batches):
+    total = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        counts = []
-        for own, alone in zip(batch.column(1), batch.column(2), strict=True):
-            own, alone = (np.asarray(x.values).view(np.uint64) // U64((1 << 64) // PARTS) for x in (own, alone))
-            counts.append(np.bincount(own.astype(np.int64), minlength=PARTS) - np.bincount(alone.astype(np.int64), minlength=PARTS))
-        total = pa.array([int(c.sum()) for c in counts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), total, lists([c.astype(np.int32) for c in counts], pa.int32())], ["id", "common", "parts"])
+        own = np.asarray(batch.column(0).flatten()).view(np.uint64)
+        total += np.bincount(_slot(own), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["slot", "n"])
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, above: int, below: int) -> np.ndarray:
+    """The first shingles of a set, one of which every set alike enough must share."""
+    n = len(shingles)
+    least = -(-above * n // below)
+    return shingles[np.lexsort((shingles, counts[_slot(shingles)]))[: n - least + 1]]
+
+
+def _prefixes(counts: np.ndarray, above: int, below: int):
+    def run(batches):
+        for batch in batches:
+            parts = [int64(prefix(np.asarray(s.values).view(np.uint64), counts, above, below)) for s in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists(parts, pa.int64())], ["node", "c", "n", "tokens"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, at_least: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -113,56 +150,65 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Documents are linked if intersection / union of their sets is at least at_least[0] / at_least[1].
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     above, below = at_least
     rows, bands = banding(above / below)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(texts.mapInArrow(_signed(k, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>"))
-    same = signed.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    members = signed.drop("bands").join(same, ["n", "h1", "h2"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.col("rep")))
-    reps = signed.join(same, ["n", "h1", "h2"]).where("id = rep").select("id", "n", F.explode("bands").alias("key"))
-    stars = reps.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre < other").drop("other")
-    buckets = cut(reps.join(stars, "key").select("key", "id", "n", "centre"))
-    wanted = buckets.select("id").distinct()
-    sets = cut(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(k), "id long, shingles array<long>"))
+    own = ["n", "h1", "h2"]
+    linkable = F.col("id").isNotNull() & (F.col("n") > 0)
+    # copies are counted before they are shuffled; equal sets have equal bands
+    classes = cut(signed.where(linkable).groupBy(*own).agg(F.min("id").alias("least"), F.count("*").alias("many"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64(*own)))
+    reps = classes.select("node", "n", F.explode("bands").alias("key"))
+    # kept before the join, so that its sides are plain exchanges and a hot bucket's partition can be split
+    stars = cut(reps.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre < other").drop("other"))
+    buckets = cut(reps.join(stars, "key").select("key", "node", "n", "centre"))
+    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi")
+    sets = texts.join(wanted.select(F.col("least").alias("id")).distinct(), "id", "left_semi").select("text").mapInArrow(_sets(k), "n long, h1 long, h2 long, shingles array<long>")
+    sets = cut(sets.select(F.xxhash64(*own).alias("node"), "shingles"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a")
         common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common * below >= above * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        return both.where(common * below >= above * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
     fits = lambda x, y: (F.col(x) * below >= F.col(y) * above) & (F.col(y) * below >= F.col(x) * above)
-    sizes = buckets.select(F.col("id").alias("centre"), F.col("n").alias("n_centre")).distinct()
-    first = buckets.where("id > centre").select("centre", "id", "n").distinct().join(sizes, "centre").where(fits("n", "n_centre"))
-    edges = cut(confirmed(first.select(F.col("centre").alias("a"), F.col("id").alias("b"))).distinct())
+    sizes = buckets.select(F.col("node").alias("centre"), F.col("n").alias("n_centre")).distinct()
+    first = buckets.where("node > centre").select("centre", "node", "n").distinct().join(sizes, "centre").where(fits("n", "n_centre"))
+    edges = cut(confirmed(first.select(F.col("centre").alias("a"), F.col("node").alias("b"))))
     labels = components(edges)
 
-    # Buckets that still hold several components. A shingle that only one of their documents has is in no
-    # intersection. The others are counted by parts of the hash space: the lesser counts of two documents, summed
-    # over the parts, bound their intersection, and only pairs that this leaves possible are confirmed.
-    node = labels.withColumnRenamed("node", "id")
-    placed = buckets.join(node, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    split = lambda rows: rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    left = cut(placed.join(split(placed), "key"))
+    # members of buckets that still hold several components
+    split = lambda rows, by: rows.groupBy(by).agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select(by)
+    placed = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    left = cut(placed.join(split(placed, "key"), "key", "left_semi").select("node", "c", "n").distinct())
     if not left.isEmpty():
-        theirs = sets.join(left.select("id").distinct(), "id", "left_semi")
-        alone = theirs.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
-        alone = alone.groupBy("id").agg(F.collect_list("s").alias("alone"))
-        profile = theirs.join(alone, "id", "left").select("id", "shingles", F.coalesce("alone", F.array().cast("array<long>")).alias("alone")).mapInArrow(_profiles, "id long, common long, parts array<int>")
-        left = left.join(profile, "id").where(F.col("common") * below >= F.col("n") * above)
-        in_bucket = Window.partitionBy("key")
-        left = left.join(split(left), "key").withColumn("size", F.count("*").over(Window.partitionBy("key", "c")))
-        # every pair across components has a member outside the bucket's largest one
-        left = left.withColumn("last", F.col("c") == F.max(F.struct("size", "c")).over(in_bucket)["c"])
-        left = cut(left.withColumn("at", F.row_number().over(in_bucket.orderBy("last", "id"))).select("key", "id", "n", "common", "parts", "c", "at", "last"))
-        centres = left.where("not last").select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "common", "parts", "c", "at")))
-        fits = lambda most: most * below >= (F.col("n") + F.col("n_a") - most) * above
-        shared = F.aggregate(F.zip_with("parts", "parts_a", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-        pairs = left.join(centres, "key").where((F.col("at") > F.col("at_a")) & (F.col("c") != F.col("c_a")) & fits(F.least("common", "common_a")) & fits(shared))
-        more = cut(confirmed(pairs.select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct()))
+        theirs = cut(sets.join(left, "node").select("node", "c", "n", "shingles"))
+        counts = np.zeros(SLOTS, np.int64)
+        for r in theirs.select("shingles").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+            counts[r["slot"]] = r["n"]
+        heads = theirs.mapInArrow(_prefixes(counts, above, below), "node long, c long, n long, tokens array<long>")
+        heads = cut(heads.select("node", "c", "n", F.posexplode("tokens").alias("at", "token")))
+        met = cut(heads.join(cut(split(heads, "token")), "token"))
+        # every pair across components has a member outside the token's largest one
+        most = cut(met.groupBy("token", "c").agg(F.count("*").alias("many")).groupBy("token").agg(F.max(F.struct("many", "c")).alias("most")).select("token", F.col("most.c").alias("largest")))
+        met = cut(met.join(most, "token").withColumn("last", F.col("c") == F.col("largest")).drop("largest"))
+        others = met.where("not last").select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "c", "n", "at")))
+        # with the first shingle that two sets share, what follows it bounds what they share
+        bound = 1 + F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a")) - 1
+        near = fits("n", "n_a") & (bound * below >= above * (F.col("n") + F.col("n_a") - bound))
+        pairs = others.join(met, "token").where((F.col("c") != F.col("c_a")) & (F.col("last") | (F.col("node") > F.col("node_a"))) & near)
+        more = cut(confirmed(pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()))
         if not more.isEmpty():
             labels = components(edges.unionByName(more))
-    out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+    both = F.explode(F.array(F.struct("node", "component"), F.struct(F.col("component").alias("node"), "component")))
+    linked = cut(classes.select("node", "least").join(labels.select(both.alias("e")).select("e.*").distinct(), "node"))
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = small(linked.join(least, "component").select("node", "component_id"))
+    copies = small(classes.where("many > 1").select(*own, "least"))
+    out = signed.where(linkable).select("id", *own, F.xxhash64(*own).alias("node")).join(copies, own, "left").join(linked, "node", "left")
+    out = out.select("id", "n", F.coalesce("least", "id").alias("class_id"), F.coalesce("component_id", "least", "id").alias("component_id"))
+    rest = signed.where(~linkable).select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+    return out.unionByName(rest).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -3,10 +3,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import cases
-from lexquarry.llm import htmltext, imatch, langid, license, mixing, quality, textnum
+from lexquarry.llm import htmltext, imatch, langid, license, mixing, neardup, quality, textnum
 from lexquarry.llm.decontam import decontaminate
 from lexquarry.llm.graph import components
 from lexquarry.llm.neardup import near_duplicates
@@ -118,6 +119,52 @@ def test_near_duplicates_of_many_variants(spark):
     assert [out[i].component_id for i in range(len(rows))] == least_id
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share an id and nothing else weld no groups together."""
+    rng = random.Random(9)
+    a, b = cases.sentence(rng, 60), cases.sentence(rng, 60)
+    rows = [f"{a} zz", a, b, f"{b} yy", a, b, a]
+    ids = [3, 5, 5, 7, 9, 5, 3]
+    out = near_duplicates(cases.documents(spark, rows, ids), k=3, at_least=(85, 100)).collect()
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out)
+    sizes, group = cases.linked(rows, 3, 85, 100)
+    least = {g: min(i for i, h in zip(ids, group, strict=True) if h == g) for g in group}
+    assert got == sorted((i, n, least[g], i == least[g]) for i, n, g in zip(ids, sizes, group, strict=True))
+
+
+def test_a_bucket_of_many_dissimilar_members(spark, monkeypatch):
+    """One band for all: 20,000 texts that share a third of their words meet in one bucket (200 million pairs, if all were compared)."""
+    rng = random.Random(10)
+    common = cases.sentence(rng, 14)
+    rows = [" ".join(f"{rng.randrange(1 << 40):x}" for _ in range(30)) + f" {common}" for _ in range(20000)]
+    rows += [f"{rows[i]} {cases.word(rng)}" for i in range(0, 20000, 2000)] * 2
+    signed = neardup._signed
+
+    def in_one_band(k, bands, rows):
+        plain = signed(k, bands, rows)
+
+        def run(batches):
+            for b in plain(batches):
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array([[7]] * b.num_rows, pa.list_(pa.int64()))], b.schema.names)
+
+        return run
+
+    monkeypatch.setattr(neardup, "_signed", in_one_band)
+    out = by_id(near_duplicates(cases.documents(spark, rows), k=3, at_least=(85, 100)))
+    assert all(out[i].component_id == (i if i < 20000 else (i - 20000) % 10 * 2000) for i in range(len(rows)))
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 9, neardup.SLOTS)
+    for _ in range(300):
+        whole = np.unique(rng.integers(0, 1 << 63, rng.integers(2, 40), dtype=np.uint64) * np.uint64(2))
+        a, b = (np.sort(rng.choice(whole, max(1, int(len(whole) * rng.uniform(0.7, 1))), replace=False)) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 85 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(neardup.prefix(a, counts, 85, 100), neardup.prefix(b, counts, 85, 100)))
+
+
 def test_null_and_repeated_ids(spark):
     text = "a b c d e f g h"
     df = cases.documents(spark, [text, text, text, "z y x w v"], [5, None, 5, 9])
