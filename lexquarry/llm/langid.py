@@ -6,7 +6,7 @@ classifier did in training; the score is the chosen language's share of exp(-los
 nearest codewords lie closer than `margin` is flagged as ambiguous.
 
 Training takes at most `per_language` texts of each language, and fewer of each if there are so many languages
-that these would make more than `rows` texts, the first by a hash of the id; those bounds are
+that these would make more than `rows` texts, the first by a hash of id and text; those bounds are
 parameters, and all else (features, prediction) covers whole texts of all rows.
 
 Cases. Null texts and texts without a letter are `und` with score 0. Without any usable label every text
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexquarry.llm.spark import prepare
+from lexquarry.llm.spark import cut, prepare, small
 from lexquarry.llm.textnum import slices
 
 BUCKETS = 2048
@@ -112,14 +112,21 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")).where(~is_held_out("id") & F.col("label").isNotNull() & F.col("text").isNotNull())
     # rows are known by hashes of id and text, so that ids may be null or repeated; rows of a null id are ordered by their texts
-    texts = texts.withColumn("t", F.xxhash64("text")).select("text", "label", F.when(F.col("id").isNotNull(), F.xxhash64("id", F.lit(3))).otherwise(F.xxhash64("t", F.lit(3))).alias("h"), "t")
+    # rows are known by hashes of id and text, so that ids may be null or repeated
+    texts = texts.withColumn("t", F.xxhash64("text")).select("text", "label", F.xxhash64("id", "t", F.lit(3)).alias("h"), "t")
     held_in = texts.select("label", "h", "t")
-    per_language = max(1, min(per_language, rows // max(1, held_in.select("label").distinct().count())))
-    # the least hashes per language, in slots first so that a frequent language is not one task
-    slot = Window.partitionBy("label", "slot").orderBy("h", "t")
-    some = held_in.withColumn("slot", F.pmod(F.xxhash64("h"), F.lit(16))).withColumn("r", F.row_number().over(slot)).where(F.col("r") <= per_language)
-    chosen = some.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "t"))).where(F.col("r") <= per_language)
-    keys = F.broadcast(chosen.groupBy("label", "h", "t").agg(F.count("*").alias("n")))  # no more rows of three numbers and a name than texts are learned from
+    counts = small(held_in.groupBy("label").agg(F.count("*").alias("all")))
+    per_language = max(1, min(per_language, rows // max(1, counts.count())))
+    # Of each language the least hashes: those under a level that some more than the wanted rows should lie under are
+    # counted by value before they are shuffled, and the level is raised where a language comes up short.
+    wanted, wide, some = F.least(F.lit(per_language), "all"), 2.0, None
+    while some is None or not counts.join(some.groupBy("label").agg(F.sum("n").alias("n")), "label", "left").where(F.coalesce("n", F.lit(0)) < wanted).isEmpty():
+        under = F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(wide * per_language + 8 * wide) / F.col("all")
+        some = cut(held_in.join(counts, "label").where(under).groupBy("label", "h", "t").agg(F.count("*").alias("n")))
+        wide *= 8
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("h", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    chosen = some.withColumn("before", before).where(F.col("before") < per_language).select("label", "h", "t", F.least("n", per_language - F.col("before")).alias("n"))
+    keys = F.broadcast(chosen)  # no more rows of three numbers and a name than texts are learned from
     found = texts.join(keys, ["label", "h", "t"]).select("text", "label", "h", "t", "n").mapInArrow(_featured, "x binary, label string, h long, t long, n long")
     found = found.dropDuplicates(["label", "h", "t"]).collect()
     if not found:

@@ -286,6 +286,115 @@ def test_languages_of_null_and_repeated_ids(spark, monkeypatch):
     assert np.array_equal(seen[0][1], seen[2][1])
 
 
+def test_the_sample_is_the_least_hashes_of_each_language(spark, monkeypatch):
+    """Whatever the level that rows are first held against, and of frequent and rare languages alike."""
+    seen = []
+    monkeypatch.setattr(langid.Model, "fit", lambda x, labels: seen.append((labels, x)))
+    data = [(i % 900, f"text {i} of it", "en" if i % 50 else "de") for i in range(4000)] + [(1, "seul", "fr")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    langid.train(df, per_language=30)
+    labels, x = seen[0]
+    held_in = df.where(~langid.is_held_out("doc_id")).withColumn("t", langid.F.xxhash64("text")).withColumn("h", langid.F.xxhash64("doc_id", "t", langid.F.lit(3))).collect()
+    for lang in ("en", "de", "fr"):
+        want = sorted((r for r in held_in if r.lang == lang), key=lambda r: (r.h, r.t))[:30]
+        texts = pa.array([r.text for r in want])
+        _, _, data, offsets = next(textnum.slices(texts))
+        rows = langid.features(data, offsets).astype(np.float16).astype(np.float32)
+        got = np.array([row for label, row in zip(labels, x, strict=True) if label == lang])
+        assert sorted(map(bytes, got)) == sorted(map(bytes, rows)), lang
+
+
+def test_decoding_matches_every_codeword():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 12):
+        code = langid.codewords(n)
+        bits = code.shape[1]
+        model = langid.Model([f"l{i}" for i in range(n)], code, rng.normal(size=(20, bits)).astype(np.float32), rng.normal(size=bits), rng.uniform(0.1, 1, bits))
+        x = rng.normal(size=(50, 20)).astype(np.float32)
+        best, score, flag = model.decode(x, 0.7)
+        for row, b, s, f in zip(x, best, score, flag, strict=True):
+            loss = [sum(model.trust[j] * np.log1p(np.exp(-c[j] * (float(row @ model.weights[:, j]) + model.bias[j]))) for j in range(bits)) for c in code]
+            assert loss[b] == pytest.approx(min(loss)) and s == pytest.approx(1 / sum(np.exp(min(loss) - v) for v in loss), rel=1e-4)
+            assert f == (n > 1 and sorted(loss)[1] - min(loss) < 0.7)
+
+
+def test_twelve_languages_are_told_apart(spark):
+    rng = random.Random(12)
+    letters = {f"l{i}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyzäöüßéèñç", 9)) for i in range(12)}
+    make = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 7))) for _ in range(40))
+    data = [(i, make(f"l{i % 12}"), f"l{i % 12}") for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    out = by_id(langid.identify(df, langid.train(df), carry=("doc_id",)))
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([out[i]._lang == f"l{i % 12}" for i in held]) > 0.97
+
+
+def test_trees_match_exhaustive_search():
+    """The first tree's splits against all splits tried one by one; flat scoring against walking down each tree."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, (200, 3)).astype(np.float64)
+    y = ((x[:, 1] > 2) ^ (rng.random(200) < 0.1)).astype(np.float64)
+    model = quality.Trees.fit(x, y, trees=5, depth=3)
+    share = y.mean()
+    g, h = y - share, np.full(200, share * (1 - share))
+
+    def best(rows):
+        found = (1e-9, None, None)
+        for f in range(3):
+            for cut in sorted(set(x[:, f]))[:-1]:
+                go = rows & (x[:, f] > cut)
+                stay = rows & ~go
+                if h[go].sum() < 2 or h[stay].sum() < 2:
+                    continue
+                gain = sum(g[part].sum() ** 2 / (h[part].sum() + 2) for part in (go, stay)) - g[rows].sum() ** 2 / (h[rows].sum() + 2)
+                if gain > found[0] + 1e-12:
+                    found = (gain, f, cut)
+        return found
+
+    node = [np.ones(200, bool)]
+    for level in range(3):
+        below = []
+        for i, rows in enumerate(node):
+            at = (1 << level) - 1 + i
+            gain, f, cut = best(rows)
+            own, limit = model.feature[0][at], model.threshold[0][at]
+            go = rows & (x[:, own] > limit)
+            if f is None:
+                assert not go.any()
+            else:
+                stay = rows & ~go
+                mine = sum(g[part].sum() ** 2 / (h[part].sum() + 2) for part in (go, stay)) - g[rows].sum() ** 2 / (h[rows].sum() + 2)
+                assert mine == pytest.approx(gain)
+            below += [rows & ~go, go]
+        node = below
+    for i, rows in enumerate(node):
+        assert model.leaf[0][i] == pytest.approx(0.1 * g[rows].sum() / (h[rows].sum() + 2))
+
+    def walk(row, t, at=0, level=0):
+        if level == model.depth:
+            return model.leaf[t][at - (1 << level) + 1]
+        right = row[model.feature[t][at]] > model.threshold[t][at]
+        return walk(row, t, 2 * at + 1 + right, level + 1)
+
+    plain = [1 / (1 + np.exp(-(model.base + sum(walk(row, t) for t in range(5))))) for row in x]
+    assert model.score(x) == pytest.approx(plain)
+
+
+def test_statistics_match_plain_counts(rows):
+    texts = [t for t in rows if t is not None]
+    got = np.concatenate([quality.statistics(data, offsets) for _, _, data, offsets in textnum.slices(pa.array(texts))])
+    at = {n: i for i, n in enumerate(quality.NAMES)}
+    for t, row in zip(texts, got, strict=True):
+        w = cases.spaced(cases.low(t))
+        assert row[at["log_bytes"]] == pytest.approx(np.log1p(len(t.encode())), rel=1e-5) and row[at["log_words"]] == pytest.approx(np.log1p(len(w)), rel=1e-5)
+        if w:
+            assert row[at["distinct_words"]] == pytest.approx(len(set(w)) / len(w), rel=1e-5)
+            assert row[at["top_word"]] == pytest.approx(max(cases.Counter(w).values()) / len(w), rel=1e-5)
+            assert row[at["word_length"]] == pytest.approx(np.mean([len(x.encode()) for x in w]), rel=1e-5)
+            lines = t.split("\n")
+            assert row[at["same_lines"]] == pytest.approx(1 - len(set(lines)) / len(lines), abs=1e-5)
+
+
 def test_licenses_match_brute_force(spark):
     rows = ["Licensed under the MIT License.", "x UNDER THE MIT\nLICENSE under the mit license", "Apache License, Version 2.0", "cc-by-nc CC BY NC", None, "", "under the mit", "under the mit lİcense", "under the mit licen\u017fe \u212a",
             "Permission is hereby granted, free of charge, to any person getting a copy of this software and associated docs files", "This program is free software; you may redistribute it and/or modify it under terms of the GNU General Public License"]
@@ -465,6 +574,9 @@ def test_empty_tables(spark, docs):
     assert imatch.fingerprints_of_edits(none).count() == 0
     assert mixing.mix_sources(none).count() == 0
     assert langid.identify(none, langid.train(none)).count() == 0
+    marks = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.score_quality(none, quality.train(none, marks)).count() == 0
+    assert {r._score for r in quality.score_quality(docs, quality.train(docs, marks)).collect()} == {0.5}
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert filter_urls(pages, []).count() == 0
     assert htmltext.extract_pages(pages, htmltext.train(10)).count() == 0
