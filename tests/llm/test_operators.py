@@ -473,11 +473,70 @@ def test_mixture_meets_targets(spark):
         assert abs(taken[s] - want[s]) <= max(30, 0.002 * want[s]), s
 
 
-def test_dual_is_solved(spark):
-    rows = [(10.0, 30.0), (100.0, 1.0), (5.0, 5.0), (1e12, 3.0), (0.0, 0.0), (7.0, 0.0)]
-    df = spark.createDataFrame(rows, "tokens double, target double")
-    for r in df.withColumn("rate", mixing.dual_rate(df.tokens, df.target)).collect():
-        assert r.rate * r.tokens == pytest.approx(r.target)
+def test_rates_are_optimal_and_rounded_as_stated(spark):
+    """Constraints and the optimum's conditions over documents in plain numpy, then the rounding, document by document."""
+    rng = random.Random(7)
+    rows = [(i, " ".join("w" for _ in range(int(rng.lognormvariate(3 + (i % 4) / 2, 0.8)))), "abcd"[i % 4] if i % 3 else "a") for i in range(2000)] + [(9000, "", "e"), (9001, "w", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in mixing.mix_sources(df, carry=("doc_id", "source")).collect()}
+    size = np.array([len(t.split()) for _, t, _ in rows], float)
+    source = np.array([s for _, _, s in rows])
+    rate = np.array([out[i]._rate for i, _, _ in rows])
+    some = size > 0
+    log = np.log(size[some])
+    w = size[some]
+    centre = (w @ log) / w.sum()
+    z = (log - centre) / np.sqrt(w @ (log - centre) ** 2 / w.sum())
+    moments = np.stack([z, z * z - 1], axis=1)
+    inner, full = np.zeros(len(w), bool), np.zeros(len(w), bool)
+    for s in "abcdf":
+        own = source[some] == s
+        target = out[rows[np.flatnonzero(source == s)[0]][0]]._target
+        assert (w * rate[some])[own].sum() == pytest.approx(target, rel=1e-4)
+        full |= own & (target >= 3 * w[own].sum() * (1 - 1e-9))
+    inner = (rate[some] < 3) & ~full
+    # log rate is a multiplier of the source plus a tilt along the moments ...
+    dummies = np.stack([source[some] == s for s in "abcdf"], axis=1).astype(float)
+    fit, *_ = np.linalg.lstsq(np.hstack([dummies, moments])[inner], np.log(rate[some])[inner], rcond=None)
+    assert np.hstack([dummies, moments])[inner] @ fit == pytest.approx(np.log(rate[some])[inner], abs=1e-5)
+    # ... and the tilt is where the moments' pull and the penalty balance
+    tilt = fit[-2:]
+    total = sum({s: out[rows[np.flatnonzero(source == s)[0]][0]]._target for s in "abcdf"}.values())
+    assert moments.T @ (w * rate[some]) / total + mixing.PENALTY * tilt == pytest.approx(np.zeros(2), abs=1e-4)
+    assert np.abs(tilt).max() > 0.01
+    spots = {r.doc_id: r.s for r in df.select("doc_id", (mixing.F.pmod(mixing.F.xxhash64("doc_id", mixing.F.lit(5)), mixing.F.lit(1 << 20)) / float(1 << 20)).alias("s")).collect()}
+    for s in "abcdf":
+        carried = 0.0
+        by_class = {}
+        for i, t, own in rows:
+            if own == s and t:
+                n, r = len(t.split()), out[i]._rate
+                whole = int(r + 1e-9)
+                rest = max(r - whole, 0.0)
+                by_class.setdefault(int(np.floor(np.log2(n + 0.5))), []).append((int((spots[i] - rest + 1) * (mixing.SLOTS // 2)), n, rest, i, whole))
+        for c in sorted(by_class, reverse=True):
+            wanted = sum(round(x[2] * x[1] * mixing.PARTS) for x in by_class[c]) / mixing.PARTS + carried
+            slots = sorted({x[0] for x in by_class[c]})
+            ends = [(abs(wanted), 0.0, 0)] + [(abs(upto - wanted), upto, q + 1) for q in slots for upto in [float(sum(x[1] for x in by_class[c] if x[0] <= q))]]
+            _, got, until = min(ends)
+            carried = wanted - got
+            for q, n, _, i, whole in by_class[c]:
+                assert out[i]._copies == min(whole + (q < until), 3) and out[i]._taken == n * out[i]._copies
+
+
+def test_ranks_across_ranges(spark):
+    names = [None, "B", "a", "é", "z", "ab", "", "\uffff", "\U0001F600"] + [f"s{i}" for i in range(500)]
+    got = {r.source: r.place for r in mixing.ranked(spark.createDataFrame([(n,) for n in names], "source string").repartition(5)).collect()}
+    order = sorted((n for n in names if n is not None), key=lambda n: n.encode()) + [None]
+    assert got == {n: i for i, n in enumerate(order)}
+
+
+def test_mixture_by_shuffled_plans_is_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "w " * rng.randint(0, 50), f"s{i % 7}") for i in range(700)], "doc_id long, text string, source string")
+    one = sorted(mixing.mix_sources(df, carry=("doc_id",)).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(mixing.mix_sources(df.repartition(5), carry=("doc_id",)).collect()) == one
 
 
 PAGES = {
