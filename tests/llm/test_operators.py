@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import cases
-from lexquarry.llm import htmltext, imatch, langid, license, mixing, neardup, quality, textnum
+from lexquarry.llm import htmltext, imatch, langid, license, mixing, neardup, quality, textnum, urlfilter
 from lexquarry.llm.decontam import decontaminate
 from lexquarry.llm.graph import components
 from lexquarry.llm.neardup import near_duplicates
@@ -214,7 +214,7 @@ def test_contamination_in_blocks_is_the_same(spark, docs, rows, monkeypatch):
 URLS = [None, "", "no scheme/x", "http://A.Example.com/en/7/x?q", "https://example.com/en/70", "http://example.net/de/8#f", "http://example.net/de", "http://x.net/de/", "ftp://org/es/", "http://myorg/es/", "http://a.org", "http://", "http://com/en/://x", "http://EXAMPLE.com:80/en/", "x\n://com/en/y", "http://netx.com/en/a/b"]
 
 
-def test_url_filter_matches_plain_rules(spark):
+def test_url_filter_matches_plain_rules(spark, monkeypatch):
     rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"), ("allow", "org/es/"), ("block", "x.net")]
     trie = Trie(rules)
     for url in URLS:
@@ -226,6 +226,15 @@ def test_url_filter_matches_plain_rules(spark):
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)], "page_id long, url string, host string")
     out = by_id(filter_urls(df, rules, carry=("page_id",)), "page_id")
     assert [out[i]._host for i in range(4)] == ["", "", "", "a.example.com"] and out[3]._verdict == "allow" and out[0]._rule is None
+    one = sorted(filter_urls(df, rules, carry=("host", "page_id")).collect(), key=str)
+    listed = spark.createDataFrame(rules, "action string, rule string")
+    assert sorted(filter_urls(df, listed, carry=("host", "page_id")).collect(), key=str) == one
+    monkeypatch.setattr(urlfilter, "MAX_RULES", 3)
+    for more in (rules, listed):
+        assert sorted(filter_urls(df.repartition(3), more, carry=("host", "page_id")).collect(), key=str) == one
+    deep = [("block", "x.org/" + "a/" * 3000 + "b")]
+    far = spark.createDataFrame([(1, "http://x.org/" + "a/" * 3000 + "bc")], "page_id long, url string")
+    assert filter_urls(far, deep).first()._verdict == "block"
 
 
 def test_quality_learns_and_holds_out(spark):
