@@ -201,14 +201,28 @@ def test_contamination_matches_brute_force(spark, docs, rows):
         assert r._contaminated == (hit > 0 and 20 * hit >= n)
 
 
-def test_contamination_in_blocks_is_the_same(spark, docs, rows, monkeypatch):
+def test_contamination_is_the_same_however_much_passes(spark, docs, rows, monkeypatch):
+    """A bitmap that lets nearly everything pass, and a shuffle instead of the broadcast."""
     from lexquarry.llm import decontam
+    from lexquarry.llm import spark as own
 
     items = [(i, t) for i, t in enumerate(rows) if t][:30]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    one = decontaminate(docs, bench, carry=("doc_id",)).collect()
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 4000)
-    assert sorted(decontaminate(docs, bench, carry=("doc_id",)).collect()) == sorted(one)
+    one = sorted(decontaminate(docs, bench, carry=("doc_id", "words")).collect())
+    for t, (n, hit, names) in zip(rows, cases.hits(rows, [(str(i), t) for i, t in items], 13), strict=True):
+        assert any(r._n_words == n and r._n_hit == hit and r._n_items == len(names) for r in one)
+    monkeypatch.setattr(decontam, "LEAST_BITS", 6)
+    monkeypatch.setattr(decontam, "MOST_BITS", 6)
+    monkeypatch.setattr(own, "BROADCAST_BYTES", -1)
+    assert sorted(decontaminate(docs, bench, carry=("doc_id", "words")).collect()) == one
+
+
+def test_contamination_of_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(None, text), (None, "other"), (5, text), (5, text), (5, "w1 w2"), (6, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (7, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
+    out = sorted(str(tuple(r)[:4]) for r in decontaminate(df, bench, carry=("doc_id",)).collect())
+    assert out == sorted(str(x) for x in [(None, 30, 30, 2), (None, 1, 0, 0), (5, 30, 30, 2), (5, 30, 30, 2), (5, 2, 0, 0), (6, 0, 0, 0)])
 
 
 URLS = [None, "", "no scheme/x", "http://A.Example.com/en/7/x?q", "https://example.com/en/70", "http://example.net/de/8#f", "http://example.net/de", "http://x.net/de/", "ftp://org/es/", "http://myorg/es/", "http://a.org", "http://", "http://com/en/://x", "http://EXAMPLE.com:80/en/", "x\n://com/en/y", "http://netx.com/en/a/b"]
