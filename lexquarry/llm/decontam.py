@@ -26,14 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.spark import cut, prepare, small
-from lexquarry.llm.textnum import ALNUM_LOWER, U64, Words, int64, lists, slices
+from lexquarry.llm.textnum import ALNUM_LOWER, U64, Words, int64, lists, slices, word_counts
 
 SHINGLE = 5
 #: Bits of the bitmap: 16 a shingle, between these powers of two (32 MB at most).
 LEAST_BITS, MOST_BITS = 20, 28
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of the text with A-Z lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _strings(words: Words, data: np.ndarray, first: int, last: int) -> list[str]:
@@ -165,15 +163,18 @@ def hits(docs: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
     return found.select("id", "tk", "n_words", order["n"].alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("names"))).alias("names"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, one_in: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The columns `carry` of each document, _n_words, _n_hit, _n_items, _items_sha256 and _contaminated (hit words are at least one in `one_in`)."""
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, one_in: int = 20, carry: tuple[str, ...] = (), sizes: bool = True) -> DataFrame:
+    """The columns `carry` of each document, _n_words (if sizes), _n_hit, _n_items, _items_sha256 and _contaminated (hit words are at least one in `one_in`)."""
     prepare(docs.sparkSession)
     named = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.col(item_text).alias("text")).where("text <> ''")
     # rows are known by id and a hash of the text; those alike in both have the same hits
     known = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
     found = hits(known, named, window)
     kept = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
-    out = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tk"), F.regexp_count(text_col, F.lit(WORD)).alias("_n"), *kept)
+    out = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tk"), *kept)
+    if sizes:  # only documents that are hit are counted otherwise
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[1:])
+        out = out.mapInArrow(word_counts(ALNUM_LOWER), f"n long, {fields}").withColumnRenamed("n", "_n")
     none = F.sha2(F.lit(""), 256)
     if found is None:
         out = out.select("*", *(F.lit(0).cast("long").alias(c) for c in ("n_hit", "n_items")), none.alias("sum"))
@@ -182,6 +183,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
         out = out.join(found, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_tk") == F.col("tk")), "left")
     zero = F.lit(0).cast("long")
     hit = F.coalesce("n_hit", zero)
-    words = F.coalesce("_n", F.lit(0)).cast("long")
-    bad = (hit > 0) & (hit * one_in >= (words if found is None else F.coalesce("n_words", zero)))
-    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)), words.alias("_n_words"), hit.alias("_n_hit"), F.coalesce("n_items", zero).alias("_n_items"), F.coalesce("sum", none).alias("_items_sha256"), bad.alias("_contaminated"))
+    bad = (hit > 0) & (hit * one_in >= (zero if found is None else F.coalesce("n_words", zero)))
+    words = [F.col("_n").alias("_n_words")] if sizes else []
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)), *words, hit.alias("_n_hit"), F.coalesce("n_items", zero).alias("_n_items"), F.coalesce("sum", none).alias("_items_sha256"), bad.alias("_contaminated"))

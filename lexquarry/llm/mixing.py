@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexquarry.llm.spark import cut, prepare
+from lexquarry.llm.textnum import SPACED, word_counts
 
 #: Slots of each source and class of sizes.
 SLOTS = 2048
@@ -168,11 +169,13 @@ def _parts(size: Column, rate: Column, spot: Column) -> tuple[Column, Column, Co
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """The columns `carry` of each document, _size, _source_size, _target (its source's), _rate, _copies and _taken (copies * size)."""
     prepare(docs.sparkSession)
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     spot = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     level = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size") + F.lit(0.5)))).otherwise(-1).cast("int")
     # numbers of each document, so that texts are read once more only, for the result
-    sized = cut(docs.select(F.col(source_col).alias("source"), size.alias("size"), spot.alias("spot")))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    read = docs.select(F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), spot.alias("spot"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
+    count = lambda df, *more: df.mapInArrow(word_counts(SPACED), ", ".join(["size long, source string, spot double", *more]))
+    sized = cut(count(read.select("text", "source", "spot")))
     cells = cut(sized.groupBy("source", "size").agg((F.count("*") * F.col("size")).alias("tokens")))
     targets = cut(with_targets(cells.groupBy("source").agg(F.sum("tokens").alias("source_size")), weights, cap))
     multipliers, tilt = balanced(cells.where("size > 0"), targets, cap)
@@ -191,7 +194,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = plan.join(taken, F.col("source").eqNullSafe(F.col("source_t"))).drop("source_t").unionByName(plan.select("*", F.lit(-1).alias("class"), F.lit(0).alias("until")))
     rows = cut(rows.withColumnRenamed("class", "class_r"))
 
-    out = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col(source_col).alias("source"), size.alias("size"), spot.alias("spot"))
+    out = count(read, *(f"_c{i} {kinds[c]}" for i, c in enumerate(carry)))
     out = _beside(out.withColumn("class", level), rows, F.col("class") == F.col("class_r"))
     copies = F.when(F.col("size") > 0, F.least(whole + (slot < F.col("until")).cast("int"), F.lit(int(cap)))).otherwise(0).cast("long")
     kept = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]

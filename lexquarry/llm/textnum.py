@@ -238,3 +238,15 @@ def sequence_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
         out[0, i] = (words.hash[a:b] * drawn(2, b - a)[: b - a]).sum(dtype=np.uint64) + U64(b - a)
         out[1, i] = (other[a:b] * drawn(3, b - a)[: b - a]).sum(dtype=np.uint64)
     return mix(out[0]), mix(out[1])
+
+
+def word_counts(kind: WordClass):
+    """For mapInArrow: the number of words instead of the texts of the first column, the other columns as they are."""
+
+    def body(batches):
+        for batch in batches:
+            n = [np.diff(Words(data, offsets, kind).bounds) for _, _, data, offsets in slices(batch.column(0))]
+            n = pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([n, *(batch.column(i) for i in range(1, batch.num_columns))], ["n", *batch.schema.names[1:]])
+
+    return body
