@@ -1,7 +1,13 @@
 """The corpus pipeline: each stage gets the documents that the one before it kept, and returns documents.
 
 All stages but the last return the columns of documents; columns beyond these are dropped. Stages judge
-their own input only: texts shortened by one are what the next one reads.
+their own input only: texts shortened by one are what the next one reads. run() keeps what each stage
+returns before the next one reads it, several times over, so no stage is computed again for a later one.
+
+Cases. Documents of a null id pass language_id by their text alone, are never held to be copies of others
+by near_dedup, lose no passage in substring_dedup, and are judged by decontamination and source_mixing like
+any others; rows that repeat an id are documents of their own. Null and empty texts go with language_id. An
+empty table gives an empty result of the same columns; an empty benchmark rejects nothing.
 """
 
 from __future__ import annotations
@@ -61,7 +67,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more of the words lie in benchmark passages."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS, sizes=False)
     return found.where(~F.col("_contaminated")).select(*COLUMNS)
 
 
@@ -85,6 +91,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
