@@ -1,6 +1,7 @@
 import cases
 import corpus_pipeline
 import pytest
+from lexquarry.llm import langid
 from lexquarry.llm.queries import QUERIES
 
 
@@ -77,5 +78,39 @@ def test_whole_pipeline_runs_at_once(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 50
 
 
+def test_each_document_is_told_its_language_once(spark, folder, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), langid._predicted
+
+    def counted(model, margin):
+        body = plain(model, margin)
+
+        def run(batches):
+            for batch in body(batches):
+                seen.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(langid, "_predicted", counted)
+    corpus_pipeline.run(spark, folder[0]).write.format("noop").mode("overwrite").save()
+    assert seen.value == len(folder[1])
+
+
+def test_pipeline_of_empty_tables_and_null_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = " ".join(f"word{i}" for i in range(80))
+    tables = {
+        "none": ([], [(1, text)]),
+        "nulls": ([(None, text, "en", None, 1), (None, text, None, "s", None), (None, None, None, None, None), (3, text, "en", "s", 5), (4, text + " end", "en", "s", 5), (5, "une autre phrase", "fr", None, 3), (5, "noch ein Satz", "de", "t", 3)], []),
+    }
+    for name, (rows, bench) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert out.count() == 0 and out.columns[:5] == list(corpus_pipeline.COLUMNS)
+    out = corpus_pipeline.run(spark, f"{tmp_path}/nulls").collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("None", text), ("None", text), ("3", text), ("5", "une autre phrase"), ("5", "noch ein Satz")])
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
