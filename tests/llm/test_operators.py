@@ -437,6 +437,55 @@ def test_licenses_match_brute_force(spark):
     assert out[9]._labels == "mit" and out[9]._base_labels == "" and "gpl" in out[10]._labels and out[4]._score == 0
 
 
+def scanned(words, templates, k, drift, enough):
+    """Votes, diagonals, islands and spans of each template, one by one."""
+    found = []
+    for text, label, base in templates:
+        t = license.template_words(text)
+        ats = {}
+        for p in range(len(words) - k + 1):
+            for at in range(len(t) - k + 1):
+                if words[p : p + k] == t[at : at + k]:
+                    ats.setdefault(p - at, []).append((at, p))
+        grams = len(t) - k + 1
+        islands, last = [], None
+        for d in sorted(ats):
+            if not base and len({at for at, _ in ats[d]}) < min(license.LEAST_VOTES, grams):
+                continue
+            if last is None or base or d - last > drift:
+                islands.append([])
+            islands[-1] += ats[d]
+            last = d
+        for own in islands:
+            share = len({at for at, _ in own}) / grams
+            low, high = min(p for _, p in own), max(p for _, p in own)
+            found.append((share, label if (share == 1 if base else share >= enough and high - low + k <= 1.5 * len(t)) else None))
+    return ",".join(sorted({label for _, label in found if label})), min(1.0, max((s for s, _ in found), default=0.0))
+
+
+def test_merged_diagonals_match_brute_force(spark):
+    """Texts of licenses with words left out, put in and changed, alone and within others."""
+    rng = random.Random(11)
+    templates = [*((t, v, True) for t, v in license.PHRASES.items()), *((t, v, False) for t, v in (license.NOTICES | license.TEXTS).items())]
+    rows = []
+    for n in range(60):
+        w = []
+        for _ in range(rng.randint(1, 2)):
+            t = license.template_words(rng.choice(templates)[0])
+            w += [f"x{rng.randrange(99)}" for _ in range(rng.randint(0, 20))]
+            often = rng.choice((0, 0.03, 0.1, 0.3))
+            for x in t:
+                edit = rng.random()
+                w += [] if edit < often / 3 else [x, "put"] if edit < 2 * often / 3 else ["changed"] if edit < often else [x]
+        rows.append(" ".join(w))
+    out = by_id(license.scan_licenses(cases.documents(spark, rows), carry=("doc_id",)))
+    for i, t in enumerate(rows):
+        labels, score = scanned(t.split(), templates, license.K, 4, 0.6)
+        assert out[i]._labels == labels and out[i]._score == pytest.approx(score), i
+    whole = " ".join(license.template_words(next(iter(license.TEXTS))))
+    assert scanned(whole.replace("without restriction", "with no restriction at all").split(), templates, license.K, 4, 0.6)[0] == "mit"
+
+
 def test_fingerprints_of_edits(spark, rows):
     ids = [3 * i - 50 for i in range(len(rows))]
     out = by_id(imatch.fingerprints_of_edits(cases.documents(spark, rows, ids)))
