@@ -85,10 +85,10 @@ def row_text(headers: Column, cells: Column, *, bare: bool = True) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of marks and letters first, then pairs of neighbouring Han characters (neighbours once all else is left out)."""
-    bare = squeeze(text)
-    han = F.regexp_replace(bare, "[^一-鿿]", "")
-    pairs = F.when(F.length(han) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(han) - 1, F.lit(1))), lambda i: F.substring(han, i, F.lit(2)))).otherwise(F.array())
-    return F.concat(F.regexp_extract_all(bare, F.lit(f"([{MARKS}]+)"), F.lit(1)), pairs)
+    han = F.regexp_replace(text, "[^一-鿿]+", "")
+    pairs = lambda h: F.when(F.length(h) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(h) - 1, F.lit(1))), lambda i: F.substring(h, i, F.lit(2)))).otherwise(F.array())
+    # as an element, so that it is computed once
+    return F.concat(F.regexp_extract_all(squeeze(text), F.lit(f"([{MARKS}]+)"), F.lit(1)), F.get(F.transform(F.array(han), pairs), F.lit(0)))
 
 
 def half_width(text: Column) -> Column:

@@ -1,22 +1,27 @@
 """BM25 over chunks, for any number of questions at once.
 
-Text tokens count once and title tokens `title_weight` times. Lengths come from the token arrays without a
-shuffle; only postings of the questions' terms are formed, after a join with those terms, so a batch of
-questions costs one pass over the chunks. Postings carry what scoring and ranking need of their chunk, so the
-chunks are joined only to the hits. A saved index holds the postings in order of their term.
+Text tokens count once and title tokens `title_weight` times. A chunk's whole score can be told from its own tokens
+once document frequencies are known, so two passes over the chunks do: one counts what the questions' terms need,
+the other scores every chunk where it lies and keeps each task's best k a question. Only those are shuffled. More
+terms than BROADCAST_TERMS, or a saved index, are scored by joins instead: postings are formed, or read, for the
+questions' terms only, and carry what scoring and ranking need of their chunk. A saved index holds the postings in
+order of their term, so that a question's terms prune row groups.
 
 Ties: scores are compared rounded to six decimals, then by the first question token that matched, then by chunk_ix.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexquarry.functions.text import tokens
 
-#: Distinct terms of a batch of questions that are broadcast (about 40 bytes each); more are joined by a shuffle.
+#: Distinct terms, and pairs of question and term, of a batch of questions that are broadcast (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_TERMS = 500_000
 
 
@@ -80,17 +85,128 @@ def weight(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, k1: flo
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def scores(index: Index, questions: DataFrame, *, tokenizer=tokens, k1: float = 1.6, b: float = 0.75) -> DataFrame:
-    """qid, CARRIED, score and first_at of every chunk that shares a term with the question; statistics cover history too."""
-    asked = question_terms(questions, tokenizer=tokenizer)
+def _tallied(batch: pa.RecordBatch, terms: pa.Array, title_weight: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weighted tf) of the given terms in a batch, by term, then row."""
+    keys, weights = [], []
+    for name, w in (("terms", 1), ("title_terms", title_weight)):
+        column = batch.column(name)
+        at = pc.index_in(column.flatten(), value_set=terms)
+        row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        keys.append(pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[known].astype(np.int64) * batch.num_rows + row[known])
+        weights.append(np.full(int(known.sum()), w, np.int64))
+    key, which = np.unique(np.concatenate(keys), return_inverse=True)
+    tf = np.bincount(which, np.concatenate(weights), len(key)).astype(np.int64)
+    return key % max(batch.num_rows, 1), key // max(batch.num_rows, 1), tf
+
+
+def _counts(terms: list[str], title_weight: int):
+    """Chunks with each term (by its number), and at -1 and -2 how many chunks there are and how long they are together."""
+
+    def run(batches):
+        values, df, n, length = pa.array(terms, pa.string()), np.zeros(len(terms), np.int64), 0, 0
+        for batch in batches:
+            df += np.bincount(_tallied(batch, values, title_weight)[1], minlength=len(terms))
+            n += batch.num_rows
+            length += pc.sum(batch.column("dl")).as_py() or 0
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *at], pa.int64()), pa.array([n, length, *df[at]], pa.int64())], ["at", "n"])
+
+    return run
+
+
+def _best(question: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each question's k best scores, and of those that rounding might put among them."""
+    order = np.lexsort((-score, question))
+    first = np.flatnonzero(np.append(True, question[order][1:] != question[order][:-1]))
+    size = np.diff(np.append(first, len(order)))
+    least = np.repeat(score[order][first + np.minimum(size, k) - 1] - 1e-6, size)
+    return order[score[order] >= least]
+
+
+def _scored(questions: list, asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]], history: np.ndarray, terms: list[str], idf: np.ndarray, avgdl: float, k: int, title_weight: int, k1: float, b: float):
+    """The best chunks of a task. asked: for each question its terms (numbers), how often it has them and where first."""
+
+    def run(batches):
+        values, kept = pa.array(terms, pa.string()), None
+        for batch in batches:
+            row, term, tf = _tallied(batch, values, title_weight)
+            dl = batch.column("dl").to_numpy(zero_copy_only=False)[row]
+            w = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+            lo, hi = np.searchsorted(term, np.arange(len(terms)), "left"), np.searchsorted(term, np.arange(len(terms)), "right")
+            latest = batch.column("is_latest").to_numpy(zero_copy_only=False) != 0
+            found = []
+            for q, (own, qtf, _) in enumerate(asked):
+                total = np.zeros(batch.num_rows)
+                for t, n in zip(own.tolist(), qtf.tolist(), strict=True):
+                    total[row[lo[t] : hi[t]]] += n * w[lo[t] : hi[t]]
+                at = np.flatnonzero((total > 0) if history[q] else (total > 0) & latest)
+                if len(at) > k:
+                    at = at[total[at] >= np.partition(total[at], -k)[-k] - 1e-6]
+                if len(at):
+                    found.append((np.full(len(at), q), at, total[at]))
+            if not found:
+                continue
+            which, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            key = term * batch.num_rows + row
+            first = np.full(len(at), np.iinfo(np.int32).max)
+            for i, (q, r) in enumerate(zip(which.tolist(), at.tolist(), strict=True)):
+                own, _, places = asked[q]
+                wanted = own * batch.num_rows + r
+                place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                first[i] = places[key[place] == wanted].min()
+            new = pa.Table.from_batches([batch.select(list(CARRIED)).take(pa.array(at))])
+            new = new.append_column("q", pa.array(which, pa.int64())).append_column("score", pa.array(score)).append_column("first_at", pa.array(first, pa.int32()))
+            kept = new if kept is None else pa.concat_tables([kept, new])
+            kept = kept.take(pa.array(_best(kept["q"].to_numpy(), kept["score"].to_numpy(), k)))
+        if kept is not None:
+            qid = pa.array(questions).take(kept["q"].combine_chunks())
+            yield from kept.drop(["q"]).append_column("qid", qid).select(["qid", *CARRIED, "score", "first_at"]).combine_chunks().to_batches()
+
+    return run
+
+
+class Frequencies:
+    """What the questions' terms need to know of all chunks: N, avgdl and (term, df)."""
+
+    def __init__(self, n: int, avgdl: float, freq: DataFrame):
+        self.n, self.avgdl, self.freq = n, avgdl, freq
+
+
+def _in_rows(index: Index, asked: DataFrame, history: DataFrame, k: int, k1: float, b: float) -> tuple[DataFrame, Frequencies]:
+    """The best chunks of every task, scored where they lie, and the frequencies."""
+    spark = index.chunks.sparkSession
+    rows = asked.collect()  # BROADCAST_TERMS pairs at most
+    terms = sorted({r["term"] for r in rows})
+    number = {t: i for i, t in enumerate(terms)}
+    source = index.chunks.select(*CARRIED, "terms", "title_terms")
+    counts = {r["at"]: r["n"] for r in source.mapInArrow(_counts(terms, index.title_weight), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    n, avgdl = counts.get(-1, 0), counts.get(-2, 0) / counts[-1] if counts.get(-1) else 1.0
+    df = np.array([counts.get(i, 0) for i in range(len(terms))], np.float64)
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r["qid"], []).append((number[r["term"]], r["qtf"], r["first_at"]))
+    questions = list(by)
+    old = {r["qid"]: r["include_history"] for r in history.collect()}
+    parts = [tuple(np.array(x, np.int64) for x in zip(*sorted(own), strict=True)) for own in by.values()]
+    run = _scored(questions, parts, np.array([bool(old.get(q)) for q in questions]), terms, np.log(1 + (n - df + 0.5) / (df + 0.5)), avgdl or 1.0, k, index.title_weight, k1, b)
+    kinds = {f.name: f.dataType.simpleString() for f in (*source.schema, *asked.schema)}
+    schema = ", ".join([f"qid {kinds['qid']}", *(f"{c} {kinds[c]}" for c in CARRIED), "score double", "first_at int"])
+    found = source.mapInArrow(run, schema).withColumn("score", F.round("score", 6))
+    return found, Frequencies(n, avgdl, spark.createDataFrame([(t, int(x)) for t, x in zip(terms, df, strict=True)], "term string, df long"))
+
+
+def scores(index: Index, asked: DataFrame, *, k1: float = 1.6, b: float = 0.75, known: Frequencies | None = None) -> DataFrame:
+    """qid, CARRIED, score and first_at of every chunk that shares a term with a question (question_terms); statistics cover history too."""
     terms = asked.select("term").distinct()
     small = terms.count() <= BROADCAST_TERMS
     mark = F.broadcast if small else (lambda d: d)
     postings = index.postings(mark(terms))
-    freq = doc_freq(postings)
-    n = index.stats.first()
-    each = postings.join(mark(freq), "term").join(mark(asked), "term")
-    one = weight(F.col("tf"), F.col("df"), F.col("dl"), F.lit(n["N"]), F.lit(n["avgdl"]), k1, b)
+    if known is None:
+        row = index.stats.first()
+        known = Frequencies(row["N"], row["avgdl"], doc_freq(postings))
+    each = postings.join(mark(known.freq), "term").join(mark(asked), "term")
+    one = weight(F.col("tf"), F.col("df"), F.col("dl"), F.lit(known.n), F.lit(known.avgdl), k1, b)
     return each.groupBy("qid", *CARRIED).agg(F.round(F.sum(F.col("qtf") * one), 6).alias("score"), F.min("first_at").alias("first_at"))
 
 
@@ -100,18 +216,26 @@ def retrieve(index: Index, questions: DataFrame, *, k: int = 5, drilldown: bool
     drilldown: of a document with three table rows or more of which none was picked, its best row takes the place
     of its lowest pick.
     """
-    history = F.col("include_history") if "include_history" in questions.columns else F.lit(False)
-    asked = questions.select("qid", F.coalesce(history, F.lit(False)).alias("include_history"))
-    found = scores(index, questions, tokenizer=tokenizer, k1=k1, b=b).join(F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked, "qid")
+    old = F.col("include_history") if "include_history" in questions.columns else F.lit(False)
+    history = questions.select("qid", F.coalesce(old, F.lit(False)).alias("include_history"))
+    asked = question_terms(questions, tokenizer=tokenizer)
+    few = asked.count() <= BROADCAST_TERMS
     order = (F.desc("score"), "first_at", "chunk_ix")
+    if few and index._postings is None:
+        found, known = _in_rows(index, asked, history, k, k1, b)
+    else:
+        found, known = scores(index, asked, k1=k1, b=b).join(F.broadcast(history) if few else history, "qid").where("include_history or is_latest <> 0"), None
     # top k per question: the window's rank limit is pushed below its shuffle
-    picks = found.where("include_history or is_latest <> 0").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
+    picks = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
     picks = picks.select("qid", "chunk_ix", "doc_id", "is_row", "score", "rank")
     if drilldown:
         by_doc = picks.groupBy("qid", "doc_id").agg(F.max("is_row").alias("has_row"), F.min(F.struct("score", "rank")).alias("low")).where("not has_row").select("qid", "doc_id", "low.rank")
         table = by_doc.join(index.rows.where("n_rows >= 3").select("doc_id"), "doc_id")
-        rows = found.where("is_row").join(table, ["qid", "doc_id"])
+        if known is not None:  # the rows of those documents, k a question at most, are scored again, each by itself
+            wanted = index.chunks.where("is_row").join(F.broadcast(table.select("doc_id").distinct()), "doc_id", "left_semi")
+            found = scores(Index(wanted, index.stats, index.rows, None, index.title_weight), asked, k1=k1, b=b, known=known)
+        rows = found.where("is_row").join(F.broadcast(table) if few else table, ["qid", "doc_id"])
         best = rows.withColumn("_r", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(*order))).where("_r = 1").select("qid", "rank", F.col("chunk_ix").alias("_ix"), F.col("score").alias("_score"))
         picks = picks.join(best, ["qid", "rank"], "left").select("qid", F.coalesce("_ix", "chunk_ix").alias("chunk_ix"), F.coalesce("_score", "score").alias("score"), "rank")
     final = picks.select("qid", "chunk_ix", "score", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "rank")).cast("int").alias("rank"))
-    return final.join(index.chunks.drop("terms", "title_terms"), "chunk_ix")
+    return index.chunks.drop("terms", "title_terms").join(F.broadcast(final) if few else final, "chunk_ix")

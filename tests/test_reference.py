@@ -197,3 +197,28 @@ def test_evidence_is_taken_from_all_documents(spark, tmp_path):
         want = con.execute(sql[name])
         got = queries[name](spark, str(tmp_path)).select(*(d[0] for d in want.description)).collect()
         assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+def test_scores_where_chunks_lie_match_joins(spark, monkeypatch):
+    """Ties, history, drilldown and repeated question words: in-row scoring against postings, and a saved index."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    chunks = [(i, f"d{i % 20}", rng.choice(words), "，".join(rng.choice(words) for _ in range(rng.randint(0, 12))), i % 3, f"r{i}" if i % 2 else None) for i in range(400)]
+    df = spark.createDataFrame(chunks, "chunk_ix long, doc_id string, doc_title string, text string, is_latest int, row_range string").repartition(6)
+    asked = [(i, "，".join(rng.choice(words) for _ in range(rng.randint(1, 6))), i % 2 == 0) for i in range(25)] + [(99, "none", True), (100, None, None)]
+    q = spark.createDataFrame(asked, "qid long, question string, include_history boolean")
+    take = lambda: sorted(bm25.retrieve(bm25.build(df), q, k=4).select("qid", "rank", "chunk_ix", "score").collect())
+    one = take()
+    assert len({r.qid for r in one}) == 25
+    monkeypatch.setattr(bm25, "BROADCAST_TERMS", 0)
+    assert take() == one
+
+
+def test_a_saved_index_answers_alike(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"d{i}", "t", f"alpha，b{i % 7}，c{i % 3}", 1) for i in range(50)], "chunk_ix long, doc_id string, doc_title string, text string, is_latest int")
+    q = spark.createDataFrame([(1, "b3，c1"), (2, "alpha")], "qid long, question string")
+    index = bm25.build(df)
+    index.save(str(tmp_path))
+    take = lambda index: sorted(bm25.retrieve(index, q).select("qid", "rank", "chunk_ix", "score").collect())
+    assert take(bm25.Index.load(spark, str(tmp_path))) == take(index)
