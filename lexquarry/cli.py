@@ -1,4 +1,9 @@
-"""Command line: index, search, ask, eval and calibrate."""
+"""Command line: index, search, ask, eval and calibrate.
+
+The model of answers is the chat-completion service that LEXQUARRY_LLM_URL, _MODEL and _KEY name; LEXQUARRY_JUDGE_MODEL
+names another one of its models for judging. Dense retrieval takes its vectors from LEXQUARRY_EMBED, module:function,
+which gets a list of texts and returns a list of vectors.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,16 @@ import json
 import os
 import urllib.request
 from functools import partial
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.operators import bm25, evaluation, generation
+from lexquarry.operators import bm25, dense, evaluation, generation, registry
 from lexquarry.plans import corpus
 from lexquarry.session import session
 from lexquarry.sources import files
+from lexquarry.types import DETAIL, RECORD
 
 
 def chat(prompt: str, *, url: str, model: str, key: str, system: str = "", temperature: float = 0.1, tokens: int = 800, timeout: float = 30) -> str:
@@ -27,24 +34,61 @@ def chat(prompt: str, *, url: str, model: str, key: str, system: str = "", tempe
 
 
 def model_from_environment():
-    """The model that LEXQUARRY_LLM_URL, _MODEL and _KEY name."""
+    """The model that answers, told what it may say."""
     key = os.environ.get("LEXQUARRY_LLM_KEY")
     if not key:
         raise RuntimeError("LEXQUARRY_LLM_KEY isn't set; `search` works without a model")
-    return partial(chat, url=os.environ["LEXQUARRY_LLM_URL"], model=os.environ["LEXQUARRY_LLM_MODEL"], key=key)
+    return partial(chat, url=os.environ["LEXQUARRY_LLM_URL"], model=os.environ["LEXQUARRY_LLM_MODEL"], key=key, system=generation.SYSTEM)
+
+
+def judge_from_environment():
+    """The model that judges, or None without a key: then the answers' keys decide."""
+    key = os.environ.get("LEXQUARRY_LLM_KEY")
+    return key and partial(chat, url=os.environ["LEXQUARRY_LLM_URL"], model=os.environ.get("LEXQUARRY_JUDGE_MODEL") or os.environ["LEXQUARRY_LLM_MODEL"], key=key, temperature=0, tokens=120)
+
+
+def embedding_from_environment():
+    module, _, name = os.environ.get("LEXQUARRY_EMBED", "").partition(":")
+    if not name:
+        raise RuntimeError("LEXQUARRY_EMBED isn't set to module:function")
+    return getattr(import_module(module), name)
+
+
+def _retriever(spark: SparkSession, args) -> corpus.Retriever:
+    return dense.Index.load(spark, args.index, embedding_from_environment()) if args.retriever == "dense" else bm25.Index.load(spark, args.index)
+
+
+def _known(spark: SparkSession, log: str) -> tuple[DataFrame | None, int]:
+    """The last record of every document in the log, and the number of the next run."""
+    if not files.exists(spark, log):
+        return None, 0
+    lines = spark.read.schema(RECORD).json(log)
+    return files.registry_log(lines), (lines.agg(F.max("line")).first()[0] or 0) + 1
 
 
 def _index(spark: SparkSession, args) -> None:
     meta = lambda name: files.json_map(spark, f"{args.meta}/{name}") if args.meta else None
-    records = corpus.finalize(corpus.build_registry(spark, args.corpus), date_overrides=meta("dates.json"), title_overrides=meta("titles.json"))
-    records.write.mode("overwrite").parquet(f"{args.index}/registry")
+    log = f"{args.index}/registry_log"
+    known, number = _known(spark, log)
+    registry.append_log(corpus.build_registry(spark, args.corpus, known), log, number)
+    ungrouped = None
+    if args.meta and files.exists(spark, f"{args.meta}/ungroup.json"):
+        paths = spark.read.text(f"{args.meta}/ungroup.json", wholetext=True)
+        ungrouped = paths.select(F.explode(F.from_json("value", "array<string>")).alias("file_path"))
+    records = corpus.finalize(_known(spark, log)[0], date_overrides=meta("dates.json"), title_overrides=meta("titles.json"), ungrouped=ungrouped)
+    registry.write_reviews(records, args.index)
     records = spark.read.parquet(f"{args.index}/registry")
+    registry.parse_counts(records).orderBy("format").show()
+    registry.version_counts(records).show()
     markdown = files.scan_markdown(spark, *args.markdown) if args.markdown else None
     made = corpus.chunks(spark, args.corpus, records, markdown)
     made.write.mode("overwrite").parquet(f"{args.index}/made")
     made = spark.read.parquet(f"{args.index}/made")
     corpus.level_histogram(made).show()
-    bm25.build(made).save(args.index)
+    if args.retriever == "dense":
+        dense.build(made, embedding_from_environment()).save(args.index)
+    else:
+        bm25.build(made).save(args.index)
 
 
 def _one(spark: SparkSession, args) -> DataFrame:
@@ -52,33 +96,55 @@ def _one(spark: SparkSession, args) -> DataFrame:
 
 
 def _search(spark: SparkSession, args) -> None:
-    hits = corpus.search(bm25.Index.load(spark, args.index), _one(spark, args), k=args.k)
+    hits = corpus.search(_retriever(spark, args), _one(spark, args), k=args.k)
     for row in corpus.listing(hits).orderBy("rank").toLocalIterator():
         print(row["line"])
 
 
 def _ask(spark: SparkSession, args) -> None:
     question = _one(spark, args)
-    answer = generation.answers(question, corpus.search(bm25.Index.load(spark, args.index), question, k=args.k), model_from_environment()).first()
+    answer = generation.answers(question, corpus.search(_retriever(spark, args), question, k=args.k), model_from_environment()).first()
     print(answer["text"], *answer["citations"], sep="\n")
 
 
+def _judged(spark: SparkSession, rows: DataFrame, args) -> DataFrame:
+    """Verdicts of the judge on (qid, question, golden_answer, answer_text), written once and remembered."""
+    cache, path = f"{args.index}/judge_cache", f"{args.index}/judged"
+    generation.judged(rows, generation.remembered(spark, cache), judge_from_environment()).write.mode("overwrite").parquet(path)
+    done = spark.read.parquet(path)
+    generation.remember(done, cache)
+    return done
+
+
 def _eval(spark: SparkSession, args) -> None:
     asked = files.read_testset(spark, args.testset).withColumn("include_history", F.col("qtype") == "version")
     twins = evaluation.equivalents(files.json_map(spark, args.twins, value="array<string>").select(F.col("key").alias("file"), F.explode("value").alias("same"))) if args.twins else spark.createDataFrame([], "file string, same string")
-    hits = corpus.search(bm25.Index.load(spark, args.index), asked, k=args.k)
+    hits = corpus.search(_retriever(spark, args), asked, k=args.k)
     if args.mode == "retrieval":
         evaluation.retrieval_metrics(asked, hits, twins).orderBy("format").show()
-    else:
-        rows = evaluation.verdicts(asked, generation.answers(asked, hits, model_from_environment()), hits, twins)
-        evaluation.grouped_accuracy(rows).orderBy("by", "value").show(100)
+        return
+    # kept, so that no question is asked twice
+    generation.answers(asked, hits, model_from_environment()).write.mode("overwrite").parquet(f"{args.index}/answers")
+    answers, key_ok = spark.read.parquet(f"{args.index}/answers"), None
+    if args.judge == "llm":
+        judged = _judged(spark, asked.where("qtype <> 'refuse'").join(answers, "qid").select("qid", "question", "golden_answer", F.coalesce("text", F.lit("")).alias("answer_text")), args)
+        key_ok = judged.select("qid", (F.col("verdict") == "correct").alias("key_ok"))
+        evaluation.judge_stats(judged).show()
+    rows = evaluation.verdicts(asked, answers, hits, twins, key_ok=key_ok)
+    found = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "file_name"))).alias("f")).select("qid", F.transform("f", lambda x: x["file_name"]).alias("retrieved_files"))
+    detail = asked.drop("notes", "include_history").join(answers.select("qid", F.col("text").alias("answer_text"), "citations", "degraded"), "qid").join(found, "qid", "left").join(rows.drop("qtype", "format"), "qid")
+    evaluation.write_detail(detail, f"{args.index}/detail")
+    evaluation.grouped_accuracy(spark.read.schema(DETAIL).json(f"{args.index}/detail")).orderBy("by", "value").show(100)
 
 
 def _calibrate(spark: SparkSession, args) -> None:
-    rows = spark.read.json(args.detail)
+    """The judge against people: its verdicts on a full evaluation's answers and their labels."""
+    detail = spark.read.schema(DETAIL).json(args.detail)
     labels = files.json_map(spark, args.labels, value="boolean").select(F.col("key").alias("qid"), F.col("value").alias("human"))
-    evaluation.calibration(rows, labels, threshold=args.threshold).show()
-    evaluation.mismatches(rows, labels).show(100, truncate=False)
+    rows = detail.where("qtype <> 'refuse'").join(labels.select("qid"), "qid", "left_semi")
+    verdicts = _judged(spark, rows.select("qid", "question", "golden_answer", F.coalesce("answer_text", F.lit("")).alias("answer_text")), args).join(rows.select("qid", "qtype"), "qid")
+    evaluation.calibration(verdicts, labels, threshold=args.threshold).show()
+    evaluation.mismatches(verdicts, labels).show(100, truncate=False)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -91,13 +157,13 @@ def main(argv: list[str] | None = None) -> None:
         for flag, extra in options:
             p.add_argument(flag, **extra)
 
-    at = ("--index", {"required": True})
+    at, by = ("--index", {"required": True}), ("--retriever", {"choices": ("bm25", "dense"), "default": "bm25"})
     k, history = ("-k", {"type": int, "default": 5}), ("--history", {"action": "store_true"})
-    command("index", _index, at, ("--corpus", {"required": True}), ("--meta", {}), ("--markdown", {"nargs": "*"}))
-    command("search", _search, at, ("question", {}), k, history)
-    command("ask", _ask, at, ("question", {}), k, history)
-    command("eval", _eval, at, ("--testset", {"required": True}), ("--twins", {}), ("--mode", {"choices": ("retrieval", "full"), "default": "retrieval"}), k)
-    command("calibrate", _calibrate, ("--detail", {"required": True}), ("--labels", {"required": True}), ("--threshold", {"type": float, "default": 0.95}))
+    command("index", _index, at, by, ("--corpus", {"required": True}), ("--meta", {}), ("--markdown", {"nargs": "*"}))
+    command("search", _search, at, by, ("question", {}), k, history)
+    command("ask", _ask, at, by, ("question", {}), k, history)
+    command("eval", _eval, at, by, ("--testset", {"required": True}), ("--twins", {}), ("--mode", {"choices": ("retrieval", "full"), "default": "retrieval"}), ("--judge", {"choices": ("keys", "llm"), "default": "keys"}), k)
+    command("calibrate", _calibrate, at, ("--detail", {"required": True}), ("--labels", {"required": True}), ("--threshold", {"type": float, "default": 0.95}))
     args = parser.parse_args(argv)
     args.run(session(), args)
 

@@ -52,6 +52,9 @@ class Index:
         postings = self.postings()
         postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
 
+    def retrieve(self, questions: DataFrame, *, k: int = 5, drilldown: bool = True) -> DataFrame:
+        return retrieve(self, questions, k=k, drilldown=drilldown)
+
     @staticmethod
     def load(spark, folder: str, title_weight: int = 3) -> Index:
         read = lambda n: spark.read.parquet(f"{folder}/{n}")

@@ -1,26 +1,25 @@
-"""Dense retrieval: cosine similarity of vectors, exact, for a set of questions in blocks; upsert and delete by key."""
+"""Dense retrieval: cosine similarity of vectors, exact, for a set of questions in blocks; upsert and delete by key.
+
+A block of questions is one matrix in every task; a batch of vectors is multiplied with it, and each task keeps its
+best k a question, so only those are shuffled.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Question vectors held by one pass over the vectors; more are further passes.
+#: Question vectors held by one pass over the vectors (16 MB of a thousand numbers each); more are further passes.
 BLOCK = 2_000
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def encode(df: DataFrame, model: Callable[[list[str]], list[list[float]]], text: Column, out: str = "embedding") -> DataFrame:
     """Adds vectors by a model of the caller's, which gets texts in Arrow batches."""
 
@@ -39,30 +38,60 @@ def question_text(question: Column) -> Column:
     return F.concat(F.lit("为这个句子生成表示以用于检索相关文章："), question)  # fixed value
 
 
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of unit length, and their places: those that are neither null nor zero, and of this width."""
+    rows = np.flatnonzero(pc.equal(pc.fill_null(pc.list_value_length(column), -1), width).to_numpy(zero_copy_only=False)) if width else np.zeros(0, np.int64)
+    m = pc.fill_null(column.take(pa.array(rows)).flatten(), 0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
+    norm = np.sqrt((m * m).sum(axis=1))
+    return m[norm > 0] / norm[norm > 0][:, None], rows[norm > 0]
+
+
+def _nearest(ids: list, questions: np.ndarray, key: str, k: int):
+    def run(batches):
+        kept: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        for batch in batches:
+            m, rows = _matrix(batch.column(1), questions.shape[1])
+            if not len(rows) or not len(questions):
+                continue
+            scores = questions @ m.T
+            if len(rows) > k:  # and what rounding might put among the best
+                least = np.partition(scores, -k, axis=1)[:, -k][:, None] - 1e-6
+                q, at = np.nonzero(scores >= least)
+            else:
+                q, at = (x.ravel() for x in np.indices(scores.shape))
+            kept.append((q, scores[q, at], batch.column(0).take(pa.array(rows[at]))))
+            q, score, keys = np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept]), pa.concat_arrays([x[2] for x in kept])
+            order = np.lexsort((-score, q))
+            first = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1]))
+            size = np.diff(np.append(first, len(order)))
+            best = order[score[order] >= np.repeat(score[order][first + np.minimum(size, k) - 1] - 1e-6, size)]
+            kept = [(q[best], score[best], keys.take(pa.array(best)))]
+        for q, score, keys in kept:
+            yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), keys, pa.array(score)], ["qid", key, "score"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, questions: DataFrame, *, k: int = 5, key: str = "vec_id", latest_only: bool = False) -> DataFrame:
     """qid, rank, key and score (cosine, six decimals) of the k nearest vectors of each question (qid, embedding).
 
-    Each pass broadcasts one block of questions. Partial top k are taken by slot before the final one, so no
-    task sees all vectors of a question.
+    Vectors that are null, zero or of another length than the questions' have no neighbours.
     """
     if latest_only:
         vectors = vectors.where("is_latest = 1")
-    blocks = questions.count() // BLOCK + 1
-    norm = lambda c: F.sqrt(dot(c, c))
-    v = vectors.select(key, F.col("embedding").alias("v"), norm(F.col("embedding")).alias("nv"))
-    passes = []
+    blocks = max(1, -(-questions.count() // BLOCK))
+    kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema, *questions.select("qid").schema)}
+    every = None
     for i in range(blocks):
-        q = questions.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).select("qid", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("nq"))
-        each = v.join(F.broadcast(q), F.lit(True)).where("nv > 0 and nq > 0")
-        each = each.select("qid", key, F.round(dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq")), 6).alias("score"))
-        passes.append(each)
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.unionByName(more)
-    best = lambda by, out: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), key)).alias(out)
-    slotted = every.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(64)))
-    some = slotted.select("*", best(["qid", "slot"], "r")).where(F.col("r") <= k).drop("r", "slot")
-    return some.select("qid", key, "score", best(["qid"], "rank")).where(F.col("rank") <= k)
+        rows = questions.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).select("qid", "embedding").collect()  # about BLOCK of them
+        width = max((len(r["embedding"] or ()) for r in rows), default=0)
+        rows = [r for r in rows if r["embedding"] is not None and len(r["embedding"]) == width and any(r["embedding"])]
+        q = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), width)
+        q = q / np.sqrt((q * q).sum(axis=1))[:, None]
+        each = vectors.select(key, "embedding").mapInArrow(_nearest([r["qid"] for r in rows], q, key, k), f"qid {kinds['qid']}, `{key}` {kinds[key]}, score double")
+        every = each if every is None else every.unionByName(each)
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))
+    return every.withColumn("score", F.round("score", 6)).withColumn("rank", best).where(F.col("rank") <= k)
 
 
 def upsert(vectors: DataFrame, more: DataFrame, *, key: str = "vec_id", ordinal: str = "batch") -> DataFrame:
@@ -75,3 +104,29 @@ def upsert(vectors: DataFrame, more: DataFrame, *, key: str = "vec_id", ordinal:
 
 def delete(vectors: DataFrame, gone: DataFrame, *, key: str = "doc_id") -> DataFrame:
     return vectors.join(gone.select(key).distinct(), key, "left_anti")
+
+
+class Index:
+    """Chunks with their vectors. save() and load() by folder; retrieve() as operators.bm25.Index has it, but rows of tables have no say."""
+
+    def __init__(self, chunks: DataFrame, model: Callable[[list[str]], list[list[float]]]):
+        self.chunks, self.model = chunks, model
+
+    def save(self, folder: str) -> None:
+        self.chunks.write.mode("overwrite").parquet(f"{folder}/vectors")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str, model: Callable[[list[str]], list[list[float]]]) -> Index:
+        return Index(spark.read.parquet(f"{folder}/vectors"), model)
+
+    def retrieve(self, questions: DataFrame, *, k: int = 5, drilldown: bool = False) -> DataFrame:
+        """The k nearest chunks of each question (qid, question, include_history if given), with rank, score and the chunks' fields."""
+        asked = encode(questions.where("question is not null"), self.model, question_text(F.col("question"))).select("qid", "embedding", (F.coalesce("include_history", F.lit(False)) if "include_history" in questions.columns else F.lit(False)).alias("old"))
+        latest = self.chunks.where("coalesce(is_latest, 1) <> 0")
+        found = top_k(latest, asked.where("not old"), k=k, key="chunk_ix").unionByName(top_k(self.chunks, asked.where("old"), k=k, key="chunk_ix"))
+        return found.join(self.chunks.drop("embedding"), "chunk_ix")
+
+
+def build(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]]) -> Index:
+    """chunks: chunk_ix, doc_title, text, is_latest and what hits should carry."""
+    return Index(encode(chunks, model, document_text(F.col("doc_title"), F.col("text"))), model)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,11 +10,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.functions.text import REFUSAL, holds_answer, refuses
+from lexquarry.sources.files import exists
 
 # What is answered without evidence to be trusted, and how prompts are worded.
 LOW_TRUST = "找到疑似相关内容,但无法可信溯源,不作答。"
 NO_JUDGE = "LLM-judge 不可用,回退字符串粗判"
 UNPLACED = "【来源定位不完整】"
+#: What a model is told before it answers; the refusal must be REFUSAL, word for word, to be known as one.
+SYSTEM = f"你负责回答法规问题。答案只能来自给出的【检索到的法规内容】，不许动用其他知识，也不许推断或补充；数字、日期和文号照原文写。请在末尾以 [1][2] 的形式标出依据。内容不够回答时，只写：「{REFUSAL}」"
+
+
+def judge_prompt(question: Column, golden: Column, answer: Column) -> Column:
+    """What a judge is asked: the question and both answers, nothing of retrieval or citations."""
+    rules = (
+        "请对照标准答案给模型答案评分。只看问题问到的内容：标准答案里多出的说明不作要求，措辞、顺序和引用编号也不计。"
+        "问到的事实、数字、日期、文号都对（数值只是精度不同也算对）为 correct；问了几点而只答对一部分为 partial；"
+        "有错、相互矛盾或拒绝回答为 incorrect。只输出一行 JSON：{\"verdict\": \"correct|partial|incorrect\", \"reason\": \"30 字以内\"}"
+    )
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(F.lit(f"{rules}\n\n【问题】\n"), blank(question), F.lit("\n\n【标准答案】\n"), blank(golden), F.lit("\n\n【模型答案】\n"), blank(answer))
+
 
 
 def triage(questions: DataFrame, hits: DataFrame, *, min_score: float | None = None) -> DataFrame:
@@ -38,37 +54,49 @@ def prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.select("qid", "question").join(all_, "qid", "left").select("qid", text.alias("prompt"), each("citation").alias("citations"), each("chunk_id").alias("chunks_used"))
 
 
-def call_model(df: DataFrame, model: Callable[[str], str], *, prompt: str = "prompt", out: str = "answer") -> DataFrame:
-    """Adds the model's answer to each prompt (null prompts aren't sent). A failed call answers null."""
+def call_model(df: DataFrame, model: Callable[[str], str], *, prompt: str = "prompt", out: str = "answer", tries: int = 1, fit: Callable[[str], bool] | None = None, strict: bool = False) -> DataFrame:
+    """Adds the model's answer to each prompt (null prompts aren't sent), by so many tries until it is fit.
+
+    A prompt that no try answered has null; with strict the last error ends the job.
+    """
 
     @F.pandas_udf("string")
     def ask(texts: pd.Series) -> pd.Series:
         def one(text):
             if text is None:
                 return None
-            try:
-                return model(text)
-            except Exception:  # an outage of the model must not fail the job; null marks it
-                return None
+            for n in range(tries):
+                try:
+                    said = model(text)
+                    if fit is None or fit(said):
+                        return said
+                except Exception:
+                    if strict and n == tries - 1:
+                        raise
+            return None
 
         return texts.map(one)
 
     return df.withColumn(out, ask(F.col(prompt)))
 
 
-def answers(questions: DataFrame, hits: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """qid, verdict, text, citations, refused, degraded, chunks_used. The model is only asked where the evidence will do."""
+def answers(questions: DataFrame, hits: DataFrame, model: Callable[[str], str], *, strict: bool = True) -> DataFrame:
+    """qid, verdict, text, citations, refused, degraded, chunks_used. The model is only asked where the evidence will do.
+
+    A model that fails ends the job; without strict its answer is null, and nothing is cited for it.
+    """
     df = prompts(questions, hits).join(triage(questions, hits).select("qid", "verdict"), "qid")
     asked = F.col("verdict").isin("ok", "degraded")
-    df = call_model(df.withColumn("_ask", F.when(asked, F.col("prompt"))), model, prompt="_ask", out="_said")
+    df = call_model(df.withColumn("_ask", F.when(asked, F.col("prompt"))), model, prompt="_ask", out="_said", strict=strict)
+    lost = asked & F.col("_said").isNull()
     gave_up = asked & F.coalesce(refuses(F.col("_said")), F.lit(False))
     none = F.array().cast("array<string>")
     text = F.when((F.col("verdict") == "refuse_no_hit") | gave_up, REFUSAL).when(F.col("verdict") == "refuse_low_trust", LOW_TRUST).otherwise(F.col("_said"))
     return df.select(
         "qid", "verdict", text.alias("text"),
-        F.when(gave_up | (F.col("verdict") == "refuse_no_hit"), none).otherwise(F.col("citations")).alias("citations"),
+        F.when(gave_up | lost | (F.col("verdict") == "refuse_no_hit"), none).otherwise(F.col("citations")).alias("citations"),
         (~asked | gave_up).alias("refused"), (((F.col("verdict") == "degraded") & ~gave_up) | (F.col("verdict") == "refuse_low_trust")).alias("degraded"),
-        F.when(asked & ~gave_up, F.col("chunks_used")).otherwise(none).alias("chunks_used"),
+        F.when(asked & ~gave_up & ~lost, F.col("chunks_used")).otherwise(none).alias("chunks_used"),
     )
 
 
@@ -88,8 +116,12 @@ def parse_verdict(raw: Column) -> Column:
     return F.when(verdict.isin("correct", "partial", "incorrect"), F.struct(verdict.alias("verdict"), reason.alias("reason")))
 
 
-def judged(rows: DataFrame, cache: DataFrame, model: Callable[[str], str] | None, *, prompt: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """Verdicts on (qid, question, golden_answer, answer_text): from the cache (key, verdict, reason), the model, or the answer's keys.
+def _holds_verdict(reply: str) -> bool:
+    return re.search(r'"verdict"\s*:\s*"(correct|partial|incorrect)"', (reply or "").replace("“", '"').replace("”", '"')) is not None
+
+
+def judged(rows: DataFrame, cache: DataFrame, model: Callable[[str], str] | None, *, prompt: Callable[[Column, Column, Column], Column] = judge_prompt, tries: int = 2) -> DataFrame:
+    """Verdicts on (qid, question, golden_answer, answer_text): from the cache (key, verdict, reason), the model (asked again if its reply holds no verdict), or the answer's keys.
 
     Returns the rows with key, verdict, reason, source (cache, llm or fallback). Only `llm` verdicts belong into the cache.
     """
@@ -97,7 +129,7 @@ def judged(rows: DataFrame, cache: DataFrame, model: Callable[[str], str] | None
     df = df.join(cache.select("key", F.col("verdict").alias("_cv"), F.col("reason").alias("_cr")), "key", "left")
     if model is not None:
         df = df.withColumn("_ask", F.when(F.col("_cv").isNull(), prompt(F.col("question"), F.col("golden_answer"), F.col("answer_text"))))
-        df = call_model(df, model, prompt="_ask", out="_raw")
+        df = call_model(df, model, prompt="_ask", out="_raw", tries=tries, fit=_holds_verdict)
     else:
         df = df.withColumn("_raw", F.lit(None).cast("string"))
     df = df.withColumn("_v", parse_verdict(F.col("_raw")))
@@ -113,7 +145,6 @@ def remember(judged_rows: DataFrame, path: str) -> None:
 
 def remembered(spark: SparkSession, path: str) -> DataFrame:
     """The cache, one verdict a key; an absent one is empty."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return spark.createDataFrame([], "key string, verdict string, reason string")
     return spark.read.parquet(path).groupBy("key").agg(F.min(F.struct("verdict", "reason")).alias("v")).select("key", "v.verdict", "v.reason")

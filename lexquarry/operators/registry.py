@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexquarry.functions.text import fingerprint, norm_title, slashes
+from lexquarry.functions.text import norm_title, slashes
 
 #: Formats in order of preference among duplicates.
 PRIORITY = {"docx": 0, "doc_converted": 1, "txt": 2, "xlsx": 3}
@@ -18,11 +17,6 @@ def doc_id(path: Column) -> Column:
     return F.substring(F.sha1(F.encode(path, "UTF-8")), 1, 16)
 
 
-def identified(files: DataFrame) -> DataFrame:
-    """Adds doc_id, content_hash, doc_version and fingerprint to file_path, content and body."""
-    return files.withColumns({"doc_id": doc_id(F.col("file_path")), "content_hash": F.sha2("content", 256), "doc_version": F.substring(F.sha2("content", 256), 1, 8), "fingerprint": fingerprint(F.col("body"))})
-
-
 def changed_files(files: DataFrame, registry: DataFrame) -> DataFrame:
     """Files that the registry doesn't hold with the same size and time."""
     seen = registry.select(F.col("file_path").alias("_p"), F.col("size").alias("_s"), F.col("mtime").alias("_m"))
@@ -74,19 +68,19 @@ def mark_versions(registry: DataFrame, ungrouped: DataFrame | None = None, *, or
     original = F.coalesce("duplicate_of", F.lit("")) == ""
     fit = original & ~F.coalesce(F.col("status").startswith("ERROR"), F.lit(False)) & F.col("_apart").isNull() & ~F.col("title_source").eqNullSafe("FAIL")
     out = out.withColumn("_t", F.when(fit, norm_title(F.col("doc_title"))))
-    by = Window.partitionBy("_t")
-    ranked = by.orderBy(F.desc(F.coalesce("effective_date", F.lit("0000"))), ordinal, "doc_id")
-    grouped = out.where("_t is not null").withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(ranked))
-    grouped = grouped.withColumn("_top", F.first("effective_date").over(ranked)).withColumn("_next", F.nth_value("effective_date", 2).over(ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    many = F.col("_n") > 1
-    grouped = grouped.select(
+    # by title and date first, so that a title of many versions is counted before it is shuffled
+    date = F.coalesce("effective_date", F.lit("0000"))
+    by_date = out.where("_t is not null").groupBy("_t", date.alias("date")).agg(F.count("*").alias("n"), F.min(F.struct(F.col(ordinal).alias("o"), F.col("doc_id").alias("id"))).alias("first"), F.max("effective_date").alias("known"))
+    best = by_date.groupBy("_t").agg(F.sum("n").alias("_n"), F.max(F.struct("date", "n", "first", "known")).alias("_best")).withColumnRenamed("_t", "_title")
+    out = out.join(best, F.col("_t") == F.col("_title"), "left")
+    many, titled = F.col("_n") > 1, F.col("_t").isNotNull()
+    latest = ~many | ((F.col("_best.first.id") == F.col("doc_id")) & F.col("_best.first.o").eqNullSafe(F.col(ordinal)))
+    return out.select(
         *registry.drop("version_group", "is_latest", "ambiguous").columns,
-        F.when(many, F.col("_t")).alias("version_group"),
-        F.when(~many | (F.col("_r") == 1), 1).otherwise(0).alias("is_latest"),
-        F.when(many, F.col("_top").isNull() | F.col("_top").eqNullSafe(F.col("_next"))).alias("ambiguous"),
-    )
-    rest = out.where("_t is null").select(*registry.drop("version_group", "is_latest", "ambiguous").columns, F.lit(None).cast("string").alias("version_group"), F.when(original, 1).alias("is_latest"), F.lit(None).cast("boolean").alias("ambiguous"))
-    return grouped.unionByName(rest)
+        F.when(titled & many, F.col("_t")).alias("version_group"),
+        F.when(titled, F.when(latest, 1).otherwise(0)).when(original, 1).alias("is_latest"),
+        F.when(titled & many, F.col("_best.known").isNull() | (F.col("_best.n") > 1)).alias("ambiguous"),
+    )
 
 
 def default_versions(registry: DataFrame) -> DataFrame:
@@ -128,8 +122,10 @@ def write_reviews(registry: DataFrame, folder: str) -> None:
     versions = registry.where("version_group is not null").select(F.substring("version_group", 1, 44).alias("version_group"), "file_path", F.coalesce("effective_date", F.lit("?")).alias("date"), F.when(F.col("is_latest") == 1, "latest").otherwise("old").alias("state"), F.when(F.col("ambiguous"), "AMBIGUOUS").otherwise("").alias("decide"))
     fails = registry.where("title_source = 'FAIL'").select("file_path", "format", F.substring("doc_title", 1, 60).alias("title"))
     for name, df in (("review_duplicates", doubles), ("review_versions", versions.orderBy("version_group", "file_path")), ("review_title_fail", fails)):
-        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        # the mark by which spreadsheet programs know the encoding stands before the first column's name
+        df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
-def append_log(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+def append_log(records: DataFrame, path: str, number: int) -> None:
+    """Adds records to the log under a number, so that of one document the record of the greatest number counts."""
+    records.withColumn("line", F.lit(number).cast("long")).write.mode("append").json(path)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.functions import dates
 from lexquarry.functions.citations import citation
 from lexquarry.functions.text import clean, fingerprint
-from lexquarry.operators import bm25, chunking, registry, structure
+from lexquarry.operators import chunking, registry, structure
 from lexquarry.sources import files
 
-FORMATS = ("docx", "doc_converted", "doc", "txt", "md", "xlsx")
+META = ("file_path", "format", "size", "mtime", "content_hash")
 
 
 def route(fmt: str) -> str:
@@ -22,56 +24,71 @@ def route(fmt: str) -> str:
     return reader
 
 
-def build_registry(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
-    """Registry records of the files below root that `known` doesn't hold unchanged. Unreadable files have a status of ERROR."""
-    found = files.scan_tree(spark, root)
-    if known is not None:
-        found = registry.changed_files(found, known)
-    content = files.scan_tree(spark, root, content=True).select("file_path", "content").join(found, "file_path")
-    base = content.withColumn("doc_id", registry.doc_id(F.col("file_path")))
+def records(files_: DataFrame) -> DataFrame:
+    """Registry records of files of one reader's format or several (sources.files.located, with content). Unreadable files have a status of ERROR.
+
+    What is known of a file goes along through its reader, so contents are read once and never joined.
+    """
+    base = files_.select(registry.doc_id(F.col("file_path")).alias("doc_id"), *META[:-1], F.sha2("content", 256).alias("content_hash"), "content")
+    of = lambda reader: F.col("format").isin(*(f for f in ("docx", "doc_converted", "txt", "xlsx") if route(f) == reader))
+    none = F.lit(None).cast("string")
     name = F.element_at(F.split("file_path", "/"), -1)
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
 
-    plain = base.where("format = 'txt'").select("doc_id", F.decode("content", "UTF-8").alias("text"))
-    text = files.text_header(plain).select("doc_id", "doc_title", "title_source", "effective_date", "issuing_org", "source_url", "body", F.lit("OK").alias("status"))
+    plain = base.where(of("text")).select("doc_id", *META, F.decode("content", "UTF-8").alias("text"))
+    text = files.text_header(plain, keep=META).select("doc_id", *META, "doc_title", "title_source", "effective_date", "issuing_org", "source_url", "body", F.lit("OK").alias("status"))
 
-    word = files.read_word(base.where("format in ('docx', 'doc_converted')"))
+    word = files.read_word(base.where(of("word")), keep=META)
     line = F.when(F.col("kind") == "p", clean(F.get("cells", F.lit(0)))).otherwise(F.array_join(F.transform("cells", lambda c: clean(c)), " "))
     # paragraphs first, then table rows
     entry = F.struct((F.col("kind") != "p").alias("later"), "ord", "row", line.alias("line"), (F.col("kind") == "p").alias("p"))
-    grouped = word.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), entry))).alias("all"), F.max("status").alias("status"))
+    grouped = word.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), entry))).alias("all"), F.max("status").alias("status"), *(F.first(c).alias(c) for c in META))
     lines = F.transform(F.filter("all", lambda e: ~e["p"] | (e["line"] != "")), lambda e: e["line"])
     title, source = files.word_title(F.col("lines"))
-    words = grouped.withColumn("lines", lines).select("doc_id", title.alias("doc_title"), source.alias("title_source"), dates.effective_date(F.slice("lines", 1, 8)).alias("effective_date"), F.lit(None).cast("string").alias("issuing_org"), F.lit(None).cast("string").alias("source_url"), F.array_join("lines", "\n").alias("body"), "status")
+    words = grouped.withColumn("lines", lines).select("doc_id", *META, title.alias("doc_title"), source.alias("title_source"), dates.effective_date(F.slice("lines", 1, 8)).alias("effective_date"), none.alias("issuing_org"), none.alias("source_url"), F.array_join("lines", "\n").alias("body"), "status")
 
-    grid = files.read_sheets(base.where("format = 'xlsx'"))
-    bad = grid.groupBy("doc_id").agg(F.max("status").alias("status"))
-    sheets = files.sheet_body(grid.where("cells is not null")).join(bad, "doc_id", "right").join(base.select("doc_id", stem.alias("doc_title")), "doc_id")
-    sheets = sheets.select("doc_id", "doc_title", F.lit("filename").alias("title_source"), F.lit(None).cast("string").alias("effective_date"), F.lit(None).cast("string").alias("issuing_org"), F.lit(None).cast("string").alias("source_url"), F.coalesce("body", F.lit("")).alias("body"), "status")
+    sheets = files.sheet_body(files.read_sheets(base.where(of("sheet")), keep=META), keep=META)
+    sheets = sheets.select("doc_id", *META, F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_title"), F.lit("filename").alias("title_source"), none.alias("effective_date"), none.alias("issuing_org"), none.alias("source_url"), "body", "status")
 
-    parsed = text.unionByName(words).unionByName(sheets)
-    out = base.join(parsed, "doc_id")
+    out = text.unionByName(words).unionByName(sheets)
     return out.select(
-        "doc_id", "file_path", "format", "size", "mtime", F.sha2("content", 256).alias("content_hash"), F.substring(F.sha2("content", 256), 1, 8).alias("doc_version"), fingerprint(F.col("body")).alias("fingerprint"),
+        "doc_id", *META, F.substring("content_hash", 1, 8).alias("doc_version"), fingerprint(F.col("body")).alias("fingerprint"),
         "doc_title", "title_source", dates.resolved_date(F.col("format"), F.col("effective_date"), dates.file_name_date(name)).alias("effective_date"), "source_url", "issuing_org", "status",
-        F.xxhash64("doc_id").alias("line"),
     )
 
 
+def build_registry(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
+    """Registry records of the files below root that `known` doesn't hold unchanged; only those are opened."""
+    paths = None
+    if known is not None:  # the driver lists every file anyhow, to plan its scan
+        paths = [r["path"] for r in registry.changed_files(files.scan_tree(spark, root), known).select("path").collect()]
+    if paths == []:
+        return records(files.scan_tree(spark, root, content=True).limit(0))
+    parts = []
+    for extension in files.EXTENSIONS:  # each reader opens its own files only
+        own = None if paths is None else [p for p in paths if p.lower().endswith("." + extension)]
+        if own != []:
+            parts.append(records(files.scan_tree(spark, root, content=True, extension=extension, paths=own).where(F.col("format").isin(*(("docx", "doc_converted") if extension == "docx" else (extension,))))))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def finalize(records: DataFrame, *, date_overrides: DataFrame | None = None, title_overrides: DataFrame | None = None, ungrouped: DataFrame | None = None) -> DataFrame:
     """Overrides, then duplicates, then versions among what is left."""
-    return registry.mark_versions(registry.mark_duplicates(registry.apply_overrides(records, date_overrides, title_overrides)), ungrouped)
+    known = registry.mark_duplicates(registry.apply_overrides(records, date_overrides, title_overrides), ordinal="file_path")
+    return registry.mark_versions(known, ungrouped, ordinal="file_path")
 
 
 def elements(spark: SparkSession, root: str, records: DataFrame, markdown: DataFrame | None = None) -> DataFrame:
     """Elements of the indexable records, by format, and of markdown documents (sources.files.scan_markdown)."""
     wanted = registry.indexable(records).select("doc_id", "file_path", "format", F.coalesce("doc_title", F.lit("")).alias("doc_title"))
-    content = files.scan_tree(spark, root, content=True).select("file_path", "content").join(wanted, "file_path")
+    content = lambda extension: files.scan_tree(spark, root, content=True, extension=extension).select("file_path", "content").join(wanted, "file_path")
     titles = wanted.select("doc_id", "doc_title")
-    plain = content.where("format = 'txt'").select("doc_id", F.decode("content", "UTF-8").alias("text"))
+    plain = content("txt").select("doc_id", F.decode("content", "UTF-8").alias("text"))
     text = structure.text_elements(files.text_lines(plain).join(titles, "doc_id"), title="doc_title")
-    word = structure.word_elements(files.read_word(content.where("format in ('docx', 'doc_converted', 'doc')")).join(titles, "doc_id"))
-    grid = files.read_sheets(content.where("format = 'xlsx'")).where("cells is not null")
+    word = structure.word_elements(files.read_word(content("docx")).join(titles, "doc_id"))
+    grid = files.read_sheets(content("xlsx")).where("cells is not null")
     sheet = structure.sheet_elements(grid).withColumn("seq", (F.col("sheet_no") * 1_048_577 + F.col("seq")).cast("int")).drop("sheet_no")
     out = text.unionByName(word).unionByName(sheet)
     return out if markdown is None else out.unionByName(structure.markdown_elements(markdown))
@@ -84,9 +101,16 @@ def chunks(spark: SparkSession, root: str, records: DataFrame, markdown: DataFra
     return chunking.build_chunks(elements(spark, root, records, markdown), docs, limit=limit)
 
 
-def search(index: bm25.Index, questions: DataFrame, *, k: int = 5, drilldown: bool = True) -> DataFrame:
+class Retriever(Protocol):
+    """What search() needs of an index: operators.bm25.Index, operators.dense.Index or a caller's own."""
+
+    def retrieve(self, questions: DataFrame, *, k: int = 5, drilldown: bool = True) -> DataFrame:
+        """qid, rank, score and the chunk's fields of the best k chunks of each question."""
+
+
+def search(index: Retriever, questions: DataFrame, *, k: int = 5, drilldown: bool = True) -> DataFrame:
     """Hits with their citations, ready for triage and prompts."""
-    hits = bm25.retrieve(index, questions, k=k, drilldown=drilldown)
+    hits = index.retrieve(questions, k=k, drilldown=drilldown)
     made = citation(*(F.col(c) for c in ("file_name", "doc_title", "format", "doc_version", "is_latest", "location", "citation_level")))
     return hits.withColumn("citation", made).withColumn("article_no", F.col("location.article_no"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 def session(app: str = "lexquarry", **conf: str) -> SparkSession:
     """conf: further settings, with __ for dots."""
     builder = SparkSession.builder.appName(app)
-    for key, value in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"} | {k.replace("__", "."): v for k, v in conf.items()}.items():
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+    for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -9,22 +9,42 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.functions.text import clean, slashes
+from lexquarry.functions.text import clean
 
 
-def scan_tree(spark: SparkSession, root: str, *, content: bool = False) -> DataFrame:
-    """Files of the known formats: file_path below root, format, size, mtime, and content if asked for (else it isn't read)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    base = "/" + re.sub("^[a-z]+:/*", "", root).strip("/") + "/"
-    rel = F.substring(path, len(base) + 1, 1 << 20)
+#: Formats of the corpus tree by the extension of their files.
+EXTENSIONS = ("docx", "txt", "xlsx")
+
+
+def relative(path: Column, root: str) -> Column:
+    """A file's path below root, whatever scheme either is given with."""
+    base = "/" + re.sub("^[A-Za-z0-9+.-]+:/*", "", root).strip("/") + "/"
+    return F.substring(F.regexp_replace(path, "^[A-Za-z0-9+.-]+:/*", "/"), len(base) + 1, 1 << 20)
+
+
+def located(files: DataFrame, root: str) -> DataFrame:
+    """Files (path, modificationTime, length, content if there) as file_path below root, path, format, size, mtime, content; unknown formats are left out."""
+    rel = relative(F.col("path"), root)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    fmt = F.when(ext == "docx", F.when(rel.startswith("converted_docx"), "doc_converted").otherwise("docx")).when(ext.isin("txt", "xlsx"), ext)
-    found = files.select(rel.alias("file_path"), fmt.alias("format"), F.col("length").alias("size"), F.unix_millis("modificationTime").cast("double").alias("mtime"), *(["content"] if content else []))
-    return found.where("format is not null").withColumn("mtime", F.col("mtime") / 1000)
+    fmt = F.when(ext == "docx", F.when(rel.startswith("converted_docx"), "doc_converted").otherwise("docx")).when(ext.isin(*EXTENSIONS), ext)
+    content = ["content"] if "content" in files.columns else []
+    found = files.select(rel.alias("file_path"), "path", fmt.alias("format"), F.col("length").alias("size"), (F.unix_millis("modificationTime").cast("double") / 1000).alias("mtime"), *content)
+    return found.where("format is not null")
+
+
+def scan_tree(spark: SparkSession, root: str, *, content: bool = False, extension: str | None = None, paths: list[str] | None = None) -> DataFrame:
+    """Files of the known formats below root, or those of `paths`: file_path, path, format, size, mtime, and content if asked for (else it isn't read).
+
+    extension: files of others aren't even opened.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if extension:
+        reader = reader.option("pathGlobFilter", "*." + "".join(f"[{c}{c.upper()}]" for c in extension))
+    files = reader.load(root if paths is None else [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
+    return located(files if content else files.drop("content"), root)
 
 
 def scan_markdown(spark: SparkSession, *folders: str) -> DataFrame:
@@ -47,14 +67,15 @@ def text_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     return docs.select(key, F.posexplode(F.filter(lines, keep)).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
-def text_header(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Title, date, issuer, link and body of text files, from the first 1500 characters and the body."""
+def text_header(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Title, date, issuer, link and body of text files, from the first 1500 characters and the body; the columns `keep` are kept."""
     from lexquarry.functions.dates import effective_date
     from lexquarry.functions.text import strip
 
     top = F.substring(text, 1, 1500)
     named = lambda k: F.nullif(strip(F.regexp_extract(top, f"(?m)^{k}：(.+)$", 1)), F.lit(""))
-    df = docs.select(key, F.col(text).alias("raw"), named("标题").alias("title"), named("发布日期").alias("issued"), named("来源").alias("issuing_org"), named("原文链接").alias("source_url"))
+    # fixed values: names of header lines
+    df = docs.select(key, *keep, F.col(text).alias("raw"), named("标题").alias("title"), named("发布日期").alias("issued"), named("来源").alias("issuing_org"), named("原文链接").alias("source_url"))
     marked = F.regexp_count("raw", F.lit(r"(?m)^正文：\s*$")) > 0
     after_link = F.when(F.col("source_url").isNotNull(), F.substring("raw", F.position(F.col("source_url"), F.col("raw")) + F.length("source_url"), F.length("raw"))).otherwise(F.col("raw"))
     body = F.when(marked, F.regexp_replace("raw", r"(?ms)\A.*?^正文：\s*$", "")).otherwise(after_link)
@@ -62,7 +83,7 @@ def text_header(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     lines = F.transform(F.split("body", "\r\n|[\n\r]"), lambda x: strip(x))
     usable = F.filter(lines, lambda x: (x != "") & (F.length(x) <= 60) & (x != "无障碍浏览") & ~F.contains(x, F.lit("下载")))
     return df.select(
-        key,
+        key, *keep,
         F.coalesce("title", F.get(usable, F.lit(0))).alias("doc_title"),
         F.when(F.col("title").isNotNull(), "txt_header").when(F.size(usable) > 0, "body_first_line").otherwise("FAIL").alias("title_source"),
         F.coalesce(effective_date(F.split(F.substring("body", 1, 1200), "\r\n|[\n\r]")), F.col("issued")).alias("effective_date"),
@@ -106,13 +127,14 @@ def _word_rows(table) -> list[list[str]]:
     return rows
 
 
-def read_word(docs: DataFrame, *, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """Word files as lines: key, kind (p, or tr for a row of a table), ord, table, place (paragraphs before the table), row, cells, status."""
+def read_word(docs: DataFrame, *, key: str = "doc_id", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Word files as lines: key, kind (p, or tr for a row of a table), ord, table, place (paragraphs before the table), row, cells, status, and the columns `keep`."""
 
     def read(it):
         for pdf in it:
             out = []
-            for k, data in zip(pdf[key], pdf[content], strict=True):
+            for k, data, *rest in zip(pdf[key], pdf[content], *(pdf[c] for c in keep), strict=True):
+                have = len(out)
                 try:
                     body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(_W + "body")
                     n = tables = 0
@@ -127,11 +149,13 @@ def read_word(docs: DataFrame, *, key: str = "doc_id", content: str = "content")
                     if not n:
                         out.append((k, None, 0, None, None, None, None, "OK"))
                 except Exception as e:  # one bad file must not stop the others
-                    out.append((k, None, 0, None, None, None, None, f"ERROR: {type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(out, columns=[key, "kind", "ord", "table", "place", "row", "cells", "status"])
+                    out[have:] = [(k, None, 0, None, None, None, None, f"ERROR: {type(e).__name__}: {e}"[:200])]
+                out[have:] = [(*r, *rest) for r in out[have:]]
+            yield pd.DataFrame(out, columns=[key, "kind", "ord", "table", "place", "row", "cells", "status", *keep])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, content).mapInPandas(read, f"`{key}` {kind}, kind string, ord int, `table` int, place int, `row` int, cells array<string>, status string")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    more = "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return docs.select(key, content, *keep).mapInPandas(read, f"`{key}` {kinds[key]}, kind string, ord int, `table` int, place int, `row` int, cells array<string>, status string{more}")
 
 
 def _is_date_format(code: str) -> bool:
@@ -212,35 +236,42 @@ def _value(c, shared: list[str], dates: list[bool]):
     return int(v.text) if re.fullmatch(r"-?\d+", v.text) else number
 
 
-def read_sheets(docs: DataFrame, *, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """Spreadsheets as rows: key, sheet_no, sheet_name, row, cells, kinds, status."""
+def read_sheets(docs: DataFrame, *, key: str = "doc_id", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Spreadsheets as rows: key, sheet_no, sheet_name, row, cells, kinds, status, and the columns `keep`."""
 
     def read(it):
         for pdf in it:
             out = []
-            for k, data in zip(pdf[key], pdf[content], strict=True):
+            for k, data, *rest in zip(pdf[key], pdf[content], *(pdf[c] for c in keep), strict=True):
                 try:
-                    found = [(k, *r, "OK") for r in _sheet_rows(data)]
-                    out += found or [(k, None, None, None, None, None, "OK")]
+                    found = [(k, *r, "OK") for r in _sheet_rows(data)] or [(k, None, None, None, None, None, "OK")]
                 except Exception as e:  # one bad file must not stop the others
-                    out.append((k, None, None, None, None, None, f"ERROR: {type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(out, columns=[key, "sheet_no", "sheet_name", "row", "cells", "kinds", "status"])
+                    found = [(k, None, None, None, None, None, f"ERROR: {type(e).__name__}: {e}"[:200])]
+                out += [(*r, *rest) for r in found]
+            yield pd.DataFrame(out, columns=[key, "sheet_no", "sheet_name", "row", "cells", "kinds", "status", *keep])
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    more = "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return docs.select(key, content, *keep).mapInPandas(read, f"`{key}` {kinds[key]}, sheet_no int, sheet_name string, `row` int, cells array<string>, kinds array<string>, status string{more}")
+
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, content).mapInPandas(read, f"`{key}` {kind}, sheet_no int, sheet_name string, `row` int, cells array<string>, kinds array<string>, status string")
+def sheet_body(rows: DataFrame, *, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The searchable text of spreadsheets: cells joined by |, rows by a newline; empty for a file without rows. Also the worst status and the columns `keep`."""
+    line = F.when(F.col("cells").isNotNull(), F.struct("sheet_no", "row", F.array_join(F.filter("cells", lambda c: c != ""), "|").alias("line")))
+    status = [F.max("status").alias("status")] if "status" in rows.columns else []
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("all"), *status, *(F.first(c).alias(c) for c in keep))
+    return grouped.select(key, *keep, F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("body"), *(["status"] if status else []))
 
 
-def sheet_body(rows: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """The searchable text of spreadsheets: cells joined by |, rows by a newline."""
-    line = F.struct("sheet_no", "row", F.array_join(F.filter("cells", lambda c: c != ""), "|").alias("line"))
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("all")).select(key, F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("body"))
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in whatever store Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def json_map(spark: SparkSession, path: str, *, value: str = "string") -> DataFrame:
     """A JSON object file as (key, value) rows; a missing file has none."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return spark.createDataFrame([], f"key string, value {value}")
     text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "value"))
@@ -248,19 +279,12 @@ def json_map(spark: SparkSession, path: str, *, value: str = "string") -> DataFr
 
 def registry_log(lines: DataFrame, *, key: str = "doc_id", ordinal: str = "line") -> DataFrame:
     """Of an append-only log: for each key the last record, at the place of the first."""
-    from pyspark.sql.window import Window
-
-    by = Window.partitionBy(key)
-    last = lines.withColumn("_at", F.row_number().over(by.orderBy(F.desc(ordinal)))).withColumn("_first", F.min(ordinal).over(by))
-    return last.where("_at = 1").drop("_at").withColumn(ordinal, F.col("_first")).drop("_first")
+    fields = [c for c in lines.columns if c not in (key, ordinal)]
+    last = lines.groupBy(key).agg(F.max_by(F.struct(*fields), ordinal).alias("_last"), F.min(ordinal).alias(ordinal))
+    return last.select(key, *(F.col(f"_last.{c}").alias(c) for c in fields), ordinal)
 
 
 def read_testset(spark: SparkSession, path: str) -> DataFrame:
     from lexquarry.types import QUESTION
 
     return spark.read.schema(QUESTION).json(path).where("qid is not null")
-
-
-def manual_key(path):
-    """Override maps name files with forward slashes."""
-    return slashes(path)

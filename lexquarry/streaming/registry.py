@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lexquarry.operators.registry import doc_id
+from lexquarry.plans import corpus
+from lexquarry.sources.files import located
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def watch(spark: SparkSession, root: str, target: str, checkpoint: str):
-    """Takes in all files not seen before, then stops; run again, it goes on where it ended. Rerun batches replace their own output."""
+    """Takes in all files not seen before, then stops; run again, it goes on where it ended. Rerun batches replace their own output.
+
+    Records are those of plans.corpus.build_registry, so those of a stream and of a batch run can be joined.
+    """
     files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True).load(root)
-    records = files.select(doc_id(F.col("path")).alias("doc_id"), F.col("path").alias("file_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("content_hash"))
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch = batch.persist()  # each reader takes its own files of it
+        corpus.records(located(batch, root)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch.unpersist()
 
-    return records.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
