@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexquarry.functions import citations, dates
 from lexquarry.functions import text as T
 from lexquarry.operators import bm25, chunking, dense, evaluation, generation, registry, structure
+from lexquarry.plans import composed
 from lexquarry.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,16 +286,17 @@ def resolved_dates(spark, sf_dir):
     return o.select("o_orderkey", dates.resolved_date(F.when(F.col("o_orderkey") % 2 == 0, "docx").otherwise("txt"), own, F.lit("2000-01")).alias("d"))
 
 
-@query("SELECT o_orderkey, (o_orderkey % 999 + 1)::BIGINT AS n, (CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 999 + 1 ELSE o_orderkey % 999 + 1 END)::BIGINT AS m FROM orders")
+@query("WITH v AS (SELECT o_orderkey, (o_orderkey % 9999 + 1)::BIGINT AS m FROM orders) SELECT o_orderkey, CASE WHEN m % 1000 = 0 THEN m // 1000 ELSE m % 1000 END AS n, m FROM v")
 def chinese_numerals(spark, sf_dir):
-    """Numbers to numerals and back; 千 without value by default, with its value on demand."""
+    """Numbers to numerals and back; 千 without value by default (so of 二千 the 二 is left), with its value on demand."""
     o = table(spark, sf_dir, "orders")
-    n = (F.col("o_orderkey") % 999 + 1).cast("int")
+    n = (F.col("o_orderkey") % 9999 + 1).cast("int")
     digit = lambda d: F.element_at(F.array(*(F.lit(c) for c in "零一二三四五六七八九")), d + 1)
-    h, t, u = F.floor(n / 100).cast("int"), F.floor(n % 100 / 10).cast("int"), n % 10
-    hundreds = F.when(h > 0, F.concat(digit(h), F.lit("百"))).otherwise("")
-    tens = F.when(t > 1, F.concat(digit(t), F.lit("十"))).when((t == 1) & (h > 0), "一十").when(t == 1, "十").when((h > 0) & (u > 0), "零").otherwise("")
-    text = F.concat(hundreds, tens, F.when(u > 0, digit(u)).otherwise(""))
+    k, h, t, u = F.floor(n / 1000).cast("int"), F.floor(n % 1000 / 100).cast("int"), F.floor(n % 100 / 10).cast("int"), n % 10
+    thousands = F.when(k > 0, F.concat(digit(k), F.lit("千"))).otherwise("")
+    hundreds = F.when(h > 0, F.concat(digit(h), F.lit("百"))).when((k > 0) & (n % 100 > 0), "零").otherwise("")
+    tens = F.when((t == 1) & (k == 0) & (h == 0), "十").when(t > 0, F.concat(digit(t), F.lit("十"))).when((h > 0) & (u > 0), "零").otherwise("")
+    text = F.concat(thousands, hundreds, tens, F.when(u > 0, digit(u)).otherwise(""))
     return o.select("o_orderkey", T.numeral_value(text).alias("n"), T.numeral_value(text, thousands=True).alias("m"))
 
 
@@ -368,24 +370,20 @@ def _grid(spark, sf_dir):
     return p.select(F.floor(F.col("p_partkey") / 40).alias("doc_id"), F.lit(0).alias("sheet_no"), F.lit("S").alias("sheet_name"), (k + 1).alias("row"), cells.alias("cells"), kinds.alias("kinds"))
 
 
-@query(f"WITH {_GRID} SELECT DISTINCT doc_id, 'TNNT' AS data_sig, min(row) FILTER (k > 3)::INTEGER AS data_start, 2 AS header_rows, 'name|size.mm|price.yuan|note.free' AS headers, 'ok' AS confidence FROM g GROUP BY doc_id HAVING count(*) = 40")
+@query(f"WITH {_GRID} SELECT DISTINCT doc_id, 'TNNT' AS data_sig, min(row) FILTER (k > 3)::INTEGER AS data_start, 2 AS header_rows, 'name|size.mm|price.yuan|note.free' AS headers, 'ok' AS confidence FROM g GROUP BY doc_id")
 def sheet_headers(spark, sf_dir):
     """Signature by majority, header rows above the data, joined column names."""
-    whole = _grid(spark, sf_dir)
-    s = structure.sheet_layout(whole).groupBy("doc_id").agg(F.first("data_sig").alias("data_sig"), F.first("data_start").alias("data_start"), F.first("header_rows").alias("header_rows"), F.array_join(F.first("headers"), "|").alias("headers"), F.first("confidence").alias("confidence"), F.count("*").alias("n"))
-    return s.where("n = 40").drop("n")
+    s = structure.sheet_layout(_grid(spark, sf_dir)).groupBy("doc_id")
+    return s.agg(F.first("data_sig").alias("data_sig"), F.first("data_start").alias("data_start"), F.first("header_rows").alias("header_rows"), F.array_join(F.first("headers"), "|").alias("headers"), F.first("confidence").alias("confidence"))
 
 
-@query(f"""WITH {_GRID}, f AS (SELECT doc_id FROM g GROUP BY 1 HAVING count(*) = 40)
-SELECT doc_id, row::INTEGER AS seq, CASE WHEN k IN (30, 32) THEN 'paragraph' ELSE 'table_row' END AS kind,
+@query(f"""WITH {_GRID} SELECT doc_id, row::INTEGER AS seq, CASE WHEN k IN (30, 32) THEN 'paragraph' ELSE 'table_row' END AS kind,
 CASE WHEN k = 30 THEN 'a footnote' WHEN k = 32 THEN 'other' ELSE concat('name=', a, ' | size.mm=', b, ' | price.yuan=', d, ' | note.free=x') END AS text,
 (CASE WHEN k >= 21 THEN 2 ELSE 1 END)::INTEGER AS table_index, CASE WHEN k NOT IN (30, 32) THEN concat('r', row) END AS row_range
-FROM g JOIN f USING (doc_id) WHERE k > 3 AND k NOT IN (20, 21, 31)""")
+FROM g WHERE k > 3 AND k NOT IN (20, 21, 31)""")
 def sheet_rows(spark, sf_dir):
     """Rows and footnotes; blank rows split tables, numbering rows go, a footnote repeated on the next row goes."""
-    grid = _grid(spark, sf_dir)
-    full = grid.groupBy("doc_id").count().where("count = 40").select("doc_id")
-    e = structure.sheet_elements(grid.join(full, "doc_id"))
+    e = structure.sheet_elements(_grid(spark, sf_dir))
     return e.select("doc_id", "seq", "kind", "text", "location.table_index", "location.row_range")
 
 
@@ -411,7 +409,18 @@ def chunk_paragraph_pack(spark, sf_dir):
     return c.select("doc_id", "chunk_no", "location.paragraph_seq", "text")
 
 
-@query()
+#: Parts p(doc_id, i, t) of texts too long for {limit} characters and x(doc_id, whole, long) become pieces z(doc_id, no, piece): packed while they fit, cut where one is too long.
+_PIECES = """w AS (SELECT doc_id, i, t AS held, 0 AS no FROM p WHERE i = 0
+UNION ALL SELECT p.doc_id, p.i, CASE WHEN length(held) + length(t) > {limit} THEN t ELSE held || t END, CASE WHEN length(held) + length(t) > {limit} THEN no + 1 ELSE no END FROM w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1),
+h AS (SELECT doc_id, no, arg_max(held, i) AS t FROM w JOIN x USING (doc_id) WHERE long GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, whole FROM x WHERE NOT long),
+c AS (SELECT doc_id, no, t, unnest(range(0, length(t), {limit})) AS pos FROM h),
+z AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no, pos) - 1 AS no, substr(t, pos + 1, {limit}) AS piece FROM c)"""
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT o_orderkey AS doc_id, repeat('条件', (o_orderkey % 30)::INTEGER) AS r FROM orders),
+p AS (SELECT doc_id, 0 AS i, '第一条 有下列情形的。' AS t FROM o UNION ALL SELECT doc_id, i, concat('（', ['一', '二', '三'][i], '）', r, '；') FROM o, (VALUES (1), (2), (3)) v(i)),
+x AS (SELECT doc_id, string_agg(t, '' ORDER BY i) AS whole, length(string_agg(t, '' ORDER BY i)) > 60 AS long FROM p GROUP BY 1), {_PIECES.format(limit=60)}
+SELECT doc_id, no::INTEGER AS chunk_no, no::VARCHAR AS suffix, piece AS text, '第一条' AS article_no FROM z""")
 def chunk_article_split(spark, sf_dir):
     """Articles of composed law text with sub-articles, cut to 60 characters."""
     o = table(spark, sf_dir, "orders")
@@ -421,6 +430,28 @@ def chunk_article_split(spark, sf_dir):
     return chunking.chunks_of(e, limit=60).select("doc_id", "chunk_no", "suffix", "text", "location.article_no")
 
 
+@query(f"""WITH RECURSIVE o AS (SELECT o_orderkey AS doc_id, [repeat('甲', (o_orderkey % 50 + 1)::INTEGER), repeat('乙', (o_orderkey % 70 + 1)::INTEGER), repeat('丙', (o_orderkey % 30)::INTEGER)] AS s FROM orders),
+x AS (SELECT doc_id, '第二条 ' || array_to_string(s, '。') AS whole, length('第二条 ' || array_to_string(s, '。')) > 40 AS long FROM o),
+p AS (SELECT doc_id, i, CASE WHEN i = 0 THEN '第二条 ' ELSE '' END || s[i + 1] || '。' AS t FROM o, (VALUES (0), (1), (2)) v(i) WHERE i < 2 OR s[3] <> ''), {_PIECES.format(limit=40)}
+SELECT doc_id, no::INTEGER AS chunk_no, no::VARCHAR AS suffix, piece AS text FROM z""")
+def chunk_recursive(spark, sf_dir):
+    """Articles without sub-articles: cut at full stops, every segment of a cut text ending in one, and by length where none helps."""
+    o = table(spark, sf_dir, "orders")
+    n = F.col("o_orderkey")
+    text = F.concat(F.lit("第二条 "), F.repeat(F.lit("甲"), (n % 50 + 1).cast("int")), F.lit("。"), F.repeat(F.lit("乙"), (n % 70 + 1).cast("int")), F.lit("。"), F.repeat(F.lit("丙"), (n % 30).cast("int")))
+    e = o.select(n.alias("doc_id"), F.lit(1).alias("seq"), F.lit("article").alias("kind"), text.alias("text"), structure.location(article_no=F.lit("第二条"), paragraph_seq=F.lit(1)).alias("location"))
+    return chunking.chunks_of(e, limit=40).select("doc_id", "chunk_no", "suffix", "text")
+
+
+@query("""SELECT p_partkey AS doc_id, 0 AS chunk_no, '' AS suffix, substr(concat(p_name, ' | ', repeat(p_type, (p_partkey % 90)::INTEGER)), 1, 800) AS text, 'r2' AS row_range FROM part""")
+def chunk_table_rows(spark, sf_dir):
+    """Rows of tables stand alone, cut off at twice the limit."""
+    p = table(spark, sf_dir, "part")
+    text = F.concat("p_name", F.lit(" | "), F.repeat(F.col("p_type"), (F.col("p_partkey") % 90).cast("int")))
+    e = p.select(F.col("p_partkey").alias("doc_id"), F.lit(2).alias("seq"), F.lit("table_row").alias("kind"), text.alias("text"), structure.location(row_range=F.lit("r2")).alias("location"))
+    return chunking.chunks_of(e).select("doc_id", "chunk_no", "suffix", "text", "location.row_range")
+
+
 @query("SELECT doc_id, substr(sha1(concat(doc_id, '|', CASE WHEN doc_id % 2 = 0 THEN '第一条' ELSE 'None' END, '|', doc_id % 10, '|None|', CASE WHEN doc_id % 3 = 0 THEN 'r1' ELSE 'None' END, '|', CASE WHEN doc_id % 2 = 0 THEN '0' ELSE '' END, '|', text)), 1, 16) AS chunk_id FROM documents")
 def chunk_ids(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -473,29 +504,6 @@ def level_histogram(spark, sf_dir):
 
 # ---- answers ----
 
-@query("""WITH q AS (SELECT item_id AS qid FROM benchmark), h AS (SELECT doc_id % 60 AS qid, doc_id, ['A', 'B', 'C'][1 + (doc_id // 60) % 3] AS level FROM documents WHERE doc_id % 60 <> 7 AND doc_id < 400),
-g AS (SELECT qid, count(*) AS n, count(*) FILTER (level = 'C') AS c FROM h WHERE doc_id > 20 GROUP BY 1)
-SELECT qid, coalesce(n, 0) AS n_hits, coalesce(c, 0) AS n_low, CASE WHEN n IS NULL THEN 'refuse_no_hit' WHEN n = c THEN 'refuse_low_trust' WHEN c > 0 THEN 'degraded' ELSE 'ok' END AS verdict FROM q LEFT JOIN g USING (qid)""")
-def triage_verdict(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
-    return generation.triage(q, _evidence(spark, sf_dir), min_score=21)
-
-
-def _evidence(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 60 <> 7 and doc_id < 400")
-    n = F.col("doc_id")
-    level = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (1 + F.floor(n / 60) % 3).cast("int"))
-    return d.select((n % 60).alias("qid"), F.floor(n / 60).cast("int").alias("rank"), n.alias("score"), level.alias("citation_level"), F.concat(F.lit("《"), "source", F.lit("》")).alias("citation"), "text", n.cast("string").alias("chunk_id"))
-
-
-@query("""WITH h AS (SELECT doc_id % 60 AS qid, doc_id // 60 AS rank, concat('《', source, '》', CASE WHEN (doc_id // 60) % 3 = 2 THEN '【来源定位不完整】' ELSE '' END, chr(10), text) AS b FROM documents WHERE doc_id % 60 <> 7 AND doc_id < 400),
-n AS (SELECT qid, rank, concat('[', row_number() OVER (PARTITION BY qid ORDER BY rank), '] ', b) AS b FROM h), g AS (SELECT qid, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS c FROM n GROUP BY 1)
-SELECT item_id AS qid, concat('【检索到的法规内容】', chr(10), coalesce(c, ''), chr(10), chr(10), '【问题】', chr(10), text) AS prompt FROM benchmark LEFT JOIN g ON qid = item_id""")
-def prompt_render(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return generation.prompts(q, _evidence(spark, sf_dir)).select("qid", "prompt")
-
-
 def _retrieved(spark, sf_dir):
     """The best five of all documents for each benchmark text as its evidence, graded by id."""
     found = bm25.retrieve(bm25.build(_document_chunks(spark, sf_dir)), _questions(spark, sf_dir)).select("qid", "rank", "chunk_ix", "score", "text")
@@ -509,16 +517,16 @@ _RETRIEVED = f"{_DOC_CHUNKS.format(latest=1)}, {_QUESTIONS.format(hist='false')}
 
 @query(f"""WITH {_RETRIEVED}, g AS (SELECT qid, count(*) AS n, count(*) FILTER (chunk_ix % 3 = 2) AS c FROM k WHERE score >= 21 GROUP BY 1)
 SELECT item_id AS qid, coalesce(n, 0) AS n_hits, coalesce(c, 0) AS n_low, CASE WHEN n IS NULL THEN 'refuse_no_hit' WHEN n = c THEN 'refuse_low_trust' WHEN c > 0 THEN 'degraded' ELSE 'ok' END AS verdict FROM benchmark LEFT JOIN g ON qid = item_id""")
-def triage_verdict_retrieved(spark, sf_dir):
-    """As triage_verdict, on evidence from all documents for all benchmark texts."""
+def triage_verdict(spark, sf_dir):
+    """Triage of the best five of all documents for each benchmark text."""
     return generation.triage(_questions(spark, sf_dir).select("qid"), _retrieved(spark, sf_dir), min_score=21)
 
 
 @query(f"""WITH {_RETRIEVED}, n AS (SELECT qid, rank, concat('[', rank, '] 《', source, '》', CASE WHEN chunk_ix % 3 = 2 THEN '【来源定位不完整】' ELSE '' END, chr(10), text) AS b FROM k JOIN documents ON doc_id = chunk_ix),
 g AS (SELECT qid, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS c FROM n GROUP BY 1)
 SELECT item_id AS qid, concat('【检索到的法规内容】', chr(10), coalesce(c, ''), chr(10), chr(10), '【问题】', chr(10), text) AS prompt FROM benchmark LEFT JOIN g ON qid = item_id""")
-def prompt_render_retrieved(spark, sf_dir):
-    """As prompt_render, on evidence from all documents for all benchmark texts."""
+def prompt_render(spark, sf_dir):
+    """Prompts with the best five of all documents for each benchmark text."""
     return generation.prompts(_questions(spark, sf_dir).select("qid", "question"), _retrieved(spark, sf_dir)).select("qid", "prompt")
 
 
@@ -526,13 +534,22 @@ def _stub(prompt: str) -> str:
     return T.REFUSAL.replace(",", "，") if len(prompt) % 3 == 0 else f"答案 [1] {len(prompt)}"
 
 
-@query()
+@query(f"""WITH {_RETRIEVED}, n AS (SELECT qid, rank, chunk_ix, '《' || source || '》' AS cited, concat('[', rank, '] 《', source, '》', CASE WHEN chunk_ix % 3 = 2 THEN '【来源定位不完整】' ELSE '' END, chr(10), text) AS b FROM k JOIN documents ON doc_id = chunk_ix),
+g AS (SELECT qid, count(*) AS n, count(*) FILTER (chunk_ix % 3 = 2) AS c, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS shown, string_agg(cited, '|' ORDER BY rank) AS citations, string_agg(chunk_ix::VARCHAR, '|' ORDER BY rank) AS used FROM n GROUP BY 1),
+v AS (SELECT item_id AS qid, CASE WHEN n IS NULL THEN 'refuse_no_hit' WHEN n = c THEN 'refuse_low_trust' WHEN c > 0 THEN 'degraded' ELSE 'ok' END AS verdict, length(concat('【检索到的法规内容】', chr(10), coalesce(shown, ''), chr(10), chr(10), '【问题】', chr(10), text)) AS size, citations, used FROM benchmark LEFT JOIN g ON qid = item_id),
+a AS (SELECT *, verdict IN ('ok', 'degraded') AS asked, verdict IN ('ok', 'degraded') AND size % 3 = 0 AS gave_up FROM v)
+SELECT qid, verdict, CASE WHEN verdict = 'refuse_no_hit' OR gave_up THEN '知识库中未找到足够依据,无法回答。' WHEN verdict = 'refuse_low_trust' THEN '找到疑似相关内容,但无法可信溯源,不作答。' ELSE concat('答案 [1] ', size) END AS text,
+CASE WHEN gave_up OR verdict = 'refuse_no_hit' THEN '' ELSE citations END AS citations, NOT asked OR gave_up AS refused, (verdict = 'degraded' AND NOT gave_up) OR verdict = 'refuse_low_trust' AS degraded, CASE WHEN asked AND NOT gave_up THEN used ELSE '' END AS chunks_used FROM a""")
 def answer_generation(spark, sf_dir):
     """Answers by a stub of a model, with refusals of its own, on evidence from all documents."""
-    return generation.answers(_questions(spark, sf_dir).select("qid", "question"), _retrieved(spark, sf_dir), _stub)
+    a = generation.answers(_questions(spark, sf_dir).select("qid", "question"), _retrieved(spark, sf_dir), _stub)
+    return a.withColumns({c: F.array_join(c, "|") for c in ("citations", "chunks_used")})
 
 
-@query()
+@query("""WITH b AS (SELECT item_id::VARCHAR AS qid, text AS question, concat('2020年1月', item_id % 28 + 1, '日') AS golden_answer FROM benchmark), a AS (SELECT *, concat('于', golden_answer, '施行') AS answer_text FROM b),
+s AS (SELECT *, CASE WHEN qid::BIGINT % 4 = 0 THEN 'cache' WHEN length(concat(question, chr(10), golden_answer, chr(10), answer_text)) % 2 = 1 THEN 'llm' ELSE 'fallback' END AS source FROM a)
+SELECT qid, question, golden_answer, answer_text, substr(sha1(concat(qid, '|', golden_answer, '|', answer_text)), 1, 20) AS key, CASE source WHEN 'cache' THEN 'partial' ELSE 'correct' END AS verdict,
+CASE source WHEN 'cache' THEN 'r' WHEN 'llm' THEN '同' ELSE 'LLM-judge 不可用,回退字符串粗判' END AS reason, source FROM s""")
 def answer_judging(spark, sf_dir):
     """Verdicts by cache, stub or answer keys."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"), F.concat(F.lit("2020年1月"), (F.col("item_id") % 28 + 1).cast("string"), F.lit("日")).alias("golden_answer"))
@@ -719,3 +736,44 @@ def hit_listing(spark, sf_dir):
 
     p = _places(spark, sf_dir).select(F.col("o_orderkey").alias("qid"), F.lit(1).alias("rank"), F.lit(0.5).alias("score"), F.when(F.col("doc_title") != "", F.lit("《税法》")).otherwise("f.x").alias("citation"), F.lit("ab\n" * 60).alias("text"))
     return listing(p).select(F.col("qid").alias("o_orderkey"), "line")
+
+
+@query(r"""WITH t AS (SELECT o_orderkey, unnest([concat('正文', o_orderkey), '第二行']) AS text, unnest([1, 2]) AS line FROM orders UNION ALL SELECT o_orderkey, concat('前言', o_orderkey), 0 FROM orders WHERE o_orderkey % 2 = 1)
+SELECT o_orderkey, (line + CASE WHEN o_orderkey % 2 = 1 THEN 1 ELSE 0 END)::INTEGER AS line, text FROM t""")
+def text_reader(spark, sf_dir):
+    """Lines below the mark of the body, or all without it; headers, blanks and page furniture go."""
+    o = table(spark, sf_dir, "orders")
+    shown = F.col("o_orderkey").cast("string")
+    top = F.concat(F.lit("标题：规则\n发布日期：2001-05\n前言"), shown, F.lit("\n"), F.when(F.col("o_orderkey") % 2 == 0, "正文：　\n").otherwise("栏目：x\n"))
+    text = F.concat(top, F.lit("无障碍浏览\n \u3000\n　正文"), shown, F.lit("\u200b \n点此下载文字版\n第二行\n来源：局\n"))
+    return files.text_lines(o.select("o_orderkey", text.alias("text")), key="o_orderkey")
+
+
+@query("""SELECT o_orderkey, 'p' AS kind, 0 AS ord, NULL::INTEGER AS "table", NULL::INTEGER AS "row", concat('标题', o_orderkey) AS cells, 'OK' AS status FROM orders
+UNION ALL SELECT o_orderkey, 'tr', 1, 1, 0, '项目|数值|数值', 'OK' FROM orders UNION ALL SELECT o_orderkey, 'tr', 1, 1, 1, concat('甲|', o_custkey, '|', o_custkey), 'OK' FROM orders UNION ALL SELECT o_orderkey, 'p', 2, NULL, NULL, 'A&B 末段', 'OK' FROM orders""")
+def word_reader(spark, sf_dir):
+    """Paragraphs and table rows of composed word files, cells over two columns counted in both."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", composed.word_files(F.concat(F.lit("标题"), F.col("o_orderkey").cast("string")), F.col("o_custkey").cast("string")).alias("content"))
+    return files.read_word(o, key="o_orderkey").select("o_orderkey", "kind", "ord", "table", "row", F.array_join("cells", "|").alias("cells"), "status")
+
+
+_SHEET = """r AS (SELECT p_partkey, 1 AS "row", ['价目', '价目', '价目'] AS cells, 'TTT' AS kinds FROM part UNION ALL SELECT p_partkey, 2, [replace(p_name, '&', '+'), p_size::VARCHAR, concat(p_size % 90, '.5')], 'TNN' FROM part
+UNION ALL SELECT p_partkey, 3, ['', '', ''], '___' FROM part UNION ALL SELECT p_partkey, 4, ['1,234%', 'True', ''], 'NN_' FROM part UNION ALL SELECT p_partkey, 5, ['2020-01-02 00:00:00', '注', ''], 'TT_' FROM part)"""
+
+
+@query(f"""WITH {_SHEET} SELECT p_partkey, 'S' AS sheet_name, "row"::INTEGER AS "row", array_to_string(cells, '|') AS cells, kinds FROM r""")
+def sheet_reader(spark, sf_dir):
+    """Cells of composed spreadsheets: merged ranges filled; numbers, flags, dates and text typed."""
+    r = files.read_sheets(_sheet_files(spark, sf_dir), key="p_partkey")
+    return r.select("p_partkey", "sheet_name", "row", F.array_join("cells", "|").alias("cells"), F.array_join("kinds", "").alias("kinds"))
+
+
+@query(f"""WITH {_SHEET} SELECT p_partkey, string_agg(array_to_string(list_filter(cells, lambda c: c <> ''), '|'), chr(10) ORDER BY "row") AS body FROM r GROUP BY 1""")
+def sheet_bodies(spark, sf_dir):
+    """The text of whole spreadsheets."""
+    return files.sheet_body(files.read_sheets(_sheet_files(spark, sf_dir), key="p_partkey"), key="p_partkey").select("p_partkey", "body")
+
+
+def _sheet_files(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", composed.sheet_files(F.translate("p_name", "&", "+"), F.col("p_size")).alias("content"))

@@ -60,7 +60,7 @@ def scan_markdown(spark: SparkSession, *folders: str) -> DataFrame:
 
 def text_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Cleaned lines of text files below `正文：` (of all, if there is no such line), without headers and page furniture: key, line (from 1), text."""
-    body = F.regexp_replace(F.col(text), r"(?ms)\A.*?^正文：[^\S\n]*$", "")
+    body = F.regexp_replace(F.col(text), r"(?msU)\A.*?^正文：[^\S\n]*$", "")
     lines = F.transform(F.split(body, "\n"), lambda x: clean(x))
     heads = ("标题：", "栏目：", "发布日期：", "来源：", "原文链接：")  # fixed values
     keep = lambda x: (x != "") & ~x.rlike("^(" + "|".join(heads) + ")") & (x != "无障碍浏览") & ~x.rlike("下载文字版|下载图片版")
@@ -76,9 +76,9 @@ def text_header(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
     named = lambda k: F.nullif(strip(F.regexp_extract(top, f"(?m)^{k}：(.+)$", 1)), F.lit(""))
     # fixed values: names of header lines
     df = docs.select(key, *keep, F.col(text).alias("raw"), named("标题").alias("title"), named("发布日期").alias("issued"), named("来源").alias("issuing_org"), named("原文链接").alias("source_url"))
-    marked = F.regexp_count("raw", F.lit(r"(?m)^正文：\s*$")) > 0
+    marked = F.regexp_count("raw", F.lit(r"(?mU)^正文：\s*$")) > 0
     after_link = F.when(F.col("source_url").isNotNull(), F.substring("raw", F.position(F.col("source_url"), F.col("raw")) + F.length("source_url"), F.length("raw"))).otherwise(F.col("raw"))
-    body = F.when(marked, F.regexp_replace("raw", r"(?ms)\A.*?^正文：\s*$", "")).otherwise(after_link)
+    body = F.when(marked, F.regexp_replace("raw", r"(?msU)\A.*?^正文：\s*$", "")).otherwise(after_link)
     df = df.withColumn("body", body)
     lines = F.transform(F.split("body", "\r\n|[\n\r]"), lambda x: strip(x))
     usable = F.filter(lines, lambda x: (x != "") & (F.length(x) <= 60) & (x != "无障碍浏览") & ~F.contains(x, F.lit("下载")))

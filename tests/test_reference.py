@@ -193,7 +193,7 @@ def test_evidence_is_taken_from_all_documents(spark, tmp_path):
     con = duckdb.connect()
     for name in ("documents", "benchmark"):
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
-    for name in ("triage_verdict_retrieved", "prompt_render_retrieved"):
+    for name in ("triage_verdict", "prompt_render", "answer_generation"):
         want = con.execute(sql[name])
         got = queries[name](spark, str(tmp_path)).select(*(d[0] for d in want.description)).collect()
         assert sorted(map(tuple, got)) == sorted(want.fetchall())
