@@ -112,37 +112,8 @@ def _sets(k: int):
     return run
 
 
-#: Shingles are ordered by how often their slot of so many is filled; any order gives the same result.
-SLOTS = 1 << 16
-
-
-def _slot(s: np.ndarray) -> np.ndarray:
-    return (s >> U64(48)).astype(np.int64)
-
-
-def _slot_counts(batches):
-    total = np.zeros(SLOTS, np.int64)
-    for batch in batches:
-        own = np.asarray(batch.column(0).flatten()).view(np.uint64)
-        total += np.bincount(_slot(own), minlength=SLOTS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["slot", "n"])
-
-
-def prefix(shingles: np.ndarray, counts: np.ndarray, above: int, below: int) -> np.ndarray:
-    """The first shingles of a set, one of which every set alike enough must share."""
-    n = len(shingles)
-    least = -(-above * n // below)
-    return shingles[np.lexsort((shingles, counts[_slot(shingles)]))[: n - least + 1]]
-
-
-def _prefixes(counts: np.ndarray, above: int, below: int):
-    def run(batches):
-        for batch in batches:
-            parts = [int64(prefix(np.asarray(s.values).view(np.uint64), counts, above, below)) for s in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists(parts, pa.int64())], ["node", "c", "n", "tokens"])
-
-    return run
+#: Shingles that a member's row names as those before its own, so that a pair which met there isn't taken again.
+SEEN = 32
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, at_least: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -184,20 +155,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
     left = cut(placed.join(split(placed, "key"), "key", "left_semi").select("node", "c", "n").distinct())
     if not left.isEmpty():
-        theirs = cut(sets.join(left, "node").select("node", "c", "n", "shingles"))
-        counts = np.zeros(SLOTS, np.int64)
-        for r in theirs.select("shingles").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-            counts[r["slot"]] = r["n"]
-        heads = theirs.mapInArrow(_prefixes(counts, above, below), "node long, c long, n long, tokens array<long>")
-        heads = cut(heads.select("node", "c", "n", F.posexplode("tokens").alias("at", "token")))
+        each = sets.join(left, "node").select("node", "c", "n", F.explode("shingles").alias("token"))
+        # counted before the join, so that its sides are plain exchanges and a hot shingle's partition can be split
+        common = cut(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+        known = each.join(common, "token").groupBy("node", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+        # shingles that no other member has come first; then the rarest
+        alone = F.col("n") - F.size("tokens")
+        take = F.col("n") - F.expr(f"(n * {above} + {below - 1}) div {below}") + 1 - alone
+        firsts = F.transform(F.slice("tokens", F.lit(1), F.greatest(take, F.lit(0)).cast("int")), lambda t: t["token"])
+        heads = known.where(take > 0).select("node", "c", "n", alone.alias("alone"), firsts.alias("firsts")).select("*", F.posexplode("firsts").alias("i", "token"))
+        heads = cut(heads.select("node", "c", "n", (F.col("alone") + F.col("i")).alias("at"), "token", F.slice("firsts", F.lit(1), F.least("i", F.lit(SEEN))).alias("seen")))
         met = cut(heads.join(cut(split(heads, "token")), "token"))
         # every pair across components has a member outside the token's largest one
         most = cut(met.groupBy("token", "c").agg(F.count("*").alias("many")).groupBy("token").agg(F.max(F.struct("many", "c")).alias("most")).select("token", F.col("most.c").alias("largest")))
         met = cut(met.join(most, "token").withColumn("last", F.col("c") == F.col("largest")).drop("largest"))
-        others = met.where("not last").select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "c", "n", "at")))
+        others = met.where("not last").select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "c", "n", "at", "seen")))
         # with the first shingle that two sets share, what follows it bounds what they share
-        bound = 1 + F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a")) - 1
-        near = fits("n", "n_a") & (bound * below >= above * (F.col("n") + F.col("n_a") - bound))
+        bound = F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a"))
+        # and there the pair is compared, not again at others
+        near = fits("n", "n_a") & ~F.arrays_overlap("seen", "seen_a") & (bound * below >= above * (F.col("n") + F.col("n_a") - bound))
         pairs = others.join(met, "token").where((F.col("c") != F.col("c_a")) & (F.col("last") | (F.col("node") > F.col("node_a"))) & near)
         more = cut(confirmed(pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()))
         if not more.isEmpty():

@@ -154,17 +154,6 @@ def test_a_bucket_of_many_dissimilar_members(spark, monkeypatch):
     assert all(out[i].component_id == (i if i < 20000 else (i - 20000) % 10 * 2000) for i in range(len(rows)))
 
 
-def test_prefixes_of_alike_sets_meet():
-    rng = np.random.default_rng(4)
-    counts = rng.integers(0, 9, neardup.SLOTS)
-    for _ in range(300):
-        whole = np.unique(rng.integers(0, 1 << 63, rng.integers(2, 40), dtype=np.uint64) * np.uint64(2))
-        a, b = (np.sort(rng.choice(whole, max(1, int(len(whole) * rng.uniform(0.7, 1))), replace=False)) for _ in range(2))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 85 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(neardup.prefix(a, counts, 85, 100), neardup.prefix(b, counts, 85, 100)))
-
-
 def test_null_and_repeated_ids(spark):
     text = "a b c d e f g h"
     df = cases.documents(spark, [text, text, text, "z y x w v"], [5, None, 5, 9])
