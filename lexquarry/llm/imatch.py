@@ -1,7 +1,7 @@
 """Document fingerprints: I-Match over randomised lexicon subsets, in DataFrame functions only.
 
 Terms are hashed to VOCABULARY ids. The lexicon holds the ids whose inverse document frequency lies in a
-band: not in most documents, not in one alone. It is a map of one byte an id, of a size that does not grow
+band: not in most documents, not in one alone. It is a map of one bit an id, of a size that does not grow
 with the corpus. A hash deals each lexicon id to one of the subsets or to none; a text's distinct terms in
 a subset are sorted and hashed together, and the hashes of all subsets that hold a term of the text are the
 fingerprint. Subsets come in tiers, each keeping a quarter of what the one before keeps, so that texts of
@@ -14,6 +14,8 @@ only to itself. Equal texts have equal fingerprints. Other columns are ignored u
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,20 +34,16 @@ def term_ids(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, *, text_col: str = "text", at_most: float = 0.1, at_least: int = 2) -> bytes:
-    """One byte for each id: 1 if its documents are at least `at_least` and at most the share `at_most` of all (2 at least)."""
+    """One bit for each id: 1 if its documents are at least `at_least` and at most the share `at_most` of all (2 at least)."""
     total = docs.count()
     counts = docs.select(F.explode(term_ids(F.col(text_col))).alias("id")).groupBy("id").count()
     band = counts.where((F.col("count") >= at_least) & (F.col("count") <= max(at_most * total, 2.0)))
     # a bitmap for each 32768 ids, so VOCABULARY bits at most come to the driver
     place = F.col("id") + 1
     maps = band.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    out = bytearray(VOCABULARY)
+    out = bytearray(VOCABULARY // 8)
     for row in maps:
-        base = (row["bucket"] - 1) * 32768
-        for i, byte in enumerate(row["bits"]):
-            if byte:
-                for bit in range(8):
-                    out[base + 8 * i + bit] = byte >> bit & 1
+        out[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = row["bits"]
     return bytes(out)
 
 
@@ -63,11 +61,12 @@ def subset_of(v: Column) -> Column:
 
 class Fingerprints:
     def __init__(self, known: bytes):
-        self.known = F.lit(known)
+        # one array of longs: plans show it in a quarter of a megabyte, and a bit is read without a copy
+        self.known = F.split(F.lit(",".join(map(str, struct.unpack(f"<{len(known) // 8}q", known)))), ",").cast("array<bigint>")
 
     def add(self, df: DataFrame, text: str, out: str) -> DataFrame:
         """The column `out`: for each subset that holds a term of the column `text`, its number and hash in hex (two and four digits)."""
-        inside = lambda i: F.substring(self.known, i.cast("int") + 1, 1) == F.lit(b"\x01")
+        inside = lambda i: F.getbit(F.get(self.known, F.shiftright(i, 6).cast("int")), i.bitwiseAND(63).cast("int")) == 1
         keep = df.columns
 
         def packed(i: Column) -> Column:
