@@ -103,6 +103,16 @@ def test_near_duplicates_match_all_pairs(docs, rows, k, least):
         assert (out[i].n_shingles, out[i].component_id, out[i].kept) == (sizes[i], least_id[i], least_id[i] == i), i
 
 
+def test_shuffled_joins_give_the_same(spark, docs, monkeypatch):
+    """The way beyond the broadcast's size, of near-duplicates, substrings and the language sample."""
+    from lexquarry.llm import spark as own
+
+    take = lambda: [sorted(near_duplicates(docs, k=3, at_least=(85, 100)).collect()), sorted(repeated_substrings(docs, carry=("doc_id",)).collect()), langid.train(docs).weights.tobytes()]
+    one = take()
+    monkeypatch.setattr(own, "BROADCAST_BYTES", -1)
+    assert take() == one
+
+
 def test_near_duplicates_of_many_variants(spark):
     """Variants of one text that are alike to its start but less so to each other: buckets of several components."""
     rng = random.Random(8)
