@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm import htmltext, langid, quality
+from lexquarry.llm.convtrie import conversation_trie
 from lexquarry.llm.decontam import decontaminate
 from lexquarry.llm.imatch import fingerprints_of_edits
 from lexquarry.llm.license import scan_licenses
@@ -69,10 +70,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("page_id", "url", "_text as text", "_n_chars as n_chars")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_benchmark_decontamination, op3_quality_classifier, op4_minhash_near_dedup, op5_substring_dedup,
-        op6_document_fingerprints, op7_language_id, op8_license_scans, op9_source_mixing, op10_html_extraction,
+        op6_document_fingerprints, op7_language_id, op8_license_scans, op9_source_mixing, op10_html_extraction, op13_conversation_trie,
     )
 }

@@ -48,4 +48,19 @@ k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op1_url_filters": OP1, "op2_benchmark_decontamination": OP2, "op4_minhash_near_dedup": OP4, "op5_substring_dedup": OP5}
+OP13 = """
+WITH g AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+e AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS v FROM e GROUP BY 1),
+h AS (SELECT conv_id, v, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda y: ascii(y)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h FROM o, g),
+w AS (SELECT c.conv_id, list_concat(coalesce(b.v[1:c.h], []), c.v[c.h + 1:]) AS v FROM h c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 5),
+m AS (SELECT conv_id, d, v[1:d] AS p, len(v) AS n FROM (SELECT conv_id, v, unnest(range(0, len(v) + 1)) AS d FROM w)),
+n AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d) AS ends FROM m GROUP BY 1, 2),
+k AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(p[d].x)) END AS own FROM n LEFT JOIN k USING (d, p)),
+s AS (SELECT u AS d, p[1:u] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM a) GROUP BY 1, 2)
+SELECT a.conv_id, a.d AS depth, up.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM a JOIN s USING (d, p) LEFT JOIN n up ON up.d = a.d - 1 AND up.p = a.p[1:a.d - 1]
+"""
+
+ORACLES = {"op1_url_filters": OP1, "op2_benchmark_decontamination": OP2, "op4_minhash_near_dedup": OP4, "op5_substring_dedup": OP5, "op13_conversation_trie": OP13}
