@@ -12,6 +12,7 @@ from lexquarry.llm.imatch import fingerprints_of_edits
 from lexquarry.llm.license import scan_licenses
 from lexquarry.llm.mixing import mix_sources
 from lexquarry.llm.neardup import near_duplicates
+from lexquarry.llm.neighbours import nearest
 from lexquarry.llm.spark import table
 from lexquarry.llm.substring import repeated_substrings
 from lexquarry.llm.urlfilter import filter_urls
@@ -70,6 +71,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("page_id", "url", "_text as text", "_n_chars as n_chars")
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=5)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -78,6 +83,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_benchmark_decontamination, op3_quality_classifier, op4_minhash_near_dedup, op5_substring_dedup,
-        op6_document_fingerprints, op7_language_id, op8_license_scans, op9_source_mixing, op10_html_extraction, op13_conversation_trie,
+        op6_document_fingerprints, op7_language_id, op8_license_scans, op9_source_mixing, op10_html_extraction, op12_nearest_neighbours, op13_conversation_trie,
     )
 }
