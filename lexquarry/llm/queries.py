@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm import htmltext, langid, quality
+from lexquarry.llm.alignment import align_tokens
 from lexquarry.llm.convtrie import conversation_trie
 from lexquarry.llm.decontam import decontaminate
 from lexquarry.llm.imatch import fingerprints_of_edits
@@ -71,6 +72,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("page_id", "url", "_text as text", "_n_chars as n_chars")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align_tokens(table(spark, sf_dir, "documents"), carry=("doc_id",))
+    return out.selectExpr("doc_id", "_n_a as n_a", "_n_b as n_b", "_n_groups as n_groups", "_n_links as n_links", "_n_best as n_best", "_count_sum as count_sum", "_groups_sha256 as groups_sha256")
+
+
 def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=5)
 
@@ -83,6 +89,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_benchmark_decontamination, op3_quality_classifier, op4_minhash_near_dedup, op5_substring_dedup,
-        op6_document_fingerprints, op7_language_id, op8_license_scans, op9_source_mixing, op10_html_extraction, op12_nearest_neighbours, op13_conversation_trie,
+        op6_document_fingerprints, op7_language_id, op8_license_scans, op9_source_mixing, op10_html_extraction, op11_tokenizer_alignment, op12_nearest_neighbours, op13_conversation_trie,
     )
 }

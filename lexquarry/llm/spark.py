@@ -34,6 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and written as a compressed table in the shared checkpoint folder, which is removed at the end: for wide or many rows."""
+    spark = df.sparkSession
+    prepare(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(path.toString())
+    return spark.read.parquet(path.toString())
+
+
 #: Rows to be joined to texts are broadcast up to so many bytes (two numbers a row, and its lists); more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
