@@ -25,21 +25,20 @@ import hashlib
 import json
 import os
 import re
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexquarry.llm.spark import cut, kept, prepare, small
+from lexquarry.llm.spark import conf, dropped, kept, prepare, small
 from lexquarry.llm.textnum import buffers
 
 TOKENIZERS = "/opt/tokenizers"
 #: Bytes of text that share a list of segments.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 32 << 20
 MARK = "▁"
 
 
@@ -169,106 +168,138 @@ def _encoded(paths: tuple[str, str]):
     return run
 
 
-def _gathered(batches):
-    """Rows of links, last first within a segment, to one row a segment: ids in order, links, and the groups as text."""
+#: What stands after an id in the text of groups.
+MARKS = (",", "|", ";", "")
+
+
+def packed(ids: np.ndarray, marks: np.ndarray, bounds: np.ndarray, width: int) -> pa.Array:
+    """Rows (by bounds) of ids, each with the number of its mark, as bytes: the ids of a row, then four marks a byte."""
+    n = np.diff(bounds)
+    offsets = np.append(0, np.cumsum(n * width + -(-n // 4)))
+    out = np.zeros(int(offsets[-1]), np.uint8)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(ids)) - bounds[:-1][row]
+    at = offsets[:-1][row] + place * width
+    for i in range(width):
+        out[at + i] = (ids >> (8 * i)) & 0xFF
+    np.bitwise_or.at(out, offsets[:-1][row] + n[row] * width + place // 4, (marks << (2 * (place % 4))).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, marks and bounds of rows."""
+    data, offsets = buffers(column)
+    n = 4 * np.diff(offsets) // (4 * width + 1)
+    bounds = np.append(0, np.cumsum(n))
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(int(bounds[-1])) - bounds[:-1][row]
+    at = offsets[:-1][row] + place * width
+    ids = np.zeros(len(place), np.int64)
+    for i in range(width):
+        ids |= data[at + i].astype(np.int64) << (8 * i)
+    return ids, (data[offsets[:-1][row] + n[row] * width + place // 4] >> (2 * (place % 4)).astype(np.uint8)).astype(np.int64) & 3, bounds
+
+
+def _gathered(width: int):
+    """For mapInArrow: rows of links, last first within a segment, to one row a segment: its links, and its ids group by group."""
 
     def segments(rows: pa.Table) -> pa.RecordBatch:
         number = lambda n: rows[n].to_numpy().astype(np.int64)[::-1]
         seg, n, group, a, b, new_a, new_b = (number(x) for x in ("seg", "n", "g", "a", "b", "new_a", "new_b"))
         first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
-        bounds = np.append(first, len(seg))
-        place = np.arange(len(seg))
         # ids of A, then of B, group by group
         run = np.cumsum(np.append(True, (seg[1:] != seg[:-1]) | (group[1:] != group[:-1]))) - 1
         which = np.concatenate([np.flatnonzero(new_a), np.flatnonzero(new_b)])
         side = np.repeat([0, 1], [int(new_a.sum()), int(new_b.sum())])
-        order = np.lexsort((place[which], side, run[which]))
+        order = np.lexsort((which, side, run[which]))
         which, side = which[order], side[order]
-        ids = np.where(side == 0, a[which], b[which])
-        last = np.append(seg[which][1:] != seg[which][:-1], True)
-        mark = np.where(last, 3, np.where(np.append(run[which][1:] != run[which][:-1], True), 2, np.where(np.append(side[1:] != side[:-1], True), 1, 0)))
-        text = pc.binary_join_element_wise(pc.cast(pa.array(ids), pa.string()), pa.array([",", "|", ";", ""]).take(pa.array(mark)), "")
-        at = np.searchsorted(which_seg := np.searchsorted(first, which, side="right") - 1, np.arange(len(first) + 1))
-        del which_seg
-        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), text), "")
-        counts = [np.add.reduceat(x, first) for x in (new_a, new_b, np.append(True, run[1:] != run[:-1]).astype(np.int64))]
-        offsets = pa.array(bounds.astype(np.int32))
+        ends = lambda x: np.append(x[1:] != x[:-1], True)
+        marks = np.where(ends(seg[which]), 3, np.where(ends(run[which]), 2, ends(side)))
+        bounds = np.searchsorted(np.searchsorted(first, which, side="right") - 1, np.arange(len(first) + 1))
+        groups = packed(np.where(side == 0, a[which], b[which]), marks, bounds, width)
+        offsets = pa.array(np.append(first, len(seg)).astype(np.int32))
         links = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([pa.array(seg[first]), pa.array(n[first]), *(pa.array(c) for c in counts), groups, *links], ["seg", "n", "n_a", "n_b", "n_groups", "groups", "link_a", "link_b"])
+        return pa.RecordBatch.from_arrays([pa.array(seg[first]), pa.array(n[first]), groups, *links], ["seg", "n", "groups", "link_a", "link_b"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 20_000:
+                all_ = pa.Table.from_batches(held)
+                seg = all_["seg"].to_numpy()
+                whole = np.flatnonzero(seg[1:] != seg[:-1])
+                if len(whole):
+                    yield segments(all_.slice(0, int(whole[-1]) + 1))
+                    all_ = all_.slice(int(whole[-1]) + 1).combine_chunks()
+                    held, rows = all_.to_batches(), all_.num_rows
+                else:
+                    rows = 0  # a segment of more rows than that: look again later
+        if sum(b.num_rows for b in held):
+            yield segments(pa.Table.from_batches(held))
+
+    return run
 
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= 20_000:
-            all_ = pa.Table.from_batches(held)
-            seg = all_["seg"].to_numpy()
-            whole = np.flatnonzero(seg[1:] != seg[:-1])
-            if len(whole):
-                yield segments(all_.slice(0, int(whole[-1]) + 1))
-                all_ = all_.slice(int(whole[-1]) + 1).combine_chunks()
-                held, rows = all_.to_batches(), all_.num_rows
-            else:
-                rows = 0  # a segment of more rows than that: look again later
-    if sum(b.num_rows for b in held):
-        yield segments(pa.Table.from_batches(held))
 
+#: What a document adds up.
+FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
-_FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
+class Listed:
+    """A chunk's segments: their figures, and the text of their groups."""
 
-def _added(carry: list[str]):
-    """A chunk's segments come before its documents, which add up their figures."""
+    def __init__(self, rows: pa.Table, width: int):
+        at = np.argsort(rows["at"].to_numpy(), kind="stable")
+        ids, marks, bounds = unpacked(rows["groups"].combine_chunks().take(pa.array(at)), width)
+        # A's ids stand before a group's bar, B's after it
+        side = np.cumsum((marks == 1).astype(np.int64) - (marks >= 2)) - ((marks == 1).astype(np.int64) - (marks >= 2))
+        total = lambda x: np.diff(np.append(0, np.cumsum(x))[bounds])
+        n_a, n_b, n_groups = total(side == 0), total(side == 1), total(marks >= 2)
+        # a link for each end, and a group for each end of both
+        self.figures = [n_a, n_b, n_groups, n_a + n_b - n_groups, *(rows[f].to_numpy()[at] for f in FIGURES[4:])]
+        text = pc.binary_join_element_wise(pc.cast(pa.array(ids), pa.string()), pa.array(MARKS).take(pa.array(marks)), "")
+        self.groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), text), "")
+
+
+def _added(carry: list[str], width: int):
+    """For mapInArrow: a chunk's segments come before its documents, which add up their figures."""
 
     def run(batches):
-        now, held, figures, groups = None, [], None, None
+        now, held, listed = None, [], None
         for batch in batches:
-            key, listed = batch.column("chunk").to_numpy(), batch.column("at").is_valid().to_numpy(zero_copy_only=False)
-            change = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(listed.astype(np.int8)) != 0)))
+            key, lists = batch.column("chunk").to_numpy(), batch.column("at").is_valid().to_numpy(zero_copy_only=False)
+            change = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(lists.astype(np.int8)) != 0)))
             for i, j in zip(change, np.append(change[1:], len(key)), strict=True):
                 part = batch.slice(i, j - i)
                 if key[i] != now:
-                    now, held, figures = key[i], [], None
-                if listed[i]:
-                    held.append(part)
+                    now, held, listed = key[i], [part.slice(0, 0).select(_LISTED)], None
+                if lists[i]:
+                    held.append(part.select(_LISTED))
                     continue
-                if figures is None:
-                    rows = pa.Table.from_batches(held) if held else part.slice(0, 0)
-                    at = np.argsort(np.asarray(rows["at"]), kind="stable") if held else np.zeros(0, np.int64)
-                    figures = [np.asarray(rows[f])[at].astype(np.int64) for f in _FIGURES]
-                    groups = (rows["groups"].combine_chunks() if held else pa.array([], pa.string())).take(pa.array(at))
-                    held = []
-                ids = part.column("ids")
-                size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
+                listed = listed or Listed(pa.Table.from_batches(held), width)
+                held = []
+                size = pc.fill_null(pc.list_value_length(part.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = pc.list_flatten(part.column("ids")).to_numpy(zero_copy_only=False)
                 bounds = np.append(0, np.cumsum(size))
-                sums = [np.append(0, np.cumsum(f[flat]))[bounds] for f in figures]
+                sums = [np.diff(np.append(0, np.cumsum(f[flat]))[bounds]) for f in listed.figures]
                 digests = []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     sha = hashlib.sha256()
                     for at in range(a, b, 100_000):
-                        piece = ";".join(groups.take(pa.array(flat[at : min(b, at + 100_000)])).to_pylist())
+                        piece = ";".join(listed.groups.take(pa.array(flat[at : min(b, at + 100_000)])).to_pylist())
                         sha.update((";" + piece if at > a else piece).encode())
                     digests.append(sha.hexdigest() if b > a else "")
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *(pa.array(np.diff(s)) for s in sums), pa.array(digests, pa.string())], [*carry, *(f"_{f}" for f in _FIGURES), "_groups_sha256"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *(pa.array(s, pa.int64()) for s in sums), pa.array(digests, pa.string())], [*carry, *(f"_{f}" for f in FIGURES), "_groups_sha256"])
 
     return run
 
 
-@contextmanager
-def _joined_by_part_of_the_key(spark: SparkSession):
-    """Both sides are dealt by segment already: Spark then needs no further shuffle to join by segment and end."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+_LISTED = ["at", "n_best", "count_sum", "groups"]
 
 
-def linked_segments(encoded: DataFrame) -> DataFrame:
-    """Of each segment (seg, n, a, a_len, b, b_len) its counts, groups and links."""
+def linked_segments(encoded: DataFrame, width: int) -> DataFrame:
+    """Of each segment (seg, n, a, a_len, b, b_len) its links and groups."""
     dealt = encoded.select("seg", "n", "a", "a_len", "b", "b_len").repartition("seg")
 
     def side(name: str) -> DataFrame:
@@ -283,7 +314,7 @@ def linked_segments(encoded: DataFrame) -> DataFrame:
         "seg", F.coalesce("n_a", "n_b").alias("n"), F.sum(both.cast("long")).over(back).alias("g"), F.last("a", ignorenulls=True).over(back).alias("a"), F.last("b", ignorenulls=True).over(back).alias("b"),
         F.col("a").isNotNull().alias("new_a"), F.col("b").isNotNull().alias("new_b"),
     )
-    return rows.mapInArrow(_gathered, "seg long, n long, n_a long, n_b long, n_groups long, groups string, link_a array<int>, link_b array<int>")
+    return rows.mapInArrow(_gathered(width), "seg long, n long, groups binary, link_a array<int>, link_b array<int>")
 
 
 def align_tokens(df: DataFrame, *, text: str = "text", carry: tuple[str, ...] = (), folder: str = TOKENIZERS, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> DataFrame:
@@ -296,6 +327,8 @@ def align_tokens(df: DataFrame, *, text: str = "text", carry: tuple[str, ...] =
     spark = df.sparkSession
     prepare(spark)
     paths = (f"{folder}/{a}", f"{folder}/{b}")
+    tokenizers = pair(*paths)
+    width = 2 if max(len(tokenizers.a_bytes), len(tokenizers.b_bytes)) <= 1 << 16 else 4
     carried = [f"_c{i}" for i in range(len(carry))]
     source = df.select(F.col(text).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in source.schema[1:])
@@ -304,20 +337,23 @@ def align_tokens(df: DataFrame, *, text: str = "text", carry: tuple[str, ...] =
 
     segments = listed.groupBy("segment").agg(F.sum("n").alias("n")).withColumn("seg", F.monotonically_increasing_id())
     segments = kept(segments.mapInArrow(_encoded(paths), "segment string, n long, seg long, a array<int>, a_len array<int>, b array<int>, b_len array<int>"))
-    with _joined_by_part_of_the_key(spark):
-        linked = kept(linked_segments(segments))
+    # both sides are dealt by segment already: Spark then needs no further shuffle to join by segment and end
+    with conf(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        linked = kept(linked_segments(segments, width))
 
     link = F.explode(F.arrays_zip("link_a", "link_b"))
-    pairs = linked.select("n", link.alias("l")).groupBy("l.link_a", "l.link_b").agg(F.sum("n").alias("count"))
-    pairs = cut(pairs)
+    pairs = kept(linked.select("n", link.alias("l")).groupBy("l.link_a", "l.link_b").agg(F.sum("n").alias("count")))
     best = pairs.groupBy("link_b").agg(F.max("count").alias("most"))
     pairs = small(pairs.join(small(best), "link_b").select("link_a", "link_b", "count", (F.col("count") == F.col("most")).cast("long").alias("best")))
     found = linked.select("seg", link.alias("l")).select("seg", "l.*").join(pairs, ["link_a", "link_b"])
-    found = found.groupBy("seg").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    figures = segments.select("seg", "segment").join(linked.select("seg", "n_a", "n_b", "n_groups", "groups"), "seg").join(found, "seg").drop("seg")
-
-    known = listed.drop("n").join(figures, "segment").select("chunk", "at", *_FIGURES, "groups", F.lit(None).cast("array<int>").alias("ids"), *(F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in carried))
-    asking = docs.select("chunk", F.lit(None).cast("int").alias("at"), *(F.lit(None).cast("long").alias(f) for f in _FIGURES), F.lit(None).cast("string").alias("groups"), "ids", *carried)
+    found = found.groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    figures = kept(segments.select("seg", "segment").join(linked.select("seg", "groups"), "seg").join(found, "seg").drop("seg"))
+    dropped(segments)
+    dropped(linked)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    known = listed.drop("n").join(figures, "segment").select("chunk", *_LISTED, none("array<int>").alias("ids"), *(none(chunks.schema[c].dataType).alias(c) for c in carried))
+    asking = docs.select("chunk", none("int").alias("at"), none("long").alias("n_best"), none("long").alias("count_sum"), none("binary").alias("groups"), "ids", *carried)
     rows = known.unionByName(asking).repartition("chunk").sortWithinPartitions("chunk", F.col("at").asc_nulls_last())
-    out = rows.mapInArrow(_added(carried), "".join(f"{c} {chunks.schema[c].dataType.simpleString()}, " for c in carried) + ", ".join(f"_{f} long" for f in _FIGURES) + ", _groups_sha256 string")
-    return out.select(*(F.col(n).alias(c) for c, n in zip(carry, carried, strict=True)), *(f"_{f}" for f in _FIGURES), "_groups_sha256")
+    out = rows.mapInArrow(_added(carried, width), "".join(f"{c} {chunks.schema[c].dataType.simpleString()}, " for c in carried) + ", ".join(f"_{f} long" for f in FIGURES) + ", _groups_sha256 string")
+    return out.select(*(F.col(n).alias(c) for c, n in zip(carry, carried, strict=True)), *(f"_{f}" for f in FIGURES), "_groups_sha256")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +37,34 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written as a compressed table in the shared checkpoint folder, which is removed at the end: for wide or many rows."""
+    """df, computed once and written as a compressed table in the shared checkpoint folder, until dropped() or the end: for wide or many rows.
+
+    What it was shuffled through is removed at once, since nothing reads it again.
+    """
     spark = df.sparkSession
     prepare(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.option("compression", "zstd").parquet(path.toString())
-    return spark.read.parquet(path.toString())
+    with conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path.toString())
+    out = spark.read.parquet(path.toString())
+    out._folder = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes what kept() wrote."""
+    df._folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._folder, True)
+
+
+@contextmanager
+def conf(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 #: Rows to be joined to texts are broadcast up to so many bytes (two numbers a row, and its lists); more are joined by a shuffle.
