@@ -104,6 +104,7 @@ def number_in(key: Column, text: Column) -> Column:
     return text.contains(key) | ((value != "") & near)
 
 
+# fixed value: what counts as a fact of an answer
 _KEYS = "(\\d{4}年\\d{1,2}月\\d{1,2}日|[〔\\[]\\d{4}[〕\\]]\\S{0,6}号|\\d+(?:\\.\\d+)?(?:%|年|日|个月|万元|元|倍)?|[一二三四五六七八九十百千]+[万元年日个月])"
 
 
@@ -139,5 +140,10 @@ def refuses(answer: Column) -> Column:
     return head.contains(REFUSAL.rstrip("。"))
 
 
+def decoded(content: Column) -> Column:
+    """UTF-8 bytes as text: each malformed sequence becomes one U+FFFD, and every line end a line feed."""
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")
+
+
 def slashes(path: Column) -> Column:
     return F.translate(path, "\\", "/")

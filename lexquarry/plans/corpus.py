@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions import dates
 from lexquarry.functions.citations import citation
-from lexquarry.functions.text import clean, fingerprint
+from lexquarry.functions.text import clean, decoded, fingerprint
 from lexquarry.operators import chunking, registry, structure
 from lexquarry.sources import files
 
@@ -34,7 +34,7 @@ def records(files_: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     name = F.element_at(F.split("file_path", "/"), -1)
 
-    plain = base.where(of("text")).select("doc_id", *META, F.decode("content", "UTF-8").alias("text"))
+    plain = base.where(of("text")).select("doc_id", *META, decoded(F.col("content")).alias("text"))
     text = files.text_header(plain, keep=META).select("doc_id", *META, "doc_title", "title_source", "effective_date", "issuing_org", "source_url", "body", F.lit("OK").alias("status"))
 
     word = files.read_word(base.where(of("word")), keep=META)
@@ -85,7 +85,7 @@ def elements(spark: SparkSession, root: str, records: DataFrame, markdown: DataF
     wanted = registry.indexable(records).select("doc_id", "file_path", "format", F.coalesce("doc_title", F.lit("")).alias("doc_title"))
     content = lambda extension: files.scan_tree(spark, root, content=True, extension=extension).select("file_path", "content").join(wanted, "file_path")
     titles = wanted.select("doc_id", "doc_title")
-    plain = content("txt").select("doc_id", F.decode("content", "UTF-8").alias("text"))
+    plain = content("txt").select("doc_id", decoded(F.col("content")).alias("text"))
     text = structure.text_elements(files.text_lines(plain).join(titles, "doc_id"), title="doc_title")
     word = structure.word_elements(files.read_word(content("docx")).join(titles, "doc_id"))
     grid = files.read_sheets(content("xlsx")).where("cells is not null")
@@ -97,7 +97,7 @@ def elements(spark: SparkSession, root: str, records: DataFrame, markdown: DataF
 def chunks(spark: SparkSession, root: str, records: DataFrame, markdown: DataFrame | None = None, *, limit: int = 400) -> DataFrame:
     docs = registry.indexable(records)
     if markdown is not None:
-        docs = docs.unionByName(markdown.drop("text"), allowMissingColumns=True)
+        docs = docs.unionByName(markdown.drop("text", "status"), allowMissingColumns=True)
     return chunking.build_chunks(elements(spark, root, records, markdown), docs, limit=limit)
 
 

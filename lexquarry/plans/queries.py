@@ -749,6 +749,22 @@ def text_reader(spark, sf_dir):
     return files.text_lines(o.select("o_orderkey", text.alias("text")), key="o_orderkey")
 
 
+#: Bytes in hex, and the text they stand for.
+_BYTES = [
+    ("E6A08731", "标1"), ("C4FACAC7", "\ufffd\ufffd\ufffd\ufffd"), ("E6A0", "\ufffd"), ("61F09F98", "a\ufffd"), ("C0AF", "\ufffd\ufffd"), ("EDA080", "\ufffd\ufffd\ufffd"),
+    ("F4908080", "\ufffd\ufffd\ufffd\ufffd"), ("0D0A610D62", "\na\nb"), ("FF41FE", "\ufffdA\ufffd"), ("", ""), ("EFBBBF41", "\ufeffA"), ("E6A0C3A9", "\ufffdé"),
+]
+
+
+@query(f"""SELECT o_orderkey, concat([{", ".join("'" + t.replace(chr(10), "' || chr(10) || '") + "'" for _, t in _BYTES)}][(o_orderkey % {len(_BYTES)} + 1)::INTEGER], '|', o_orderkey) AS text FROM orders""")
+def text_decoding(spark, sf_dir):
+    """Text files that are not clean UTF-8: each malformed sequence is one replacement character, the rest is read."""
+    o = table(spark, sf_dir, "orders")
+    hexed = F.element_at(F.array(*(F.lit(h) for h, _ in _BYTES)), (F.col("o_orderkey") % len(_BYTES) + 1).cast("int"))
+    content = F.concat(F.unhex(hexed), F.concat(F.lit("|"), F.col("o_orderkey").cast("string")).cast("binary"))
+    return o.select("o_orderkey", T.decoded(content).alias("text"))
+
+
 @query("""SELECT o_orderkey, 'p' AS kind, 0 AS ord, NULL::INTEGER AS "table", NULL::INTEGER AS "row", concat('标题', o_orderkey) AS cells, 'OK' AS status FROM orders
 UNION ALL SELECT o_orderkey, 'tr', 1, 1, 0, '项目|数值|数值', 'OK' FROM orders UNION ALL SELECT o_orderkey, 'tr', 1, 1, 1, concat('甲|', o_custkey, '|', o_custkey), 'OK' FROM orders UNION ALL SELECT o_orderkey, 'p', 2, NULL, NULL, 'A&B 末段', 'OK' FROM orders""")
 def word_reader(spark, sf_dir):

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.functions.text import clean
+from lexquarry.functions.text import clean, decoded
 
 
 #: Formats of the corpus tree by the extension of their files.
@@ -48,13 +48,18 @@ def scan_tree(spark: SparkSession, root: str, *, content: bool = False, extensio
 
 
 def scan_markdown(spark: SparkSession, *folders: str) -> DataFrame:
-    """Markdown files of the given folders, as documents of their own: ids of `synthetic/<name>`, titles from the name."""
+    """Markdown files of the given folders, as documents of their own: ids of `synthetic/<name>`, titles from the name.
+
+    A file that is not UTF-8 has a status of ERROR and no text, so it gives no elements.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(list(folders))
     name = F.regexp_extract("path", "([^/]+)$", 1)
     stem = F.regexp_replace(name, r"\.md$", "")
+    clear = F.is_valid_utf8(F.col("content").cast("string"))
     return files.select(
         F.substring(F.sha1(F.encode(F.concat(F.lit("synthetic/"), name), "UTF-8")), 1, 16).alias("doc_id"), name.alias("file_path"), F.lit("md").alias("format"),
-        F.lit("synthmd0").alias("doc_version"), F.substring_index(stem, "_", 1).alias("doc_title"), F.decode("content", "UTF-8").alias("text"), F.lit(1).alias("is_latest"),
+        F.lit("synthmd0").alias("doc_version"), F.substring_index(stem, "_", 1).alias("doc_title"), F.when(clear, decoded(F.col("content"))).alias("text"), F.lit(1).alias("is_latest"),
+        F.when(clear, "OK").otherwise("ERROR: not UTF-8").alias("status"),
     )
 
 
