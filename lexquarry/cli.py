@@ -55,7 +55,7 @@ def embedding_from_environment():
 
 
 def _retriever(spark: SparkSession, args) -> corpus.Retriever:
-    return dense.Index.load(spark, args.index, embedding_from_environment()) if args.retriever == "dense" else bm25.Index.load(spark, args.index)
+    return dense.Index.load(spark, args.index, embedding_from_environment(), nprobe=args.nprobe) if args.retriever == "dense" else bm25.Index.load(spark, args.index)
 
 
 def _known(spark: SparkSession, log: str) -> tuple[DataFrame | None, int]:
@@ -86,7 +86,7 @@ def _index(spark: SparkSession, args) -> None:
     made = spark.read.parquet(f"{args.index}/made")
     corpus.level_histogram(made).show()
     if args.retriever == "dense":
-        dense.build(made, embedding_from_environment()).save(args.index)
+        dense.build(made, embedding_from_environment()).save(args.index, cells=args.cells)
     else:
         bm25.build(made).save(args.index)
 
@@ -159,10 +159,11 @@ def main(argv: list[str] | None = None) -> None:
 
     at, by = ("--index", {"required": True}), ("--retriever", {"choices": ("bm25", "dense"), "default": "bm25"})
     k, history = ("-k", {"type": int, "default": 5}), ("--history", {"action": "store_true"})
-    command("index", _index, at, by, ("--corpus", {"required": True}), ("--meta", {}), ("--markdown", {"nargs": "*"}))
-    command("search", _search, at, by, ("question", {}), k, history)
-    command("ask", _ask, at, by, ("question", {}), k, history)
-    command("eval", _eval, at, by, ("--testset", {"required": True}), ("--twins", {}), ("--mode", {"choices": ("retrieval", "full"), "default": "retrieval"}), ("--judge", {"choices": ("keys", "llm"), "default": "keys"}), k)
+    nprobe = ("--nprobe", {"type": int, "help": "cells of a dense index that a question opens"})
+    command("index", _index, at, by, ("--cells", {"type": int, "default": 0, "help": "cells of a dense index"}), ("--corpus", {"required": True}), ("--meta", {}), ("--markdown", {"nargs": "*"}))
+    command("search", _search, at, by, nprobe, ("question", {}), k, history)
+    command("ask", _ask, at, by, nprobe, ("question", {}), k, history)
+    command("eval", _eval, at, by, nprobe, ("--testset", {"required": True}), ("--twins", {}), ("--mode", {"choices": ("retrieval", "full"), "default": "retrieval"}), ("--judge", {"choices": ("keys", "llm"), "default": "keys"}), k)
     command("calibrate", _calibrate, at, ("--detail", {"required": True}), ("--labels", {"required": True}), ("--threshold", {"type": float, "default": 0.95}))
     args = parser.parse_args(argv)
     args.run(session(), args)

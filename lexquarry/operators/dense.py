@@ -38,28 +38,47 @@ def question_text(question: Column) -> Column:
     return F.concat(F.lit("为这个句子生成表示以用于检索相关文章："), question)  # fixed value
 
 
-def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of unit length, and their places: those that are neither null nor zero, and of this width."""
+def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of unit length, and their places: those that are finite, neither null nor zero, and of this width."""
     rows = np.flatnonzero(pc.equal(pc.fill_null(pc.list_value_length(column), -1), width).to_numpy(zero_copy_only=False)) if width else np.zeros(0, np.int64)
     m = pc.fill_null(column.take(pa.array(rows)).flatten(), 0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
     norm = np.sqrt((m * m).sum(axis=1))
-    return m[norm > 0] / norm[norm > 0][:, None], rows[norm > 0]
+    good = (norm > 0) & np.isfinite(norm)
+    return m[good] / norm[good][:, None], rows[good]
 
 
-def _nearest(ids: list, questions: np.ndarray, key: str, k: int):
+def _met(cells: np.ndarray, probes: np.ndarray):
+    """(questions, rows) that meet: the rows of a cell and the questions that open it."""
+    for cell in np.unique(cells):
+        own = np.flatnonzero(probes[:, cell])
+        if len(own):
+            yield own, np.flatnonzero(cells == cell)
+
+
+def nearest(vectors: DataFrame, ids: list, questions: np.ndarray, qid, *, key: str, k: int, probes: np.ndarray | None = None) -> DataFrame:
+    """qid, key and score of each task's k nearest vectors of each question (and of those that rounding might put among them).
+
+    questions: vectors of unit length, of the ids. probes: which cells (of a column cell) each question opens; None: all.
+    """
+
     def run(batches):
         kept: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         for batch in batches:
-            m, rows = _matrix(batch.column(1), questions.shape[1])
+            m, rows = matrix(batch.column(1), questions.shape[1])
             if not len(rows) or not len(questions):
                 continue
-            scores = questions @ m.T
-            if len(rows) > k:  # and what rounding might put among the best
-                least = np.partition(scores, -k, axis=1)[:, -k][:, None] - 1e-6
-                q, at = np.nonzero(scores >= least)
-            else:
-                q, at = (x.ravel() for x in np.indices(scores.shape))
-            kept.append((q, scores[q, at], batch.column(0).take(pa.array(rows[at]))))
+            before = len(kept)
+            cells = None if probes is None else batch.column(2).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+            for own, here in [(np.arange(len(questions)), np.arange(len(rows)))] if cells is None else _met(cells, probes):
+                scores = questions[own] @ m[here].T
+                if len(here) > k:  # and what rounding might put among the best
+                    least = np.partition(scores, -k, axis=1)[:, -k][:, None] - 1e-6
+                    q, at = np.nonzero(scores >= least)
+                else:
+                    q, at = (x.ravel() for x in np.indices(scores.shape))
+                kept.append((own[q], scores[q, at], batch.column(0).take(pa.array(rows[here[at]]))))
+            if len(kept) == before:
+                continue
             q, score, keys = np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept]), pa.concat_arrays([x[2] for x in kept])
             order = np.lexsort((-score, q))
             first = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1]))
@@ -69,29 +88,31 @@ def _nearest(ids: list, questions: np.ndarray, key: str, k: int):
         for q, score, keys in kept:
             yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), keys, pa.array(score)], ["qid", key, "score"])
 
-    return run
+    columns = [key, "embedding"] if probes is None else [key, "embedding", "cell"]
+    return vectors.select(*columns).mapInArrow(run, f"qid {qid.dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double")
+
+
+def ranked(found: DataFrame, key: str, k: int) -> DataFrame:
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))
+    return found.withColumn("score", F.round("score", 6)).withColumn("rank", best).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, questions: DataFrame, *, k: int = 5, key: str = "vec_id", latest_only: bool = False) -> DataFrame:
     """qid, rank, key and score (cosine, six decimals) of the k nearest vectors of each question (qid, embedding).
 
-    Vectors that are null, zero or of another length than the questions' have no neighbours.
+    Vectors that are null, zero, not finite or of another length than the questions' have no neighbours.
     """
     if latest_only:
         vectors = vectors.where("is_latest = 1")
     blocks = max(1, -(-questions.count() // BLOCK))
-    kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema, *questions.select("qid").schema)}
     every = None
     for i in range(blocks):
         rows = questions.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).select("qid", "embedding").collect()  # about BLOCK of them
         width = max((len(r["embedding"] or ()) for r in rows), default=0)
-        rows = [r for r in rows if r["embedding"] is not None and len(r["embedding"]) == width and any(r["embedding"])]
-        q = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), width)
-        q = q / np.sqrt((q * q).sum(axis=1))[:, None]
-        each = vectors.select(key, "embedding").mapInArrow(_nearest([r["qid"] for r in rows], q, key, k), f"qid {kinds['qid']}, `{key}` {kinds[key]}, score double")
+        q, at = matrix(pa.array([r["embedding"] for r in rows], pa.list_(pa.float64())), width)
+        each = nearest(vectors, [rows[j]["qid"] for j in at], q, questions.schema["qid"], key=key, k=k)
         every = each if every is None else every.unionByName(each)
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))
-    return every.withColumn("score", F.round("score", 6)).withColumn("rank", best).where(F.col("rank") <= k)
+    return ranked(every, key, k)
 
 
 def upsert(vectors: DataFrame, more: DataFrame, *, key: str = "vec_id", ordinal: str = "batch") -> DataFrame:
@@ -107,23 +128,42 @@ def delete(vectors: DataFrame, gone: DataFrame, *, key: str = "doc_id") -> DataF
 
 
 class Index:
-    """Chunks with their vectors. save() and load() by folder; retrieve() as operators.bm25.Index has it, but rows of tables have no say."""
+    """Chunks with their vectors. save() and load() by folder; retrieve() as operators.bm25.Index has it, but rows of tables have no say.
 
-    def __init__(self, chunks: DataFrame, model: Callable[[list[str]], list[list[float]]]):
-        self.chunks, self.model = chunks, model
+    filed: the vectors by cell (operators.ivf), which questions open in part; without it all vectors are compared.
+    """
 
-    def save(self, folder: str) -> None:
+    def __init__(self, chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], filed=None, nprobe: int | None = None):
+        self.chunks, self.model, self.filed, self.nprobe = chunks, model, filed, nprobe
+
+    def save(self, folder: str, *, cells: int | None = 0) -> None:
+        """cells: how many cells to file the vectors under; None: by their number; 0: don't."""
         self.chunks.write.mode("overwrite").parquet(f"{folder}/vectors")
+        if cells != 0:
+            from lexquarry.operators import ivf
+
+            rows = self.chunks.sparkSession.read.parquet(f"{folder}/vectors").select("chunk_ix", "embedding", F.coalesce("is_latest", F.lit(1)).alias("is_latest"))
+            ivf.build(rows, key="chunk_ix", cells=cells).save(f"{folder}/filed")
 
     @staticmethod
-    def load(spark: SparkSession, folder: str, model: Callable[[list[str]], list[list[float]]]) -> Index:
-        return Index(spark.read.parquet(f"{folder}/vectors"), model)
+    def load(spark: SparkSession, folder: str, model: Callable[[list[str]], list[list[float]]], *, nprobe: int | None = None) -> Index:
+        """nprobe: how many cells a question opens of an index that was saved with cells; None: all vectors are compared."""
+        filed = None
+        if nprobe is not None:
+            from lexquarry.operators import ivf
+
+            filed = ivf.Index.load(spark, f"{folder}/filed", key="chunk_ix")
+        return Index(spark.read.parquet(f"{folder}/vectors"), model, filed, nprobe)
 
     def retrieve(self, questions: DataFrame, *, k: int = 5, drilldown: bool = False) -> DataFrame:
         """The k nearest chunks of each question (qid, question, include_history if given), with rank, score and the chunks' fields."""
         asked = encode(questions.where("question is not null"), self.model, question_text(F.col("question"))).select("qid", "embedding", (F.coalesce("include_history", F.lit(False)) if "include_history" in questions.columns else F.lit(False)).alias("old"))
-        latest = self.chunks.where("coalesce(is_latest, 1) <> 0")
-        found = top_k(latest, asked.where("not old"), k=k, key="chunk_ix").unionByName(top_k(self.chunks, asked.where("old"), k=k, key="chunk_ix"))
+        new, old = asked.where("not old"), asked.where("old")
+        if self.filed is not None:
+            found = self.filed.top_k(new, k=k, nprobe=self.nprobe, latest_only=True).unionByName(self.filed.top_k(old, k=k, nprobe=self.nprobe))
+        else:
+            latest = self.chunks.where("coalesce(is_latest, 1) <> 0")
+            found = top_k(latest, new, k=k, key="chunk_ix").unionByName(top_k(self.chunks, old, k=k, key="chunk_ix"))
         return found.join(self.chunks.drop("embedding"), "chunk_ix")
 
 

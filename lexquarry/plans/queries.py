@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions import citations, dates
 from lexquarry.functions import text as T
-from lexquarry.operators import bm25, chunking, dense, evaluation, generation, registry, structure
+from lexquarry.operators import bm25, chunking, dense, evaluation, generation, ivf, registry, structure
 from lexquarry.plans import composed
 from lexquarry.sources import files
 
@@ -151,6 +151,22 @@ def dense_filtered(spark, sf_dir):
     return dense.top_k(*_vectors(spark, sf_dir), latest_only=True)
 
 
+@query(_COSINE.format("true"))
+def dense_ivf_all_cells(spark, sf_dir):
+    """The inverted file with every cell open gives the exact answer."""
+    v, asked = _vectors(spark, sf_dir)
+    index = ivf.build(v)
+    return index.top_k(asked, nprobe=len(index.centres))
+
+
+@query()
+def dense_ivf_topk(spark, sf_dir):
+    """The inverted file, each question opening half of the cells: these vectors have hardly any clusters, so fewer would not do (tests/test_ivf.py has the recall)."""
+    v, asked = _vectors(spark, sf_dir)
+    index = ivf.build(v)
+    return index.top_k(asked, nprobe=-(-len(index.centres) // 2))
+
+
 @query("WITH a AS (SELECT vec_id, label, 0 AS batch FROM embeddings UNION ALL SELECT vec_id + 7, label + 100, 1 FROM embeddings WHERE vec_id % 5 = 0) SELECT vec_id, max_by(label, batch) AS label, max(batch)::INTEGER AS batch FROM a GROUP BY 1")
 def dense_upsert(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.lit(0).alias("batch"))
