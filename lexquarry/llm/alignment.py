@@ -83,7 +83,7 @@ def pair(a_path: str, b_path: str) -> Pair:
 
 def cut_places(data: np.ndarray) -> np.ndarray:
     """Places of spaces that follow a character which is no white space (what may be some counts as such)."""
-    at = np.flatnonzero(data == 0x20)
+    at = np.flatnonzero(data == 0x20).astype(np.int32)  # a column of text is below 2 GB
     at = at[at > 0]
     back = lambda n: np.where(at >= n, data[np.maximum(at - n, 0)], 0)
     x, y, z = back(1), back(2), back(3)
@@ -92,33 +92,60 @@ def cut_places(data: np.ndarray) -> np.ndarray:
     return at[mark & ~space]
 
 
+def planes(numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Rows (by bounds) of numbers below 2**32 as bytes: the lowest byte of each, then the next of each, and so on."""
+    n = np.diff(bounds)
+    out = np.empty(4 * len(numbers), np.uint8)
+    row = np.repeat(np.arange(len(n)), n)
+    at = 3 * bounds[:-1][row] + np.arange(len(numbers))
+    for i in range(4):
+        out[at + i * n[row]] = (numbers >> (8 * i)) & 0xFF
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(out)])
+
+
+def unplaned(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and bounds of rows."""
+    data, offsets = buffers(column)
+    bounds = offsets // 4
+    n = np.diff(bounds)
+    row = np.repeat(np.arange(len(n)), n)
+    at = 3 * bounds[:-1][row] + np.arange(int(bounds[-1]))
+    out = np.zeros(int(bounds[-1]), np.int64)
+    for i in range(4):
+        out |= data[at + i * n[row]].astype(np.int64) << (8 * i)
+    return out, bounds
+
+
 def _numbered(paths: tuple[str, str]):
     """For mapInArrow over text and carried columns: documents as numbers of their chunk's segments, and the segments."""
 
     def chunk(number: int, rows: pa.Table) -> list[pa.RecordBatch]:
         tokenizers = pair(*paths)
-        text = rows.column(0).cast(pa.large_string()).combine_chunks()
+        text = rows.column(0).combine_chunks()
         there = pc.fill_null(pc.greater(pc.binary_length(text), 0), False)
         if tokenizers.alters:
             there = pa.array([bool(t) and tokenizers.whole(t) for t in text.to_pylist()], pa.bool_())
         else:
             there = pc.and_(there, pc.fill_null(pc.invert(pc.match_substring(text, MARK)), False))
-        text = pc.filter(text, there)
-        data, offsets = buffers(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), text, pa.scalar(" ", pa.large_string())))
-        start = np.union1d(cut_places(data) if tokenizers.cuts else np.zeros(0, np.int64), offsets[:-1])
-        ends = np.append(start, len(data)).astype(np.int64)
-        segments = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        at = segments.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        data, offsets = buffers(pc.binary_join_element_wise("", pc.filter(text, there), " "))
+        offsets = offsets.astype(np.int32)
+        start = np.union1d(cut_places(data) if tokenizers.cuts else offsets[:0], offsets[:-1])
+        segments = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(start, np.int32(len(data)))), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        at = segments.indices.to_numpy(zero_copy_only=False)
         n = np.bincount(at, minlength=len(segments.dictionary)) if len(at) else np.zeros(0, np.int64)
+        # the most frequent get the least numbers, which take less room
+        order = np.argsort(-n, kind="stable")
+        number_of = np.empty(len(n), np.int32)
+        number_of[order] = np.arange(len(n), dtype=np.int32)
         full = np.zeros(rows.num_rows, bool)
         full[there.to_numpy(zero_copy_only=False)] = True
         sizes = np.zeros(rows.num_rows, np.int64)
         sizes[full] = np.diff(np.searchsorted(start, offsets))
-        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(at))
+        ids = planes(number_of[at], np.append(0, np.cumsum(sizes)))
         none = lambda k, t: pa.nulls(k, t)
-        k, m = rows.num_rows, len(segments.dictionary)
+        k, m = rows.num_rows, len(n)
         docs = [pa.array(np.full(k, number)), ids, none(k, pa.string()), none(k, pa.int32()), none(k, pa.int64())]
-        listed = [pa.array(np.full(m, number)), none(m, pa.list_(pa.int32())), segments.dictionary.cast(pa.string()), pa.array(np.arange(m, dtype=np.int32)), pa.array(n)]
+        listed = [pa.array(np.full(m, number)), none(m, pa.binary()), segments.dictionary, pa.array(number_of), pa.array(n)]
         names = ["chunk", "ids", "segment", "at", "n", *rows.schema.names[1:]]
         docs += [rows.column(i).combine_chunks() for i in range(1, rows.num_columns)]
         listed += [none(m, rows.schema.types[i]) for i in range(1, rows.num_columns)]
@@ -251,15 +278,19 @@ class Listed:
 
     def __init__(self, rows: pa.Table, width: int):
         at = np.argsort(rows["at"].to_numpy(), kind="stable")
-        ids, marks, bounds = unpacked(rows["groups"].combine_chunks().take(pa.array(at)), width)
-        # A's ids stand before a group's bar, B's after it
-        side = np.cumsum((marks == 1).astype(np.int64) - (marks >= 2)) - ((marks == 1).astype(np.int64) - (marks >= 2))
-        total = lambda x: np.diff(np.append(0, np.cumsum(x))[bounds])
-        n_a, n_b, n_groups = total(side == 0), total(side == 1), total(marks >= 2)
+        packed_groups, texts, counts = rows["groups"].combine_chunks(), [], []
+        for i in range(0, max(1, len(at)), 50_000):
+            ids, marks, bounds = unpacked(packed_groups.take(pa.array(at[i : i + 50_000])), width)
+            # A's ids stand before a group's bar, B's after it
+            step = (marks == 1).astype(np.int64) - (marks >= 2)
+            side = np.cumsum(step) - step
+            counts.append([np.diff(np.append(0, np.cumsum(x))[bounds]) for x in (side == 0, side == 1, marks >= 2)])
+            text = pc.binary_join_element_wise(pc.cast(pa.array(ids), pa.string()), pa.array(MARKS).take(pa.array(marks)), "")
+            texts.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), text), ""))
+        n_a, n_b, n_groups = (np.concatenate(x) for x in zip(*counts, strict=True))
         # a link for each end, and a group for each end of both
         self.figures = [n_a, n_b, n_groups, n_a + n_b - n_groups, *(rows[f].to_numpy()[at] for f in FIGURES[4:])]
-        text = pc.binary_join_element_wise(pc.cast(pa.array(ids), pa.string()), pa.array(MARKS).take(pa.array(marks)), "")
-        self.groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), text), "")
+        self.groups = pa.concat_arrays(texts)
 
 
 def _added(carry: list[str], width: int):
@@ -279,9 +310,7 @@ def _added(carry: list[str], width: int):
                     continue
                 listed = listed or Listed(pa.Table.from_batches(held), width)
                 held = []
-                size = pc.fill_null(pc.list_value_length(part.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = pc.list_flatten(part.column("ids")).to_numpy(zero_copy_only=False)
-                bounds = np.append(0, np.cumsum(size))
+                flat, bounds = unplaned(part.column("ids"))
                 sums = [np.diff(np.append(0, np.cumsum(f[flat]))[bounds]) for f in listed.figures]
                 digests = []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -332,7 +361,7 @@ def align_tokens(df: DataFrame, *, text: str = "text", carry: tuple[str, ...] =
     carried = [f"_c{i}" for i in range(len(carry))]
     source = df.select(F.col(text).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in source.schema[1:])
-    chunks = kept(source.mapInArrow(_numbered(paths), f"chunk long, ids array<int>, segment string, at int, n long{kinds}"))
+    chunks = kept(source.mapInArrow(_numbered(paths), f"chunk long, ids binary, segment string, at int, n long{kinds}"))
     listed, docs = chunks.where("at is not null").select("chunk", "at", "segment", "n"), chunks.where("at is null").select("chunk", "ids", *carried)
 
     segments = listed.groupBy("segment").agg(F.sum("n").alias("n")).withColumn("seg", F.monotonically_increasing_id())
@@ -352,7 +381,7 @@ def align_tokens(df: DataFrame, *, text: str = "text", carry: tuple[str, ...] =
     dropped(linked)
 
     none = lambda kind: F.lit(None).cast(kind)
-    known = listed.drop("n").join(figures, "segment").select("chunk", *_LISTED, none("array<int>").alias("ids"), *(none(chunks.schema[c].dataType).alias(c) for c in carried))
+    known = listed.drop("n").join(figures, "segment").select("chunk", *_LISTED, none("binary").alias("ids"), *(none(chunks.schema[c].dataType).alias(c) for c in carried))
     asking = docs.select("chunk", none("int").alias("at"), none("long").alias("n_best"), none("long").alias("count_sum"), none("binary").alias("groups"), "ids", *carried)
     rows = known.unionByName(asking).repartition("chunk").sortWithinPartitions("chunk", F.col("at").asc_nulls_last())
     out = rows.mapInArrow(_added(carried, width), "".join(f"{c} {chunks.schema[c].dataType.simpleString()}, " for c in carried) + ", ".join(f"_{f} long" for f in FIGURES) + ", _groups_sha256 string")

@@ -285,3 +285,6 @@ def test_packed_ids_come_back(width):
     ids, marks = rng.integers(0, 1 << (8 * width - 1), bounds[-1]), rng.integers(0, 4, bounds[-1])
     got = alignment.unpacked(alignment.packed(ids, marks, bounds, width), width)
     assert all((x == y).all() for x, y in zip(got, (ids, marks, bounds), strict=True))
+    numbers = rng.integers(0, 1 << 32, bounds[-1])
+    back, at = alignment.unplaned(alignment.planes(numbers, bounds))
+    assert (back == numbers).all() and (at == bounds).all()
