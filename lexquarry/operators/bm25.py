@@ -32,8 +32,8 @@ CARRIED = ("chunk_ix", "doc_id", "is_latest", "is_row", "dl")
 class Index:
     """chunks: CARRIED and terms (an array of tokens), or postings (CARRIED, term, tf); stats: N, avgdl; rows: doc_id, n_rows."""
 
-    def __init__(self, chunks: DataFrame, stats: DataFrame, rows: DataFrame, postings: DataFrame | None, title_weight: int):
-        self.chunks, self.stats, self.rows, self._postings, self.title_weight = chunks, stats, rows, postings, title_weight
+    def __init__(self, chunks: DataFrame, stats: DataFrame, rows: DataFrame, postings: DataFrame | None, title_weight: int, tokenizer=tokens):
+        self.chunks, self.stats, self.rows, self._postings, self.title_weight, self.tokenizer = chunks, stats, rows, postings, title_weight, tokenizer
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """CARRIED, term and tf of the given terms, or of all."""
@@ -56,9 +56,9 @@ class Index:
         return retrieve(self, questions, k=k, drilldown=drilldown)
 
     @staticmethod
-    def load(spark, folder: str, title_weight: int = 3) -> Index:
+    def load(spark, folder: str, title_weight: int = 3, tokenizer=tokens) -> Index:
         read = lambda n: spark.read.parquet(f"{folder}/{n}")
-        return Index(read("chunks"), read("stats"), read("rows"), read("postings"), title_weight)
+        return Index(read("chunks"), read("stats"), read("rows"), read("postings"), title_weight, tokenizer)
 
 
 def build(chunks: DataFrame, *, tokenizer=tokens, title_weight: int = 3) -> Index:
@@ -70,7 +70,7 @@ def build(chunks: DataFrame, *, tokenizer=tokens, title_weight: int = 3) -> Inde
     df = df.withColumn("dl", (F.size("terms") + title_weight * F.size("title_terms")).cast("long"))
     stats = df.agg(F.count("*").alias("N"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
     rows = df.where("is_row").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
-    return Index(df, stats, rows, None, title_weight)
+    return Index(df, stats, rows, None, title_weight, tokenizer)
 
 
 def question_terms(questions: DataFrame, *, tokenizer=tokens) -> DataFrame:
@@ -213,7 +213,7 @@ def scores(index: Index, asked: DataFrame, *, k1: float = 1.6, b: float = 0.75,
     return each.groupBy("qid", *CARRIED).agg(F.round(F.sum(F.col("qtf") * one), 6).alias("score"), F.min("first_at").alias("first_at"))
 
 
-def retrieve(index: Index, questions: DataFrame, *, k: int = 5, drilldown: bool = True, tokenizer=tokens, k1: float = 1.6, b: float = 0.75) -> DataFrame:
+def retrieve(index: Index, questions: DataFrame, *, k: int = 5, drilldown: bool = True, tokenizer=None, k1: float = 1.6, b: float = 0.75) -> DataFrame:
     """The top k chunks of each question (qid, question, include_history if given): qid, rank, chunk_ix, score and the chunk's fields.
 
     drilldown: of a document with three table rows or more of which none was picked, its best row takes the place
@@ -221,7 +221,7 @@ def retrieve(index: Index, questions: DataFrame, *, k: int = 5, drilldown: bool
     """
     old = F.col("include_history") if "include_history" in questions.columns else F.lit(False)
     history = questions.select("qid", F.coalesce(old, F.lit(False)).alias("include_history"))
-    asked = question_terms(questions, tokenizer=tokenizer)
+    asked = question_terms(questions, tokenizer=tokenizer or index.tokenizer)
     few = asked.count() <= BROADCAST_TERMS
     order = (F.desc("score"), "first_at", "chunk_ix")
     if few and index._postings is None:

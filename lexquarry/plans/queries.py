@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions import citations, dates
 from lexquarry.functions import text as T
-from lexquarry.operators import bm25, chunking, dense, evaluation, generation, ivf, registry, structure
+from lexquarry.operators import bm25, chunking, dense, evaluation, generation, ivf, registry, structure, words
 from lexquarry.plans import composed
 from lexquarry.sources import files
 
@@ -121,6 +121,49 @@ def tokenize_han(spark, sf_dir):
     return o.select("o_orderkey", F.array_join(T.tokens(text), "|").alias("toks"))
 
 
+#: Composed Han text: one word of each list, by orders, with a number and marks between.
+_WORDS = (("纳税人", "税务机关", "企业", "个人", "扣缴义务人"), ("应当", "可以", "不得"), ("缴纳", "申报", "退还", "追征"), ("增值税", "企业所得税", "消费税", "税款", "滞纳金", "税"))
+_HAN_SQL = " || ".join(f"[{', '.join(repr(w) for w in ws)}][(o_orderkey // {7 ** i} % {len(ws)} + 1)::INTEGER]" for i, ws in enumerate(_WORDS))
+#: Grams with their company, and the dictionary v(word, n, cost), of texts t(o_orderkey, text).
+_DICTIONARY = f"""t AS MATERIALIZED (SELECT o_orderkey, concat({_HAN_SQL}, CASE WHEN o_orderkey % 3 = 0 THEN '，' ELSE '' END, translate((o_custkey % 100)::VARCHAR, '0123456789', '零一二三四五六七八九'), '日内', ' 2.5% ', CASE WHEN o_orderkey % 4 = 0 THEN 'VAT-1 办理' ELSE '龘。' END) AS text FROM orders),
+u AS (SELECT unnest(regexp_extract_all(text, '[一-鿿]+')) AS run FROM t),
+e AS (SELECT run, pos, unnest(range(1, least(4, length(run) - pos + 1) + 1)) AS size FROM (SELECT run, unnest(range(1, length(run) + 1)) AS pos FROM u)),
+w AS (SELECT substr(run, pos, size) AS word, size, CASE WHEN pos > 1 THEN substr(run, pos - 1, 1) ELSE '' END AS before, substr(run, pos + size, 1) AS after FROM e),
+n AS MATERIALIZED (SELECT word, size, count(*) AS n FROM w GROUP BY 1, 2),
+hb AS (SELECT word, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM (SELECT word, before, count(*) AS c FROM w WHERE size > 1 GROUP BY 1, 2) GROUP BY 1),
+ha AS (SELECT word, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM (SELECT word, after, count(*) AS c FROM w WHERE size > 1 GROUP BY 1, 2) GROUP BY 1),
+z AS (SELECT word, n, unnest(range(1, size)) AS cut FROM n WHERE size > 1 AND n >= 5),
+c AS (SELECT z.word, min(z.n * (SELECT sum(n) FROM n WHERE size = 1)::DOUBLE / (a.n * b.n)) AS cohesion FROM z JOIN n a ON a.word = substr(z.word, 1, cut) JOIN n b ON b.word = substr(z.word, cut + 1) GROUP BY 1),
+d AS (SELECT word, n FROM n JOIN c USING (word) JOIN hb USING (word) JOIN ha USING (word) WHERE round(cohesion, 6) >= 8 AND round(least(hb.h, ha.h), 6) >= 0.5 UNION ALL SELECT word, n FROM n WHERE size = 1),
+v AS MATERIALIZED (SELECT word, n, round(1000000 * ln((SELECT sum(n) FROM d)::DOUBLE / n))::BIGINT AS cost FROM d)"""
+
+
+def _han_text(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    word = lambda i, ws: F.element_at(F.array(*(F.lit(w) for w in ws)), (F.floor(key / 7**i) % len(ws) + 1).cast("int"))
+    text = F.concat(*(word(i, ws) for i, ws in enumerate(_WORDS)), F.when(key % 3 == 0, "，").otherwise(""), _han((F.col("o_custkey") % 100).cast("string")), F.lit("日内 2.5% "), F.when(key % 4 == 0, "VAT-1 办理").otherwise("龘。"))
+    return o.select("o_orderkey", text.alias("text"))
+
+
+@query(f"WITH {_DICTIONARY} SELECT word, n, cost FROM v")
+def word_dictionary(spark, sf_dir):
+    """Words that hold together and stand in varied company, counted from composed Han text."""
+    return words.dictionary(_han_text(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_DICTIONARY}, m AS (SELECT map(list(word), list(cost)) AS m FROM v),
+q AS (SELECT o_orderkey, i, p, p[1:1] BETWEEN '一' AND '鿿' AS han FROM (SELECT o_orderkey, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM (SELECT o_orderkey, regexp_extract_all(text, '[一-鿿]+|[A-Za-z0-9]+(?:[.%％-][A-Za-z0-9]+)*[%％]?|[^\\s]') AS ps FROM t))),
+y AS (SELECT DISTINCT p FROM q WHERE han),
+r AS (SELECT p, length(p) AS pos, [0::BIGINT] AS costs, [''] AS paths FROM y UNION ALL
+  SELECT p, pos - 1, list_prepend(b.x, costs), list_prepend(b.y, paths) FROM (SELECT p, pos, costs, paths, list_min(list_transform(list_filter(range(1, least(4, length(p) - pos + 1) + 1), lambda k: m[substr(p, pos, k)] IS NOT NULL), lambda k: {{'x': m[substr(p, pos, k)] + costs[k], 'z': -k, 'y': substr(p, pos, k) || CASE WHEN paths[k] = '' THEN '' ELSE '|' || paths[k] END}})) AS b FROM r, m WHERE pos > 0))
+SELECT o_orderkey, string_agg(coalesce(f.path, q.p), '|' ORDER BY i) AS tokens FROM q LEFT JOIN (SELECT p, paths[1] AS path FROM r WHERE pos = 0) f ON han AND f.p = q.p GROUP BY 1""")
+def word_segmentation(spark, sf_dir):
+    """Texts along the cheapest path of words of that dictionary."""
+    t = _han_text(spark, sf_dir)
+    return words.learn(t).segment(t, key="o_orderkey").select("o_orderkey", F.array_join("tokens", "|").alias("tokens"))
+
+
 @query(f"WITH t AS (SELECT len({_TOKENS.format('text')}) + 3 * len({_TOKENS.format('concat(lang, source)')}) AS dl FROM documents) SELECT count(*) AS n, round(coalesce(avg(dl), 1.0), 6) AS avgdl, sum(dl)::BIGINT AS total FROM t")
 def index_stats(spark, sf_dir):
     index = bm25.build(_document_chunks(spark, sf_dir))

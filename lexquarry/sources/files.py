@@ -274,6 +274,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder, if there is one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def json_map(spark: SparkSession, path: str, *, value: str = "string") -> DataFrame:
     """A JSON object file as (key, value) rows; a missing file has none."""
     if not exists(spark, path):
