@@ -4,7 +4,8 @@ A page's block elements form a tree (inline elements belong to the text of their
 left out are implied). Each node has a label, content or not. Its own potential is log-linear in structure: its
 tag and parent's tag, where it stands to the page's article and to the element that holds most text, place among
 its like, length of text, share of links and of the page; and in names (class, id, role), its own and those of what it
-stands in, as far as training pages have them. A name counts as a whole; of one made of parts, as `ad-hoc-networks`,
+stands in, as far as training pages have them. What the whole page stands in (its body, and what is above both its
+article and the element of most text) passes no names on, since they tell nothing apart. A name counts as a whole; of one made of parts, as `ad-hoc-networks`,
 the parts count as parts. A parent-child potential says how labels follow each other, by kind of the child.
 Sum-product messages upward and downward give exact marginals, and blocks of nodes likelier content than not make
 the text.
@@ -16,9 +17,9 @@ name things by words drawn for that page alone, so what isn't named must be told
 
 Cases. A null or empty page and one without content give an empty text. Character references are decoded,
 white space in a block becomes one space, blocks are trimmed and joined by two \n. Comments, scripts, styles,
-titles, form fields, drawings (svg) and what browsers hold back (noscript, template, iframe) are never text, but of
-these only scripts and styles run on without an end tag; a head ends with the first element of the body. Formulas
-are text of their block; objects are nodes. A tag cut off at the end is dropped. Depth and length are not limited. Rows
+titles, form fields, templates and iframes are never text, but of these only scripts and styles run on without an
+end tag; a head ends with the first element of the body. Formulas, text in drawings (svg) and noscript are text of
+their block; objects are nodes. A tag cut off at the end is dropped. Depth and length are not limited. Rows
 are handled one by one; other columns are kept if carried.
 """
 
@@ -30,7 +31,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Container
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,13 @@ from pyspark.sql import functions as F
 from lexquarry.llm.spark import prepare
 
 _MATH = frozenset("math annotation annotation-xml maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
-_INLINE = _MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_SVG = frozenset("svg g path circle ellipse rect line polyline polygon text tspan textpath use symbol defs marker mask pattern clippath lineargradient radialgradient stop filter desc metadata animate animatetransform set view switch".split())
+_INLINE = _MATH | _SVG | frozenset("noscript a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Inline elements that part words.
-_SPACE = frozenset("br mspace mtd mtr annotation annotation-xml".split())
+_SPACE = frozenset("br mspace mtd mtr annotation annotation-xml text desc svg noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Skipped to their end tag; without one, scripts and styles to the end of the page, of a title the text before the next tag, and of the others the start tag alone.
-_RAW = frozenset("script style noscript template textarea title iframe svg select".split())
+_RAW = frozenset("script style template textarea title iframe select".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of these, unless one of the second kind lies between.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -78,8 +80,6 @@ class Page:
                 stop = _raw_end(name).search(source, at)
                 at = stop.end() if stop else len(source)
             elif name in _RAW:
-                if name == "svg" and attrs.endswith("/"):
-                    continue
                 if name not in ends:
                     ends[name] = _ends_of(name, source)
                 if m.start() in ends[name]:
@@ -174,7 +174,7 @@ def _ends_of(name: str, source: str) -> dict[int, int]:
         if m[1]:
             if open_:
                 out[open_.pop()] = m.end()
-        elif not (name == "svg" and m[2].endswith("/")):
+        else:
             open_.append(m.start())
     return out
 
@@ -183,7 +183,7 @@ def _clean(raw: str) -> str:
     return " ".join((html.unescape(raw) if "&" in raw else raw).split())
 
 
-@cache
+@lru_cache(maxsize=4096)
 def _words(attrs: str) -> tuple[str, ...]:
     """`~name` for a whole name of class, id or role, `~+part` for the parts of one that has several."""
     out = []
@@ -261,6 +261,8 @@ def node_features(page: Page, known: Container[str] | None = None) -> list[list[
         outer[i] = outer[parents[i]] or tags[parents[i]] == "article"
     parts = [i for i in range(n) if tags[i] == "article" and not outer[i]] or [i for i in range(n) if tags[i] == "main"]
     article = _placed(parents, max(parts, key=lambda i: (titled[i], below[i]))) if parts else ["none"] * n
+    # what all of the page stands in
+    shared = [tags[i] in ("#", "html", "body") or (main[i] == "above" and (article[i] == "above" or (not parts and below[i] >= 0.9 * total))) for i in range(n)]
     out: list[list[str]] = []
     above: list[tuple[str, ...]] = [()] * n  # names of what a node stands in
     for i in range(n):
@@ -273,11 +275,11 @@ def node_features(page: Page, known: Container[str] | None = None) -> list[list[
             tag, f"{tags[parent] if i else ''}>{tag}", f"length {length}", f"links {share}", f"place {place}", f"{tag} {place}", f"links {share} {place}", f"length {length} {place}",
             f"like {like} {place}", f"of page {_binned(below[i] / max(total, 1), 0.001, 0.05, 0.2, 0.5)} {place}", f"at {_binned(before[i] / max(total, 1), 0.0001, 0.1, 0.5, 0.9)} {place}", f"all {_binned(below[i], 1, 25, 80, 250)} links {share}",
             *((f"signed {place}",) if signed[i] else ()), *((f"list of {share} {article[i]} {'~' if page.attrs[i] else ''}",) if tag in ("ul", "ol") else ()),
-            *(_words(page.attrs[i]) if page.attrs[i] else ()),
+            *(() if not page.attrs[i] else ["@" + w for w in _words(page.attrs[i])] if shared[i] else _words(page.attrs[i])),
         ])
         if i:
             above[i] = above[parent]
-            own_words = (*(_words(page.attrs[parent]) if page.attrs[parent] else ()), *((tags[parent],) if tags[parent] in _REGIONS else ()))
+            own_words = (*(_words(page.attrs[parent]) if page.attrs[parent] and not shared[parent] else ()), *((tags[parent],) if tags[parent] in _REGIONS else ()))
             new = [w for w in dict.fromkeys("^" + w for w in own_words) if (known is None or w in known) and w not in above[parent]]
             if new:
                 above[i] = (*new, *above[parent])
@@ -292,26 +294,30 @@ class Model:
         self.weights, self.bias, self.edges = weights, bias, edges
 
     @staticmethod
-    def fit(pages: list[tuple[Page, list[int]]], steps: int = 7, shrink: float = 0.02) -> Model:
+    def fit(pages: list[tuple[Page, list[int]]], steps: int = 7, shrink: float = 0.01) -> Model:
         by_page = [node_features(page) for page, _ in pages]
         feats = [f for own in by_page for f in own]
-        y = np.array([v for _, labels in pages for v in labels], np.float64)
         # what few pages have, such as names drawn for one of them, is not learned
         seen = Counter(f for own in by_page for f in set().union(*own))
         names = sorted(f for f, k in seen.items() if k >= max(3, len(pages) // 150))
         place = {f: i for i, f in enumerate(names)}
-        x = np.zeros((len(feats), len(names) + 1), np.float32)
+        # nodes of the same features count as one, so many times
+        kinds: dict[tuple[int, ...], list[int]] = defaultdict(lambda: [0, 0])
+        for own, label in zip(feats, (v for _, labels in pages for v in labels), strict=True):
+            kinds[tuple(sorted(place[f] for f in set(own) if f in place))][label] += 1
+        x = np.zeros((len(kinds), len(names) + 1), np.float32)
         x[:, -1] = 1
-        for row, own in enumerate(feats):
-            x[row, [place[f] for f in own if f in place]] = 1
+        for row, own in enumerate(kinds):
+            x[row, list(own)] = 1
+        times, y = np.array([sum(k) for k in kinds.values()], np.float64), np.array([k[1] for k in kinds.values()], np.float64)
         w = np.zeros(x.shape[1])
         for _ in range(steps):  # Newton's steps on the penalised logistic loss
             slope, curve = shrink * w, shrink * np.eye(len(w))
             for part in range(0, len(x), 4096):
-                own, want = x[part : part + 4096], y[part : part + 4096]
+                own, want, n = x[part : part + 4096], y[part : part + 4096], times[part : part + 4096]
                 p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
-                slope = slope + own.T @ (p - want)
-                curve = curve + own.T @ (own * np.maximum(p * (1 - p), 1e-4).astype(np.float32)[:, None])
+                slope = slope + own.T @ (n * p - want)
+                curve = curve + own.T @ (own * (n * np.maximum(p * (1 - p), 1e-4)).astype(np.float32)[:, None])
             w = w - np.linalg.solve(curve, slope)
         w, b = w[:-1], w[-1]
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(4))
@@ -356,8 +362,8 @@ def extract(source: str | None, model: Model) -> str:
     return "\n\n".join(t for node, raw, _ in page.blocks if odds[node] > 0 and (t := _clean(raw)))
 
 
-def labelled_pages(n: int = 1200, seed: int = 5) -> list[tuple[Page, list[int]]]:
-    """Composed pages. An attribute that the model doesn't see marks furniture (data-x="0": nothing under it is content) and wrappers (data-x="1")."""
+def labelled_pages(n: int = 1500, seed: int = 5) -> list[tuple[Page, list[int]]]:
+    """Composed pages. An attribute that the model doesn't see marks furniture (data-x="0": nothing under it is content), wrappers (data-x="1") and wrappers that hold content as text of their own (data-x="2")."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("an", "er", "to", "li", "sa", "mo", "ren", "ti", "ou", "es")) for _ in range(rng.randint(1, 4)))
     text = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize() + "."
@@ -421,6 +427,18 @@ def labelled_pages(n: int = 1200, seed: int = 5) -> list[tuple[Page, list[int]]]
         lambda: f"<h2>{text(1, 4)}</h2><ul>{some(lambda: f'<li>{link()}</li>', 2, 8)}</ul>", lambda: misled(f"<p>{text(8, 60)}</p>"), lambda: misled(text(8, 60)),
         lambda: f"<div><p>{text(8, 60)}</p></div>", lambda: f"<section><h2>{text(1, 8)}</h2><p>{text(8, 60)}</p></section>",
     )
+    loose = (
+        lambda: f"{text(20, 120)}<br><br>{text(20, 90)}", lambda: f"<b>{text(2, 9)}</b> {text(20, 90)}", lambda: f"{text(60, 300)}\n", lambda: f"{text(10, 40)}<br>{text(10, 60)}<br>",
+        lambda: f"{text(30, 90)} {link()} {text(20, 60)}<br><br>", lambda: f"<i>{text(10, 60)}</i><br>{text(20, 90)}",
+    )
+
+    def told_of_all() -> str:
+        """Names that bodies and wrappers have for what they hold somewhere."""
+        if mode == "none" or rng.random() < 0.6:
+            return ""
+        one = lambda: rng.choice((lambda k: k, lambda k: f"{rng.choice(('has', 'with', 'no', 'left', 'right', 'page', 'single'))}-{k}", lambda k: f"{k}-{rng.choice(('open', 'left', 'right', 'on', 'layout', 'page'))}"))(rng.choice(names[rng.choice(list(names))].split()))
+        return " ".join(one() for _ in range(rng.choice((1, 1, 2, 3))))
+
     pages = []
     for _ in range(n):
         mode, drawn = rng.choice(("known", "known", "known", "drawn", "drawn", "none")), {}
@@ -439,6 +457,10 @@ def labelled_pages(n: int = 1200, seed: int = 5) -> list[tuple[Page, list[int]]]
         if bare and rng.random() < 0.5:
             open_ = close = ""
         often = rng.choice((0, 0.3, 0.4, 0.4, 0.5))
+        straight = open_ == "" and rng.random() < 0.7
+        if straight:  # text of the wrapper, the body or the page itself
+            body = head * (rng.random() < 0.4) + some(lambda: rng.choice(loose)(), 1, 4) + rng.choice(("", body))
+            often = rng.choice((0, 0, 0.3))
         apart = "article" in open_ or "main" in open_
         first, last = ("header", "plain header", "nav", "menu", "notice", "ad", "form", "plain aside"), ("aside", "plain aside", "talk", "ad", "footer", "plain footer", "notice")
         if mode != "known" and not apart:  # nothing would tell these from content
@@ -448,20 +470,27 @@ def labelled_pages(n: int = 1200, seed: int = 5) -> list[tuple[Page, list[int]]]
         before = "".join(furniture[k]() for k in first if rng.random() < often)
         after = "".join(furniture[k]() for k in last if rng.random() < often)
         inside = f"{before}{open_}{body}{close}{after}"
+        mark = "2" if straight else "1"  # of the innermost wrapper, if any
         for _ in range(rng.choice((0, 0, 1, 2))):
             name_ = rng.choice(("wrapper", "container", "page", "site", "row", "layout", "main-wrap", "inner"))
-            inside = f'<div data-x="1" {rng.choice(("class", "id"))}="{name_}">{inside}</div>'
-        page = Page(f"<html><body>{inside}</body></html>" if not bare else inside)
+            inside = f'<div data-x="{mark}" {rng.choice(("class", "id"))}="{told_of_all() or name_}">{inside}</div>'
+            mark = "1"
+        body_names = f' class="{x}"' if (x := told_of_all()) else ""
+        html_names = f' class="{x}"' if rng.random() < 0.2 and (x := told_of_all()) else ""
+        page = Page(f'<html{html_names}><body data-x="{mark}"{body_names}>{inside}</body></html>' if not bare else inside)
         labels = []
         for i, parent in enumerate(page.parents):
             outer = lambda k: page.tags[k] in ("#", "html", "body") or wrap in page.attrs[k]
-            labels.append(0 if outer(i) or off in page.attrs[i] or not (outer(parent) or labels[parent]) else 1)
+            if ' data-x="2"' in page.attrs[i] or (i == 0 and bare and mark == "2"):
+                labels.append(1)
+            else:
+                labels.append(0 if outer(i) or off in page.attrs[i] or not (outer(parent) or labels[parent]) else 1)
         pages.append((page, labels))
     return pages
 
 
 @cache
-def train(n: int = 1200) -> Model:
+def train(n: int = 1500) -> Model:
     return Model.fit(labelled_pages(n))
 
 

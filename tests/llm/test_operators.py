@@ -638,7 +638,7 @@ def test_pages_keep_what_follows_unclosed_elements():
     head = "<html><head><meta charset=utf-8><title>Name of page</title><style>p{}</style>"
     for start in (head, head + "<body>", head + "</head><body>", "<head><title>Name of page<body>", "<head><title>Name<meta charset=x></head><body>"):
         assert htmltext.extract(start + text, model).split("\n\n") == parts, start
-    for between in ("<svg/>", "<svg viewBox='0 0 1 1' />", "<svg><svg><title>no</title></svg><text>no</text></svg>", "<svg>", "<iframe src=x>", "<template>", "<noscript>", "<math/>", "<select><option></select>", "<title>no</title>"):
+    for between in ("<svg/>", "<svg viewBox='0 0 1 1' />", "<svg><svg><title>no</title><style>no</style></svg><path d=x /></svg>", "<svg>", "<iframe src=x>", "<template>", "<noscript>", "<math/>", "<select><option></select>", "<title>no</title>"):
         assert page(between) == parts, between
     assert page("<p>Let the number <math><mi>x</mi><mo>=</mo><mn>2</mn><mspace/><mtext>units</mtext></math> be as long as it was.</p>") == [*parts[:2], "Let the number x=2 units be as long as it was.", parts[2]]
     assert page("<object data=x><p>What readers without the plug-in see, long enough.</p></object>") == [*parts[:2], "What readers without the plug-in see, long enough.", parts[2]]
@@ -681,6 +681,29 @@ def test_pages_are_told_by_structure(inside, around, kept, gone):
     assert not any(g in out for g in gone.split("|")), out
 
 
+ONE, TWO = (" ".join([t] * 5) for t in ("Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod.", "Quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo."))
+BOTH = f"<article><h1>A title</h1><p>{ONE}</p><p>{TWO}</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><body>{ONE}<br><br>{TWO}</body></html>", f"<html><body><h1>A title</h1>{ONE}<br><br>{TWO}</body></html>", f"<html><body><div>{ONE}<br><br>{TWO}</div></body></html>",
+    f"{ONE}\n\n{TWO}", f"<b>{ONE}</b> {TWO}", f"<body><div class=page><div id=wrap>{ONE}<br>{TWO}</div></div></body>",
+    f'<html><body class="has-sidebar has-banner comments-open"><div class="page">{BOTH}</div></body></html>', f'<html><body class="right-sidebar">{BOTH}</body></html>', f'<html><body class="sidebar">{BOTH}</body></html>',
+    f'<html><body><nav><ul><li><a href=x>Home</a></ul></nav><div class="social">{BOTH}</div><footer>&copy; x</footer></body></html>', f'<html class="no-sidebar"><body id="popup"><div class="modal-open">{BOTH}</div></body></html>',
+    f"<body><article><p>{ONE}</p><noscript><p>{TWO}</p></noscript></article></body>", f"<body><article><p>{ONE}</p><svg width=9><g><text>{TWO}</text></g></svg></article></body>",
+])
+def test_texts_without_blocks_and_under_names_of_the_page(page):
+    """Text straight in the page, its body or plain divisions; names on what holds everything; text in drawings and noscript."""
+    out = htmltext.extract(page, htmltext.train())
+    assert ONE in out and TWO in out and "Home" not in out, out
+
+
+def test_names_are_remembered_within_bounds():
+    for i in range(6000):
+        htmltext._words(f'id="post-{i}"')
+    assert htmltext._words.cache_info().currsize <= 4096
+
+
 def plain_article(page):
     """The text of a page of the tables' own template, by its tags."""
     import html
