@@ -140,7 +140,7 @@ class Trees:
 def _measured(batches):
     for batch in batches:
         rows = [r.tobytes() for _, _, data, offsets in slices(batch.column(0)) for r in statistics(data, offsets)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], ["x", "y", "h"])
 
 
 def is_held_out(id_col: str):
@@ -151,7 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     prepare(docs.sparkSession)
     usable = labels.where(~is_held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
     chosen = F.broadcast(usable.orderBy(F.xxhash64("id", F.lit(3)), "id", "y").limit(sample))  # at most `sample` pairs of numbers
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "y").mapInArrow(_measured, "x binary, y int").collect()
+    # an id may be repeated any number of times: the bound holds for rows
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    found = found.select("text", "y", F.xxhash64("id", "text", F.lit(3)).alias("h")).mapInArrow(_measured, "x binary, y int, h long")
+    rows = found.orderBy("h", "x", "y").limit(sample).collect()
     rows = sorted((bytes(r["x"]), r["y"]) for r in rows)
     x = np.array([np.frombuffer(r[0], np.float32) for r in rows]).reshape(-1, len(NAMES))
     return Trees.fit(x, np.array([r[1] for r in rows], np.float64))

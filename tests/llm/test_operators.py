@@ -250,6 +250,19 @@ def test_url_filter_matches_plain_rules(spark, monkeypatch):
     assert filter_urls(far, deep).first()._verdict == "block"
 
 
+def test_quality_sample_is_bounded_by_rows(spark, monkeypatch):
+    """Ids that repeat don't bring more rows to the driver than `sample`."""
+    seen = []
+    fit = quality.Trees.fit
+    monkeypatch.setattr(quality.Trees, "fit", staticmethod(lambda x, y: (seen.append(len(x)), fit(x, y))[1]))
+    free = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2)
+    df = spark.range(3000).selectExpr(f"{free}L as doc_id", "concat('some text number ', id) as text")
+    marks = spark.createDataFrame([(free, 1), (free, 0), (free, 1)], "doc_id long, quality int")
+    quality.train(df, marks, sample=10)
+    quality.train(df.limit(7), marks.limit(1), sample=10)
+    assert seen == [10, 7]
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(4)
     good = [cases.sentence(rng, rng.randint(20, 80)).capitalize() + "." for _ in range(150)]
