@@ -17,7 +17,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.operators import bm25, dense, evaluation, generation, registry, words
+from lexquarry.operators import blocks, bm25, dense, evaluation, generation, registry, words
 from lexquarry.plans import corpus
 from lexquarry.session import session
 from lexquarry.sources import files
@@ -58,7 +58,8 @@ def _retriever(spark: SparkSession, args) -> corpus.Retriever:
     if args.retriever == "dense":
         return dense.Index.load(spark, args.index, embedding_from_environment(), nprobe=args.nprobe)
     learned = f"{args.index}/words"
-    return bm25.Index.load(spark, args.index, tokenizer=words.Segmenter.load(spark, learned).tokens) if files.exists(spark, learned) else bm25.Index.load(spark, args.index)
+    kind = blocks.Index if files.exists(spark, f"{args.index}/blocks") else bm25.Index
+    return kind.load(spark, args.index, tokenizer=words.Segmenter.load(spark, learned).tokens) if files.exists(spark, learned) else kind.load(spark, args.index)
 
 
 def _known(spark: SparkSession, log: str) -> tuple[DataFrame | None, int]:
@@ -92,12 +93,12 @@ def _index(spark: SparkSession, args) -> None:
         dense.build(made, embedding_from_environment()).save(args.index, cells=args.cells)
         return
     learned = f"{args.index}/words"
-    files.remove(spark, learned)
+    for old in (learned, f"{args.index}/blocks"):
+        files.remove(spark, old)
     if args.words:
         words.learn(made.select(F.concat_ws("\n", "doc_title", "text").alias("text"))).save(learned)
-        bm25.build(made, tokenizer=words.Segmenter.load(spark, learned).tokens).save(args.index)
-    else:
-        bm25.build(made).save(args.index)
+    index = bm25.build(made, tokenizer=words.Segmenter.load(spark, learned).tokens) if args.words else bm25.build(made)
+    (blocks.build(index) if args.blocks else index).save(args.index)
 
 
 def _one(spark: SparkSession, args) -> DataFrame:
@@ -169,7 +170,7 @@ def main(argv: list[str] | None = None) -> None:
     at, by = ("--index", {"required": True}), ("--retriever", {"choices": ("bm25", "dense"), "default": "bm25"})
     k, history = ("-k", {"type": int, "default": 5}), ("--history", {"action": "store_true"})
     nprobe = ("--nprobe", {"type": int, "help": "cells of a dense index that a question opens"})
-    command("index", _index, at, by, ("--words", {"action": "store_true", "help": "words learned from the corpus instead of pairs of characters"}), ("--cells", {"type": int, "default": 0, "help": "cells of a dense index"}), ("--corpus", {"required": True}), ("--meta", {}), ("--markdown", {"nargs": "*"}))
+    command("index", _index, at, by, ("--blocks", {"action": "store_true", "help": "postings in blocks, of which questions open a part: for large indexes"}), ("--words", {"action": "store_true", "help": "words learned from the corpus instead of pairs of characters"}), ("--cells", {"type": int, "default": 0, "help": "cells of a dense index"}), ("--corpus", {"required": True}), ("--meta", {}), ("--markdown", {"nargs": "*"}))
     command("search", _search, at, by, nprobe, ("question", {}), k, history)
     command("ask", _ask, at, by, nprobe, ("question", {}), k, history)
     command("eval", _eval, at, by, nprobe, ("--testset", {"required": True}), ("--twins", {}), ("--mode", {"choices": ("retrieval", "full"), "default": "retrieval"}), ("--judge", {"choices": ("keys", "llm"), "default": "keys"}), k)

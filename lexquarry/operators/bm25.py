@@ -223,22 +223,31 @@ def retrieve(index: Index, questions: DataFrame, *, k: int = 5, drilldown: bool
     history = questions.select("qid", F.coalesce(old, F.lit(False)).alias("include_history"))
     asked = question_terms(questions, tokenizer=tokenizer or index.tokenizer)
     few = asked.count() <= BROADCAST_TERMS
-    order = (F.desc("score"), "first_at", "chunk_ix")
     if few and index._postings is None:
         found, known = _in_rows(index, asked, history, k, k1, b)
     else:
         found, known = scores(index, asked, k1=k1, b=b).join(F.broadcast(history) if few else history, "qid").where("include_history or is_latest <> 0"), None
+    def of_documents(table: DataFrame) -> DataFrame:
+        if known is None:
+            return found
+        # the rows of those documents, k a question at most, are scored again, each by itself
+        wanted = index.chunks.where("is_row").join(F.broadcast(table.select("doc_id").distinct()), "doc_id", "left_semi")
+        return scores(Index(wanted, index.stats, index.rows, None, index.title_weight), asked, k1=k1, b=b, known=known)
+
+    return placed(index.chunks, index.rows, found, of_documents, k=k, drilldown=drilldown, few=few)
+
+
+def placed(chunks: DataFrame, n_rows: DataFrame, found: DataFrame, of_documents, *, k: int, drilldown: bool, few: bool) -> DataFrame:
+    """The top k of scored chunks (qid, CARRIED, score, first_at), drilled down, with their fields. of_documents: scores of the table rows of given documents (qid, doc_id)."""
+    order = (F.desc("score"), "first_at", "chunk_ix")
     # top k per question: the window's rank limit is pushed below its shuffle
     picks = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
     picks = picks.select("qid", "chunk_ix", "doc_id", "is_row", "score", "rank")
     if drilldown:
         by_doc = picks.groupBy("qid", "doc_id").agg(F.max("is_row").alias("has_row"), F.min(F.struct("score", "rank")).alias("low")).where("not has_row").select("qid", "doc_id", "low.rank")
-        table = by_doc.join(index.rows.where("n_rows >= 3").select("doc_id"), "doc_id")
-        if known is not None:  # the rows of those documents, k a question at most, are scored again, each by itself
-            wanted = index.chunks.where("is_row").join(F.broadcast(table.select("doc_id").distinct()), "doc_id", "left_semi")
-            found = scores(Index(wanted, index.stats, index.rows, None, index.title_weight), asked, k1=k1, b=b, known=known)
-        rows = found.where("is_row").join(F.broadcast(table) if few else table, ["qid", "doc_id"])
+        table = by_doc.join(n_rows.where("n_rows >= 3").select("doc_id"), "doc_id")
+        rows = of_documents(table).where("is_row").join(F.broadcast(table) if few else table, ["qid", "doc_id"])
         best = rows.withColumn("_r", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(*order))).where("_r = 1").select("qid", "rank", F.col("chunk_ix").alias("_ix"), F.col("score").alias("_score"))
         picks = picks.join(best, ["qid", "rank"], "left").select("qid", F.coalesce("_ix", "chunk_ix").alias("chunk_ix"), F.coalesce("_score", "score").alias("score"), "rank")
     final = picks.select("qid", "chunk_ix", "score", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "rank")).cast("int").alias("rank"))
-    return index.chunks.drop("terms", "title_terms").join(F.broadcast(final) if few else final, "chunk_ix")
+    return chunks.drop("terms", "title_terms").join(F.broadcast(final) if few else final, "chunk_ix")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions import citations, dates
 from lexquarry.functions import text as T
-from lexquarry.operators import bm25, chunking, dense, evaluation, generation, ivf, registry, structure, words
+from lexquarry.operators import blocks, bm25, chunking, dense, evaluation, generation, ivf, registry, structure, words
 from lexquarry.plans import composed
 from lexquarry.sources import files
 
@@ -97,6 +97,19 @@ def bm25_drilldown(spark, sf_dir):
     return bm25.retrieve(bm25.build(_line_chunks(spark, sf_dir)), _questions(spark, sf_dir)).select("qid", "rank", "chunk_ix", "score")
 
 
+@query(ORACLES["bm25_history_filter"])
+def bm25_blocks_topk(spark, sf_dir):
+    """The same rows as bm25_history_filter, from blocks of postings of which only those that can matter are opened."""
+    chunks = _document_chunks(spark, sf_dir, F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1))
+    return blocks.build(bm25.build(chunks)).kept().retrieve(_questions(spark, sf_dir, F.col("item_id") % 2 == 0)).select("qid", "rank", "chunk_ix", "score")
+
+
+@query(ORACLES["bm25_drilldown"])
+def bm25_blocks_drilldown(spark, sf_dir):
+    """The same rows as bm25_drilldown, by blocks."""
+    return blocks.build(bm25.build(_line_chunks(spark, sf_dir))).kept().retrieve(_questions(spark, sf_dir)).select("qid", "rank", "chunk_ix", "score")
+
+
 @query(f"WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents) SELECT doc_id, len(t)::INTEGER AS n_tokens, list_distinct(t).len()::INTEGER AS n_distinct, coalesce(t[1], '') AS first_token FROM t")
 def tokenize_marks(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))

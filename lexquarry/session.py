@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "lexquarry", **conf: str) -> SparkSession:
@@ -12,3 +14,15 @@ def session(app: str = "lexquarry", **conf: str) -> SparkSession:
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once by checkpoint(): in the folder that spark.checkpoint.dir names, or, where it names none, in the warehouse until the end."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{uuid.uuid4()}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        sc.setCheckpointDir(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return df.checkpoint(eager=True)

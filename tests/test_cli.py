@@ -105,10 +105,10 @@ def test_index_search_and_reviews(spark, folder, capsys, monkeypatch):
 
 def test_learned_words_and_cells(spark, folder, capsys, monkeypatch):
     index, build = folder / "index", lambda *more: ("index", "--index", folder / "index", "--corpus", folder / "corpus", "--meta", folder / "meta", *more)
-    run(capsys, *build("--words"))
-    assert files.exists(spark, f"{index}/words") and "汇率总表" in run(capsys, "search", "--index", index, "美元买入汇率是多少").splitlines()[0]
+    run(capsys, *build("--words", "--blocks"))
+    assert files.exists(spark, f"{index}/words") and files.exists(spark, f"{index}/blocks") and "汇率总表" in run(capsys, "search", "--index", index, "美元买入汇率是多少").splitlines()[0]
     run(capsys, *build())
-    assert not files.exists(spark, f"{index}/words") and "汇率总表" in run(capsys, "search", "--index", index, "美元买入汇率是多少").splitlines()[0]
+    assert not files.exists(spark, f"{index}/words") and not files.exists(spark, f"{index}/blocks") and "汇率总表" in run(capsys, "search", "--index", index, "美元买入汇率是多少").splitlines()[0]
     monkeypatch.setattr(cli, "embedding_from_environment", lambda: lambda texts: [[float(t.count(c)) for c in "美元欧买入条税征"] + [1.0] for t in texts])
     run(capsys, *build("--retriever", "dense", "--cells", "3"))
     search = lambda *more: run(capsys, "search", "--retriever", "dense", "--index", index, "-k", "3", *more, "美元美元买入")
