@@ -1,7 +1,7 @@
 """Elements to chunks: articles in pieces, table rows cut off, neighbouring paragraphs packed up to a limit.
 
 Packing is a greedy fold whose state depends on the lengths seen, so a document's elements, in order, go through
-one Python pass in Arrow batches; everything around it is columns.
+one Python pass in Arrow batches, of which one pack of paragraphs is kept; everything around it is columns.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,26 +54,74 @@ def split_article(text: str, limit: int) -> list[str]:
     return [p for part in packed(parts, limit) for p in (split_text(part, limit) if len(part) > limit else [part])]
 
 
-def fold(kinds: list[str], texts: list[str], limit: int) -> Iterator[tuple[int, str, str]]:
-    """(place of the element that locates it, suffix, text) of each chunk."""
-    held, at = "", -1
-    for i, (kind, text) in enumerate(zip(kinds, texts, strict=True)):
+class Packing:
+    """The fold over a document's elements in order. Its state is one pack of paragraphs, with the place of the element that locates it."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held, self.at = limit, "", None
+
+    def add(self, kind: str, text: str, at) -> Iterator[tuple[object, str, str]]:
+        """(place, suffix, text) of the chunks that an element completes."""
         if kind == "paragraph":
-            if held and len(held) + len(text) > limit:
-                yield at, "", held
-                held, at = text, i
+            if self.held and len(self.held) + len(text) > self.limit:
+                yield self.at, "", self.held
+                self.held, self.at = text, at
             else:
-                held, at = (f"{held}\n{text}", at) if held else (text, i if at < 0 else at)
-            continue
-        if held:
-            yield at, "", held
-        held, at = "", -1
+                self.held, self.at = (f"{self.held}\n{text}", self.at) if self.held else (text, at if self.at is None else self.at)
+            return
+        yield from self.end()
         if kind == "article":
-            yield from ((i, str(j), piece) for j, piece in enumerate(split_article(text, limit)))
+            yield from ((at, str(j), piece) for j, piece in enumerate(split_article(text, self.limit)))
         elif kind == "table_row":
-            yield i, "", text[: 2 * limit]
-    if held:
-        yield at, "", held
+            yield at, "", text[: 2 * self.limit]
+
+    def end(self) -> Iterator[tuple[object, str, str]]:
+        if self.held:
+            yield self.at, "", self.held
+        self.held, self.at = "", None
+
+
+def fold(kinds: list[str], texts: list[str], limit: int) -> Iterator[tuple[int, str, str]]:
+    """(place of the element that locates it, suffix, text) of each chunk of a document's elements."""
+    pack = Packing(limit)
+    for i, (kind, text) in enumerate(zip(kinds, texts, strict=True)):
+        yield from pack.add(kind, text, i)
+    yield from pack.end()
+
+
+def _folded(key: str, limit: int):
+    """For mapInArrow over (key, kind, text, location) by document, in order: the chunks, whatever batches a document is in."""
+
+    def run(batches):
+        pack, now, no, kept = Packing(limit), None, 0, None  # kept: the location of the pack, if it began in an earlier batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = batch.column(3)
+            source = places if kept is None else pa.concat_arrays([kept, places])
+            first = len(source) - len(places)
+            pack.at = None if pack.at is None else 0
+            out: list[tuple] = []
+            for i, (doc, kind, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                done = list(pack.end()) if (doc,) != now else []
+                out += ((now[0], no + j, *x) for j, x in enumerate(done))
+                if (doc,) != now:
+                    now, no = (doc,), 0
+                found = list(pack.add(kind, text, first + i))
+                out += ((doc, no + j, *x) for j, x in enumerate(found))
+                no += len(found)
+            yield _chunks(out, source, key, batch.schema)
+            kept = None if pack.at is None else pa.concat_arrays([source.slice(pack.at, 1)])
+        if now is not None:
+            yield _chunks([(now[0], no + j, 0, *x[1:]) for j, x in enumerate(pack.end())], kept, key, batch.schema)
+
+    return run
+
+
+def _chunks(rows: list[tuple], places: pa.Array, key: str, schema: pa.Schema) -> pa.RecordBatch:
+    doc, no, at, suffix, text = zip(*rows, strict=True) if rows else ((),) * 5
+    location = places.take(pa.array(at, pa.int64())) if rows else pa.array([], schema.field(3).type)
+    return pa.RecordBatch.from_arrays([pa.array(doc, schema.field(0).type), pa.array(no, pa.int32()), pa.array(suffix, pa.string()), pa.array(text, pa.string()), location], [key, "chunk_no", "suffix", "text", "location"])
 
 
 def chunk_id(doc_id: Column, loc: Column, suffix: Column, text: Column) -> Column:
@@ -85,20 +133,11 @@ def chunk_id(doc_id: Column, loc: Column, suffix: Column, text: Column) -> Colum
 
 def chunks_of(elements: DataFrame, *, key: str = "doc_id", limit: int = 400) -> DataFrame:
     """key, chunk_no (from 0), suffix, text and location of the chunks of elements (key, seq, kind, text, location)."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "kind", "text")))
-    docs = elements.groupBy(key).agg(ordered.alias("all"))
     kind = elements.schema[key].dataType.simpleString()
-
-    def run(it):
-        for pdf in it:
-            out = []
-            for k, rows in zip(pdf[key], pdf["all"], strict=True):
-                found = fold([r["kind"] for r in rows], [r["text"] for r in rows], limit)
-                out += [(k, n, rows[i]["seq"], suffix, text) for n, (i, suffix, text) in enumerate(found)]
-            yield pd.DataFrame(out, columns=[key, "chunk_no", "seq", "suffix", "text"])
-
-    pieces = docs.mapInPandas(run, f"`{key}` {kind}, chunk_no int, seq int, suffix string, text string")
-    return pieces.join(elements.select(key, "seq", F.col("location").cast(LOCATION).alias("location")), [key, "seq"]).drop("seq")
+    rows = elements.select(key, "seq", "kind", F.coalesce("text", F.lit("")).alias("text"), F.col("location").cast(LOCATION).alias("location"))
+    # a document is read in order, not gathered: its rows are sorted, with spilling, and go through in batches
+    rows = rows.repartition(key).sortWithinPartitions(key, "seq", "kind", "text").select(key, "kind", "text", "location")
+    return rows.mapInArrow(_folded(key, limit), f"`{key}` {kind}, chunk_no int, suffix string, text string, location {rows.schema['location'].dataType.simpleString()}")
 
 
 def build_chunks(elements: DataFrame, registry: DataFrame, *, limit: int = 400) -> DataFrame:
