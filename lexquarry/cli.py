@@ -50,8 +50,9 @@ def judge_from_environment():
 def embedding_from_environment():
     module, _, name = os.environ.get("LEXQUARRY_EMBED", "").partition(":")
     if not name:
-        raise RuntimeError("LEXQUARRY_EMBED isn't set to module:function")
-    return getattr(import_module(module), name)
+        raise RuntimeError("LEXQUARRY_EMBED isn't set to module:function, or to module:loader()")
+    made = getattr(import_module(module), name.removesuffix("()"))
+    return dense.Lazy(made) if name.endswith("()") else made
 
 
 def _retriever(spark: SparkSession, args) -> corpus.Retriever:
@@ -133,8 +134,10 @@ def _eval(spark: SparkSession, args) -> None:
     if args.mode == "retrieval":
         evaluation.retrieval_metrics(asked, hits, twins).orderBy("format").show()
         return
-    # kept, so that no question is asked twice
-    generation.answers(asked, hits, model_from_environment()).write.mode("overwrite").parquet(f"{args.index}/answers")
+    # replies are kept as they come, so that no question is asked twice
+    if not args.resume:
+        files.remove(spark, f"{args.index}/replies")
+    generation.answers(asked, hits, model_from_environment(), folder=f"{args.index}/replies", at_once=args.at_once).write.mode("overwrite").parquet(f"{args.index}/answers")
     answers, key_ok = spark.read.parquet(f"{args.index}/answers"), None
     if args.judge == "llm":
         judged = _judged(spark, asked.where("qtype <> 'refuse'").join(answers, "qid").select("qid", "question", "golden_answer", F.coalesce("text", F.lit("")).alias("answer_text")), args)
@@ -142,8 +145,9 @@ def _eval(spark: SparkSession, args) -> None:
         evaluation.judge_stats(judged).show()
     rows = evaluation.verdicts(asked, answers, hits, twins, key_ok=key_ok)
     found = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "file_name"))).alias("f")).select("qid", F.transform("f", lambda x: x["file_name"]).alias("retrieved_files"))
-    detail = asked.drop("notes", "include_history").join(answers.select("qid", F.col("text").alias("answer_text"), "citations", "degraded"), "qid").join(found, "qid", "left").join(rows.drop("qtype", "format"), "qid")
+    detail = asked.drop("notes", "include_history").join(answers.select("qid", F.col("text").alias("answer_text"), "citations", "degraded", "sec"), "qid").join(found, "qid", "left").join(rows.drop("qtype", "format"), "qid")
     evaluation.write_detail(detail, f"{args.index}/detail")
+    evaluation.full_metrics(spark.read.schema(DETAIL).json(f"{args.index}/detail")).show()
     evaluation.grouped_accuracy(spark.read.schema(DETAIL).json(f"{args.index}/detail")).orderBy("by", "value").show(100)
 
 
@@ -173,7 +177,7 @@ def main(argv: list[str] | None = None) -> None:
     command("index", _index, at, by, ("--blocks", {"action": "store_true", "help": "postings in blocks, of which questions open a part: for large indexes"}), ("--words", {"action": "store_true", "help": "words learned from the corpus instead of pairs of characters"}), ("--cells", {"type": int, "default": 0, "help": "cells of a dense index"}), ("--corpus", {"required": True}), ("--meta", {}), ("--markdown", {"nargs": "*"}))
     command("search", _search, at, by, nprobe, ("question", {}), k, history)
     command("ask", _ask, at, by, nprobe, ("question", {}), k, history)
-    command("eval", _eval, at, by, nprobe, ("--testset", {"required": True}), ("--twins", {}), ("--mode", {"choices": ("retrieval", "full"), "default": "retrieval"}), ("--judge", {"choices": ("keys", "llm"), "default": "keys"}), k)
+    command("eval", _eval, at, by, nprobe, ("--testset", {"required": True}), ("--twins", {}), ("--mode", {"choices": ("retrieval", "full"), "default": "retrieval"}), ("--judge", {"choices": ("keys", "llm"), "default": "keys"}), ("--resume", {"action": "store_true", "help": "go on with the replies of a run that ended early"}), ("--at-once", {"type": int, "default": 8, "help": "calls of the model at a time in a task"}), k)
     command("calibrate", _calibrate, at, ("--detail", {"required": True}), ("--labels", {"required": True}), ("--threshold", {"type": float, "default": 0.95}))
     args = parser.parse_args(argv)
     args.run(session(), args)

@@ -6,7 +6,8 @@ best k a question, so only those are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,36 @@ from pyspark.sql.window import Window
 BLOCK = 2_000
 
 
-def encode(df: DataFrame, model: Callable[[list[str]], list[list[float]]], text: Column, out: str = "embedding") -> DataFrame:
-    """Adds vectors by a model of the caller's, which gets texts in Arrow batches."""
+#: Models by their Lazy's key, in this process.
+_MODELS: dict[str, Callable] = {}
+
+
+class Lazy:
+    """A model that every Python worker loads once, when it first needs it; what is sent to tasks is the loader."""
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[float]]]]):
+        self.load, self.key = load, uuid.uuid4().hex
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        if self.key not in _MODELS:
+            _MODELS.clear()  # one at a time
+            _MODELS[self.key] = self.load()
+        return _MODELS[self.key](texts)
+
+
+def encode(df: DataFrame, model: Callable[[list[str]], list[list[float]]], text: Column, out: str = "embedding", *, size: int = 64) -> DataFrame:
+    """Adds vectors by a model of the caller's (or a Lazy one), which gets so many texts of like length at a time."""
 
     @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(model(texts.tolist())))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            order = np.argsort([len(t) if t is not None else 0 for t in texts], kind="stable")
+            vectors = np.empty(len(texts), object)
+            for at in range(0, len(order), size):
+                own = order[at : at + size]
+                for i, v in zip(own, model(texts.iloc[own].tolist()), strict=True):
+                    vectors[i] = v
+            yield pd.Series(vectors)
 
     return df.withColumn(out, run(text))
 

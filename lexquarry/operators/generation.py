@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.functions.text import REFUSAL, holds_answer, refuses
+from lexquarry.session import kept
 from lexquarry.sources.files import exists
 
 # What is answered without evidence to be trusted, and how prompts are worded.
@@ -54,40 +57,70 @@ def prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return questions.select("qid", "question").join(all_, "qid", "left").select("qid", text.alias("prompt"), each("citation").alias("citations"), each("chunk_id").alias("chunks_used"))
 
 
-def call_model(df: DataFrame, model: Callable[[str], str], *, prompt: str = "prompt", out: str = "answer", tries: int = 1, fit: Callable[[str], bool] | None = None, strict: bool = False) -> DataFrame:
-    """Adds the model's answer to each prompt (null prompts aren't sent), by so many tries until it is fit.
+def call_model(df: DataFrame, model: Callable[[str], str], *, prompt: str = "prompt", out: str = "answer", seconds: str | None = None, tries: int = 1, fit: Callable[[str], bool] | None = None, strict: bool = False, at_once: int = 8, pause: float = 0.5) -> DataFrame:
+    """Adds the model's answer to each prompt (null prompts aren't sent), by so many tries until it is fit, and how many seconds it took.
 
-    A prompt that no try answered has null; with strict the last error ends the job.
+    A task asks for `at_once` prompts at a time, in order; between tries it waits, first `pause` seconds, then twice as
+    long each time. A prompt that no try answered has null; with strict the last error ends the job.
     """
 
-    @F.pandas_udf("string")
-    def ask(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            for n in range(tries):
-                try:
-                    said = model(text)
-                    if fit is None or fit(said):
-                        return said
-                except Exception:
-                    if strict and n == tries - 1:
-                        raise
-            return None
-
-        return texts.map(one)
+    def one(text: str | None) -> tuple[str | None, float | None]:
+        if text is None:
+            return None, None
+        start = time.perf_counter()
+        for n in range(tries):
+            if n:
+                time.sleep(pause * 2 ** (n - 1))
+            try:
+                said = model(text)
+                if fit is None or fit(said):
+                    return said, time.perf_counter() - start
+            except Exception:
+                if strict and n == tries - 1:
+                    raise
+        return None, time.perf_counter() - start
+
+    @F.pandas_udf("said string, sec double")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for texts in batches:
+                yield pd.DataFrame(list(pool.map(one, texts)), columns=["said", "sec"]).astype({"said": object, "sec": float})
+
+    asked = df.withColumn("_reply", ask.asNondeterministic()(F.col(prompt))).withColumn(out, F.col("_reply.said"))
+    return (asked if seconds is None else asked.withColumn(seconds, F.col("_reply.sec"))).drop("_reply")
+
+
+def replied(df: DataFrame, model: Callable[[str], str], folder: str, *, prompt: str = "prompt", out: str = "answer", seconds: str = "sec", rows: int = 10_000, **options) -> DataFrame:
+    """As call_model, with the replies written to a folder under their prompt's digest, in rounds of about so many prompts.
+
+    Equal prompts are asked once. What a round has written is not asked again, whether an executor is lost, the job
+    ends with an error, or it is run anew; prompts that got no answer are.
+    """
+    spark = df.sparkSession
+    schema = "_key string, reply string, sec double"
+    known = lambda: spark.read.schema(schema).parquet(folder).groupBy("_key").agg(F.min(F.struct("reply", "sec")).alias("r")) if exists(spark, folder) else spark.createDataFrame([], "_key string, r struct<reply string, sec double>")
+    df = kept(df.withColumn("_key", F.sha2(F.col(prompt), 256)))
+    asked = df.where(F.col(prompt).isNotNull()).groupBy("_key").agg(F.first(prompt).alias("_prompt"))
+    rounds = -(-asked.join(known(), "_key", "left_anti").count() // rows)
+    for i in range(rounds):
+        part = asked.where(F.pmod(F.xxhash64("_key"), F.lit(rounds)) == i).join(known(), "_key", "left_anti").repartition(spark.sparkContext.defaultParallelism)
+        said = call_model(part, model, prompt="_prompt", out="reply", seconds="sec", **options)
+        said.where("reply is not null").select("_key", "reply", "sec").write.mode("append").parquet(folder)
+    return df.join(known(), "_key", "left").withColumns({out: F.col("r.reply"), seconds: F.col("r.sec")}).drop("_key", "r")
 
-    return df.withColumn(out, ask(F.col(prompt)))
 
+def answers(questions: DataFrame, hits: DataFrame, model: Callable[[str], str], *, strict: bool = True, folder: str | None = None, at_once: int = 8) -> DataFrame:
+    """qid, verdict, text, citations, refused, degraded, chunks_used and sec (of the model; null if it wasn't asked). The model is only asked where the evidence will do.
 
-def answers(questions: DataFrame, hits: DataFrame, model: Callable[[str], str], *, strict: bool = True) -> DataFrame:
-    """qid, verdict, text, citations, refused, degraded, chunks_used. The model is only asked where the evidence will do.
+    folder: where its replies are kept as they come (replied()).
 
     A model that fails ends the job; without strict its answer is null, and nothing is cited for it.
     """
     df = prompts(questions, hits).join(triage(questions, hits).select("qid", "verdict"), "qid")
     asked = F.col("verdict").isin("ok", "degraded")
-    df = call_model(df.withColumn("_ask", F.when(asked, F.col("prompt"))), model, prompt="_ask", out="_said", strict=strict)
+    df = df.withColumn("_ask", F.when(asked, F.col("prompt")))
+    options = {"prompt": "_ask", "out": "_said", "seconds": "sec", "strict": strict, "at_once": at_once}
+    df = call_model(df, model, **options) if folder is None else replied(df, model, folder, **options)
     lost = asked & F.col("_said").isNull()
     gave_up = asked & F.coalesce(refuses(F.col("_said")), F.lit(False))
     none = F.array().cast("array<string>")
@@ -96,7 +129,7 @@ def answers(questions: DataFrame, hits: DataFrame, model: Callable[[str], str],
         "qid", "verdict", text.alias("text"),
         F.when(gave_up | lost | (F.col("verdict") == "refuse_no_hit"), none).otherwise(F.col("citations")).alias("citations"),
         (~asked | gave_up).alias("refused"), (((F.col("verdict") == "degraded") & ~gave_up) | (F.col("verdict") == "refuse_low_trust")).alias("degraded"),
-        F.when(asked & ~gave_up & ~lost, F.col("chunks_used")).otherwise(none).alias("chunks_used"),
+        F.when(asked & ~gave_up & ~lost, F.col("chunks_used")).otherwise(none).alias("chunks_used"), "sec",
     )
 
 

@@ -614,7 +614,7 @@ SELECT qid, verdict, CASE WHEN verdict = 'refuse_no_hit' OR gave_up THEN '知识
 CASE WHEN gave_up OR verdict = 'refuse_no_hit' THEN '' ELSE citations END AS citations, NOT asked OR gave_up AS refused, (verdict = 'degraded' AND NOT gave_up) OR verdict = 'refuse_low_trust' AS degraded, CASE WHEN asked AND NOT gave_up THEN used ELSE '' END AS chunks_used FROM a""")
 def answer_generation(spark, sf_dir):
     """Answers by a stub of a model, with refusals of its own, on evidence from all documents."""
-    a = generation.answers(_questions(spark, sf_dir).select("qid", "question"), _retrieved(spark, sf_dir), _stub)
+    a = generation.answers(_questions(spark, sf_dir).select("qid", "question"), _retrieved(spark, sf_dir), _stub).drop("sec")
     return a.withColumns({c: F.array_join(c, "|") for c in ("citations", "chunks_used")})
 
 

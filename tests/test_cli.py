@@ -29,7 +29,7 @@ def service(monkeypatch):
             asked.append(body | {"key": self.headers["Authorization"], "path": self.path})
             said = body["messages"][-1]["content"]
             if "评分" in said:  # no verdict at the first try
-                first = sum("评分" in b["messages"][-1]["content"] for b in asked) % 2
+                first = sum(b["messages"][-1]["content"] == said for b in asked) % 2
                 reply = "?" if first else '{"verdict": "correct", "reason": "同"}'
             else:
                 reply = "买入价为6.5 [1]" if "美元" in said else "知识库中未找到足够依据，无法回答。"
