@@ -113,4 +113,4 @@ def test_pipeline_of_empty_tables_and_null_ids(spark, tmp_path):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
