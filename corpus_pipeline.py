@@ -2,7 +2,8 @@
 
 All stages but the last return the columns of documents; columns beyond these are dropped. Stages judge
 their own input only: texts shortened by one are what the next one reads. run() keeps what each stage
-returns before the next one reads it, several times over, so no stage is computed again for a later one.
+returns before the next one reads it, several times over, so no stage is computed again for a later one; of
+these tables one is there at a time, and two while a stage is written.
 
 Cases. Documents of a null id pass language_id by their text alone, are never held to be copies of others
 by near_dedup, lose no passage in substring_dedup, and are judged by decontamination and source_mixing like
@@ -19,7 +20,7 @@ from lexquarry.llm import langid
 from lexquarry.llm.decontam import decontaminate
 from lexquarry.llm.mixing import mix_sources
 from lexquarry.llm.neardup import near_duplicates
-from lexquarry.llm.spark import cut, small, table
+from lexquarry.llm.spark import cut, dropped, kept, small, table
 from lexquarry.llm.substring import repeated_substrings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -90,7 +91,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = kept(stage(spark, docs, sf_dir))
+        if before is not None:  # nothing reads it any more
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
