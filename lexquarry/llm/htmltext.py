@@ -262,7 +262,7 @@ def node_features(page: Page, known: Container[str] | None = None) -> list[list[
     parts = [i for i in range(n) if tags[i] == "article" and not outer[i]] or [i for i in range(n) if tags[i] == "main"]
     article = _placed(parents, max(parts, key=lambda i: (titled[i], below[i]))) if parts else ["none"] * n
     # what all of the page stands in
-    shared = [tags[i] in ("#", "html", "body") or (main[i] == "above" and (article[i] == "above" or (not parts and below[i] >= 0.9 * total))) for i in range(n)]
+    shared = [tags[i] in ("#", "html", "body") or (main[i] == "above" and article[i] == "above") for i in range(n)]
     out: list[list[str]] = []
     above: list[tuple[str, ...]] = [()] * n  # names of what a node stands in
     for i in range(n):
