@@ -93,27 +93,23 @@ def cut_places(data: np.ndarray) -> np.ndarray:
 
 
 def planes(numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Rows (by bounds) of numbers below 2**32 as bytes: the lowest byte of each, then the next of each, and so on."""
-    n = np.diff(bounds)
-    out = np.empty(4 * len(numbers), np.uint8)
-    row = np.repeat(np.arange(len(n)), n)
-    at = 3 * bounds[:-1][row] + np.arange(len(numbers))
-    for i in range(4):
-        out[at + i * n[row]] = (numbers >> (8 * i)) & 0xFF
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(out)])
+    """Rows (by bounds) of numbers below 2**32 as bytes: how many, and, compressed, the lowest byte of each, then the next of each, and so on."""
+    codec, out = pa.Codec("zstd", compression_level=3), []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = np.ascontiguousarray(numbers[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        out.append((b - a).to_bytes(4, "little") + codec.compress(own, asbytes=True) if b > a else b"")
+    return pa.array(out, pa.binary())
 
 
 def unplaned(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and bounds of rows."""
-    data, offsets = buffers(column)
-    bounds = offsets // 4
-    n = np.diff(bounds)
-    row = np.repeat(np.arange(len(n)), n)
-    at = 3 * bounds[:-1][row] + np.arange(int(bounds[-1]))
-    out = np.zeros(int(bounds[-1]), np.int64)
-    for i in range(4):
-        out |= data[at + i * n[row]].astype(np.int64) << (8 * i)
-    return out, bounds
+    codec, out, n = pa.Codec("zstd"), [np.zeros(0, np.int64)], []
+    for row in column.to_pylist():
+        n.append(int.from_bytes(row[:4], "little"))
+        if n[-1]:
+            own = np.frombuffer(codec.decompress(row[4:], 4 * n[-1]), np.uint8).reshape(4, -1)
+            out.append(np.ascontiguousarray(own.T).view("<u4").ravel().astype(np.int64))
+    return np.concatenate(out), np.append(0, np.cumsum(n, dtype=np.int64))
 
 
 def _numbered(paths: tuple[str, str]):
