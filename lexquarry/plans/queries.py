@@ -14,6 +14,7 @@ from lexquarry.functions import citations, dates
 from lexquarry.functions import text as T
 from lexquarry.operators import blocks, bm25, chunking, dense, evaluation, generation, ivf, registry, structure, words
 from lexquarry.plans import composed
+from lexquarry.session import spread
 from lexquarry.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -863,5 +864,5 @@ def sheet_bodies(spark, sf_dir):
 
 
 def _sheet_files(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
     return p.select("p_partkey", composed.sheet_files(F.translate("p_name", "&", "+"), F.col("p_size")).alias("content"))

@@ -26,3 +26,8 @@ def kept(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str, *, rows: int = 5_000) -> DataFrame:
+    """df dealt by key to tasks of about so many rows: for small rows that much is made of, which a scan would leave to few tasks."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)
