@@ -6,9 +6,11 @@ import io
 import re
 import zipfile
 from datetime import datetime, timedelta
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,26 +165,57 @@ def read_word(docs: DataFrame, *, key: str = "doc_id", content: str = "content",
     return docs.select(key, content, *keep).mapInPandas(read, f"`{key}` {kinds[key]}, kind string, ord int, `table` int, place int, `row` int, cells array<string>, status string{more}")
 
 
+_NUMBER = re.compile(r"^-?[\d,，.%\s]+$")
+#: Rows that a reader hands on at a time.
+_ROWS = 4_096
+
+
 def _is_date_format(code: str) -> bool:
     return bool(re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code.lower())))
 
 
+@lru_cache(maxsize=16)
+def _small_part(read, xml: bytes):
+    return read(xml)
+
+
+def _part(read, xml: bytes):
+    """What a part of a workbook says. Small parts are much the same in many files, so the last ones are remembered."""
+    return _small_part(read, xml) if len(xml) <= 1 << 14 else read(xml)
+
+
+def _strings(xml: bytes) -> list[str]:
+    return [_shared_text(x) for x in ElementTree.fromstring(xml)]
+
+
+def _date_styles(xml: bytes) -> list[bool]:
+    """Of each cell style, whether it shows dates."""
+    styles, dates = ElementTree.fromstring(xml), []
+    custom = {int(x.get("numFmtId")): _is_date_format(x.get("formatCode", "")) for x in styles.iter(_S + "numFmt")}
+    for xf in styles.find(_S + "cellXfs") if styles.find(_S + "cellXfs") is not None else []:
+        i = int(xf.get("numFmtId", 0))
+        dates.append(custom.get(i, 14 <= i <= 22 or 45 <= i <= 47))
+    return dates
+
+
+def _targets(xml: bytes) -> dict[str, str]:
+    return {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(xml)}
+
+
+def _sheets(xml: bytes) -> list[tuple[str, str]]:
+    return [(x.get("name"), x.get(_R + "id")) for x in ElementTree.fromstring(xml).iter(_S + "sheet")]
+
+
 def _sheet_rows(data: bytes):
     """(sheet number, name, row, values, kinds) of all rows with merged ranges filled; kinds are _ (empty), N (number) or T."""
     z = zipfile.ZipFile(io.BytesIO(data))
     names = set(z.namelist())
-    parse = lambda n: ElementTree.fromstring(z.read(n)) if n in names else None
-    shared = [_shared_text(x) for x in (parse("xl/sharedStrings.xml") if "xl/sharedStrings.xml" in names else [])]
-    dates: list[bool] = []
-    if (styles := parse("xl/styles.xml")) is not None:
-        custom = {int(x.get("numFmtId")): _is_date_format(x.get("formatCode", "")) for x in styles.iter(_S + "numFmt")}
-        for xf in styles.find(_S + "cellXfs") if styles.find(_S + "cellXfs") is not None else []:
-            i = int(xf.get("numFmtId", 0))
-            dates.append(custom.get(i, 14 <= i <= 22 or 45 <= i <= 47))
-    rels = {x.get("Id"): x.get("Target") for x in parse("xl/_rels/workbook.xml.rels")}
-    for number, sheet in enumerate(parse("xl/workbook.xml").iter(_S + "sheet")):
-        target = rels[sheet.get(_R + "id")]
-        tree = parse(target.lstrip("/") if target.startswith("/") else "xl/" + target)
+    shared = _part(_strings, z.read("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in names else []
+    dates = _part(_date_styles, z.read("xl/styles.xml")) if "xl/styles.xml" in names else []
+    rels = _part(_targets, z.read("xl/_rels/workbook.xml.rels"))
+    for number, (name, rel) in enumerate(_part(_sheets, z.read("xl/workbook.xml"))):
+        target = rels[rel]
+        tree = ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else "xl/" + target))
         grid: dict[tuple[int, int], object] = {}
         at_row = 0
         for row in tree.iter(_S + "row"):
@@ -203,8 +236,8 @@ def _sheet_rows(data: bytes):
         for r in range(1, rows + 1):
             values = [grid.get((r, c)) for c in range(1, cols + 1)]
             shown = ["" if v is None else str(v).strip() for v in values]
-            kinds = ["_" if not s else "N" if isinstance(v, (int, float)) or re.match(r"^-?[\d,，.%\s]+$", s) else "T" for v, s in zip(values, shown, strict=True)]
-            yield number, sheet.get("name"), r, shown, kinds
+            kinds = ["_" if not s else "N" if isinstance(v, (int, float)) or _NUMBER.match(s) else "T" for v, s in zip(values, shown, strict=True)]
+            yield number, name, r, shown, kinds
 
 
 def _shared_text(x) -> str:
@@ -243,21 +276,36 @@ def _value(c, shared: list[str], dates: list[bool]):
 
 def read_sheets(docs: DataFrame, *, key: str = "doc_id", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
     """Spreadsheets as rows: key, sheet_no, sheet_name, row, cells, kinds, status, and the columns `keep`."""
+    fields = [("sheet_no", pa.int32()), ("sheet_name", pa.string()), ("row", pa.int32()), ("cells", pa.list_(pa.string())), ("kinds", pa.list_(pa.string())), ("status", pa.string())]
 
     def read(it):
-        for pdf in it:
-            out = []
-            for k, data, *rest in zip(pdf[key], pdf[content], *(pdf[c] for c in keep), strict=True):
+        for batch in it:
+            at, out = [], []
+
+            def rows():
+                whose = pa.array(at, pa.int32())
+                found = [pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), fields, strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(whose), *found, *(c.take(whose) for c in batch.columns[2:])], [key, *(n for n, _ in fields), *keep])
+
+            for i, data in enumerate(batch.column(1)):
+                have = len(out)
                 try:
-                    found = [(k, *r, "OK") for r in _sheet_rows(data)] or [(k, None, None, None, None, None, "OK")]
+                    for r in _sheet_rows(data.as_py()):
+                        out.append((*r, "OK"))
+                    if len(out) == have:
+                        out.append((None, None, None, None, None, "OK"))
                 except Exception as e:  # one bad file must not stop the others
-                    found = [(k, None, None, None, None, None, f"ERROR: {type(e).__name__}: {e}"[:200])]
-                out += [(*r, *rest) for r in found]
-            yield pd.DataFrame(out, columns=[key, "sheet_no", "sheet_name", "row", "cells", "kinds", "status", *keep])
+                    out[have:] = [(None, None, None, None, None, f"ERROR: {type(e).__name__}: {e}"[:200])]
+                at += [i] * (len(out) - have)
+                if len(out) >= _ROWS:
+                    yield rows()
+                    at, out = [], []
+            if out:
+                yield rows()
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     more = "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return docs.select(key, content, *keep).mapInPandas(read, f"`{key}` {kinds[key]}, sheet_no int, sheet_name string, `row` int, cells array<string>, kinds array<string>, status string{more}")
+    return docs.select(key, content, *keep).mapInArrow(read, f"`{key}` {kinds[key]}, sheet_no int, sheet_name string, `row` int, cells array<string>, kinds array<string>, status string{more}")
 
 
 def sheet_body(rows: DataFrame, *, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,6 +1,8 @@
 """What grows with the tables is spread over tasks, or bounded in one."""
 
+import corpora
 from lexquarry.plans.queries import QUERIES
+from lexquarry.sources import files
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.1"
@@ -9,3 +11,15 @@ SF = "/root/testdata/sf0.1"
 def test_sheets_are_made_and_read_by_several_tasks(spark):
     """The part table is a small file, which one task would read."""
     assert QUERIES["sheet_reader"](spark, SF).select(F.spark_partition_id().alias("task")).distinct().count() >= 4
+
+
+def test_sheet_rows_are_handed_on_while_files_are_read(spark, monkeypatch):
+    """Bad and empty files among others, and columns that are kept, in pieces of a few rows."""
+    monkeypatch.setattr(files, "_ROWS", 3)
+    sheet = bytearray(corpora.sheet_file(corpora.GRID))
+    docs = spark.createDataFrame([(1, sheet, "a"), (2, bytearray(b"no zip"), "b"), (3, bytearray(corpora.sheet_file([])), None), (4, None, "d"), (5, sheet, "e")], "id long, content binary, path string").coalesce(1)
+    rows = files.read_sheets(docs, key="id", keep=("path",)).collect()
+    assert [r.id for r in rows] == sorted(r.id for r in rows) and all((r.path or "") == {1: "a", 2: "b", 3: "", 4: "d", 5: "e"}[r.id] for r in rows)
+    of = {i: [(r.sheet_no, r.sheet_name, r.row, r.cells, r.kinds, r.status) for r in rows if r.id == i] for i in range(1, 6)}
+    assert of[1] == of[5] and len(of[1]) > 3 and {s for *_, s in of[1]} == {"OK"}
+    assert of[3] == [(None, None, None, None, None, "OK")] and [s[:5] for *_, s in of[2] + of[4]] == ["ERROR", "ERROR"]
