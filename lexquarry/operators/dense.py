@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 
 #: Question vectors held by one pass over the vectors (16 MB of a thousand numbers each); more are further passes.
 BLOCK = 2_000
+#: Scores that a task computes at a time (8 MB), whatever the sizes of batches and cells.
+SCORES = 1 << 20
 
 
 #: Models by their Lazy's key, in this process.
@@ -72,12 +74,70 @@ def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return m[good] / norm[good][:, None], rows[good]
 
 
+def slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of SCORES numbers at most, for rows of so many."""
+    size = max(1, SCORES // max(1, width))
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def _met(cells: np.ndarray, probes: np.ndarray):
     """(questions, rows) that meet: the rows of a cell and the questions that open it."""
-    for cell in np.unique(cells):
-        own = np.flatnonzero(probes[:, cell])
+    order = np.argsort(cells, kind="stable")
+    for here in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+        own = np.flatnonzero(probes[:, cells[here[0]]])
         if len(own):
-            yield own, np.flatnonzero(cells == cell)
+            yield own, here
+
+
+def _pieces(own: np.ndarray, here: np.ndarray):
+    """The same pairs in pieces of at most SCORES (of one row, if there are more questions than that)."""
+    size = max(1, SCORES // len(own))
+    for at in range(0, len(here), size):
+        yield own, here[at : at + size]
+
+
+class _Best:
+    """Each question's k best scores so far, and those that rounding might put among them: question, score, key."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.least = k, np.full(questions, -np.inf)
+        self.kept: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.n = self.left = 0
+
+    def add(self, own: np.ndarray, scores: np.ndarray, keys: pa.Array) -> None:
+        """scores: a row for each question of own, a column for each key."""
+        least = self.least[own]
+        if scores.shape[1] > self.k:
+            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k] - 1e-6)
+        q, at = np.nonzero(scores >= least[:, None])
+        if len(q):
+            self.kept.append((own[q], scores[q, at], keys.take(pa.array(at))))
+            self.n += len(q)
+        if self.n > 2 * self.left + SCORES // 4:
+            self.cut()
+
+    def cut(self) -> None:
+        if not self.kept:
+            return
+        q, score, keys = np.concatenate([x[0] for x in self.kept]), np.concatenate([x[1] for x in self.kept]), pa.concat_arrays([x[2] for x in self.kept])
+        order = np.lexsort((-score, q))
+        first = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1]))
+        size = np.diff(np.append(first, len(order)))
+        least = score[order][first + np.minimum(size, self.k) - 1] - 1e-6
+        full = size >= self.k
+        self.least[q[order][first[full]]] = np.maximum(self.least[q[order][first[full]]], least[full])
+        best = order[score[order] >= np.repeat(least, size)]
+        if len(best) > self.k * len(first):  # copies: of those that surely round alike, only the k least keys can be ranked
+            q, score, keys = q[best], score[best], keys.take(pa.array(best))
+            scaled = score * 1e6
+            alike = np.where(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6, scaled, np.rint(scaled))
+            by = np.lexsort((pc.rank(keys, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy(), alike, q))
+            new = np.flatnonzero(np.append(True, (q[by][1:] != q[by][:-1]) | (alike[by][1:] != alike[by][:-1])))
+            best = by[np.arange(len(by)) - np.repeat(new, np.diff(np.append(new, len(by)))) < self.k]
+        self.kept = [(q[best], score[best], keys.take(pa.array(best)))]
+        self.n = self.left = len(best)
 
 
 def nearest(vectors: DataFrame, ids: list, questions: np.ndarray, qid, *, key: str, k: int, probes: np.ndarray | None = None) -> DataFrame:
@@ -85,32 +145,24 @@ def nearest(vectors: DataFrame, ids: list, questions: np.ndarray, qid, *, key: s
 
     questions: vectors of unit length, of the ids. probes: which cells (of a column cell) each question opens; None: all.
     """
+    if probes is not None and probes.all():
+        probes = None
 
     def run(batches):
-        kept: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
-        for batch in batches:
+        best = _Best(len(questions), k)
+        for batch in slices(batches, questions.shape[1]):
             m, rows = matrix(batch.column(1), questions.shape[1])
             if not len(rows) or not len(questions):
                 continue
-            before = len(kept)
-            cells = None if probes is None else batch.column(2).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
-            for own, here in [(np.arange(len(questions)), np.arange(len(rows)))] if cells is None else _met(cells, probes):
-                scores = questions[own] @ m[here].T
-                if len(here) > k:  # and what rounding might put among the best
-                    least = np.partition(scores, -k, axis=1)[:, -k][:, None] - 1e-6
-                    q, at = np.nonzero(scores >= least)
-                else:
-                    q, at = (x.ravel() for x in np.indices(scores.shape))
-                kept.append((own[q], scores[q, at], batch.column(0).take(pa.array(rows[here[at]]))))
-            if len(kept) == before:
-                continue
-            q, score, keys = np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept]), pa.concat_arrays([x[2] for x in kept])
-            order = np.lexsort((-score, q))
-            first = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1]))
-            size = np.diff(np.append(first, len(order)))
-            best = order[score[order] >= np.repeat(score[order][first + np.minimum(size, k) - 1] - 1e-6, size)]
-            kept = [(q[best], score[best], keys.take(pa.array(best)))]
-        for q, score, keys in kept:
+            if probes is None:
+                met = [(np.arange(len(questions)), np.arange(len(rows)))]
+            else:
+                met = _met(batch.column(2).to_numpy(zero_copy_only=False)[rows].astype(np.int64), probes)
+            for own, all_ in met:
+                for own, here in _pieces(own, all_):
+                    best.add(own, questions[own] @ m[here].T, batch.column(0).take(pa.array(rows[here])))
+        best.cut()
+        for q, score, keys in best.kept:
             yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), keys, pa.array(score)], ["qid", key, "score"])
 
     columns = [key, "embedding"] if probes is None else [key, "embedding", "cell"]

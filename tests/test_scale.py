@@ -1,6 +1,9 @@
 """What grows with the tables is spread over tasks, or bounded in one."""
 
 import corpora
+import numpy as np
+import pytest
+from lexquarry.operators import dense, ivf
 from lexquarry.plans.queries import QUERIES
 from lexquarry.sources import files
 from pyspark.sql import functions as F
@@ -23,3 +26,28 @@ def test_sheet_rows_are_handed_on_while_files_are_read(spark, monkeypatch):
     of = {i: [(r.sheet_no, r.sheet_name, r.row, r.cells, r.kinds, r.status) for r in rows if r.id == i] for i in range(1, 6)}
     assert of[1] == of[5] and len(of[1]) > 3 and {s for *_, s in of[1]} == {"OK"}
     assert of[3] == [(None, None, None, None, None, "OK")] and [s[:5] for *_, s in of[2] + of[4]] == ["ERROR", "ERROR"]
+
+
+@pytest.mark.parametrize("opened", [None, 0.5, 1.0])
+def test_copies_and_many_questions_stay_bounded_in_a_task(spark, monkeypatch, opened):
+    """Of a thousand copies a task keeps those that can be ranked; scores are taken in small pieces, with the same result."""
+    monkeypatch.setattr(dense, "SCORES", 1 << 10)
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((1500, 8))
+    v[300:1300] = v[7] * rng.uniform(0.5, 2, (1000, 1))
+    cells = rng.integers(0, 6, 1500)
+    df = spark.createDataFrame([(i, x.tolist(), int(c)) for i, (x, c) in enumerate(zip(v, cells, strict=True))], "vec_id long, embedding array<double>, cell int").coalesce(1)
+    asked = v[[7, 20, 300, 500, 1400]]
+    asked = asked / np.sqrt((asked * asked).sum(axis=1))[:, None]
+    probes = None if opened is None else np.ones((5, 6), bool) if opened == 1 else rng.random((5, 6)) < opened
+    found = dense.nearest(df, list(range(5)), asked, df.schema["vec_id"], key="vec_id", k=4, probes=probes)
+    assert found.count() <= 5 * 4 * 3
+    got = {(r.qid, r["rank"]): (r.vec_id, r.score) for r in dense.ranked(found, "vec_id", 4).collect()}
+    scores = asked @ (v / np.sqrt((v * v).sum(axis=1))[:, None]).T
+    if probes is not None:
+        scores = np.where(probes[:, cells], scores, -9)
+    for q in range(5):
+        want = sorted((-round(x, 6), i) for i, x in enumerate(scores[q]) if x > -9)[:4]
+        assert [got[q, r + 1] for r in range(len(want))] == [(i, -x) for x, i in want]
+    filed = ivf.assign(df.drop("cell"), asked[[0, 1, 4]]).collect()
+    assert [r.cell for r in filed] == np.argmax(v @ asked[[0, 1, 4]].T, axis=1).tolist()
