@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.operators.dense import BLOCK, matrix, nearest, ranked
+from lexquarry.operators.dense import BLOCK, matrix, nearest, ranked, slices
 
 #: Vectors a cell that directions are learned from, and the most cells: their centres are held by every task.
 SAMPLE_A_CELL, MOST_CELLS = 256, 4096
@@ -58,7 +58,7 @@ def assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     """vectors with the cell of each, null if it has none."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, max(centres.shape)):
             m, rows = matrix(batch.column(batch.schema.get_field_index("embedding")), centres.shape[1])
             cell = np.full(batch.num_rows, -1, np.int32)
             if len(rows) and len(centres):
