@@ -5,6 +5,8 @@ Elements: key, seq (order), kind (heading, article, paragraph, table_row), text,
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,47 +90,84 @@ def word_elements(parts: DataFrame, *, key: str = "doc_id") -> DataFrame:
     return texts.unionByName(rows.select(key, order.cast("int").alias("seq"), F.lit("table_row").alias("kind"), "text", loc.alias("location")))
 
 
+def _followed(batches):
+    """For mapInArrow over the lines of documents, each document's together and in order: adds what runs along with them.
+
+    seq; h1 to h4, the heading that holds of each level; head, nth and table_no: of a line of a table its run's first row,
+    the rows of the run so far, and the tables of the document so far. Held from batch to batch is the last line's.
+    """
+    last, held = None, {"seq": 0, "nth": 0, "table_no": 0, "open": False, "head": None, "h": [None] * 4}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+        of = lambda name: column(name).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+        doc, level, table, row, at = of("_doc"), of("level"), of("_is_table"), of("_is_row"), np.arange(batch.num_rows)
+        latest = lambda where: np.maximum.accumulate(np.where(where, at, -1))  # noqa: E731, B023
+        first = latest(doc != np.append(doc[0] - 1 if last is None or last != doc[0] else last, doc[:-1]))  # -1: goes on from the batch before
+        goes_on = first < 0
+
+        def since(flags: np.ndarray, start: np.ndarray, had: int, more: np.ndarray) -> np.ndarray:
+            """How many of the lines from start on (of the batch, and so many before it) have the flag."""
+            sums = np.append(0, np.cumsum(flags))
+            return sums[1:] - sums[np.maximum(start, 0)] + np.where(more, had, 0)
+
+        def taken(values: pa.Array, before, places: np.ndarray, start: np.ndarray, more: np.ndarray) -> pa.Array:
+            """The values at places; before the batch the one held, before their start none."""
+            whose = np.where(places >= np.maximum(start, 0), places + 1, np.where(more & (places < 0), 0, -1))
+            return pa.concat_arrays([pa.array([before], values.type), values]).take(pa.array(whose, mask=whose < 0))
+
+        seq = since(np.ones(len(at), bool), first, held["seq"], goes_on)
+        # a heading holds until the next of its level or above
+        ups = [latest((level > 0) & (level <= n)) for n in range(1, 5)]
+        heads = [np.where((up >= 0) & (level[np.maximum(up, 0)] != n), -2, up) for n, up in enumerate(ups, 1)]
+        paths = [taken(column("heading"), held["h"][n], heads[n], first, goes_on & (heads[n] == -1)) for n in range(4)]
+        start = np.maximum(first, latest(~table))
+        same = (start < 0) & held["open"]
+        nth = since(row, start, held["nth"], same)
+        tops = row & (nth == 1)
+        head = taken(column("raw"), held["head"], latest(tops), start, same)
+        table_no = since(tops, first, held["table_no"], goes_on)
+        last, held = doc[-1], {"seq": int(seq[-1]), "nth": int(nth[-1]), "table_no": int(table_no[-1]), "open": bool(table[-1]), "head": head[-1].as_py(), "h": [h[-1].as_py() for h in paths]}
+        more = [pa.array(x.astype(np.int32)) for x in (seq, nth, table_no)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more, head, *paths], [*batch.schema.names, "seq", "_nth", "_table", "_head_raw", "_h1", "_h2", "_h3", "_h4"])
+
+
 def markdown_elements(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Elements of markdown: headings of four levels, pipe tables, articles and paragraphs; front matter names sheet and confidence."""
+    """Elements of markdown: headings of four levels, pipe tables, articles and paragraphs; front matter names sheet and confidence.
+
+    A document is a row, whose lines stay together when they are exploded, so they are followed where they are: nothing is shuffled or sorted.
+    """
     lines = F.split(text, "\n")
     end = F.array_position(F.slice(F.col("_lines"), 2, 1 << 30), "---")
     fenced = (F.trim(F.get("_lines", F.lit(0))) == "---") & (end > 0)
-    df = docs.select(key, lines.alias("_lines")).withColumn("_end", F.when(fenced, end.cast("int")).otherwise(-1))
+    df = docs.select(key, lines.alias("_lines"), F.monotonically_increasing_id().alias("_doc")).withColumn("_end", F.when(fenced, end.cast("int")).otherwise(-1))
     front = F.when(F.col("_end") > 0, F.slice("_lines", 2, F.greatest(F.col("_end") - 1, F.lit(0))))
     entry = lambda name: strip(F.regexp_replace(F.try_element_at(F.filter(front, lambda x: strip(F.substring_index(x, ":", 1)) == name), F.lit(-1)), "^[^:]*:", ""))
-    df = df.select(key, entry("sheet_name").alias("_sheet"), entry("column_names_confidence").alias("_conf"), F.posexplode(F.slice("_lines", F.greatest(F.col("_end") + 2, F.lit(1)), 1 << 30)).alias("line", "raw"))
+    df = df.select(key, "_doc", entry("sheet_name").alias("_sheet"), entry("column_names_confidence").alias("_conf"), F.explode(F.slice("_lines", F.greatest(F.col("_end") + 2, F.lit(1)), 1 << 30)).alias("raw"))
     df = df.withColumn("raw", F.regexp_replace("raw", "(?U)\\s+$", "")).where(strip(F.col("raw")) != "")
-    by = Window.partitionBy(key).orderBy("line")
-    raw = F.col("raw")
-    df = df.withColumn("seq", F.row_number().over(by))
+    raw, table = F.col("raw"), F.col("_is_table")
     level = F.length(F.regexp_extract(raw, "^(#{1,4})\\s", 1))
-    df = df.withColumn("level", level).withColumn("heading", F.when(level > 0, strip(F.regexp_extract(raw, "^#{1,4}\\s+(.*)", 1))))
-    for n in range(1, 5):
-        df = df.withColumn(f"_h{n}", F.last(F.when(F.col("level") == n, F.struct("seq", "heading")), ignorenulls=True).over(by))
-    alive = []
-    for n in range(1, 5):
-        ups = [F.coalesce(F.col(f"_h{m}.seq"), F.lit(0)) for m in range(1, n)]
-        above = F.greatest(*ups, F.lit(0)) if ups else F.lit(0)
-        alive.append(F.when(F.col(f"_h{n}.seq") > above, F.col(f"_h{n}.heading")))
-    path = F.array_compact(F.array(*alive))
-    table = F.startswith(raw, F.lit("|"))
-    cells = F.transform(F.split(F.regexp_replace(raw, "^\\|+|\\|+$", ""), "\\|"), lambda c: strip(c))
-    rule = table & F.forall(cells, lambda c: c.rlike("^-{3,}$"))
-    df = df.withColumn("_run", F.sum((~table).cast("int")).over(by))
-    row = table & ~rule
-    df = df.withColumn("_cells", F.when(row, cells)).withColumn("_head", F.first("_cells", ignorenulls=True).over(Window.partitionBy(key, "_run").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    df = df.withColumn("_nth", F.sum(row.cast("int")).over(Window.partitionBy(key, "_run").orderBy("line"))).withColumn("_table", F.sum((row & (F.col("_nth") == 1)).cast("int")).over(by))
+    cells = lambda line: F.transform(F.split(F.regexp_replace(line, "^\\|+|\\|+$", ""), "\\|"), lambda c: strip(c))
+    piped = F.startswith(raw, F.lit("|"))
+    rule = piped & F.forall(cells(raw), lambda c: c.rlike("^-{3,}$"))
+    df = df.select(key, "_doc", "_sheet", "_conf", "raw", level.alias("level"), F.when(level > 0, strip(F.regexp_extract(raw, "^#{1,4}\\s+(.*)", 1))).alias("heading"), piped.alias("_is_table"), (piped & ~rule).alias("_is_row"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    df = df.mapInArrow(_followed, f"{kinds}, seq int, _nth int, _table int, _head_raw string, _h1 string, _h2 string, _h3 string, _h4 string")
+    df = df.where(~table | (F.col("_is_row") & (F.col("_nth") > 1))).withColumn("_head", F.when(table, cells(F.col("_head_raw"))))
+    level = F.col("level")
+    path = F.array_compact(F.array("_h1", "_h2", "_h3", "_h4"))
     body = F.regexp_replace(strip(raw), "^[-*>]\\s+", "")
     article = unit_mark(body, "条")
     kind = F.when(level > 0, "heading").when(table, "table_row").when(article.isNotNull(), "article").otherwise("paragraph")
-    shown = F.when(level > 0, F.col("heading")).when(table, row_text(F.col("_head"), F.col("_cells"), bare=False)).otherwise(body)
+    shown = F.when(level > 0, F.col("heading")).when(table, row_text(F.col("_head"), cells(raw), bare=False)).otherwise(body)
     of_table = lambda c: F.when(table, c)
     loc = location(
         heading_path=path, article_no=F.when(kind == "article", article), paragraph_seq=F.col("seq"), anchor_text=F.when((level == 0) & ~table, F.substring(body, 1, 20)),
         sheet_name=of_table(F.col("_sheet")), table_index=of_table(F.col("_table")), row_range=of_table(F.concat(F.lit("r"), F.col("seq").cast("string"))),
         column_names=of_table(F.col("_head")), column_names_confidence=F.when(table, F.coalesce("_conf", F.lit("ok"))).otherwise("ok"),
     )
-    return df.where(~table | (row & (F.col("_nth") > 1))).select(key, "seq", kind.alias("kind"), shown.alias("text"), loc.alias("location"))
+    return df.select(key, "seq", kind.alias("kind"), shown.alias("text"), loc.alias("location"))
 
 
 def sheet_layout(rows: DataFrame, *, key: tuple[str, ...] = ("doc_id", "sheet_no")) -> DataFrame:

@@ -778,7 +778,7 @@ CASE seq WHEN 1 THEN concat('T', o_orderkey) WHEN 2 THEN 'S' WHEN 5 THEN concat(
 CASE seq WHEN 1 THEN concat('T', o_orderkey) ELSE concat('T', o_orderkey, ' > S') END AS path, CASE WHEN seq = 5 THEN 'r5' END AS row_range, CASE WHEN seq = 5 THEN '表A' END AS sheet_name FROM e""")
 def markdown_structure(spark, sf_dir):
     """Headings, a table, an item and an article of composed Markdown with front matter."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", rows=50_000)
     shown = F.col("o_orderkey").cast("string")
     text = F.concat(F.lit("---\nsheet_name: 表A\n---\n# T"), shown, F.lit("\n\n## S\n| a | b |\n| --- | --- |\n| "), F.col("o_custkey").cast("string"), F.lit(" | x |\n- item "), shown, F.lit("\n> 第一条 内容\n"))
     e = structure.markdown_elements(o.select("o_orderkey", text.alias("text")), key="o_orderkey")

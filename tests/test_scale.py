@@ -3,7 +3,7 @@
 import corpora
 import numpy as np
 import pytest
-from lexquarry.operators import dense, ivf
+from lexquarry.operators import dense, ivf, structure
 from lexquarry.plans.queries import QUERIES
 from lexquarry.sources import files
 from pyspark.sql import functions as F
@@ -51,3 +51,19 @@ def test_copies_and_many_questions_stay_bounded_in_a_task(spark, monkeypatch, op
         assert [got[q, r + 1] for r in range(len(want))] == [(i, -x) for x, i in want]
     filed = ivf.assign(df.drop("cell"), asked[[0, 1, 4]]).collect()
     assert [r.cell for r in filed] == np.argmax(v @ asked[[0, 1, 4]].T, axis=1).tolist()
+
+
+def test_markdown_lines_are_followed_without_a_shuffle(spark):
+    """Nothing of a document waits for others: no exchange, no sort; where batches end makes no difference."""
+    some = ["# a", "## b", "### c", "| x | y |", "| --- | --- |", "| 1 | 2 |", "- item", "", "text"]
+    docs = spark.createDataFrame([(i, "\n".join(some[(i * k + k * k) % 9] for k in range(i % 30))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    found = structure.markdown_elements(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    whole = found.collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert structure.markdown_elements(docs).collect() == whole and len(whole) > 300
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
