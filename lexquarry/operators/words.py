@@ -38,14 +38,15 @@ def dictionary(texts: DataFrame, *, text: str = "text", most: int = 4, at_least:
     before and of those after a sequence (the start and the end of a run count as one more), the least it may have.
     """
     spans = F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at")
-    each = runs(texts, text).select("run", spans).select("run", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.length("run") - F.col("at") + 1))).alias("size"))
+    # runs that repeat are cut once
+    each = runs(texts, text).groupBy("run").agg(F.count("*").alias("times")).select("run", "times", spans).select("run", "times", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.length("run") - F.col("at") + 1))).alias("size"))
     part = lambda start, size: F.col("run").substr(start, size)
     each = each.select(
-        part(F.col("at"), F.col("size")).alias("word"), "size",
+        part(F.col("at"), F.col("size")).alias("word"), "size", "times",
         F.when(F.col("at") > 1, part(F.col("at") - 1, F.lit(1))).otherwise("").alias("before"), part(F.col("at") + F.col("size"), F.lit(1)).alias("after"),
     )
     # one shuffle of counts by company; the rest is made of these
-    company = each.groupBy("word", "size", "before", "after").agg(F.count("*").alias("n"))
+    company = each.groupBy("word", "size", "before", "after").agg(F.sum("times").alias("n"))
 
     def varied(side: str) -> DataFrame:
         by = company.where("size > 1").groupBy("word", side).agg(F.sum("n").alias("n"))

@@ -3,7 +3,7 @@
 import corpora
 import numpy as np
 import pytest
-from lexquarry.operators import dense, ivf, structure
+from lexquarry.operators import bm25, dense, ivf, structure, words
 from lexquarry.plans.queries import QUERIES
 from lexquarry.sources import files
 from pyspark.sql import functions as F
@@ -67,3 +67,11 @@ def test_markdown_lines_are_followed_without_a_shuffle(spark):
         assert structure.markdown_elements(docs).collect() == whole and len(whole) > 300
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_words_are_counted_from_distinct_runs(spark):
+    """A run that repeats is cut into sequences once, and counts as often as it occurs."""
+    texts = spark.createDataFrame([("税务机关",)] * 40 + [("机关税务",)] * 3, "text string")
+    found = words.dictionary(texts)
+    assert "hashpartitioning(run" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.word: r.n for r in found.where("length(word) = 1").collect()} == dict.fromkeys("税务机关", 43)
