@@ -186,7 +186,7 @@ def index_stats(spark, sf_dir):
 
 @query(f"WITH t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents UNION SELECT doc_id, unnest({_TOKENS.format('concat(lang, source)')}) FROM documents) SELECT term, count(*) AS df FROM t GROUP BY 1")
 def doc_freq(spark, sf_dir):
-    return bm25.doc_freq(bm25.build(_document_chunks(spark, sf_dir)).postings())
+    return bm25.build(_document_chunks(spark, sf_dir)).doc_freq()
 
 
 _COSINE = "WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id, round(list_cosine_similarity(e, embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE {0}) SELECT qid, vec_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"

@@ -16,18 +16,32 @@ def session(app: str = "lexquarry", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once by checkpoint(): in the folder that spark.checkpoint.dir names, or, where it names none, in the warehouse until the end."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that spark.checkpoint.dir names, or, where it names none, one in the warehouse until the end."""
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{uuid.uuid4()}"
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         sc.setCheckpointDir(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once by checkpoint()."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and written as a table in the checkpoint folder until the end: for wide rows of which later steps read some columns."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_folder(spark)}/{uuid.uuid4()}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.parquet(path.toString())
+
+
 def spread(df: DataFrame, key: str, *, rows: int = 5_000) -> DataFrame:
     """df dealt by key to tasks of about so many rows: for small rows that much is made of, which a scan would leave to few tasks."""
     return df.repartition(max(1, -(-df.count() // rows)), key)

@@ -75,3 +75,11 @@ def test_words_are_counted_from_distinct_runs(spark):
     found = words.dictionary(texts)
     assert "hashpartitioning(run" in found._jdf.queryExecution().executedPlan().toString()
     assert {r.word: r.n for r in found.where("length(word) = 1").collect()} == dict.fromkeys("税务机关", 43)
+
+
+def test_document_frequencies_need_one_shuffle_of_counts(spark):
+    rows = [(i, f"d{i}", "t1", f"w{i % 3}-x, w{i % 3}-x, y", 1) for i in range(30)]
+    index = bm25.build(spark.createDataFrame(rows, "chunk_ix long, doc_id string, doc_title string, text string, is_latest int"))
+    found = index.doc_freq()
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(found.collect()) == sorted(bm25.doc_freq(index.postings()).collect())
