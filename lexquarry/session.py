@@ -33,15 +33,6 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once and written as a table in the checkpoint folder until the end: for wide rows of which later steps read some columns."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_folder(spark)}/{uuid.uuid4()}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.parquet(path.toString())
-    return spark.read.parquet(path.toString())
-
-
 def spread(df: DataFrame, key: str, *, rows: int = 5_000) -> DataFrame:
     """df dealt by key to tasks of about so many rows: for small rows that much is made of, which a scan would leave to few tasks."""
     return df.repartition(max(1, -(-df.count() // rows)), key)
