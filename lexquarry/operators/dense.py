@@ -98,6 +98,14 @@ def _pieces(own: np.ndarray, here: np.ndarray):
         yield own, here[at : at + size]
 
 
+def _order(keys: pa.Array) -> np.ndarray:
+    """The place of each key in Spark's order; equal keys share one. Structs, which Arrow can't rank, go by their fields."""
+    if not pa.types.is_struct(keys.type):
+        return pc.rank(keys, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+    fields = [pc.is_valid(keys).to_numpy(zero_copy_only=False).astype(np.int64), *map(_order, keys.flatten())]
+    return np.unique(np.stack(fields, axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+
+
 class _Best:
     """Each question's k best scores so far, and those that rounding might put among them: question, score, key."""
 
@@ -133,7 +141,7 @@ class _Best:
             q, score, keys = q[best], score[best], keys.take(pa.array(best))
             scaled = score * 1e6
             alike = np.where(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6, scaled, np.rint(scaled))
-            by = np.lexsort((pc.rank(keys, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy(), alike, q))
+            by = np.lexsort((_order(keys), alike, q))
             new = np.flatnonzero(np.append(True, (q[by][1:] != q[by][:-1]) | (alike[by][1:] != alike[by][:-1])))
             best = by[np.arange(len(by)) - np.repeat(new, np.diff(np.append(new, len(by)))) < self.k]
         self.kept = [(q[best], score[best], keys.take(pa.array(best)))]
