@@ -33,6 +33,16 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once, as compressed columns in the checkpoint folder until the session ends: for rows of texts and lists, which checkpoint() writes several times as large."""
+    spark = df.sparkSession
+    folder = f"{_folder(spark)}/stored-{uuid.uuid4()}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def spread(df: DataFrame, key: str, *, rows: int = 5_000) -> DataFrame:
     """df dealt by key to tasks of about so many rows: for small rows that much is made of, which a scan would leave to few tasks."""
     return df.repartition(max(1, -(-df.count() // rows)), key)

@@ -100,3 +100,42 @@ def test_empty(spark, plain, saved):
     assert blocks.build(none).kept().retrieve(questions(spark)).collect() == []
     index = blocks.Index.load(spark, saved, tokenizer=words)
     assert index.retrieve(questions(spark).where("false")).collect() == []
+
+
+def test_disk_few_shuffles(spark, plain, saved, monkeypatch):
+    """Postings are shuffled once, to order them; tokens stay where they lie, also where more chunks are wanted than are broadcast."""
+    made = blocks.build(plain, block=64)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(made.blocks).count("Exchange") == 1 and "Exchange rangepartitioning(term" in plan(made.blocks)
+    index = blocks.Index.load(spark, saved, tokenizer=words)
+    asked = index._known(terms := bm25.question_terms(questions(spark), tokenizer=words), index._asked_blocks(terms))
+    wanted = spark.createDataFrame([("q0", f"d{i // 5}", i) for i in range(40)], "qid string, doc_id string, chunk_ix long")
+    expected = hits(plain.retrieve(questions(spark)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(full := index.exact(asked, wanted, pairs=True))
+        assert "hashpartitioning(doc_id" not in text and "BroadcastHashJoin [doc_id" in text, text
+        some = {tuple(r) for r in full.collect()}
+        monkeypatch.setattr(bm25, "BROADCAST_TERMS", 0)
+        text = plan(full := index.exact(asked, wanted, pairs=True))
+        assert some and {tuple(r) for r in full.collect()} == some
+        join = next(i for i, x in enumerate(text.splitlines()) if "hashpartitioning(doc_id" in x)
+        assert any("term" in x and "LeftSemi" in x for x in text.splitlines()[join:]), text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert hits(made.kept().retrieve(questions(spark))) == expected
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_chunks_that_repeat_count_together(spark, monkeypatch, limit):
+    """As in bm25.Index.postings(): rows that agree in all that postings carry are one chunk; nulls are a key like others."""
+    if limit is not None:
+        monkeypatch.setattr(bm25, "BROADCAST_TERMS", limit)
+    rows = [(1, "a", "t", "x y x", 1, None), (1, "a", "t", "x y x", 1, None), (2, "b", None, "x", 1, None), (None, "c", "t", "x y", 1, "r"), (None, "c", "t", "x y", 1, "r"), (3, None, "", "y", None, None), (4, "d", "t", "", 0, None), (5, "e", None, None, 0, None)]
+    index = bm25.build(spark.createDataFrame(rows, FIELDS), tokenizer=words)
+    fields = ("chunk_ix", "doc_id", "is_latest", "dl", "term", "tf")
+    expected = sorted(map(repr, index.postings().select(*fields).collect()))
+    made = blocks.build(index)
+    assert sorted(map(repr, made.blocks.select("term", F.inline("postings")).select(*fields).collect())) == expected
+    assert sorted(map(repr, blocks._postings(made.cut, 3).select(*fields).collect())) == expected
